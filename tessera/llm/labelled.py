@@ -18,10 +18,10 @@ def held_out(key: str | Column = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """At most `most` labelled documents (text, y and the columns of `also`) outside the held-out fold, rarer label first served.
+    """At most `most` labelled documents (text, y, w and the columns of `also`) outside the held-out fold, rarer label first served.
 
     A class gets up to half of the rows and what the other leaves; rows are taken in the order of a hash of the key, so the
-    sample is the same however the tables are partitioned. Its bound makes it small enough to broadcast and to learn from
+    sample is the same however the tables are partitioned; w is how many labelled rows one stands for. Its bound makes it small enough to broadcast and to learn from
     on the driver; labels other than 0 and 1 and null keys are left out.
     """
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
@@ -30,7 +30,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, key
     take = {y: min(n.get(y, 0), max(most // 2, most - n.get(1 - y, 0))) for y in (0, 1)}
     sample = None
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(take[y])
+        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(take[y]).withColumn("w", F.lit(n.get(y, 0) / max(take[y], 1)))
         sample = part if sample is None else sample.union(part)
     picked = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), *also)
     return picked.join(F.broadcast(sample), "k")
