@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,19 +40,14 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def doc_key(text: str = "text") -> list[Column]:
-    """Two 64-bit hashes of the text; with doc_id they name a document.
-
-    Rows that agree in doc_id and text are one document and share their outcome; rows that share a doc_id only are not.
-    """
-    return [F.xxhash64(F.lit(1), F.col(text)).alias("_k1"), F.xxhash64(F.lit(2), F.col(text)).alias("_k2")]
+#: Columns that name a document, see keyed().
+DOC = ["_k1", "_k2"]
 
 
-def null_safe(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & a[n].eqNullSafe(b[n])
-    return cond
+def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """docs with two 64-bit hashes that name a document: rows that agree in key and text are one document."""
+    parts = [F.col(key).isNull(), F.col(key).cast("string"), F.col(text)]
+    return docs.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *parts)})
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
