@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, licenses, linededup, packing, quality, simhash, toxicity
+from tessera.llm import decontaminate, licenses, linededup, packing, quality, simhash, substrings, toxicity
 from tessera.llm.base import table
 
 
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_duplicates(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_linededup": op10_linededup,
 }
