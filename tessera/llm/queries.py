@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, licenses, linededup, packing, quality, simhash, substrings, toxicity
+from tessera.llm import ann, decontaminate, licenses, linededup, packing, quality, simhash, substrings, toxicity
 from tessera.llm.base import table
 
 
@@ -30,6 +30,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_licenses": op3_licenses,
+    "op4_ann": op4_ann,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op8_substrings": op8_substrings,
