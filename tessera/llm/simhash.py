@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import connected_components, materialize
+from tessera.llm.base import DOC, connected_components, keyed, materialize
 
 SEED = 42
 
@@ -89,12 +89,32 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, text: st
     An empty table gives no rows; other columns of `docs` are ignored, so their names cannot clash.
     """
     prints = materialize(docs.select(F.col(key).alias("doc_id"), fingerprint(text, shingle).alias("fp")))
+    return prints.join(_components(prints, radius), "fp").select(
+        F.col("doc_id").alias(key), F.col("fp").alias("_fp"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """For each fingerprint its component: fp, root (smallest fingerprint there) and component (smallest doc_id there)."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     labels = connected_components(links(prints.select("fp").distinct(), radius))
     linked = labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = linked.join(least, "root").select(F.col("fp").alias("node"), "component")
-    nodes = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"))
-    return prints.join(nodes, "fp").select(
-        F.col("doc_id").alias(key), F.col("fp").alias("_fp"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    linked = linked.join(least, "root").select(F.col("fp").alias("node"), "root", "component")
+    alone = F.col("node").isNull()
+    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
+        "fp", F.when(alone, F.col("fp")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component")).alias("component")
     )
+
+
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs, all columns, with one document of each near-duplicate component (see near_duplicates): the one of smallest key.
+
+    Null keys come last; of rows with that key the one of smallest text hash stays, and of rows that agree in key and text one.
+    """
+    named = keyed(docs, text, key)
+    prints = materialize(named.select(F.col(key).alias("doc_id"), *DOC, fingerprint(text, shingle).alias("fp")))
+    joined = prints.join(_components(prints.select("doc_id", "fp"), radius), "fp")
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *DOC)).alias("x"))
+    stays = materialize(first.select("x._k1", "x._k2").distinct())
+    return named.join(stays, DOC, "left_semi").dropDuplicates(DOC).drop(*DOC)
