@@ -30,25 +30,30 @@ def against_gold(props: DataFrame, gold: DataFrame, cuts: list[float]) -> DataFr
 def one_to_one(props: DataFrame, gold: DataFrame) -> DataFrame:
     """Greedy one-to-one matching by overlap of inclusive token spans, in reading order; per type vp, fp, fn.
 
-    A paragraph bounds its group.
+    The spans of a paragraph are one row on either side, so a batch of rows is matched at a time.
     """
 
-    def match(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        n: dict[str, list[int]] = {}
-        free = sorted(g[["ini", "fin", "tipo"]].itertuples(index=False, name=None))
-        for ini, fin, tipo in sorted(p[["ini", "fin", "tipo"]].itertuples(index=False, name=None)):
-            c = n.setdefault(tipo, [0, 0, 0])
-            hit = next((x for x in free if x[2] == tipo and x[0] <= fin and ini <= x[1]), None)
-            c[0 if hit else 1] += 1
-            if hit:
-                free.remove(hit)
-        for _, _, tipo in free:
-            n.setdefault(tipo, [0, 0, 0])[2] += 1
-        return pd.DataFrame([(t, *c) for t, c in n.items()], columns=["tipo", "vp", "fp", "fn"])
+    @F.pandas_udf("tipo array<string>, vp array<long>, fp array<long>, fn array<long>")
+    def match(p: pd.Series, g: pd.Series) -> pd.DataFrame:
+        rows = []
+        for mine, theirs in zip(p, g):
+            n: dict[str, list[int]] = {}
+            free = [(x["ini"], x["fin"], x["tipo"]) for x in theirs] if theirs is not None else []
+            for x in mine if mine is not None else ():
+                hit = next((y for y in free if y[2] == x["tipo"] and y[0] <= x["fin"] and x["ini"] <= y[1]), None)
+                n.setdefault(x["tipo"], [0, 0, 0])[0 if hit else 1] += 1
+                if hit:
+                    free.remove(hit)
+            for _, _, tipo in free:
+                n.setdefault(tipo, [0, 0, 0])[2] += 1
+            rows.append((list(n), *([c[k] for c in n.values()] for k in range(3))))
+        return pd.DataFrame(rows, columns=["tipo", "vp", "fp", "fn"])
 
     keys = ["wp_id", "pi"]
-    parts = props.select(*SPAN).groupBy(*keys).cogroup(gold.select(*SPAN).groupBy(*keys)).applyInPandas(match, "tipo string, vp long, fp long, fn long")
-    n = parts.groupBy("tipo").agg(*(F.sum(c).alias(c) for c in ("vp", "fp", "fn")))
+    side = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ini", "fin", "tipo"))).alias(name))
+    joined = side(props, "p").join(side(gold, "g"), keys, "full").select(match("p", "g").alias("m"))
+    each = joined.select(F.explode(F.arrays_zip("m.tipo", "m.vp", "m.fp", "m.fn")).alias("x")).select("x.*")
+    n = each.groupBy("tipo").agg(*(F.sum(c).alias(c) for c in ("vp", "fp", "fn")))
     return n.withColumn("f1", F.round(f1(F.col("vp"), F.col("fp"), F.col("fn")), 6))
 
 
@@ -57,7 +62,7 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select(*SPAN).distinct().withColumn("a", F.lit(1))
     y = b.select(*SPAN).distinct().withColumn("b", F.lit(1))
     j = x.join(y, SPAN, "full")
-    n = j.groupBy(F.explode(F.array("tipo", F.lit("*"))).alias("tipo")).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.col("a") + F.col("b")).alias("ambas"))
+    n = j.withColumn("tipo", F.explode(F.array("tipo", F.lit("*")))).groupBy("tipo").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.col("a") + F.col("b")).alias("ambas"))
     return n.withColumn("acuerdo", F.round(2 * F.col("ambas") / (F.col("n_a") + F.col("n_b")), 6))
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _seconds(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+
+
 def sessions(beats: DataFrame, gap_seconds: float, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """Stretches of heartbeats of a key that are no more than the gap apart: key, n, first and last beat.
 
     A gap as long as the limit still joins; a key's beats are sorted in one task, as a session of a key is a sequence.
     """
     w = Window.partitionBy(key).orderBy(ts)
-    far = F.col(ts).cast("double") - F.lag(ts).over(w).cast("double") > gap_seconds
+    far = _seconds(ts) - F.lag(_seconds(ts)).over(w) > gap_seconds
     numbered = beats.where(F.col(ts).isNotNull()).withColumn("_s", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_s").agg(F.count("*").alias("n"), F.min(ts).alias("desde"), F.max(ts).alias("hasta")).drop("_s")
 
@@ -20,7 +24,7 @@ def sessions(beats: DataFrame, gap_seconds: float, key: str = "user_id", ts: str
 def work_seconds(touches: DataFrame, idle_seconds: float, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """Seconds worked per key: gaps between touches, each counted up to the idle limit."""
     w = Window.partitionBy(key).orderBy(ts)
-    gap = F.col(ts).cast("double") - F.lag(ts).over(w).cast("double")
+    gap = _seconds(ts) - F.lag(_seconds(ts)).over(w)
     return touches.withColumn("_g", F.least(gap, F.lit(float(idle_seconds)))).groupBy(key).agg(F.coalesce(F.sum("_g"), F.lit(0.0)).alias("segundos"))
 
 
@@ -29,7 +33,7 @@ def leases(requests: DataFrame, ttl_seconds: float, item: str = "item", who: str
 
     A state machine over an item's requests in order of time.
     """
-    order = F.struct(F.col(ts).cast("double").alias("t"), F.col(who).alias("w"), F.col("event_id").alias("e"))
+    order = F.struct(_seconds(ts).alias("t"), F.col(who).alias("w"), F.col("event_id").alias("e"))
     grouped = requests.groupBy(item).agg(F.array_sort(F.collect_list(order)).alias("x"))
     start = F.struct(F.lit(None).cast("long").alias("holder"), F.lit(0.0).alias("seen"), F.slice(F.transform("x", lambda r: F.struct(r["e"].alias("event_id"), F.lit(True).alias("concedido"))), 1, 0).alias("out"))
 
