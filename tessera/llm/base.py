@@ -1,43 +1,18 @@
-"""Helpers shared by the training-data operators: scratch tables, connected components, global ranks."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.components import connected_components
+from tessera.scratch import drop_scratch, materialize, scratch_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share (`spark.checkpoint.dir`).
-
-    Only where the setting is absent (a local session, as in tests) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a scratch table and reads it back: lineage ends there, and a lost executor loses nothing of it."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["DOC", "connected_components", "drop_scratch", "keyed", "materialize", "scratch_dir", "table"]
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes a table made by materialize(); nothing may read it afterwards."""
-    spark = df.sparkSession
-    for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Columns that name a document, see keyed().
@@ -48,41 +23,3 @@ def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs with two 64-bit hashes that name a document: rows that agree in key and text are one document."""
     parts = [F.col(key).isNull(), F.col(key).cast("string"), F.col(text)]
     return docs.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *parts)})
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Labels each node of an undirected graph with the smallest node of its component.
-
-    edges: (u, v), of one comparable type. Returns (node, root) for every node that has an edge to another one.
-    Alternates small-star and large-star steps, which connect nodes to the smallest neighbour, until nothing changes;
-    a component of any shape takes about log(n) rounds. Each step is a partial minimum and an equi-join that AQE can
-    split, so a hub with very many neighbours never has to fit into one task, and rounds are cut by scratch tables.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    e, before = materialize(e), None
-
-    def digest(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return r["n"], r["h"]
-
-    before = digest(e)
-    for _ in range(most_rounds if before[0] else 0):
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        both = small.select(F.col("u").alias("a"), F.col("v").alias("b")).union(small.select("v", "u"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-        new = materialize(large)
-        now = digest(new)
-        drop_scratch(e)
-        e = new
-        if now == before:
-            break
-        before = now
-    else:
-        if before[0]:
-            raise RuntimeError("connected components did not converge")
-    star = e.groupBy("u").agg(F.min("v").alias("root"))
-    return star.select(F.col("u").alias("node"), "root").union(star.select(F.col("root"), F.col("root")).distinct())
