@@ -54,6 +54,11 @@ def anchors(raw: bytes, size: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def halves(d: int) -> tuple[int, int]:
+    """A 128-bit digest as two signed integers."""
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def runs(docs: DataFrame, size: int, text: str) -> DataFrame:
     """The anchored runs of all documents, each with a 128-bit digest of its bytes."""
 
@@ -65,10 +70,10 @@ def runs(docs: DataFrame, size: int, text: str) -> DataFrame:
                 if len(raw) >= size:
                     for first, count, offset, h in anchors(raw, size):
                         d = xxhash.xxh3_128_intdigest(raw[first : first + count - 1 + size])
-                        rows.append((k1, k2, first, count, h, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["_k1", "_k2", "p", "n", "h", "c1", "c2"]).astype("int64")
+                        rows.append((k1, k2, first, count, offset, h, *halves(d)))
+            yield pd.DataFrame(rows, columns=["_k1", "_k2", "p", "n", "o", "h", "c1", "c2"]).astype("int64")
 
-    return docs.select(*DOC, F.col(text).alias("text")).mapInPandas(scan, "_k1 long, _k2 long, p long, n long, h long, c1 long, c2 long")
+    return docs.select(*DOC, F.col(text).alias("text")).mapInPandas(scan, "_k1 long, _k2 long, p long, n long, o long, h long, c1 long, c2 long")
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
@@ -155,31 +160,28 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
     1. Texts are cut into runs of windows by content-defined anchors, about one for 190 bytes.
     2. Runs are counted by their bytes: equal runs repeat as a whole, and one of each goes on. Anchors with a single text are done.
     3. The rest are dealt by anchor to shards of bounded size; a suffix array and its common prefixes find repeated windows
-       in each. A shard holds all texts around an anchor, unless they are very many: those are spread over several
-       shards, which are merged by a digest of each distinct window (128 bits), as searching every shard's array in every
-       other would take a step for each pair of shards.
+       in each. A shard holds all texts around an anchor, unless those are very many: they are merged by binary search instead
+       (see merged).
     """
-    spark = docs.sparkSession
     docs = keyed(docs, text, key)
     all_runs = materialize(runs(docs, size, text))
     place = F.struct(*DOC, "p")
-    contents = materialize(all_runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.min(place).alias("at"), F.min("n").alias("n")))
+    contents = materialize(all_runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.min(place).alias("at"), F.min("n").alias("n"), F.min("o").alias("o")))
     whole = all_runs.join(contents.where("m > 1").select("h", "c1", "c2"), ["h", "c1", "c2"]).select(*DOC, "p", (F.col("n") + (size - 1)).alias("len"))
     several = contents.groupBy("h").agg(F.count("*").alias("g")).where("g > 1")
-    left = contents.join(several, "h").select("h", "g", "m", "n", "c1", "at.*")
+    left = contents.join(several, "h").select("h", "g", (F.col("m") == 1).alias("once"), "n", "o", "at.*")
     total = left.agg(F.sum(F.col("n") + (size - 1)).alias("b")).first()["b"] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    salts = F.ceil(F.col("g") / F.lit(MOST_TOGETHER))
-    split = F.when(F.col("g") > MOST_TOGETHER, F.pmod(F.xxhash64("c1"), salts)).otherwise(F.lit(0))
-    left = left.withColumn("split", F.col("g") > MOST_TOGETHER).withColumn("shard", F.pmod(F.xxhash64("h", split), F.lit(shards)))
-    wanted = left.groupBy(*DOC).agg(F.collect_list(F.struct("p", "n", "h", "m", "split", "shard")).alias("w"))
+    left = left.withColumn("many", F.col("g") > MOST_TOGETHER).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    wanted = left.groupBy(*DOC).agg(F.collect_list(F.struct("p", "n", "o", "h", "once", "many", "shard")).alias("w"))
 
     @F.pandas_udf("array<binary>")
     def slices(texts: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([[raw[x["p"] : x["p"] + x["n"] - 1 + size] for x in xs] for raw, xs in zip((t.encode("utf-8", "replace") for t in texts), w)])
 
     cut = docs.select(*DOC, F.col(text).alias("text")).join(wanted, DOC).select(*DOC, "w", slices("text", "w").alias("raw"))
-    cut = cut.select(*DOC, F.explode(F.arrays_zip("w", "raw")).alias("x")).select(*DOC, "x.w.*", "x.raw")
+    cut = materialize(cut.select(*DOC, F.explode(F.arrays_zip("w", "raw")).alias("x")).select(*DOC, "x.w.*", "x.raw"))
+    many = cut.where("many").dropDuplicates([*DOC, "p"])
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["_k1", "_k2", "p"]).sort_values(["h", "_k1", "_k2", "p"]).reset_index(drop=True)
@@ -189,40 +191,58 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
         hit = repeated_windows(texts, n, size)
         owner = np.searchsorted(start, hit, side="right") - 1
         rel = hit - start[owner]
-        ok = rel < n[owner]
-        owner, rel = owner[ok], rel[ok]
-        once = frame["m"].to_numpy() == 1
-        mine = once[owner]
-        o, r = owner[mine], rel[mine]
+        # The rest of a run whose like has been found as a whole needs no second answer.
+        ok = (rel < n[owner]) & frame["once"].to_numpy()[owner]
+        o, r = owner[ok], rel[ok]
         first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (r[1:] != r[:-1] + 1)])) if len(o) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(o)))
         f = frame.iloc[o[first]]
-        out = [pd.DataFrame({"_k1": f["_k1"].to_numpy(), "_k2": f["_k2"].to_numpy(), "p": f["p"].to_numpy() + r[first], "len": count - 1 + size, "d1": 0, "d2": 0, "open": False})]
-        # Windows of a spread anchor go on as digests: those not yet found as questions, one of each known text as an answer.
-        found = {}
-        for i, x in zip(owner.tolist(), rel.tolist()):
-            found.setdefault(i, set()).add(x)
-        rows, seen = [], set()
-        for i in np.flatnonzero(frame["split"].to_numpy()):
-            k1, k2, p, raw, done = frame.at[i, "_k1"], frame.at[i, "_k2"], frame.at[i, "p"], texts[i], found.get(i, ())
-            for x in range(n[i]):
-                d = xxhash.xxh3_128_intdigest(raw[x : x + size])
-                ask = bool(once[i]) and x not in done
-                if ask or d not in seen:
-                    seen.add(d)
-                    rows.append((k1, k2, p + x, size, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), ask, True))
-        if rows:
-            more = pd.DataFrame(rows, columns=["_k1", "_k2", "p", "len", "d1", "d2", "open", "digest"])
-            out.append(more)
-        both = pd.concat(out, ignore_index=True)
-        both["digest"] = both["digest"].fillna(False).astype(bool) if "digest" in both else False
-        return both.astype({c: "int64" for c in ("_k1", "_k2", "p", "len", "d1", "d2")} | {"open": bool})
-
-    result = materialize(cut.groupBy("shard").applyInPandas(search, "_k1 long, _k2 long, p long, len long, d1 long, d2 long, open boolean, digest boolean"))
-    spread = result.where("digest")
-    shared = spread.groupBy("d1", "d2").agg(F.count("*").alias("k")).where("k > 1").select("d1", "d2")
-    late = spread.where("open").join(shared, ["d1", "d2"]).select(*DOC, "p", "len")
-    return whole.union(result.where("not digest").select(*DOC, "p", "len")).union(late)
+        return pd.DataFrame({"_k1": f["_k1"].to_numpy(), "_k2": f["_k2"].to_numpy(), "p": f["p"].to_numpy() + r[first], "len": count - 1 + size}).astype("int64")
+
+    found = cut.where("not many").groupBy("shard").applyInPandas(search, "_k1 long, _k2 long, p long, len long")
+    return whole.union(found).union(merged(many, size))
+
+
+def merged(many: DataFrame, size: int) -> DataFrame:
+    """Repeated windows (_k1, _k2, p, len) among texts around anchors that have too many for one shard, by binary search.
+
+    Windows are searched by their anchor's offset, in ranges of offsets. All windows of a range hold the range's core;
+    together they make up its content. A core that is unique settles a range: nothing repeats. A content that is not settles it as
+    well: everything repeats, and one text stays as a witness for the others. Other ranges are cut into eighths and
+    searched again, down to single windows, whose core is their content. So a text sends a few digests a round, not one
+    for each window, and all counts are partial aggregates.
+    """
+    place = F.struct(*DOC, "p")
+    found = many.select(*DOC, "p", F.lit(0).cast("long").alias("len")).limit(0)
+    if many.isEmpty():
+        return found
+    todo, wide = many.select(*DOC, "p", "n", "o", "h", "once", "raw", F.lit(0).cast("long").alias("b")), 0
+    for width in (64, 8, 1):
+
+        def digests(batches: Iterator[pd.DataFrame], width=width, wide=wide) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for k1, k2, p, n, o, h, once, raw, b in batch.itertuples(index=False, name=None):
+                    least, most = (max(o - n + 1, b * wide), min(o, b * wide + wide - 1)) if wide else (o - n + 1, o)
+                    for part in range(least // width, most // width + 1):
+                        a, z = part * width, part * width + width - 1
+                        lo, hi = max(a, least), min(z, most)
+                        core = xxhash.xxh3_128_intdigest(raw[o - a : o + size - z])
+                        content = xxhash.xxh3_128_intdigest(raw[o - hi : o - lo + size], seed=lo << 16 | hi)
+                        rows.append((k1, k2, p, h, once, part, p + o - hi, hi - lo + size, *halves(core), *halves(content)))
+                out = pd.DataFrame(rows, columns=["_k1", "_k2", "p", "h", "once", "b", "at", "len", "c1", "c2", "d1", "d2"])
+                yield out.astype({c: "int64" for c in out.columns if c != "once"} | {"once": bool})
+
+        dg = materialize(todo.mapInPandas(digests, "_k1 long, _k2 long, p long, h long, once boolean, b long, at long, len long, c1 long, c2 long, d1 long, d2 long"))
+        core, content = ["h", "b", "c1", "c2"], ["h", "b", "c1", "c2", "d1", "d2"]
+        kinds = dg.groupBy(*content).agg(F.count("*").alias("m"), F.min(place).alias("first"))
+        found = found.union(dg.where("once").join(kinds.where("m > 1").select(*content), content).select(*DOC, F.col("at").alias("p"), "len"))
+        if width > 1:
+            open_cores = kinds.groupBy(*core).agg(F.count("*").alias("k")).where("k > 1").select(*core)
+            left = kinds.join(open_cores, core).select("first.*", "b", (F.col("m") == 1).alias("alone"))
+            todo = many.select(*DOC, "p", "n", "o", "h", "once", "raw").join(left, [*DOC, "p"]).select(*DOC, "p", "n", "o", "h", (F.col("once") & F.col("alone")).alias("once"), "raw", "b")
+            wide = width
+    return found
 
 
 def remove_duplicates(docs: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
