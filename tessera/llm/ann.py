@@ -17,7 +17,7 @@ class Settings:
     projections: int = 96
     collisions: int = 72
     #: Width of the first window in standard deviations of the projections; each round of virtual rehashing widens it.
-    width: float = 0.95
+    width: float = 1.3
     widen: float = 1.12
     #: Rounds end when this share of a block has been verified (and twenty times k vectors).
     verified: float = 0.2
@@ -44,14 +44,16 @@ class Block:
         lift = np.sqrt(np.maximum(norm**2 - (self.x**2).sum(axis=1), 0))
         self.directions = np.random.default_rng(s.seed).normal(size=(s.projections, d + 1)) / np.sqrt(d + 1)
         p = (self.x @ self.directions[:, :d].T + lift[:, None] * self.directions[:, d]).T
-        self.order = np.argsort(p, axis=1, kind="stable")
-        values = np.take_along_axis(p, self.order, axis=1)
+        order = np.argsort(p, axis=1, kind="stable")
+        values = np.take_along_axis(p, order, axis=1)
+        # The place of each row in each sorted array: a window is a stretch of places, and holds a row if it holds its place.
+        self.place = np.empty(order.shape, np.uint16 if len(ids) <= 65535 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
         self.scale = p.std(axis=1).mean() or 1.0
         # All arrays in one, far enough apart that a single binary search finds its place in each of them.
         self.apart = np.arange(s.projections) * (4 * float(np.abs(values).max()) + 8 * norm + 1)
         self.values = (values + self.apart[:, None]).ravel()
         self.first = np.arange(s.projections) * len(ids)
-        self.flat = self.order.ravel()
         self.reach = 2 * float(np.abs(values).max()) + 4 * norm
         self.norm = norm
 
@@ -63,20 +65,18 @@ class Block:
             return np.arange(n)
         at = self.directions[:, :-1] @ (q * (self.norm / np.linalg.norm(q))) + self.apart
         last = self.first + n
-        lo = hi = np.clip(np.searchsorted(self.values, at), self.first, last)
-        count, half = np.zeros(n, np.int64), s.width * self.scale
+        half, kind = s.width * self.scale, self.place.dtype
         while True:
-            a = np.maximum(np.searchsorted(self.values, at - half), self.first)
-            b = np.minimum(np.searchsorted(self.values, at + half, side="right"), last)
+            a = np.maximum(np.searchsorted(self.values, at - half), self.first) - self.first
+            b = np.minimum(np.searchsorted(self.values, at + half, side="right"), last) - self.first
             if half > self.reach:
-                a, b = self.first, last
-            # Virtual rehashing: only what the wider window adds on either side is counted.
-            new = [self.flat[i:j] for i, j in zip(a.tolist(), lo.tolist())] + [self.flat[i:j] for i, j in zip(hi.tolist(), b.tolist())]
-            count += np.bincount(np.concatenate(new), minlength=n)
-            lo, hi = a, b
-            hit = np.flatnonzero(count >= s.collisions)
+                a, b = np.zeros_like(a), np.full_like(b, n)
+            # Unsigned: places before the window wrap round to large numbers.
+            inside = (self.place - a.astype(kind)[:, None]) < (b - a).astype(kind)[:, None]
+            hit = np.flatnonzero(inside.sum(axis=0, dtype=np.int16) >= s.collisions)
             if len(hit) >= wanted or half > self.reach:
                 return hit
+            # Virtual rehashing: the same arrays serve for every wider window.
             half *= s.widen
 
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
