@@ -57,3 +57,31 @@ def conventional(df: DataFrame) -> DataFrame:
     """A person is a member of an organisation, not a part of it."""
     turn = (F.col("predicado") == "parte de") & (F.col("tipo_a") == "persona") & (F.col("tipo_b") == "organizacion")
     return df.withColumn("predicado", F.when(turn, "miembro de").otherwise(F.col("predicado")))
+
+
+def translate(df: DataFrame, table: DataFrame, fallback: str = "vínculo sin tipo") -> DataFrame:
+    """Predicates in another vocabulary, by (predicado, tipo_a, tipo_b) to (destino, invertir); others become the fallback."""
+    t = F.broadcast(table.withColumnRenamed("predicado", "_p"))
+    same = lambda c: F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c))
+    t = t.withColumnRenamed("tipo_a", "_tipo_a").withColumnRenamed("tipo_b", "_tipo_b")
+    j = df.join(t, (F.col("predicado") == F.col("_p")) & same("tipo_a") & same("tipo_b"), "left")
+    turn = F.coalesce("invertir", F.lit(False))
+    swap = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return j.withColumns(
+        {"predicado": F.coalesce("destino", F.lit(fallback)), "a": swap("a", "b"), "b": swap("b", "a"), "tipo_a": swap("tipo_a", "tipo_b"), "tipo_b": swap("tipo_b", "tipo_a")}
+    ).select(df.columns)
+
+
+def checked(df: DataFrame, predicates: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Relations read from a model's text, with the reason why each is refused (null: accepted)."""
+    p = F.broadcast(predicates.select(F.col("predicado").alias("_p"), "desde", "hasta"))
+    j = df.join(p, F.col("predicado") == F.col("_p"), "left")
+    fits = lambda kinds, t: (F.size(kinds) == 0) | F.array_contains(kinds, F.col(t))
+    reason = (
+        F.when(F.col("a").isNull() | F.col("b").isNull(), "extremo vacío")
+        .when(F.col("a") == F.col("b"), "consigo mismo")
+        .when(F.col("_p").isNull(), "predicado desconocido")
+        .when(~F.col("tipo_a").isin(*types) | ~F.col("tipo_b").isin(*types), "tipo desconocido")
+        .when(~(fits("desde", "tipo_a") & fits("hasta", "tipo_b")), "tipos no admitidos")
+    )
+    return j.withColumn("motivo", reason).drop("_p", "desde", "hasta")

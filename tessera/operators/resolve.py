@@ -129,3 +129,40 @@ def declared_aliases(marks: DataFrame) -> DataFrame:
 
 def progress(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count_if(F.col("decision") != "posponer").alias("decididas"), F.count_if(F.col("decision") == "posponer").alias("pospuestas"))
+
+
+# Weight of each source of a decision.
+SOURCE_WEIGHTS = {"persona": 3, "quien-ai": 2, "regla": 2, "juez": 1}
+
+
+def identities(decisions: DataFrame) -> DataFrame:
+    """Names that decisions make one, per type: canonical name, forms, and whether a decision of distinct contradicts it.
+
+    Where sources disagree on a pair the heaviest decides.
+    """
+    weight = F.create_map(*(x for k, v in SOURCE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))))
+    best = decisions.groupBy("tipo", "a", "b").agg(F.max_by("decision", F.struct(F.coalesce(weight[F.col("fuente")], F.lit(0)), "decision")).alias("decision"))
+    tag = lambda c: F.concat("tipo", F.lit("\u0001"), c)
+    same = best.where("decision = 'misma'").select(tag("a").alias("a"), tag("b").alias("b"))
+    named = canonical_names(same)
+    part = lambda c, i: F.split(c, "\u0001")[i]
+    apart = best.where("decision = 'distinta'").select(tag("a").alias("x"), tag("b").alias("y"))
+    clash = apart.join(named.select(F.col("nombre").alias("x"), F.col("canonico").alias("cx")), "x").join(named.select(F.col("nombre").alias("y"), F.col("canonico").alias("cy")), "y").where("cx = cy")
+    clash = clash.select(F.col("cx").alias("canonico")).distinct().withColumn("_c", F.lit(True))
+    forms = named.groupBy("canonico").agg(F.array_join(F.array_sort(F.collect_set(part("nombre", 1))), "|").alias("formas"))
+    return forms.join(clash, "canonico", "left").select(part("canonico", 0).alias("tipo"), part("canonico", 1).alias("canonico"), "formas", F.coalesce("_c", F.lit(False)).alias("conflicto"))
+
+
+def apply_identities(found: DataFrame, base: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """Cases that a base of identities settles: both names among the forms of one entry (tipo, formas array)."""
+    f = base.withColumn("_id", F.monotonically_increasing_id()).select("_id", "tipo", F.explode("formas").alias("forma"))
+    side = lambda c: f.select("tipo", "_id", fold(F.col("forma")).alias(f"_f{c}"))
+    j = found.withColumns({"_fa": fold(F.col("a")), "_fb": fold(F.col("b"))}).join(side("a"), ["tipo", "_fa"]).join(side("b"), ["tipo", "_id", "_fb"])
+    return j.select("tipo", "a", "b").distinct().withColumns({"decision": F.lit("misma"), "confianza": F.lit(confidence), "fuente": F.lit("identidades")})
+
+
+def judged(verdicts: DataFrame) -> DataFrame:
+    """Decisions from a judge's verdicts: sure pairs by rule, unsure verdicts postponed."""
+    sure = (F.col("confianza") >= 0.99) | F.col("mismo_cargo")
+    d = F.when(sure, "misma").when(F.col("veredicto") < 0.75, "posponer").otherwise(F.col("decision"))
+    return verdicts.withColumns({"decision": d, "fuente": F.when(sure, "regla").otherwise("juez")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, predicates
-from tessera.operators import calibrate, evaluate, graph, profile, relations, resolve, sampling, scope, sinks, spans
+from tessera.operators import calibrate, evaluate, graph, marking, profile, relations, resolve, review, sampling, scope, sinks, spans
 from tessera.plans.stand_ins import load, with_views
 from tessera.sources import windows
 from tessera.streaming import sessions
@@ -732,3 +732,120 @@ def _(s, t):
 @query("session_windows")
 def _(s, t):
     return sessions.session_stream(t("events"), "6 hours")
+
+
+# Review and marking ----------------------------------------------------------------------------------------------
+
+
+@query("batch_list", "SELECT CAST(b AS BIGINT) AS lote_id, count(*) AS articulos, count(*) FILTER (calibra) AS calibracion, count(*) FILTER (extraido) AS extraidos FROM (SELECT *, wp_id % 5 AS b FROM batch) AS x GROUP BY 1 UNION ALL SELECT 99, 0, 0, 0")
+def _(s, t):
+    b = t("batch").withColumn("lote_id", F.col("wp_id") % 5)
+    lots = s.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 99)], "lote_id long")
+    return review.batch_list(lots, b, b.where("extraido"))
+
+
+@query("progress_and_eta", "SELECT hechos, total, round((total - hechos) * (SELECT avg(o_totalprice) FROM orders) / 1000, 3) AS segundos FROM (SELECT count(*) FILTER (wp_id IN (SELECT wp_id FROM marks)) AS hechos, count(*) AS total FROM batch) AS p")
+def _(s, t):
+    return review.eta(review.progress(t("batch"), t("marks")), t("orders").select(F.col("o_totalprice").alias("ms")))
+
+
+@query("unextracted_with_body", "SELECT wp_id FROM batch WHERE wp_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '') AND wp_id NOT IN (SELECT wp_id FROM proposals)")
+def _(s, t):
+    return review.with_body_unextracted(t("batch"), t("documents").select(F.col("doc_id").alias("wp_id"), F.col("text").alias("texto")), t("proposals")).select("wp_id")
+
+
+@query("ids_without_body", "SELECT wp_id, CAST(wp_id * 7 % 1000 AS BIGINT) AS orden FROM batch WHERE wp_id NOT IN (SELECT doc_id FROM documents)")
+def _(s, t):
+    wanted = t("batch").select("wp_id", (F.col("wp_id") * 7 % 1000).alias("orden"))
+    return review.without_body(wanted, t("documents").select(F.col("doc_id").alias("wp_id"), F.col("text").alias("texto")))
+
+
+@query("doubtful_times", "SELECT wp_id, CAST(o_totalprice / 100 AS DOUBLE) AS segundos, title FROM census JOIN orders ON wp_id = o_orderkey WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AND (o_totalprice / 100 < 20 OR o_totalprice / 100 > 1800)")
+def _(s, t):
+    times = t("orders").select(F.col("o_orderkey").alias("wp_id"), (F.col("o_totalprice") / 100).alias("segundos"), (F.col("o_orderkey") % 2 == 0).alias("cerrado"), (F.col("o_orderkey") % 5 != 0).alias("valido"))
+    return review.doubtful_times(times, t("census"))
+
+
+@query("gate_open", "SELECT (SELECT count(*) FROM census WHERE NOT date_valid) = 0 AS abierta")
+def _(s, t):
+    f = profile.findings(t("census"), t("bridge"), t("probe"))
+    return review.gate_open(f, s.createDataFrame([("duplicados",)], "hallazgo string"))
+
+
+@query("latest_reviews", "SELECT wp_id, lote_id FROM (SELECT DISTINCT wp_id, CAST(mid % 3 AS BIGINT) AS lote_id, mid % 7 <> 0 AS valido FROM marks) AS r WHERE valido AND lote_id = (SELECT max(x.mid % 3) FROM marks AS x WHERE x.wp_id = r.wp_id AND x.mid % 7 <> 0)")
+def _(s, t):
+    r = t("marks").select("wp_id", (F.col("mid") % 3).alias("lote_id"), (F.col("mid") % 7 != 0).alias("valido")).distinct()
+    return review.latest_reviews(r).select("wp_id", "lote_id")
+
+
+@query("next_open_article", "SELECT c.wp_id, c.date FROM census AS c JOIN batch AS b ON b.wp_id = c.wp_id WHERE c.wp_id NOT IN (SELECT wp_id FROM marks) ORDER BY c.date, c.wp_id LIMIT 1")
+def _(s, t):
+    return review.next_open(t("batch"), t("census"), t("marks"))
+
+
+@query("article_status", "SELECT b.wp_id, count(m.mid) AS menciones, count(DISTINCT m.pi) AS parrafos, b.extraido AS cerrado FROM batch AS b LEFT JOIN marks AS m ON m.wp_id = b.wp_id GROUP BY b.wp_id, b.extraido")
+def _(s, t):
+    return review.article_status(t("batch"), t("marks"), t("batch").where("extraido"))
+
+
+@query("bench_summary", "WITH r AS (SELECT n_chars / 100 AS seg, round((n_chars / 100) * 1000 / (doc_id % 50 + 20), 4) AS m FROM documents) SELECT (SELECT round(sum(seg), 4) FROM r) AS total, (SELECT count(*) FROM r) AS articulos, (SELECT m FROM r ORDER BY m LIMIT 1 OFFSET (SELECT CAST(round((count(*) - 1) * 0.5) AS BIGINT) FROM r)) AS mediana")
+def _(s, t):
+    return review.bench_summary(t("documents").select((F.col("n_chars") / 100).alias("segundos"), (F.col("doc_id") % 50 + 20).alias("palabras")))
+
+
+@query("most_recent_used", "SELECT user_id, event_type, max(event_id) AS usado FROM events GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10")
+def _(s, t):
+    return review.most_recent(t("events").withColumnRenamed("event_id", "usado"), ["user_id", "event_type"], 10)
+
+
+@query("names_with_types", "SELECT texto, string_agg(tipo, ',' ORDER BY tipo) AS tipos FROM (SELECT texto, tipo FROM marks UNION SELECT texto, tipo FROM proposals) AS u GROUP BY 1")
+def _(s, t):
+    return review.names_with_types(t("marks"), t("proposals"))
+
+
+@query("relative_ages", "SELECT event_id, CASE WHEN event_id * 37 < 60 THEN 'ahora' WHEN event_id * 37 < 3600 THEN concat(CAST(event_id * 37 // 60 AS STRING), ' min') WHEN event_id * 37 < 86400 THEN concat(CAST(event_id * 37 // 3600 AS STRING), ' h') ELSE concat(CAST(event_id * 37 // 86400 AS STRING), ' d') END AS edad, least(30.0, power(2.0, event_id % 8)) AS espera FROM events")
+def _(s, t):
+    return t("events").select("event_id", review.relative_age(F.col("event_id") * 37).alias("edad"), review.reconnect_delay(F.col("event_id") % 8).alias("espera"))
+
+
+@query("export_digest")
+def _(s, t):
+    return review.export_digest(t("marks"), ["wp_id", "mid", "texto", "tipo"])
+
+
+def _lines(t):
+    return spans.paragraphs(t("documents").withColumnRenamed("doc_id", "wp_id"), key="wp_id", sep="\n")
+
+
+@query("occurrences", "SELECT wp_id, pi, w.texto AS texto, count(*) AS n FROM (SELECT doc_id AS wp_id, CAST(i - 1 AS INTEGER) AS pi, p[i] AS x FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda z: trim(z) <> '') AS p FROM documents) AS d, unnest(generate_series(1, len(p))) AS g(i)) AS q, (VALUES ('the'), ('und'), ('license')) AS w(texto), unnest(regexp_extract_all(regexp_replace(concat(' ', translate(lower(q.x), 'áàäâéèëêíìïîóòöôúùüû', 'aaaaeeeeiiiioooouuuu'), ' '), '[^\\p{L}\\p{N}_]+', '  ', 'g'), concat(' ', w.texto, ' '))) AS h(m) GROUP BY 1, 2, 3")
+def _(s, t):
+    words = s.createDataFrame([("the", "t"), ("und", "t"), ("license", "t")], "texto string, tipo string")
+    found = marking.occurrences(_lines(t), words)
+    return found.groupBy("wp_id", "pi", F.translate(F.lower("texto"), T.UI_FROM, T.UI_TO).alias("texto")).agg(F.count("*").alias("n"))
+
+
+@query("apply_lexicon")
+def _(s, t):
+    lex = s.createDataFrame([("general public license", "ley", False), ("license", "ley", False), ("the", "x", True)], "texto string, tipo string, ambiguo boolean")
+    return marking.apply_lexicon(_lines(t), lex)
+
+
+@query("rule_annotations")
+def _(s, t):
+    return marking.annotate(_lines(t), marking.capitalised_names)
+
+
+@query("sentence_chunks")
+def _(s, t):
+    return t("documents").select("doc_id", F.posexplode(marking.chunks(F.col("text"), 1200)).alias("n", "trozo"))
+
+
+@query("token_offsets")
+def _(s, t):
+    return t("documents").select("doc_id", F.size(marking.tokens(F.col("text"))).cast("long").alias("fichas"))
+
+
+@query("usable_paragraphs", "SELECT doc_id, CAST(sum(CASE WHEN n BETWEEN 40 AND 200 THEN 1 ELSE 0 END) AS BIGINT) AS utiles FROM (SELECT doc_id, p, len(regexp_extract_all(p, '\\S+')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) AS x WHERE trim(p) <> '') AS y GROUP BY 1")
+def _(s, t):
+    p = spans.paragraphs(t("documents"), sep="\n")
+    return p.groupBy("doc_id").agg(F.count_if(marking.usable_paragraph(F.col("parrafo"))).alias("utiles"))
