@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ui_fold
+from tessera.operators.components import connected_components
 from tessera.operators.sinks import _newest
 
 #: Types whose marks are not carried to other occurrences of the same text.
@@ -110,3 +111,37 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", sep: st
     """(key, pi, parrafo): the non-blank paragraphs of a text, numbered from 0."""
     parts = F.filter(F.split(text, sep), lambda p: F.trim(p) != "")
     return docs.select(key, F.posexplode(parts).alias("pi", "parrafo"))
+
+
+def join_aliases(marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Marks after pairs (wp_id, a, b) of them were declared one: old groups and marks of the same form go along.
+
+    Marks, their groups and their folded forms are nodes of one graph; a component that a declared pair touches is a group,
+    named by its smallest node.
+    """
+    m = marks.withColumn("_m", F.concat_ws("\u0001", "wp_id", F.lit("m"), F.format_string("%020d", "mid")))
+    form = F.concat_ws("\u0001", "wp_id", F.lit("f"), "tipo", ui_fold(F.col("texto")))
+    group = F.concat_ws("\u0001", "wp_id", F.lit("g"), "grupo")
+    node = lambda c: F.concat_ws("\u0001", "wp_id", F.lit("m"), F.format_string("%020d", c))
+    declared = pairs.select(node("a").alias("u"), node("b").alias("v"))
+    edges = declared.union(m.where(F.col("grupo").isNotNull()).select("_m", group)).union(m.select("_m", form))
+    labels = connected_components(edges)
+    touched = labels.join(declared.select(F.col("u").alias("node")), "node", "left_semi").select("root").distinct()
+    names = labels.join(touched, "root", "left_semi").select(F.col("node").alias("_m"), F.col("root").alias("_g"))
+    return m.join(names, "_m", "left").withColumn("grupo", F.coalesce(F.regexp_replace("_g", "\u0001", ":"), "grupo")).select(marks.columns)
+
+
+def segments(paragraphs: DataFrame, marks: DataFrame, key: str = "wp_id") -> DataFrame:
+    """Each paragraph cut at its marks' ends, in order: (key, pi, n, texto, marcas), texts together being the paragraph.
+
+    marcas lists the marks around a piece from the outermost in, which is the nesting of a paragraph's tree.
+    """
+    m = marks.groupBy(key, "pi").agg(F.array_sort(F.collect_list(F.struct("ini", (-F.col("fin")).alias("f"), "mid"))).alias("ms"))
+    j = paragraphs.join(m, [key, "pi"], "left")
+    size = F.length("parrafo")
+    ends = F.concat(F.array(F.lit(0), size), F.coalesce(F.transform("ms", lambda x: x["ini"]), F.array().cast("array<int>")), F.coalesce(F.transform("ms", lambda x: -x["f"]), F.array().cast("array<int>")))
+    cuts = F.filter(F.array_sort(F.array_distinct(ends)), lambda c: (c >= 0) & (c <= size))
+    rows = j.withColumn("_c", cuts).select(key, "pi", "parrafo", "ms", "_c", F.posexplode(F.slice("_c", 1, F.greatest(F.size("_c") - 1, F.lit(0)))).alias("n", "_a"))
+    rows = rows.withColumn("_b", F.element_at("_c", F.col("n") + 2))
+    around = F.array_join(F.transform(F.filter(F.coalesce("ms", F.array().cast("array<struct<ini:int,f:int,mid:bigint>>")), lambda x: (x["ini"] <= F.col("_a")) & (-x["f"] >= F.col("_b"))), lambda x: x["mid"].cast("string")), ",")
+    return rows.select(key, "pi", "n", F.expr("substring(parrafo, _a + 1, _b - _a)").alias("texto"), around.alias("marcas"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, predicates
-from tessera.operators import calibrate, evaluate, graph, marking, profile, relations, resolve, review, sampling, scope, sinks, spans
+from tessera.operators import alignment, calibrate, evaluate, graph, marking, profile, relations, resolve, review, sampling, scope, sinks, spans
 from tessera.plans.stand_ins import load, with_views
 from tessera.sources import windows
 from tessera.streaming import sessions
@@ -849,3 +849,28 @@ def _(s, t):
 def _(s, t):
     p = spans.paragraphs(t("documents"), sep="\n")
     return p.groupBy("doc_id").agg(F.count_if(marking.usable_paragraph(F.col("parrafo"))).alias("utiles"))
+
+
+# Alignment -------------------------------------------------------------------------------------------------------
+
+_QUOTE = "SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE substr(x, 1, 60) END AS cita, page_id AS wp_id, x FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS x FROM pages) AS p"
+
+
+@query("locate_quotes", f"SELECT id, CAST(0 AS INTEGER) AS pi FROM ({_QUOTE}) AS q WHERE length(trim(cita)) >= 20 AND contains(x, trim(cita))")
+def _(s, t):
+    x = t("pages").select(F.col("page_id").alias("wp_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("parrafo"))
+    quotes = x.select(F.col("wp_id").alias("id"), "wp_id", F.when(F.col("wp_id") % 5 != 0, F.substring("parrafo", 1, 60)).alias("cita"))
+    return alignment.locate_quotes(quotes, x.withColumn("pi", F.lit(0))).select("id", "pi")
+
+
+@query("align_by_url", "SELECT p.page_id AS id, q.page_id AS wp_id FROM pages AS p JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1) AS q ON p.url = q.url")
+def _(s, t):
+    p = t("pages")
+    rows = p.select(F.col("page_id").alias("id"), F.concat(F.regexp_replace("url", "^https?://", "http://"), F.lit("/")).alias("url"))
+    return alignment.by_url(rows, p.select(F.col("page_id").alias("wp_id"), F.col("url").alias("link"))).select("id", "wp_id")
+
+
+@query("hint_recall", "WITH h AS (SELECT DISTINCT wp_id, least(a, b) AS x, greatest(a, b) AS y FROM relations), r AS (SELECT DISTINCT wp_id, least(a, b) AS x, greatest(a, b) AS y FROM relations WHERE score >= 0.5) SELECT (SELECT count(*) FROM h) AS pistas, (SELECT count(*) FROM r) AS confirmadas")
+def _(s, t):
+    r = t("relations").withColumn("pi", F.lit(0))
+    return alignment.hint_recall(r, r.where("score >= 0.5").select("wp_id", "pi", F.col("b").alias("a"), F.col("a").alias("b")))

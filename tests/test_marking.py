@@ -81,3 +81,42 @@ def test_identities_report_conflicts(spark):
     found = spark.createDataFrame([("p", "Ana", "ANA R"), ("p", "Ana", "Luz")], "tipo string, a string, b string")
     base = spark.createDataFrame([("p", ["ana", "Ana R."])], "tipo string, formas array<string>")
     assert [(r.a, r.b, r.fuente) for r in resolve.apply_identities(found, base).collect()] == [("Ana", "ANA R", "identidades")]
+
+
+def test_alignment_outcomes(spark):
+    from tessera.operators import alignment
+
+    census = spark.createDataFrame([(1, "https://www.x.org/a")], "wp_id long, link string")
+    p = spark.createDataFrame([(1, 0, "otro"), (1, 1, "Ana Ruiz dirige la casa de la moneda desde enero")], P)
+    q = "dirige la casa de la moneda"
+    rows = [(1, "http://x.org/a/", q, "Ana Ruiz", "casa"), (2, "http://x.org/a", None, "a", "b"), (3, "http://y.org", q, "a", "b"), (4, "x", "nada de esto está en el texto", "a", "b"), (5, "http://x.org/a", q, "Luz", "casa"), (6, "http://x.org/a", q, "casa", "Casa")]
+    df = spark.createDataFrame(rows, "id long, url string, cita string, a string, b string")
+    got = {r.id: r.motivo for r in alignment.outcomes(df, census, p).collect()}
+    assert got == {1: "alineada", 2: "sin cita", 3: "sin artículo", 4: "sin artículo", 5: "extremo no hallado", 6: "mismo tramo"}
+    assert {r.motivo: r.n for r in alignment.tally(alignment.outcomes(df, census, p)).collect()}["sin artículo"] == 2
+
+
+def test_unicode_folds(spark):
+    from tessera.functions import unicode_folds as U
+
+    df = spark.createDataFrame([("  “Ñandú”  ﬁn, Çà ",), (None,)], "x string")
+    rows = df.select(U.alignment_fold(F.col("x")), U.accents_off(F.col("x")), U.alias_fold(F.col("x"))).collect()
+    assert tuple(rows[0]) == ('"nandu" fin, ca', "  “nandu”  ﬁn, ca ", "nandu ﬁn ca") and tuple(rows[1]) == (None, None, None)
+
+
+def test_segments_rebuild_the_paragraph(spark):
+    from tessera.operators import spans
+
+    p = spark.createDataFrame([(1, 0, "el ministro de Paz habló"), (1, 1, "nada")], P)
+    m = spark.createDataFrame([(1, 0, 3, 18, 7), (1, 0, 15, 18, 8)], "wp_id long, pi int, ini int, fin int, mid long")
+    rows = sorted((r.pi, r.n, r.texto, r.marcas) for r in spans.segments(p, m).collect())
+    assert rows == [(0, 0, "el ", ""), (0, 1, "ministro de ", "7"), (0, 2, "Paz", "7,8"), (0, 3, " habló", ""), (1, 0, "nada", "")]
+
+
+def test_declared_aliases_drag_forms_and_groups(spark):
+    from tessera.operators import spans
+
+    s = "wp_id long, mid long, tipo string, texto string, grupo string"
+    m = spark.createDataFrame([(1, 1, "p", "Ana", None), (1, 2, "p", "ANA", None), (1, 3, "p", "Luz", "g"), (1, 4, "p", "Sol", "g"), (1, 5, "p", "Mar", "h"), (2, 1, "p", "Ana", None)], s)
+    got = {(r.wp_id, r.mid): r.grupo for r in spans.join_aliases(m, spark.createDataFrame([(1, 1, 3)], "wp_id long, a long, b long")).collect()}
+    assert len({got[(1, i)] for i in (1, 2, 3, 4)}) == 1 and got[(1, 1)] and got[(1, 5)] == "h" and got[(2, 1)] is None
