@@ -122,8 +122,13 @@ class Scorer:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def train(texts: list[str | None], y: np.ndarray, s: Settings) -> Network:
-    """Adam on the cross-entropy of whole texts: of each text the gradient flows to the places that gave its maxima."""
+def train(texts: list[str | None], y: np.ndarray, s: Settings, weight: np.ndarray | None = None) -> Network:
+    """Adam on the cross-entropy of whole texts: of each text the gradient flows to the places that gave its maxima.
+
+    A text counts by its weight, in the first bias too, so a sample with dealt classes gives the odds of the rows it stands for.
+    """
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+    share = float(np.average(y, weights=weight))
     rng, hasher = np.random.default_rng(s.seed), Hasher(s.buckets)
     docs = [hasher(t).astype(np.int32) for t in texts]
     hasher.known = {}
@@ -131,7 +136,7 @@ def train(texts: list[str | None], y: np.ndarray, s: Settings) -> Network:
     net.convs = [rng.normal(0, 1 / np.sqrt(w * s.dim), (w * s.dim, s.filters)).astype(np.float32) for w in s.widths]
     net.biases = [np.full(s.filters, 0.05, np.float32) for _ in s.widths]
     net.out = np.abs(rng.normal(0.5, 0.1, s.filters * len(s.widths))).astype(np.float32) * np.where(np.arange(s.filters * len(s.widths)) % 3 == 2, -1, 1)
-    net.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    net.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     dense = [*net.convs, *net.biases, net.out]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in dense]
     square = np.zeros(s.buckets, np.float32)
@@ -159,7 +164,7 @@ def train(texts: list[str | None], y: np.ndarray, s: Settings) -> Network:
                     feats.append(best)
                     spots.append(spot)
                 f = np.concatenate(feats)
-                g = 1 / (1 + np.exp(-np.clip(f @ net.out + net.bias, -30, 30))) - y[i]
+                g = weight[i] * (1 / (1 + np.exp(-np.clip(f @ net.out + net.bias, -30, 30))) - y[i])
                 grads[2 * k] += g * f
                 gb += g
                 for q, w in enumerate(s.widths):
@@ -190,27 +195,27 @@ def train(texts: list[str | None], y: np.ndarray, s: Settings) -> Network:
     return net
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, lang: np.ndarray, least: int = 50) -> dict:
-    """For each language the cut-off with the best F1 on the labelled rows (key None: all languages together).
+def calibrate(scores: np.ndarray, y: np.ndarray, lang: np.ndarray, weight: np.ndarray, least: int = 50) -> dict:
+    """For each language the cut-off with the best F1 on the labelled rows (key None: all languages together), rows counted by weight.
 
     The cut-off is the middle of the gap between neighbouring scores, kept within 0.35 to 0.65 so that few noisy rows cannot
     reject a whole language; languages of fewer than `least` rows use the common one.
     """
 
-    def best(s: np.ndarray, t: np.ndarray) -> float:
+    def best(s: np.ndarray, t: np.ndarray, w: np.ndarray) -> float:
         order = np.argsort(-s, kind="stable")
-        s, t = s[order], t[order]
-        tp = np.cumsum(t)
-        f1 = 2 * tp / (np.arange(1, len(t) + 1) + max(t.sum(), 1))
+        s, t, w = s[order], t[order], w[order]
+        tp = np.cumsum(t * w)
+        f1 = 2 * tp / (np.cumsum(w) + tp[-1])
         f1[:-1][s[:-1] == s[1:]] = -1
         i = int(np.argmax(f1))
         return float(np.clip((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2, 0.35, 0.65))
 
-    found = {None: best(scores, y) if y.sum() else 0.5}
+    found = {None: best(scores, y, weight) if y.sum() else 0.5}
     for x in {v for v in lang if v is not None}:
         mine = lang == x
         if mine.sum() >= least and y[mine].sum():
-            found[x] = best(scores[mine], y[mine])
+            found[x] = best(scores[mine], y[mine], weight[mine])
     return found
 
 
@@ -223,10 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     rows = training_rows(docs, labels, label, s.most_rows, key, text, (F.col(lang).alias("lang"),)).orderBy(F.xxhash64("k", "text"), "k").toPandas()
     y = rows["y"].to_numpy(np.float32)
     apart = np.arange(len(rows)) % 10 == 9
-    net = train(rows["text"][~apart].tolist(), y[~apart], s) if len(rows) else train([""], np.zeros(1, np.float32), s)
+    w = rows["w"].to_numpy(float)
+    net = train(rows["text"][~apart].tolist(), y[~apart], s, w[~apart]) if len(rows) else train([""], np.zeros(1, np.float32), s)
     scorer = Scorer(net)
     scores = np.array([scorer(t) for t in rows["text"][apart]])
-    net.thresholds = calibrate(scores, y[apart], rows["lang"][apart].to_numpy(object)) if apart.any() else {None: 0.5}
+    net.thresholds = calibrate(scores, y[apart], rows["lang"][apart].to_numpy(object), w[apart]) if apart.any() else {None: 0.5}
     return net
 
 
