@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.base import materialize
 from tessera.llm.labelled import held_out, training_rows
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -71,7 +72,8 @@ class Network:
     biases: list = field(default_factory=list)
     out: np.ndarray = None
     bias: float = 0.0
-    thresholds: dict = field(default_factory=dict)
+    #: Keys of the documents trained on.
+    seen: set = field(default_factory=set)
 
 
 class Scorer:
@@ -195,47 +197,77 @@ def train(texts: list[str | None], y: np.ndarray, s: Settings, weight: np.ndarra
     return net
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, lang: np.ndarray, weight: np.ndarray, least: int = 50) -> dict:
-    """For each language the cut-off with the best F1 on the labelled rows (key None: all languages together), rows counted by weight.
+#: Steps of log-odds in which labelled rows are counted for the cut-offs.
+STEP = 0.05
 
-    The cut-off is the middle of the gap between neighbouring scores, kept within 0.35 to 0.65 so that few noisy rows cannot
-    reject a whole language; languages of fewer than `least` rows use the common one.
+
+def calibrate(steps: np.ndarray, y: np.ndarray, lang: np.ndarray, rows: np.ndarray, weight: np.ndarray, least: int = 50) -> dict:
+    """For each language the cut-off with the best F1 (key None: all languages together).
+
+    The labelled rows come as counts: `rows` of language `lang` and label `y` have log-odds from steps * STEP to (steps + 1) * STEP
+    and count `weight` each. The cut-off is the middle of the gap between neighbouring steps that hold rows; languages of
+    fewer than `least` rows, or without toxic ones, use the common one.
     """
 
-    def best(s: np.ndarray, t: np.ndarray, w: np.ndarray) -> float:
-        order = np.argsort(-s, kind="stable")
-        s, t, w = s[order], t[order], w[order]
-        tp = np.cumsum(t * w)
-        f1 = 2 * tp / (np.cumsum(w) + tp[-1])
-        f1[:-1][s[:-1] == s[1:]] = -1
+    def chance(z: float) -> float:
+        return float(1 / (1 + np.exp(-z)))
+
+    def best(at: np.ndarray) -> float:
+        # Steps from the highest, each once.
+        b, inv = np.unique(-steps[at], return_inverse=True)
+        n = np.bincount(inv, rows[at] * weight[at])
+        tp = np.cumsum(np.bincount(inv, rows[at] * weight[at] * y[at]))
+        f1 = 2 * tp / (np.cumsum(n) + tp[-1])
         i = int(np.argmax(f1))
-        return float(np.clip((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2, 0.35, 0.65))
+        return (chance(-b[i] * STEP) + (chance((1 - b[i + 1]) * STEP) if i + 1 < len(b) else 0.0)) / 2
 
-    found = {None: best(scores, y, weight) if y.sum() else 0.5}
+    found = {None: best(np.ones(len(y), bool)) if y.sum() else 0.5}
     for x in {v for v in lang if v is not None}:
         mine = lang == x
-        if mine.sum() >= least and y[mine].sum():
-            found[x] = best(scores[mine], y[mine], weight[mine])
+        if rows[mine].sum() >= least and y[mine].sum():
+            found[x] = best(mine)
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> Network:
     """Trains on a bounded sample of labelled rows (Settings.most_rows) outside the held-out fold; texts are read whole.
 
-    A tenth of that sample, unseen by training, calibrates the cut-offs per language. The language is no input of a score.
+    A fifth of that sample is left to calibrated(). No language is read.
     """
     s = settings or Settings()
-    rows = training_rows(docs, labels, label, s.most_rows, key, text, (F.col(lang).alias("lang"),)).orderBy(F.xxhash64("k", "text"), "k").toPandas()
-    y = rows["y"].to_numpy(np.float32)
-    apart = np.arange(len(rows)) % 10 == 9
-    w = rows["w"].to_numpy(float)
-    net = train(rows["text"][~apart].tolist(), y[~apart], s, w[~apart]) if len(rows) else train([""], np.zeros(1, np.float32), s)
-    scorer = Scorer(net)
-    scores = np.array([scorer(t) for t in rows["text"][apart]])
-    net.thresholds = calibrate(scores, y[apart], rows["lang"][apart].to_numpy(object), w[apart]) if apart.any() else {None: 0.5}
+    rows = training_rows(docs, labels, label, s.most_rows, key, text, (_apart(F.col(key)).alias("apart"),)).where("not apart")
+    rows = rows.orderBy(F.xxhash64("k", "text"), "k").toPandas()
+    if not len(rows):
+        return train([""], np.zeros(1, np.float32), s)
+    net = train(rows["text"].tolist(), rows["y"].to_numpy(np.float32), s, rows["w"].to_numpy(float))
+    net.seen = set(rows["k"].tolist())
     return net
 
 
+def _apart(key: Column) -> Column:
+    """A fifth of all keys, on which nothing is trained."""
+    return F.pmod(F.xxhash64(F.lit(9), key), F.lit(5)) == 0
+
+
+def calibrated(scored: DataFrame, labels: DataFrame, net: Network, label: str, key: str, lang: str) -> dict:
+    """Cut-offs from all labelled rows outside the held-out fold and not trained on; `scored` has key, language and _score.
+
+    A class of which training took a larger part counts by as much more. Only counts by language and step of score are collected.
+    """
+    s = scored.sparkSession
+    truth = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out("k"))
+    seen = s.createDataFrame([(k,) for k in net.seen], truth.select("k").schema).withColumn("seen", F.lit(True))
+    step = F.floor(F.ln(F.col("_score") / (1 - F.col("_score"))) / STEP)
+    rows = scored.select(F.col(key).alias("k"), F.col(lang).alias("lang"), step.alias("step")).join(truth, "k").join(F.broadcast(seen), "k", "left")
+    n = rows.groupBy("lang", "step", "y", F.col("seen").isNotNull().alias("seen")).agg(F.count("*").alias("n")).toPandas()
+    free = n[~n["seen"].astype(bool)]
+    if not len(free):
+        return {None: 0.5}
+    of = {y: n.loc[n["y"] == y, "n"].sum() / max(free.loc[free["y"] == y, "n"].sum(), 1) for y in (0, 1)}
+    y = free["y"].to_numpy(int)
+    return calibrate(free["step"].to_numpy(float), y, free["lang"].to_numpy(object), free["n"].to_numpy(float), np.where(y == 1, of[1], of[0]))
+
+
 def score(docs: DataFrame, net: Network, text: str = "text"):
     """A column with the score (0 to 1) of every whole text; null and empty texts get the score of no words."""
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -255,18 +287,21 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: floa
     One row per input row. Null and empty texts score like any text without known words; a null or unknown language uses the
     common cut-off; without usable labels all scores are equal. Other columns are ignored.
     """
-    net = fit(docs, labels, label, settings, key, text, lang)
-    cuts = F.lit(net.thresholds[None])
-    for x, c in sorted((k, v) for k, v in net.thresholds.items() if k is not None):
-        cuts = F.when(F.col("_lang") == x, F.lit(c)).otherwise(cuts)
-    rows = docs.select(F.col(key).alias(key), F.col(lang).alias("_lang"), score(docs, net, text).alias("score"))
-    return rows.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), (F.col("score") >= cuts).alias("rejected"))
+    net = fit(docs, labels, label, settings, key, text)
+    scored = materialize(docs.select(F.col(key).alias(key), F.col(lang).alias("_lang"), score(docs, net, text).alias("_score")))
+    cuts = _cuts(calibrated(scored, labels, net, label, key, "_lang"), "_lang")
+    return scored.select(key, held_out(key).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= cut).cast("int").alias("predicted"), (F.col("_score") >= cuts).alias("rejected"))
+
+
+def _cuts(thresholds: dict, lang: str) -> Column:
+    cuts = F.lit(thresholds[None])
+    for x, c in sorted((k, v) for k, v in thresholds.items() if k is not None):
+        cuts = F.when(F.col(lang) == x, F.lit(c)).otherwise(cuts)
+    return cuts
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents, all columns, whose score stays under the cut-off of their language."""
-    net = fit(docs, labels, label, settings, key, text, lang)
-    cuts = F.lit(net.thresholds[None])
-    for x, c in sorted((k, v) for k, v in net.thresholds.items() if k is not None):
-        cuts = F.when(F.col(lang) == x, F.lit(c)).otherwise(cuts)
-    return docs.where(score(docs, net, text) < cuts)
+    net = fit(docs, labels, label, settings, key, text)
+    scored = materialize(docs.withColumn("_score", score(docs, net, text)))
+    return scored.where(F.col("_score") < _cuts(calibrated(scored, labels, net, label, key, lang), lang)).drop("_score")
