@@ -58,8 +58,8 @@ def evidence(relations: DataFrame, census: DataFrame, paragraphs: DataFrame, a:
     return rows.where(F.col("texto").isNotNull()).orderBy(F.desc("date"), "wp_id", "pi").limit(k)
 
 
-def occupants(descriptions: DataFrame, holders: DataFrame, k: int = 5) -> DataFrame:
-    """For each unnamed post the k holders nearest in time: known years first, then by distance, then by name.
+def occupants(descriptions: DataFrame, holders: DataFrame, k: int | None = None) -> DataFrame:
+    """For each unnamed post all holders, or the first k, nearest in time first: known years first, then by distance, then by name.
 
     One entry per holder and year. Posts are compared in lower case.
     """
@@ -67,7 +67,8 @@ def occupants(descriptions: DataFrame, holders: DataFrame, k: int = 5) -> DataFr
     h = holders.select(F.lower("cargo").alias("post"), "nombre", F.col("anio").alias("h_anio")).distinct()
     gap = F.abs(F.col("anio") - F.col("h_anio"))
     w = Window.partitionBy("wp_id", "post").orderBy(gap.isNull(), gap, "nombre", "h_anio")
-    return d.join(h, "post").withColumn("puesto", F.row_number().over(w)).where(F.col("puesto") <= k).select("wp_id", "post", "puesto", "nombre", F.col("h_anio").alias("anio_titular"))
+    ranked = d.join(h, "post").withColumn("puesto", F.row_number().over(w))
+    return (ranked if k is None else ranked.where(F.col("puesto") <= k)).select("wp_id", "post", "puesto", "nombre", F.col("h_anio").alias("anio_titular"))
 
 
 def summary(marks: DataFrame, proposals: DataFrame, human: DataFrame, model: DataFrame) -> DataFrame:

@@ -666,7 +666,7 @@ def _(s, t):
     year = F.substring("date", 1, 4).cast("int")
     d = t("census").where("wp_id % 40 = 0").select("wp_id", F.col("section").alias("cargo"), year.alias("anio"))
     h = t("orders").where("o_orderkey % 9 = 0").select(F.col("o_orderpriority").alias("cargo"), F.concat(F.lit("C"), (F.col("o_custkey") % 12).cast("string")).alias("nombre"), F.year("o_orderdate").alias("anio"))
-    return graph.occupants(d, h)
+    return graph.occupants(d, h, 5)
 
 
 @query(
