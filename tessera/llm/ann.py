@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,28 +10,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.base import materialize
 
 
 @dataclass
 class Settings:
     #: Random projections, and in how many of them a vector must fall into the query's window to be verified.
     projections: int = 96
-    collisions: int = 72
-    #: Width of the first window in standard deviations of the projections; each round of virtual rehashing widens it.
-    width: float = 1.3
+    collisions: int = 67
+    #: Half width of the first window in standard deviations of the projections; each round of virtual rehashing widens it.
+    width: float = 0.5
     widen: float = 1.12
-    #: Rounds end when this share of a block has been verified (and twenty times k vectors).
-    verified: float = 0.2
+    #: Rounds end when this share of a block has been verified (and four times k vectors).
+    verified: float = 0.12
+    #: Rows that are indexed together, and bytes of query vectors that are broadcast together, at most.
     block_rows: int = 16384
-    query_rows: int = 2048
+    query_bytes: int = 32_000_000
     seed: int = 11
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector is not null or zero and has no null or non-finite component, as array<double>."""
-    v = F.col(vector).cast("array<double>")
+    """Rows whose vector is not null or zero and has no null or non-finite component, as array<double> `v`; `row` is the input row."""
+    row = F.struct(*(df[c] for c in df.columns)).alias("row")
+    v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.withColumn("_v", v).where(F.col("_v").isNotNull() & fine)
+    return df.select(row, F.col(vector).cast("array<double>").alias("v")).where(v.isNotNull() & fine)
 
 
 class Block:
@@ -38,46 +42,48 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float, s: Settings):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.s = ids[order], x[order], s
+        self.ids, self.x, self.s, self.norm = ids[order], x[order], s, norm
         d = x.shape[1]
         # Largest inner product as nearest point: one more coordinate lifts all vectors onto a sphere of the largest norm.
         lift = np.sqrt(np.maximum(norm**2 - (self.x**2).sum(axis=1), 0))
         self.directions = np.random.default_rng(s.seed).normal(size=(s.projections, d + 1)) / np.sqrt(d + 1)
         p = (self.x @ self.directions[:, :d].T + lift[:, None] * self.directions[:, d]).T
-        order = np.argsort(p, axis=1, kind="stable")
-        values = np.take_along_axis(p, order, axis=1)
-        # The place of each row in each sorted array: a window is a stretch of places, and holds a row if it holds its place.
-        self.place = np.empty(order.shape, np.uint16 if len(ids) <= 65535 else np.uint32)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
+        self.order = np.argsort(p, axis=1, kind="stable")
+        values = np.take_along_axis(p, self.order, axis=1)
+        self.order = self.order.ravel()
         self.scale = p.std(axis=1).mean() or 1.0
+        self.reach = 2 * float(np.abs(values).max()) + 4 * norm
         # All arrays in one, far enough apart that a single binary search finds its place in each of them.
-        self.apart = np.arange(s.projections) * (4 * float(np.abs(values).max()) + 8 * norm + 1)
+        self.apart = np.arange(s.projections) * (2 * self.reach + 1)
         self.values = (values + self.apart[:, None]).ravel()
         self.first = np.arange(s.projections) * len(ids)
-        self.reach = 2 * float(np.abs(values).max()) + 4 * norm
-        self.norm = norm
 
     def candidates(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide with the query often enough, after widening the windows around it until they are enough."""
+        """Rows that collide with the query often enough, after widening the windows around it until they are enough.
+
+        A window is a stretch of a sorted array. Each round counts only the rows that its wider windows take in at their two
+        ends, so over all rounds a row counts once for each array. When the windows hold all, every row collides.
+        """
         s, n = self.s, len(self.ids)
-        wanted = min(n, max(20 * k, int(s.verified * n)))
-        if wanted >= n:
-            return np.arange(n)
+        wanted = min(n, max(4 * k, int(s.verified * n)))
         at = self.directions[:, :-1] @ (q * (self.norm / np.linalg.norm(q))) + self.apart
         last = self.first + n
-        half, kind = s.width * self.scale, self.place.dtype
+        low = high = np.clip(np.searchsorted(self.values, at), self.first, last)
+        count, half = np.zeros(n, np.int64), s.width * self.scale
         while True:
-            a = np.maximum(np.searchsorted(self.values, at - half), self.first) - self.first
-            b = np.minimum(np.searchsorted(self.values, at + half, side="right"), last) - self.first
             if half > self.reach:
-                a, b = np.zeros_like(a), np.full_like(b, n)
-            # Unsigned: places before the window wrap round to large numbers.
-            inside = (self.place - a.astype(kind)[:, None]) < (b - a).astype(kind)[:, None]
-            hit = np.flatnonzero(inside.sum(axis=0, dtype=np.int16) >= s.collisions)
+                a, b = self.first, last
+            else:
+                a = np.clip(np.searchsorted(self.values, at - half), self.first, low)
+                b = np.clip(np.searchsorted(self.values, at + half, side="right"), high, last)
+            new = [self.order[i:j] for i, j in zip(a.tolist(), low.tolist()) if i < j] + [self.order[i:j] for i, j in zip(high.tolist(), b.tolist()) if i < j]
+            if new:
+                count += np.bincount(np.concatenate(new), minlength=n)
+            hit = np.flatnonzero(count >= s.collisions)
             if len(hit) >= wanted or half > self.reach:
                 return hit
             # Virtual rehashing: the same arrays serve for every wider window.
-            half *= s.widen
+            low, high, half = a, b, half * s.widen
 
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.candidates(q, k + 1)
@@ -100,39 +106,57 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def nearest(base: DataFrame, queries: DataFrame, k: int = 20, settings: Settings | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query its k nearest base rows by inner product: query_id, rank, vec_id, score; a row is never its own neighbour.
 
-    Base rows are dealt by a hash into blocks, queries into groups; each pair of a block and a group is one task, so all
-    rows are indexed and searched whatever their number, and memory is bounded by the block sizes. In a block, rows are
-    sorted by each of many random projections. A query opens a window around itself in every sorted array and widens them
-    all together; vectors that enter enough windows are verified by their exact inner product, without any cap. The
-    blocks' top k of a query then meet in one ranking. Score is in double precision on the original vectors; equal scores
-    go to the smaller vec_id. Rows with a null key or unusable vector (see usable) take no part, vectors of another
-    dimension than the most common one neither; rows with equal keys are one candidate each; other columns are ignored.
+    Base rows are dealt out evenly and written once; each task indexes `block_rows` of its rows at a time, so memory is
+    bounded whatever their number. Queries go out in broadcasts of at most `query_bytes`, as many as it takes, and meet every
+    block: no base vector is copied or shuffled for them. In a block, rows are sorted by each of many random projections. A query
+    opens a window around itself in every sorted array and widens them all together; vectors that enter enough
+    windows are verified by their exact inner product, without any cap. The blocks' top k of a query then meet in one
+    ranking. Score is in double precision on the original vectors; equal scores go to the smaller vec_id. Rows with a null
+    key or unusable vector (see usable) take no part; vectors are compared with those of their own dimension. Rows that agree
+    in key and vector are one; of several vectors under one key each is a candidate, and as queries they share one ranking.
+    An empty table on either side gives no rows; other columns are ignored.
     """
     s = settings or Settings()
-    base = usable(base, vector).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "_v")
-    queries = usable(queries, vector).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "_v")
-    size = base.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
-    top = size.orderBy(F.desc("n"), "d").limit(1).collect()
-    n, d, norm = (top[0]["n"], top[0]["d"], top[0]["norm"]) if top else (0, 0, 1.0)
-    base, queries = base.where(F.size("_v") == d), queries.where(F.size("_v") == d)
-    blocks = max(1, -(-n // s.block_rows))
-    groups = max(1, -(-queries.count() // s.query_rows))
-    spread = lambda df, own, others, n_own, n_others: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(n_others - 1))))
-    left = spread(base, "b", "g", blocks, groups).groupBy("b", "g")
-    right = spread(queries, "g", "b", groups, blocks).groupBy("b", "g")
-
-    def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(x) and len(q):
-            block = Block(x["id"].to_numpy(), np.stack(x["_v"].to_numpy()), norm, s)
-            for qid, v in zip(q["id"], q["_v"]):
-                ids, score = block.search(qid, np.asarray(v), k)
-                found.append((np.full(len(ids), qid), ids, score))
-        columns = ["query_id", "vec_id", "score"]
-        if not found:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(columns, ("int64", "int64", "float64"))})
-        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found)))))
-
-    pairs = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score double")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    spark = base.sparkSession
+    base = usable(base, vector).select(F.col("row")[key].cast("long").alias("id"), "v", F.size("v").alias("d")).where("id is not null").distinct()
+    queries = usable(queries, vector).select(F.col("row")[key].cast("long").alias("id"), "v", F.size("v").alias("d")).where("id is not null").distinct()
+    norms = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    kinds = {r["d"]: r for r in base.groupBy("d").agg(F.count("*").alias("n"), norms.alias("norm")).collect()}
+    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for d, q in sorted((r["d"], r["n"]) for r in queries.groupBy("d").agg(F.count("*").alias("n")).collect() if r["d"] in kinds):
+        n, norm = kinds[d]["n"], kinds[d]["norm"]
+        spread = max(-(-n // s.block_rows), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+        rows = materialize(base.where(F.col("d") == d).select("id", "v").repartition(spread))
+        groups = max(1, -(-q * d * 8 // s.query_bytes))
+        for g in range(groups):
+            some = queries.where((F.col("d") == d) & (F.pmod(F.xxhash64("id"), F.lit(groups)) == g)).select("id", "v").toPandas().sort_values("id", kind="stable")
+            if len(some):
+                held = spark.sparkContext.broadcast((some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(float)))
+                out = out.union(_search(rows, held, norm, k, s))
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, held, norm: float, k: int, s: Settings) -> DataFrame:
+    def answers(ids: list, vectors: list) -> pd.DataFrame:
+        block = Block(np.concatenate(ids), np.concatenate(vectors), norm, s)
+        found = [(qid, *block.search(qid, q, k)) for qid, q in zip(*held.value)]
+        return pd.DataFrame(
+            {"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}
+        )
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, have = [], [], 0
+        for batch in batches:
+            for at in range(0, len(batch), s.block_rows):
+                part = batch.iloc[at : at + s.block_rows]
+                if have and have + len(part) > s.block_rows:
+                    yield answers(ids, vectors)
+                    ids, vectors, have = [], [], 0
+                ids.append(part["id"].to_numpy())
+                vectors.append(np.stack(part["v"].to_numpy()).astype(float))
+                have += len(part)
+        if have:
+            yield answers(ids, vectors)
+
+    return rows.mapInPandas(search, "query_id long, vec_id long, score double")

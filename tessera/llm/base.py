@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 from tessera.scratch import drop_scratch, materialize, scratch_dir
 
-__all__ = ["DOC", "connected_components", "drop_scratch", "keyed", "materialize", "scratch_dir", "table"]
+__all__ = ["DOC", "connected_components", "drop_scratch", "free_name", "keyed", "materialize", "numbered", "one_of_a_kind", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A scratch copy of docs: `uid`, a number of each row's own, and `row`, the whole row as one column.
+
+    The copy makes the numbers last, so repeated rows can be told apart; columns inside `row` clash with no other names.
+    """
+    return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c] for c in docs.columns)).alias("row")))
+
+
 #: Columns that name a document, see keyed().
 DOC = ["_k1", "_k2"]
 
 
 def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """docs with two 64-bit hashes that name a document: rows that agree in key and text are one document."""
+    """(key, text) of docs with two 64-bit hashes that name a document: rows that agree in both are one document."""
     parts = [F.col(key).isNull(), F.col(key).cast("string"), F.col(text)]
-    return docs.withColumns({"_k1": F.xxhash64(F.lit(1), *parts), "_k2": F.xxhash64(F.lit(2), *parts)})
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.lit(1), *parts).alias("_k1"), F.xxhash64(F.lit(2), *parts).alias("_k2"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores put before it until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+_HELD: dict[tuple, Any] = {}
+
+
+def one_of_a_kind(key: tuple, build: Callable[[], Any]) -> Any:
+    """A large object of this Python worker, built on first use and let go when a worker needs another one.
+
+    Spark hands its Python workers from stage to stage: what each of them kept for itself would add up in an executor.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.base import one_of_a_kind
+
 GAP = re.compile(r"[\W_]+")
 WORD = re.compile(r"[^\W_]+")
 
@@ -126,14 +128,9 @@ class Matcher:
         return next(self.search(text), None) is not None
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def _matcher(held) -> Matcher:
     """Built once per worker and broadcast."""
-    if held.id not in _MATCHERS:
-        _MATCHERS[held.id] = Matcher(*held.value)
-    return _MATCHERS[held.id]
+    return one_of_a_kind((Matcher, held.id), lambda: Matcher(*held.value))
 
 
 class _Held:
@@ -151,19 +148,23 @@ class _Held:
         return {"_b": self._b, "id": self.id}
 
 
-def blocks(benchmark: DataFrame, rate: float, least_words: int, block_chars: int, text: str, item: str) -> list:
-    """Benchmark items in broadcast blocks of about `block_chars` characters each."""
-    items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def blocks(benchmark: DataFrame, rate: float, least_words: int, block_chars: int, text: str) -> list:
+    """Distinct benchmark texts, each under two hashes, in broadcast blocks of about `block_chars` characters."""
+    texts = benchmark.select(F.col(text).alias("text")).where("text is not null").distinct()
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // block_chars)
     held = []
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()
-        keep = sorted((r["item"] is None, r["item"] or 0, t) for r in rows if (t := normalise(r["text"])).count(" ") + 1 >= least_words)
-        held.append(_Held(benchmark.sparkSession, [(None if none else i, t) for none, i, t in keep], rate))
+        rows = texts.select(*_hashes("text"), "text").where(F.pmod("h", F.lit(n)) == b).collect()
+        keep = sorted(((r["h"], r["g"]), t) for r in rows if (t := normalise(r["text"])).count(" ") + 1 >= least_words)
+        held.append(_Held(benchmark.sparkSession, keep, rate))
     return held
 
 
+def _hashes(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(i), F.col(text)).alias(c) for i, c in ((1, "h"), (2, "g"))]
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -180,17 +181,17 @@ def contaminated(
     Texts are compared in lower case with all that separates words reduced to one space. An item of n characters may be
     off by int(rate * n) edits (insertions, deletions, substitutions); it is cut into one piece more than that, so at least
     one piece is in the document as it is. An automaton finds every exact piece hit, each hit gives a stretch of text, and
-    Myers' bit-parallel distance decides. Items of fewer than `least_words` words take no part. The benchmark is broadcast
-    in blocks of about `block_chars` characters, as many as it takes; documents are scanned where they lie, never shuffled.
+    Myers' bit-parallel distance decides. Items of fewer than `least_words` words take no part. The benchmark's distinct texts are
+    broadcast in blocks of about `block_chars` characters, as many as it takes; documents are scanned where they lie, never shuffled.
     Returns doc_id, item_id, distance, similarity (1 - distance / n), start, end (characters of the original text) of the
     closest match, the earliest-ending one of equals. Null or empty texts match nothing; repeated documents or items each
     give their rows; other columns are ignored; an empty table on either side gives no rows.
     """
-    kinds = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, similarity double, start long, end long"
+    kind = dict(docs.dtypes)[key]
+    schema = f"doc_id {kind}, h long, g long, distance int, similarity double, start long, end long"
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for held in blocks(benchmark, rate, least_words, block_chars, bench_text, item):
+    found = docs.sparkSession.createDataFrame([], schema)
+    for held in blocks(benchmark, rate, least_words, block_chars, bench_text):
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             m = _matcher(held)
@@ -200,15 +201,21 @@ def contaminated(
                     if t:
                         hits = list(m.search(normalise(t)))
                         at = places(t) if hits else []
-                        rows += [(doc, m.items[i][0], d, 1 - d / len(m.items[i][1]), at[a], at[b - 1] + 1) for i, d, a, b in hits if b > a]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "similarity", "start", "end"]).astype({"doc_id": batch["doc_id"].dtype} if rows else {})
+                        rows += [(doc, *m.items[i][0], d, 1 - d / len(m.items[i][1]), at[a], at[b - 1] + 1) for i, d, a, b in hits if b > a]
+                out = pd.DataFrame(rows, columns=["doc_id", "h", "g", "distance", "similarity", "start", "end"])
+                yield out.astype({"doc_id": batch["doc_id"].dtype}) if rows else out
+
+        found = found.union(source.mapInPandas(scan, schema))
+    items = benchmark.where(F.col(bench_text).isNotNull()).select(F.col(item).alias("item_id"), *_hashes(bench_text))
+    return found.join(items, ["h", "g"]).select("doc_id", "item_id", "distance", "similarity", "start", "end")
 
-        out = out.union(source.mapInPandas(scan, schema))
-    return out
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least_words: int = 5, block_chars: int = 8_000_000, text: str = "text", bench_text: str = "text") -> DataFrame:
+    """The documents, all columns, that hold no benchmark item within its error budget (see contaminated).
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least_words: int = 5, block_chars: int = 8_000_000, text: str = "text", bench_text: str = "text", item: str = "item_id") -> DataFrame:
-    """The documents, all columns, that hold no benchmark item within its error budget (see contaminated)."""
+    Null and empty texts hold none and stay; repeated rows stay or go together; an empty benchmark takes nothing, an empty
+    table gives no rows; columns of any other name pass through.
+    """
 
     def holds(held) -> Column:
         @F.pandas_udf("boolean")
@@ -218,6 +225,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least_words
 
         return any_of(F.col(text))
 
-    for held in blocks(benchmark, rate, least_words, block_chars, bench_text, item):
+    for held in blocks(benchmark, rate, least_words, block_chars, bench_text):
         docs = docs.where(~holds(held))
     return docs

@@ -60,29 +60,31 @@ class Index:
     """Templates by the tokens of their prefixes.
 
     Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A block that holds `needed` of
-    a template's n distinct tokens holds one of its n - needed + 1 rarest, so only texts with such a token are read further.
+    a template's n distinct tokens holds one of its n - needed + 1 rarest, its prefix: blocks are looked for around those alone.
     """
 
     def __init__(self, found: list[Template], frequency: dict[bytes, int]):
         self.found = found
         self.prefix: dict[bytes, list[int]] = defaultdict(list)
+        self.rare: list[set[bytes]] = []
         self.anchor = []
         for i, t in enumerate(found):
             order = sorted(set(t.words), key=lambda w: (frequency.get(w, 0), w))
             self.anchor.append(t.words.index(order[0]))
-            for w in order[: len(order) - t.needed + 1]:
+            self.rare.append(set(order[: len(order) - t.needed + 1]))
+            for w in self.rare[i]:
                 self.prefix[w].append(i)
         self.vocabulary = {w for t in found for w in t.words}
 
     def blocks(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words, and (template, first word, containment) of every place of a phrase and the best block of a notice."""
+        """The number of words, and (template, first word, containment) of every place of a phrase and every block of a notice."""
         raw = (text or "").encode("utf-8", "replace").lower()
         if not raw:
             return 0, []
         mask = _IS_WORD[np.frombuffer(raw, np.uint8)]
         n = int(mask[0]) + int(np.count_nonzero(mask[1:] > mask[:-1]))
+        # A text that does not even hold a prefix token's letters needs no cutting into words.
         near = {i for w, owners in self.prefix.items() if w in raw for i in owners}
-        # Length filter: a text of fewer words than are needed cannot hold the template.
         near = [i for i in sorted(near) if n >= self.found[i].needed]
         if not near:
             return n, []
@@ -100,30 +102,62 @@ class Index:
                 starts = [p - a for p in at.get(t.words[a], ()) if p >= a and p - a + m <= n]
                 out += [(i, s, 1.0) for s in starts if tuple(words[s : s + m]) == t.words]
             else:
-                best = self._best(t, at)
-                if best[0] >= t.needed:
-                    out.append((i, best[1], best[0] / len(set(t.words))))
+                out += [(i, s, c / len(set(t.words))) for s, c in self._notice(t, self.rare[i], at)]
         return n, out
 
     @staticmethod
-    def _best(t: Template, at: dict[bytes, list[int]]) -> tuple[int, int]:
-        """Most distinct template tokens within `span` words, and where the first such block starts."""
+    def _notice(t: Template, rare: set[bytes], at: dict[bytes, list[int]]) -> list[tuple[int, int]]:
+        """(first word, distinct tokens) of the template's blocks, from left to right.
+
+        A block is a window of at most `span` words that starts at a template token and holds `needed` distinct ones. From
+        the first such start, the window with the most distinct tokens among those that start inside it is a block
+        (the earliest of equals), which ends where it has them all; the next one is looked for after that end.
+        """
         tokens = [w for w in set(t.words) if w in at]
         if len(tokens) < t.needed:
-            return 0, 0
-        places = sorted((p, w) for w in tokens for p in at[w])
-        held: Counter = Counter()
-        best, first, lo, kinds = 0, 0, 0, 0
-        for p, w in places:
-            kinds += held[w] == 0
-            held[w] += 1
-            while places[lo][0] <= p - t.span:
-                held[places[lo][1]] -= 1
-                kinds -= held[places[lo][1]] == 0
-                lo += 1
-            if kinds > best:
-                best, first = kinds, places[lo][0]
-        return best, first
+            return []
+        # Prefix filter: windows that hold a prefix token lie within `span` words of it.
+        marks = sorted(p for w in rare if w in at for p in at[w])
+        kind = {w: k for k, w in enumerate(tokens)}
+        places = sorted((p, kind[w]) for w in tokens for p in at[w])
+        pos = np.array([p for p, _ in places])
+        marks = np.array(marks)
+        lo, hi = np.searchsorted(marks, pos - t.span, side="right"), np.searchsorted(marks, pos + t.span)
+        close = hi > lo
+        # Length filter: a window of fewer template tokens, repeats included, cannot hold enough distinct ones.
+        ends = np.searchsorted(pos, pos + t.span)
+        close &= ends - np.arange(len(pos)) >= t.needed
+        starts = np.flatnonzero(close).tolist()
+        size: dict[int, tuple[int, int]] = {}
+
+        def window(j: int) -> tuple[int, int]:
+            """Distinct tokens in the window from place j on, and the place after which it has them all."""
+            if j not in size:
+                seen: set[int] = set()
+                last = j
+                for i in range(j, int(ends[j])):
+                    if places[i][1] not in seen:
+                        seen.add(places[i][1])
+                        last = i
+                size[j] = len(seen), last
+            return size[j]
+
+        out, after, i = [], -1, 0
+        while i < len(starts):
+            j = starts[i]
+            if j <= after or window(j)[0] < t.needed:
+                i += 1
+                continue
+            best, r = j, i + 1
+            while r < len(starts) and starts[r] < ends[j]:
+                if window(starts[r])[0] > window(best)[0]:
+                    best = starts[r]
+                r += 1
+            out.append((int(pos[best]), window(best)[0]))
+            after = window(best)[1]
+            while i < len(starts) and starts[i] <= after:
+                i += 1
+        return out
 
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, int]:
@@ -148,9 +182,11 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
 def scan(docs: DataFrame, found: list[Template] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Licence blocks of every document: doc_id, n_words, blocks (array of label, base, start, containment).
 
-    A base phrase counts at every place where its words stand consecutively, lines or not. A notice counts once, at the
-    block of at most `span` words that holds most of its distinct words, if that share meets the threshold. Null and empty
-    texts have no words and no blocks; one row per input row, whatever its key; other columns are ignored.
+    A base phrase counts at every place where its words stand consecutively, lines or not. A notice counts at every block
+    of at most `span` words that holds the threshold's share of its distinct words; blocks of a notice do not overlap (see
+    Index._notice). Null and empty texts have no words and no blocks; one row per input row, whatever its key and however
+    often it is repeated (repeats count for the token order, which changes no result); an empty table gives no rows; other
+    columns are ignored.
     """
     found = found or templates()
     index = Index(found, frequencies(docs, {w for t in found for w in t.words}, text))

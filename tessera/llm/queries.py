@@ -47,7 +47,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
     turns = turns.union(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema))
-    return chat.digests(chat.read_back(*chat.prefix_tree(turns)))
+    return chat.digests(*chat.prefix_tree(turns))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_runs").alias("n_runs"), digest)
+    return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

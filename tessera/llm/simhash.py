@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import DOC, connected_components, keyed, materialize
+from tessera.llm.base import connected_components, materialize, numbered
 
 SEED = 42
 
@@ -58,6 +58,8 @@ def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even")
     masks = ball_masks(radius // 2)
+    # Dealt out before each becomes so many variants: a few small partitions would make them all in a few tasks.
+    fingerprints = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     if len(masks) <= 65:
         # A member of a variant is the variant with at most one bit flipped: its members fit into a bit mask and a flag.
         bits = F.array(*[F.lit(i).cast("tinyint") for i in range(-1, 64)])
@@ -111,10 +113,11 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, text: str = "te
     """docs, all columns, with one document of each near-duplicate component (see near_duplicates): the one of smallest key.
 
     Null keys come last; of rows with that key the one of smallest text hash stays, and of rows that agree in key and text one.
+    An empty table gives no rows; columns of any other name pass through.
     """
-    named = keyed(docs, text, key)
-    prints = materialize(named.select(F.col(key).alias("doc_id"), *DOC, fingerprint(text, shingle).alias("fp")))
+    named = numbered(docs)
+    source = named.select("uid", F.col("row")[key].alias("doc_id"), F.col("row")[text].alias("text"))
+    prints = materialize(source.select("uid", "doc_id", F.xxhash64("text").alias("th"), fingerprint("text", shingle).alias("fp")))
     joined = prints.join(_components(prints.select("doc_id", "fp"), radius), "fp")
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *DOC)).alias("x"))
-    stays = materialize(first.select("x._k1", "x._k2").distinct())
-    return named.join(stays, DOC, "left_semi").dropDuplicates(DOC).drop(*DOC)
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "uid")).alias("x"))
+    return named.join(first.select("x.uid"), "uid", "left_semi").select("row.*")

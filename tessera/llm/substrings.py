@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import DOC, keyed, materialize
+from tessera.llm.base import DOC, drop_scratch, keyed, materialize
 
 #: Bytes that choose the anchors, and how many bytes of a text are looked at in one go.
 GRAM, SEGMENT = 32, 1 << 23
@@ -59,7 +59,7 @@ def halves(d: int) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def runs(docs: DataFrame, size: int, text: str) -> DataFrame:
+def runs(docs: DataFrame, size: int) -> DataFrame:
     """The anchored runs of all documents, each with a 128-bit digest of its bytes."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +73,7 @@ def runs(docs: DataFrame, size: int, text: str) -> DataFrame:
                         rows.append((k1, k2, first, count, offset, h, *halves(d)))
             yield pd.DataFrame(rows, columns=["_k1", "_k2", "p", "n", "o", "h", "c1", "c2"]).astype("int64")
 
-    return docs.select(*DOC, F.col(text).alias("text")).mapInPandas(scan, "_k1 long, _k2 long, p long, n long, o long, h long, c1 long, c2 long")
+    return docs.select(*DOC, "text").mapInPandas(scan, "_k1 long, _k2 long, p long, n long, o long, h long, c1 long, c2 long")
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
@@ -155,7 +155,9 @@ def repeated_windows(texts: list[bytes], counts: np.ndarray, size: int) -> np.nd
 
 
 def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Byte stretches (_k1, _k2, p, len) of documents that are covered by strings of `size` bytes which also start elsewhere.
+    """Byte stretches of documents that are covered by strings of `size` bytes which also start elsewhere.
+
+    One row per document that has any: _k1, _k2 (see keyed), p and n (arrays of starts and lengths, in no order).
 
     1. Texts are cut into runs of windows by content-defined anchors, about one for 190 bytes.
     2. Runs are counted by their bytes: equal runs repeat as a whole, and one of each goes on. Anchors with a single text are done.
@@ -164,7 +166,7 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
        (see merged).
     """
     docs = keyed(docs, text, key)
-    all_runs = materialize(runs(docs, size, text))
+    all_runs = materialize(runs(docs, size))
     place = F.struct(*DOC, "p")
     contents = materialize(all_runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.min(place).alias("at"), F.min("n").alias("n"), F.min("o").alias("o")))
     whole = all_runs.join(contents.where("m > 1").select("h", "c1", "c2"), ["h", "c1", "c2"]).select(*DOC, "p", (F.col("n") + (size - 1)).alias("len"))
@@ -179,12 +181,14 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
     def slices(texts: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([[raw[x["p"] : x["p"] + x["n"] - 1 + size] for x in xs] for raw, xs in zip((t.encode("utf-8", "replace") for t in texts), w)])
 
-    cut = docs.select(*DOC, F.col(text).alias("text")).join(wanted, DOC).select(*DOC, "w", slices("text", "w").alias("raw"))
+    # Of rows that agree in key and text one is cut.
+    one = docs.join(wanted, DOC).dropDuplicates(DOC)
+    cut = one.select(*DOC, "w", slices("text", "w").alias("raw"))
     cut = materialize(cut.select(*DOC, F.explode(F.arrays_zip("w", "raw")).alias("x")).select(*DOC, "x.w.*", "x.raw"))
-    many = cut.where("many").dropDuplicates([*DOC, "p"])
+    many = cut.where("many")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["_k1", "_k2", "p"]).sort_values(["h", "_k1", "_k2", "p"]).reset_index(drop=True)
+        frame = frame.sort_values(["h", "_k1", "_k2", "p"]).reset_index(drop=True)
         texts, n = frame["raw"].tolist(), frame["n"].to_numpy()
         length = np.array([len(t) for t in texts])
         start = np.cumsum(length) - length
@@ -200,7 +204,10 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
         return pd.DataFrame({"_k1": f["_k1"].to_numpy(), "_k2": f["_k2"].to_numpy(), "p": f["p"].to_numpy() + r[first], "len": count - 1 + size}).astype("int64")
 
     found = cut.where("not many").groupBy("shard").applyInPandas(search, "_k1 long, _k2 long, p long, len long")
-    return whole.union(found).union(merged(many, size))
+    spans = materialize(whole.union(found).union(merged(many, size)).groupBy(*DOC).agg(F.collect_list("p").alias("p"), F.collect_list("len").alias("n")))
+    for t in (all_runs, contents, cut):
+        drop_scratch(t)
+    return spans
 
 
 def merged(many: DataFrame, size: int) -> DataFrame:
@@ -253,7 +260,7 @@ def remove_duplicates(docs: DataFrame, size: int = 400, text: str = "text", key:
     bytes; a cut may fall inside a character). A null text counts as empty; repeated rows are copies of each other; other
     columns are ignored; an empty table gives no rows.
     """
-    spans = duplicate_spans(docs, size, text, key).groupBy(*DOC).agg(F.collect_list("p").alias("p"), F.collect_list("len").alias("n"))
+    spans = duplicate_spans(docs, size, text, key)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def keep(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
@@ -274,5 +281,5 @@ def remove_duplicates(docs: DataFrame, size: int = 400, text: str = "text", key:
             rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = keyed(docs.select(F.col(key).alias(key), F.col(text).alias(text)), text, key).join(spans, DOC, "left")
-    return joined.select(key, keep(text, "p", "n").alias("x")).select(key, "x.*")
+    joined = keyed(docs, text, key).join(spans, DOC, "left")
+    return joined.select("key", keep("text", "p", "n").alias("x")).select(F.col("key").alias(key), "x.*")

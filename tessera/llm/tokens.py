@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 
+from tessera.llm.base import one_of_a_kind
+
 #: A word of printable ASCII (no apostrophe) and Latin-1 letters: normalisation leaves it alone but for its case, and the
 #: tokenizer cuts it into runs of letters, single digits and runs of the rest.
 SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -80,9 +81,8 @@ class WordBpe:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    return one_of_a_kind((WordBpe, path), lambda: WordBpe(path))
 
 
 def id_bytes(i: int) -> bytes:

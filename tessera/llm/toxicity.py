@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialize
+from tessera.llm.base import materialize, one_of_a_kind
 from tessera.llm.labelled import held_out, training_rows
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -28,8 +29,10 @@ class Settings:
     epochs: int = 6
     batch: int = 64
     rate: float = 0.02
-    #: Labelled documents learned from at most, and words of each that a training step reads at a time (texts are read whole, in parts).
+    #: Labelled documents learned from at most, bytes of their texts together, and words of each that a training step reads at a
+    #: time (texts are read whole, in parts).
     most_rows: int = 4000
+    most_bytes: int = 64_000_000
     window: int = 512
     seed: int = 7
 
@@ -74,6 +77,8 @@ class Network:
     bias: float = 0.0
     #: Keys of the documents trained on.
     seen: set = field(default_factory=set)
+    #: Names the network in Python workers.
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 class Scorer:
@@ -147,38 +152,10 @@ def train(texts: list[str | None], y: np.ndarray, s: Settings, weight: np.ndarra
     for _ in range(s.epochs):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), s.batch):
-            grads, gb, touched = [np.zeros_like(p) for p in dense], 0.0, []
             step += 1
-            for i in order[lo : lo + s.batch]:
-                doc, k = docs[i], len(s.widths)
-                feats, spots = [], []
-                for q, w in enumerate(s.widths):
-                    best, spot = np.zeros(s.filters, np.float32), np.full(s.filters, -1)
-                    for at in range(0, doc.shape[1] - w + 1, s.window):
-                        part = doc[:, at : at + s.window + w - 1]
-                        e = net.embed[part].sum(axis=0)
-                        m = part.shape[1] - w + 1
-                        z = sum(e[j : j + m] @ net.convs[q][j * s.dim : (j + 1) * s.dim] for j in range(w)) + net.biases[q]
-                        top = z.argmax(axis=0)
-                        v = z[top, np.arange(s.filters)]
-                        spot = np.where(v > best, at + top, spot)
-                        best = np.maximum(best, v)
-                    feats.append(best)
-                    spots.append(spot)
-                f = np.concatenate(feats)
-                g = weight[i] * (1 / (1 + np.exp(-np.clip(f @ net.out + net.bias, -30, 30))) - y[i])
-                grads[2 * k] += g * f
-                gb += g
-                for q, w in enumerate(s.widths):
-                    for j in np.flatnonzero(spots[q] >= 0):
-                        at, gz = spots[q][j], g * net.out[q * s.filters + j]
-                        words = doc[:, at : at + w]
-                        x = net.embed[words].sum(axis=0).ravel()
-                        grads[q][:, j] += gz * x
-                        grads[k + q][j] += gz
-                        back = (gz * net.convs[q][:, j]).reshape(w, s.dim)
-                        touched += [(row, back) for row in words]
-            n = min(s.batch, len(order) - lo)
+            some = order[lo : lo + s.batch]
+            n = len(some)
+            grads, gb, rows, back = _gradients(net, [docs[i] for i in some], y[some], weight[some])
             for p, g, m in zip(dense, grads, moments):
                 g /= n
                 m[0] += 0.1 * (g - m[0])
@@ -186,17 +163,79 @@ def train(texts: list[str | None], y: np.ndarray, s: Settings, weight: np.ndarra
                 p -= s.rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-7)
             mb, vb = mb + 0.1 * (gb / n - mb), vb + 0.001 * ((gb / n) ** 2 - vb)
             net.bias -= s.rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-7)
-            if touched:
-                rows = np.concatenate([t[0] for t in touched])
-                back = np.concatenate([t[1] for t in touched]) / n
+            if len(rows):
                 uniq, inv = np.unique(rows, return_inverse=True)
-                g = np.zeros((len(uniq), s.dim), np.float32)
-                np.add.at(g, inv, back)
+                g = np.stack([np.bincount(inv, back[:, d], len(uniq)) for d in range(s.dim)], axis=1).astype(np.float32) / n
                 square[uniq] += (g * g).mean(axis=1)
                 net.embed[uniq] -= 2 * s.rate * g / (np.sqrt(square[uniq]) + 1e-8)[:, None]
     return net
 
 
+def _maxima(net: Network, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and filter the largest activation (0 at least) and its place in the text (-1: none over 0).
+
+    Texts are laid end to end and read in stretches of about `window` words each: one gather, one product for each filter
+    place, and a maximum over each text's part of the stretch. Places whose words belong to two texts are left out.
+    """
+    s = net.s
+    k, reach = len(s.widths) * s.filters, max(s.widths)
+    best, spot = np.zeros((len(docs), k), np.float32), np.full((len(docs), k), -1)
+    length = np.array([d.shape[1] for d in docs])
+    for at in range(0, int(length.max(initial=0)), s.window):
+        live = np.flatnonzero(length > at)
+        parts = [docs[i][:, at : at + s.window + reach - 1] for i in live]
+        have = np.array([p.shape[1] for p in parts])
+        e = net.embed[np.concatenate(parts, axis=1)].sum(axis=0)
+        first = np.cumsum(have) - have
+        # Places left in the text from each word on, and each word's place in the stretch.
+        inside = np.arange(len(e)) - np.repeat(first, have)
+        left = np.repeat(have, have) - inside
+        for q, w in enumerate(s.widths):
+            z = np.full((len(e), s.filters), -1.0, np.float32)
+            m = len(e) - w + 1
+            if m > 0:
+                z[:m] = sum(e[j : j + m] @ net.convs[q][j * s.dim : (j + 1) * s.dim] for j in range(w)) + net.biases[q]
+            z[(left < w) | (inside >= s.window)] = -1.0
+            top = np.maximum.reduceat(z, first, axis=0)
+            for f in range(s.filters):
+                c = q * s.filters + f
+                better = top[:, f] > best[live, c]
+                if better.any():
+                    hits = np.flatnonzero(z[:, f] == np.repeat(top[:, f], have))
+                    owner, seen = np.unique(np.searchsorted(first, hits, side="right") - 1, return_index=True)
+                    use = better[owner]
+                    spot[live[owner[use]], c] = at + inside[hits[seen[use]]]
+                    best[live[owner[use]], c] = top[owner[use], f]
+    return best, spot
+
+
+def _gradients(net: Network, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Sums over a minibatch: of the dense parameters, of the bias, and of embeddings as (rows, gradients)."""
+    s = net.s
+    k = len(s.widths)
+    best, spot = _maxima(net, docs)
+    g = (weight * (1 / (1 + np.exp(-np.clip(best @ net.out + net.bias, -30, 30))) - y)).astype(np.float32)
+    grads: list[np.ndarray] = [np.zeros_like(p) for p in (*net.convs, *net.biases)] + [(g @ best).astype(np.float32)]
+    rows, back = [], []
+    for q, w in enumerate(s.widths):
+        doc, f = np.nonzero(spot[:, q * s.filters : (q + 1) * s.filters] >= 0)
+        if not len(doc):
+            continue
+        words = np.stack([docs[i][:, a : a + w] for i, a in zip(doc, spot[doc, q * s.filters + f])])
+        gz = g[doc] * net.out[q * s.filters + f]
+        x = net.embed[words].sum(axis=1).reshape(len(doc), w * s.dim)
+        for j in range(s.filters):
+            mine = f == j
+            grads[q][:, j] = gz[mine] @ x[mine]
+            grads[k + q][j] = gz[mine].sum()
+        each = (gz[:, None] * net.convs[q][:, f].T).reshape(len(doc), 1, w, s.dim)
+        rows.append(words.ravel())
+        back.append(np.broadcast_to(each, (*words.shape, s.dim)).reshape(-1, s.dim))
+    if not rows:
+        return grads, float(g.sum()), np.zeros(0, np.int64), np.zeros((0, s.dim), np.float32)
+    return grads, float(g.sum()), np.concatenate(rows), np.concatenate(back)
+
+
 #: Steps of log-odds in which labelled rows are counted for the cut-offs.
 STEP = 0.05
 
@@ -230,13 +269,13 @@ def calibrate(steps: np.ndarray, y: np.ndarray, lang: np.ndarray, rows: np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> Network:
-    """Trains on a bounded sample of labelled rows (Settings.most_rows) outside the held-out fold; texts are read whole.
+    """Trains on a bounded sample of labelled rows (Settings.most_rows, most_bytes) outside the held-out fold; texts are read whole.
 
     A fifth of that sample is left to calibrated(). No language is read.
     """
     s = settings or Settings()
-    rows = training_rows(docs, labels, label, s.most_rows, key, text, (_apart(F.col(key)).alias("apart"),)).where("not apart")
-    rows = rows.orderBy(F.xxhash64("k", "text"), "k").toPandas()
+    rows = training_rows(docs, labels, label, s.most_rows, key, text, s.most_bytes).where(~_apart(F.col("k")))
+    rows = rows.orderBy(F.xxhash64("k"), "k").toPandas()
     if not len(rows):
         return train([""], np.zeros(1, np.float32), s)
     net = train(rows["text"].tolist(), rows["y"].to_numpy(np.float32), s, rows["w"].to_numpy(float))
@@ -256,6 +295,7 @@ def calibrated(scored: DataFrame, labels: DataFrame, net: Network, label: str, k
     """
     s = scored.sparkSession
     truth = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out("k"))
+    truth = truth.groupBy("k").agg(F.max("y").alias("y"))
     seen = s.createDataFrame([(k,) for k in net.seen], truth.select("k").schema).withColumn("seen", F.lit(True))
     step = F.floor(F.ln(F.col("_score") / (1 - F.col("_score"))) / STEP)
     rows = scored.select(F.col(key).alias("k"), F.col(lang).alias("lang"), step.alias("step")).join(truth, "k").join(F.broadcast(seen), "k", "left")
@@ -268,17 +308,17 @@ def calibrated(scored: DataFrame, labels: DataFrame, net: Network, label: str, k
     return calibrate(free["step"].to_numpy(float), y, free["lang"].to_numpy(object), free["n"].to_numpy(float), np.where(y == 1, of[1], of[0]))
 
 
-def score(docs: DataFrame, net: Network, text: str = "text"):
+def score(docs: DataFrame, net: Network, text: str | Column = "text") -> Column:
     """A column with the score (0 to 1) of every whole text; null and empty texts get the score of no words."""
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(held.value)
+        scorer = one_of_a_kind((Scorer, held.value.name), lambda: Scorer(held.value))
         for texts in batches:
             yield pd.Series([scorer(t) for t in texts], dtype="float64")
 
-    return of(F.col(text))
+    return of(F.col(text) if isinstance(text, str) else text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5, settings: Settings | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -289,19 +329,27 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: floa
     """
     net = fit(docs, labels, label, settings, key, text)
     scored = materialize(docs.select(F.col(key).alias(key), F.col(lang).alias("_lang"), score(docs, net, text).alias("_score")))
-    cuts = _cuts(calibrated(scored, labels, net, label, key, "_lang"), "_lang")
+    cuts = _cuts(calibrated(scored, labels, net, label, key, "_lang"), F.col("_lang"))
     return scored.select(key, held_out(key).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= cut).cast("int").alias("predicted"), (F.col("_score") >= cuts).alias("rejected"))
 
 
-def _cuts(thresholds: dict, lang: str) -> Column:
+def _cuts(thresholds: dict, lang: Column) -> Column:
     cuts = F.lit(thresholds[None])
     for x, c in sorted((k, v) for k, v in thresholds.items() if k is not None):
-        cuts = F.when(F.col(lang) == x, F.lit(c)).otherwise(cuts)
+        cuts = F.when(lang == x, F.lit(c)).otherwise(cuts)
     return cuts
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents, all columns, whose score stays under the cut-off of their language."""
+    """The documents, all columns, whose score stays under the cut-off of their language.
+
+    Null and empty texts score like any text without known words and are judged like others; a null or unknown language
+    uses the common cut-off; repeated rows stay or go together; without usable labels all rows stay unless 0.5 is reached
+    by all; an empty table gives no rows; columns of any other name pass through.
+    """
     net = fit(docs, labels, label, settings, key, text)
-    scored = materialize(docs.withColumn("_score", score(docs, net, text)))
-    return scored.where(F.col("_score") < _cuts(calibrated(scored, labels, net, label, key, lang), lang)).drop("_score")
+    row = F.col("row")
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    scored = materialize(named.select("row", score(named, net, row[text]).alias("score")))
+    judged = scored.select(row[key].alias(key), row[lang].alias("_lang"), F.col("score").alias("_score"))
+    return scored.where(F.col("score") < _cuts(calibrated(judged, labels, net, label, key, "_lang"), row[lang])).select("row.*")

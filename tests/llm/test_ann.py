@@ -27,7 +27,7 @@ def test_recall_and_scores(spark):
     x = r.normal(size=(1500, 32)) * r.uniform(0.5, 2, size=(1500, 1))
     ids = np.arange(1500)
     want = brute(ids, x, 20)
-    got = run(spark, ids, x, 20, Settings(block_rows=600, query_rows=50))
+    got = run(spark, ids, x, 20, Settings(block_rows=600, query_bytes=50 * 32 * 8))
     assert got.keys() == want.keys()
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
     for q, rows in got.items():
@@ -41,7 +41,30 @@ def test_ties_few_rows_and_unusable_vectors(spark):
     x = np.array([[1.0, 0.0]] * 30 + [[0.0, 1.0]])
     got = run(spark, np.arange(31), x, 20, Settings())
     assert [v for v, _ in got[0]] == list(range(1, 21)) and [v for v, _ in got[20]] == list(range(20))
-    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [3.0, 1.0]), (None, [1.0, 1.0]), (20, [1.0]), (40, [])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [3.0, 1.0]), (None, [1.0, 1.0]), (20, [1.0]), (40, []), (0, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest(df, df.where("vec_id % 20 = 0")).collect()] == [(0, 1, 6, 5.0)]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recall_by_verified_share():
+    from tessera.llm.ann import Block
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(4000, 32)) + 3 * r.normal(size=(40, 32))[r.integers(0, 40, 4000)]
+    block, found, share = Block(np.arange(4000), x, float(np.linalg.norm(x, axis=1).max()), Settings()), [], []
+    for i in range(0, 4000, 100):
+        rows = block.candidates(x[i], 20)
+        near = set(np.argsort(-(x @ x[i]), kind="stable")[:20].tolist())
+        found.append(len(near & set(rows.tolist())) / 20)
+        share.append(len(rows) / 4000)
+    assert np.mean(found) >= 0.9 and np.mean(share) <= 0.3
+
+
+def test_counts_grow_with_the_windows(spark):
+    from tessera.llm.ann import Block
+
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    block = Block(np.arange(300), x, float(np.linalg.norm(x, axis=1).max()), Settings(verified=1.0))
+    # All windows end up holding everything, and each row has then been counted once for each array.
+    assert len(block.candidates(x[0], 1000)) == 300

@@ -15,7 +15,7 @@ ROWS = [
 
 
 def turns():
-    out = {}
+    out: dict = {}
     for c, t, r, x in ROWS:
         out.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
     return {c: [(r, x) for _, r, x in sorted(v)] for c, v in out.items()}
@@ -26,7 +26,13 @@ def test_round_trip_and_tree(spark, tokenizer):
     df = spark.createDataFrame([(*r, "z") for r in ROWS], "conv_id long, turn long, role string, text string, path string")
     path = tokenizer and public_tokenizers.path(tokenizer)
     nodes, convs = prefix_tree(df, tokenizer=path)
-    for r in digests(read_back(nodes, convs)).collect():
+    read: dict = {}
+    for r in read_back(nodes, convs).orderBy("c", "depth").collect():
+        read.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert read == turns()
+    got = digests(nodes, convs).collect()
+    assert len(got) == len(turns())
+    for r in got:
         want = turns()[r.conv_id]
         loss = "".join(x for role, x in want if role == "assistant")
         assert r.n_turns == len(want)
@@ -43,16 +49,41 @@ def test_round_trip_and_tree(spark, tokenizer):
     for n in by.values():
         for i in range(n.length):
             stream[n.start + i] = (n.tokens if tokenizer else n.segment)[i]
-    for c in convs.collect():
-        chain = [by[(x.a, x.b)] for x in c.path]
+    chains: dict = {}
+    for x in convs.orderBy("c", "depth").collect():
+        chains.setdefault(x.c, []).append(by[(x.a, x.b)])
+    for chain in chains.values():
         for i, n in enumerate(chain):
             assert n.position == sum(m.length for m in chain[:i]) and n.depth == i
             seen = [stream[k] for s in n.attention for k in range(s.start, s.end)]
             assert seen == [x for m in chain[: i + 1] for x in (m.tokens if tokenizer else m.segment)]
             # Depth first: between a node and its parent lie only the parent's other descendants.
             assert i == 0 or chain[i - 1].start < n.start
+    under: dict = {}
+    for chain in chains.values():
+        for i, n in enumerate(chain):
+            under.setdefault((n.a, n.b), {}).update({(m.a, m.b): m for m in chain[i:]})
+    for members in under.values():
+        assert max(m.start + m.length for m in members.values()) - min(m.start for m in members.values()) == sum(m.length for m in members.values())
 
 
 def test_empty(spark):
     nodes, convs = prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
-    assert digests(read_back(nodes, convs)).count() == 0 and nodes.count() == 0
+    assert digests(nodes, convs).count() == 0 and read_back(nodes, convs).count() == 0 and nodes.count() == 0
+
+
+def test_growing_logs_share_their_turns(spark):
+    """Every conversation is one turn longer than the one before: a chain of nodes, and one interval for each of them."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t}") for c in range(12) for t in range(c + 1)]
+    rows += [(100 + c, t, "user", f"turn {t}" if t < 3 else f"other {c}") for c in range(5) for t in range(5)]
+    nodes, convs = prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    by = {(n.a, n.b): n for n in nodes.collect()}
+    chains: dict = {}
+    for x in convs.orderBy("c", "depth").collect():
+        chains.setdefault(x.conv_id, []).append(by[(x.a, x.b)])
+    for chain in chains.values():
+        for i, n in enumerate(chain):
+            want = sorted({k for m in chain[: i + 1] for k in range(m.start, m.start + m.length)})
+            assert [k for s in n.attention for k in range(s.start, s.end)] == want
+            assert all(x.end < y.start for x, y in zip(n.attention, n.attention[1:]))
+    assert len(chains[11][-1].attention) == 1

@@ -104,3 +104,47 @@ def test_no_labels_and_empty_tables(spark):
     for f in (quality.classify, toxicity.classify):
         assert len({r.score for r in f(docs, labels.limit(0)).collect()}) >= 1
         assert f(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_minibatch_gradients_equal_one_text_at_a_time():
+    s = toxicity.Settings(buckets=128, dim=4, filters=3, widths=(1, 2, 3), window=7)
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(s, rng.normal(size=(128, 4)).astype(np.float32))
+    net.convs = [rng.normal(size=(w * 4, 3)).astype(np.float32) for w in s.widths]
+    net.biases = [rng.normal(size=3).astype(np.float32) for _ in s.widths]
+    net.out, net.bias = rng.normal(size=9).astype(np.float32), 0.1
+    docs = [toxicity.Hasher(128)(" ".join(rng.choice(WORDS, n))) for n in (0, 1, 2, 3, 30, 8, 14, 7)]
+    y, w = rng.integers(0, 2, len(docs)).astype(np.float32), rng.uniform(0.5, 2, len(docs))
+    best, _ = toxicity._maxima(net, docs)
+    for d, got in zip(docs, best):
+        e = net.embed[d].sum(axis=0)
+        z = [np.array([e[i : i + v].ravel() @ net.convs[q] for i in range(len(e) - v + 1)]).reshape(-1, 3) + net.biases[q] for q, v in enumerate(s.widths)]
+        assert np.allclose(got, np.concatenate([np.maximum(x.max(axis=0, initial=0), 0) for x in z]), atol=1e-5)
+
+    def loss():
+        f = toxicity._maxima(net, docs)[0].astype(float)
+        p = 1 / (1 + np.exp(-(f @ net.out + net.bias)))
+        return -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    grads, gb, rows, back = toxicity._gradients(net, docs, y, w)
+    table = np.zeros_like(net.embed)
+    np.add.at(table, rows, back)
+    for p, g in [*zip((*net.convs, *net.biases, net.out), grads), (net.embed, table)]:
+        for at in zip(*[rng.integers(0, n, 12) for n in p.shape]):
+            old = p[at]
+            p[at] = old + 1e-3
+            up = loss()
+            p[at] = old - 1e-3
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 2e-3 - g[at]) < 2e-2 * max(1, abs(g[at]))
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    from tessera.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(i % 5, "t" * 100, "u") for i in range(200)], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i % 5, i % 2) for i in range(50)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 100).collect()
+    assert sorted(r.k for r in rows) == [i for i in range(5) if not held(i)] and all(r.y == 1 for r in rows)
+    assert len(training_rows(docs, labels, "toxic", 100, most_bytes=250).collect()) == 2
