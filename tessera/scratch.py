@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share (`spark.checkpoint.dir`).
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder takes its place.
+    Only where the setting is absent in a local session (as in tests) a temporary folder takes its place; on a cluster
+    executors would not see each other's files there, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
