@@ -11,29 +11,42 @@ from pyspark.sql import functions as F
 from tessera.operators.components import connected_components
 from tessera.scratch import drop_scratch, materialize, scratch_dir
 
-__all__ = ["DOC", "connected_components", "drop_scratch", "free_name", "keyed", "materialize", "numbered", "one_of_a_kind", "scratch_dir", "table"]
+__all__ = ["DOC", "connected_components", "drop_scratch", "free_name", "keep_rows", "keyed", "materialize", "one_of_a_kind", "rows_of", "scratch_dir", "table", "twins"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """A scratch copy of docs: `uid`, a number of each row's own, and `row`, the whole row as one column.
-
-    The copy makes the numbers last, so repeated rows can be told apart; columns inside `row` clash with no other names.
-    """
-    return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c] for c in docs.columns)).alias("row")))
-
-
 #: Columns that name a document, see keyed().
 DOC = ["_k1", "_k2"]
 
 
+def _names(docs: DataFrame, text: str, key: str) -> list:
+    parts = [docs[key].isNull(), docs[key].cast("string"), docs[text]]
+    return [F.xxhash64(F.lit(i), *parts).alias(c) for i, c in enumerate(DOC, 1)]
+
+
 def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(key, text) of docs with two 64-bit hashes that name a document: rows that agree in both are one document."""
-    parts = [F.col(key).isNull(), F.col(key).cast("string"), F.col(text)]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.lit(1), *parts).alias("_k1"), F.xxhash64(F.lit(2), *parts).alias("_k2"))
+    return docs.select(docs[key].alias("key"), docs[text].alias("text"), *_names(docs, text, key))
+
+
+def rows_of(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """docs as one column `row`, whose names inside clash with no other, and the document's name (see keyed)."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *_names(docs, text, key))
+
+
+def twins(named: DataFrame) -> DataFrame:
+    """A scratch table of the documents that several rows of keyed() or rows_of() name."""
+    return materialize(named.groupBy(*DOC).agg(F.count("*").alias("m")).where("m > 1").select(*DOC))
+
+
+def keep_rows(docs: DataFrame, text: str, key: str, stays: DataFrame, several: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose document is in `stays`; of those in `several` (see twins) one row."""
+    named = rows_of(docs, text, key)
+    one = named.join(stays.join(several, DOC, "left_anti"), DOC, "left_semi")
+    return one.union(named.join(stays.join(several, DOC), DOC, "left_semi").dropDuplicates(DOC)).select("row.*")
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import connected_components, materialize, numbered
+from tessera.llm.base import DOC, connected_components, keep_rows, keyed, materialize, twins
 
 SEED = 42
 
@@ -115,9 +115,8 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, text: str = "te
     Null keys come last; of rows with that key the one of smallest text hash stays, and of rows that agree in key and text one.
     An empty table gives no rows; columns of any other name pass through.
     """
-    named = numbered(docs)
-    source = named.select("uid", F.col("row")[key].alias("doc_id"), F.col("row")[text].alias("text"))
-    prints = materialize(source.select("uid", "doc_id", F.xxhash64("text").alias("th"), fingerprint("text", shingle).alias("fp")))
-    joined = prints.join(_components(prints.select("doc_id", "fp"), radius), "fp")
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "uid")).alias("x"))
-    return named.join(first.select("x.uid"), "uid", "left_semi").select("row.*")
+    source = keyed(docs, text, key)
+    prints = materialize(source.select(F.col("key").alias("doc_id"), *DOC, fingerprint("text", shingle).alias("fp")))
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *DOC)).alias("x"))
+    first = best.join(_components(prints.select("doc_id", "fp"), radius), "fp").groupBy("root").agg(F.min("x").alias("x"))
+    return keep_rows(docs, text, key, materialize(first.select("x._k1", "x._k2")), twins(prints))
