@@ -16,13 +16,13 @@ from tessera.llm.base import materialize
 @dataclass
 class Settings:
     #: Random projections, and in how many of them a vector must fall into the query's window to be verified.
-    projections: int = 96
-    collisions: int = 67
+    projections: int = 72
+    collisions: int = 52
     #: Half width of the first window in standard deviations of the projections; each round of virtual rehashing widens it.
-    width: float = 0.5
-    widen: float = 1.12
+    width: float = 0.9
+    widen: float = 1.2
     #: Rounds end when this share of a block has been verified (and four times k vectors).
-    verified: float = 0.12
+    verified: float = 0.22
     #: Rows that are indexed together, and bytes of query vectors that are broadcast together, at most.
     block_rows: int = 16384
     query_bytes: int = 32_000_000
@@ -79,9 +79,9 @@ class Block:
             new = [self.order[i:j] for i, j in zip(a.tolist(), low.tolist()) if i < j] + [self.order[i:j] for i, j in zip(high.tolist(), b.tolist()) if i < j]
             if new:
                 count += np.bincount(np.concatenate(new), minlength=n)
-            hit = np.flatnonzero(count >= s.collisions)
-            if len(hit) >= wanted or half > self.reach:
-                return hit
+            if np.count_nonzero(count >= s.collisions) >= wanted or half > self.reach:
+                # The last round may take in many rows at once: the threshold rises as long as enough of them exceed it.
+                return np.flatnonzero(count >= max(s.collisions, np.partition(count, n - wanted)[n - wanted]))
             # Virtual rehashing: the same arrays serve for every wider window.
             low, high, half = a, b, half * s.widen
 
