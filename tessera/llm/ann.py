@@ -22,7 +22,7 @@ class Settings:
     width: float = 0.9
     widen: float = 1.2
     #: Rounds end when this share of a block has been verified (and four times k vectors).
-    verified: float = 0.22
+    verified: float = 0.25
     #: Rows that are indexed together, and bytes of query vectors that are broadcast together, at most.
     block_rows: int = 16384
     query_bytes: int = 32_000_000
