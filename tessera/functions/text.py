@@ -89,14 +89,35 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
 
 
+# Shortcodes known by name alone.
+SHORTCODES = ("caption", "gallery", "embed", "audio", "video", "playlist", "wp_caption", "contact-form", "gravityform", "et_pb_section", "vc_row", "vc_column")
+
+
+def shortcodes(c: Column) -> Column:
+    """Sorted names of bracketed codes: those with an attribute, a closing mate or a known name; other brackets are prose."""
+    name = lambda m: F.regexp_extract(m, r"^\[/*([A-Za-z0-9_-]+)", 1)
+    marks = F.regexp_extract_all(c, F.lit(r"\[[^\]]{0,199}\]"), F.lit(0))
+    closed = F.transform(F.filter(marks, lambda m: m.startswith("[/")), name)
+    sure = F.filter(marks, lambda m: ~m.startswith("[/") & (F.contains(m, F.lit("=")) | F.array_contains(closed, name(m)) | F.lower(name(m)).isin(*SHORTCODES)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(sure, name), lambda n: n != "")))
+
+
+def without_shortcodes(c: Column, names: Column) -> Column:
+    """The text without the marks of these codes; what they wrap stays."""
+    mark = F.concat(F.lit(r"\[/*(?:"), F.array_join(names, "|"), F.lit(r")(?:[^\]A-Za-z0-9_-][^\]]{0,197})?\]"))
+    return F.when(F.size(names) > 0, F.regexp_replace(c, mark, F.lit(" "))).otherwise(c)
+
+
 def clean_html(c: Column) -> Column:
     """HTML to paragraphs joined by blank lines.
 
-    Scripts, styles and comments go (unterminated ones with all that follows), breaks end lines, block ends end paragraphs,
-    other tags go, entities are decoded, blanks collapse and empty paragraphs go.
+    Scripts, styles and comments go (unterminated ones with all that follows), and the marks of shortcodes; breaks end lines,
+    block ends end paragraphs, other tags go, entities are decoded, blanks collapse and empty paragraphs go.
     """
+    names = shortcodes(c)
     for name in ("script", "style"):
         c = F.regexp_replace(c, rf"(?s)<{name}.*?(</{name}>|\z)", " ")
+    c = without_shortcodes(c, names)
     c = F.regexp_replace(c, r"(?s)<!--.*?(-->|\z)", " ")
     c = reduce(lambda acc, t: F.replace(acc, F.lit(t), F.lit("\n")), BREAKS, c)
     c = reduce(lambda acc, t: F.replace(acc, F.lit(t), F.lit("\n\n")), BLOCK_ENDS, c)
@@ -120,6 +141,11 @@ def unbalanced(c: Column) -> Column:
     return F.contains(closed, F.lit("<"))
 
 
+def broken(c: Column) -> Column:
+    """True for a body with an unbalanced tag or any shortcode."""
+    return unbalanced(c) | (F.size(shortcodes(c)) > 0)
+
+
 def url_key(c: Column) -> Column:
     """Lower case, https, www and no closing slash."""
     c = F.regexp_replace(F.lower(F.trim(c)), "^http://", "https://")
@@ -205,3 +231,62 @@ def plausible_year(c: Column) -> Column:
     """The first four characters as a year from 1990 to 2100, else null."""
     y = F.substring(c, 1, 4).try_cast("int")
     return F.when(y.between(1990, 2100), y)
+
+
+def identifier(c: Column) -> Column:
+    """Only ASCII letters, digits, `_` and `-` stay."""
+    return F.regexp_replace(c, "[^A-Za-z0-9_-]", "")
+
+
+def host(c: Column) -> Column:
+    """Host of an address: no scheme, path, user, port or leading www."""
+    c = F.regexp_replace(F.lower(F.trim(c)), r"^[a-z][a-z0-9+.-]*://", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"[/?#].*$", ""), r"^.*@", "")
+    return F.regexp_replace(F.regexp_replace(c, r":\d+$", ""), r"^www\.", "")
+
+
+def length_between(c: Column, least: int = 300, most: int = 1200) -> Column:
+    """True for texts of `least` to `most` words."""
+    return word_count(c).between(least, most)
+
+
+def description(text: Column, tipo: Column) -> Column:
+    """True for a post or organisation that is described, not named: no later word over three letters is capitalised."""
+    words = F.slice(F.split(F.trim(text), r"\s+"), 2, 1 << 20)
+    named = F.exists(words, lambda w: (F.length(w) > 3) & (F.substring(w, 1, 1) == F.upper(F.substring(w, 1, 1))) & ~F.lower(w).isin("de", "del", "la", "el", "los", "las", "y", "en", "para"))
+    of = F.trim(text).rlike(r"(?i)\bde\b")
+    return tipo.isin("cargo", "organizacion") & (F.length(F.trim(text)) >= 4) & (~named | ((tipo == "cargo") & of))
+
+
+def label_key(label: Column, labels: dict[str, str]) -> Column:
+    """The key whose wording a model's label is, in lower case; an unknown label is its own key."""
+    low = F.lower(label)
+    keys = F.create_map(*(x for k, v in labels.items() for x in (F.lit(v), F.lit(k))))
+    return F.coalesce(F.element_at(keys, low), low)
+
+
+def highlighted(text: Column, names: list[str], mark: str = "**") -> Column:
+    """The text with every one of the names marked, longer names first; names of one letter are left alone."""
+    import re
+
+    found = sorted((n for n in names if len(n) > 1), key=lambda n: (-len(n), n))
+    return F.regexp_replace(text, "(" + "|".join(map(re.escape, found)) + ")", f"{mark}$1{mark}") if found else text
+
+
+def clamped(at: Column, step: Column, last: Column) -> Column:
+    """The place `step` further on, held between 0 and `last`."""
+    return F.greatest(F.lit(0), F.least(last, at + step))
+
+
+def name_variants(c: Column) -> Column:
+    """Ways a name may be written, in order of preference: whole, its significant words, its last word of four letters or more."""
+    words = core(c)
+    last = F.try_element_at(words, F.lit(-1))
+    return F.array_distinct(F.array_compact(F.array(fold(c), F.nullif(F.array_join(words, " "), F.lit("")), F.when(F.length(last) >= 4, last))))
+
+
+def located(text: Column, needle: Column) -> Column:
+    """Where a model's wording stands in a text: struct (ini, fin, intento), as it is (0), case aside (1) or accents aside too (2); null if nowhere."""
+    tries = [F.instr(text, needle), F.instr(F.lower(text), F.lower(needle)), F.instr(ui_fold(text), ui_fold(needle))]
+    found = lambda i: F.when(tries[i] > 0, F.struct((tries[i] - 1).alias("ini"), (tries[i] - 1 + F.length(needle)).alias("fin"), F.lit(i).alias("intento")))
+    return F.when(F.length(needle) > 0, F.coalesce(*(found(i) for i in range(3))))

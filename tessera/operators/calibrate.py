@@ -44,9 +44,11 @@ def sweep(props: DataFrame, added: DataFrame, current: DataFrame, by: str = "tip
 
 def accepted(shown: DataFrame, marks: DataFrame) -> DataFrame:
     """Shown proposals with `aceptada`: a human mark of the same type overlaps (several proposals may claim one mark)."""
-    hit = overlap_join(shown, marks.select("wp_id", "pi", "ini", "fin", "tipo"), "left_semi").select("wp_id", "pi", "ini", "fin", "tipo", "texto", "score").withColumn("aceptada", F.lit(True))
-    miss = overlap_join(shown, marks.select("wp_id", "pi", "ini", "fin", "tipo"), "left_anti").select("wp_id", "pi", "ini", "fin", "tipo", "texto", "score").withColumn("aceptada", F.lit(False))
-    return hit.union(miss)
+    columns = ["wp_id", "pi", "ini", "fin", "tipo", "texto", "score"]
+    counted = shown.groupBy(*columns).agg(F.count("*").alias("_n"))
+    joined = overlap_join(counted, marks.select("wp_id", "pi", "ini", "fin", "tipo"), "left")
+    judged = joined.groupBy(*columns).agg(F.first("_n").alias("_n"), F.max(F.col("h_wp_id").isNotNull()).alias("aceptada"))
+    return judged.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
 def added_marks(marks: DataFrame, shown: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.calibrate import f1
+from tessera.operators.marking import proper_nouns
 from tessera.operators.spans import overlap_join
 
 SPAN = ["wp_id", "pi", "ini", "fin", "tipo"]
@@ -103,3 +104,35 @@ def generic_rate(props: DataFrame, sure: float = 0.9) -> DataFrame:
     low = F.col("texto") == F.lower("texto")
     named = props.where(~F.col("tipo").isin("monto", "cargo"))
     return named.agg(F.count("*").alias("n"), F.round(F.avg(low.cast("double")), 6).alias("tasa"), F.count_if(low & (F.col("score") >= sure)).alias("seguras"))
+
+
+def runs_against_decisions(run: DataFrame, kept: DataFrame, proposals: DataFrame, cut: float) -> DataFrame:
+    """Per reviewed article, what a run found again: of the marks kept, and of the proposals that people deleted.
+
+    A proposal is deleted if no kept mark of its type overlaps it. Columns: wp_id, halladas, conservadas, repetidas, borradas, propuestas.
+    """
+    place = ["wp_id", "pi", "ini", "fin", "tipo"]
+    gold = kept.select(*place).distinct()
+    reviewed = gold.select("wp_id").distinct()
+    gone = overlap_join(proposals.select(*place).distinct().join(reviewed, "wp_id", "left_semi"), gold, "left_anti")
+    found = run.where(F.col("score") >= cut).select(*place).distinct().join(reviewed, "wp_id", "left_semi")
+
+    def hits(df: DataFrame, names: tuple[str, str]) -> DataFrame:
+        again = overlap_join(df, found, "left").groupBy(*place).agg(F.max(F.col("h_wp_id").isNotNull()).alias("hit"))
+        return again.groupBy("wp_id").agg(F.count_if("hit").alias(names[0]), F.count("*").alias(names[1]))
+
+    out = hits(gold, ("halladas", "conservadas")).join(hits(gone, ("repetidas", "borradas")), "wp_id", "left")
+    out = out.join(found.groupBy("wp_id").agg(F.count("*").alias("propuestas")), "wp_id", "left")
+    return out.select("wp_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("halladas", "conservadas", "repetidas", "borradas", "propuestas")))
+
+
+def verdict_tally(verdicts: DataFrame) -> DataFrame:
+    """Per type how many verdicts of each kind, and their share: tipo, veredicto, n, cuota."""
+    n = verdicts.groupBy("tipo", "veredicto").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("tipo").agg(F.sum("n").alias("all")), "tipo").select("tipo", "veredicto", "n", F.round(F.col("n") / F.col("all"), 6).alias("cuota"))
+
+
+def suspicious_empty(paragraphs: DataFrame, marks: DataFrame, least: int = 2) -> DataFrame:
+    """Paragraphs (wp_id, pi, propios) without a mark though `least` words in them look like proper nouns: to be tried again."""
+    some = paragraphs.withColumn("propios", proper_nouns(F.col("parrafo"))).where(F.col("propios") >= least)
+    return some.join(marks.select("wp_id", "pi"), ["wp_id", "pi"], "left_anti").select("wp_id", "pi", "propios")

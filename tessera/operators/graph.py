@@ -61,14 +61,18 @@ def evidence(relations: DataFrame, census: DataFrame, paragraphs: DataFrame, a:
 def occupants(descriptions: DataFrame, holders: DataFrame, k: int | None = None) -> DataFrame:
     """For each unnamed post all holders, or the first k, nearest in time first: known years first, then by distance, then by name.
 
-    One entry per holder and year. Posts are compared in lower case.
+    One entry per holder and year. Posts are compared in lower case. Holders are ranked once for each post and year asked for;
+    descriptions, however many, take that ranking.
     """
     d = descriptions.select("wp_id", F.lower("cargo").alias("post"), "anio")
     h = holders.select(F.lower("cargo").alias("post"), "nombre", F.col("anio").alias("h_anio")).distinct()
     gap = F.abs(F.col("anio") - F.col("h_anio"))
-    w = Window.partitionBy("wp_id", "post").orderBy(gap.isNull(), gap, "nombre", "h_anio")
-    ranked = d.join(h, "post").withColumn("puesto", F.row_number().over(w))
-    return (ranked if k is None else ranked.where(F.col("puesto") <= k)).select("wp_id", "post", "puesto", "nombre", F.col("h_anio").alias("anio_titular"))
+    asked = d.select("post", "anio").distinct()
+    w = Window.partitionBy("post", "anio").orderBy(gap.isNull(), gap, "nombre", "h_anio")
+    ranked = asked.join(h, "post").withColumn("puesto", F.row_number().over(w))
+    ranked = ranked if k is None else ranked.where(F.col("puesto") <= k)
+    same = (F.col("d.post") == F.col("r.post")) & F.col("d.anio").eqNullSafe(F.col("r.anio"))
+    return d.alias("d").join(ranked.alias("r"), same).select("d.wp_id", "d.post", "r.puesto", "r.nombre", F.col("r.h_anio").alias("anio_titular"))
 
 
 def summary(marks: DataFrame, proposals: DataFrame, human: DataFrame, model: DataFrame) -> DataFrame:

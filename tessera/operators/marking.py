@@ -1,4 +1,4 @@
-"""Marking texts: occurrences, lexicon, speakers, chunks, token offsets, shortcodes, and the model interface."""
+"""Marking texts: occurrences, lexicon, speakers, chunks, token offsets, and the model interface."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from tessera.operators.spans import greedy
 
 _FOLD = str.maketrans(UI_FROM + UI_FROM.upper(), UI_TO + UI_TO)
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
-# Shortcodes known by name alone.
-SHORTCODE = r"\[/?([a-zA-Z][\w-]*)([^\[\]]{0,200})\]"
 
 
 def _plain(s: str) -> str:
@@ -95,14 +93,6 @@ def tokens(text: Column) -> Column:
     return of(text)
 
 
-def shortcodes(html: Column) -> Column:
-    """Names of bracketed codes that have an attribute or a closing mate."""
-    names = F.regexp_extract_all(html, F.lit(SHORTCODE), F.lit(1))
-    closed = F.regexp_extract_all(html, F.lit(r"\[/([a-zA-Z][\w-]*)\]"), F.lit(1))
-    valued = F.regexp_extract_all(html, F.lit(r"\[([a-zA-Z][\w-]*)[^\[\]]{0,200}=[^\[\]]{0,200}\]"), F.lit(1))
-    return F.array_sort(F.array_intersect(F.array_distinct(names), F.array_union(closed, valued)))
-
-
 def proper_nouns(text: Column) -> Column:
     """Capitalised words that do not open a sentence."""
     return F.regexp_count(text, F.lit(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+")).cast("long")

@@ -107,15 +107,21 @@ def canonical_names(same: DataFrame) -> DataFrame:
 
 
 def in_article(mentions: DataFrame) -> DataFrame:
-    """Short forms within an article with the full form they stand for, if exactly one full form fits.
+    """Short forms within an article with the full form they stand for, if exactly one full form fits: wp_id, tipo, texto, canonico.
 
-    A short form's words stand in order in the longer name of the same type; persons and organisations only.
+    Full forms have two significant words or more; forms of one fold are one, written as its longest. A short form
+    fits a full one of its type (persons and organisations only) that has its word, or whose initials its capitals are.
     """
     m = prepared(mentions.where(F.col("tipo").isin("persona", "organizacion")).select("wp_id", "tipo", F.col("texto").alias("nombre")).distinct())
-    a, b = m.alias("a"), m.alias("b")
-    fits = (F.size("a.p.core") > 0) & (F.size("a.p.core") < F.size("b.p.core")) & subsequence(F.col("a.p.core"), F.col("b.p.core"))
-    j = a.join(b, (F.col("a.wp_id") == F.col("b.wp_id")) & (F.col("a.tipo") == F.col("b.tipo")) & fits)
-    n = j.groupBy(F.col("a.wp_id").alias("wp_id"), F.col("a.tipo").alias("tipo"), F.col("a.nombre").alias("texto")).agg(F.count_distinct("b.nombre").alias("k"), F.min("b.nombre").alias("canonico"))
+    full = m.where(F.size("p.core") >= 2).groupBy("wp_id", "tipo", "p.fold").agg(F.max_by(F.struct("nombre", "p"), F.struct(F.length("nombre"), "nombre")).alias("x"))
+    words = F.transform("x.p.core", lambda w: F.concat(F.lit("w:"), w))
+    keys = F.array_distinct(F.concat(words, F.array(F.concat(F.lit("s:"), F.array_join("x.p.ini", "")))))
+    full = full.select("wp_id", "tipo", F.col("x.nombre").alias("canonico"), F.explode(keys).alias("k"))
+    letters = F.regexp_replace("nombre", r"[^\p{L}]", "")
+    capitals = ~F.col("nombre").rlike(r"\p{Ll}") & (letters != "")
+    tries = F.array_compact(F.array(F.concat(F.lit("w:"), F.col("p.core")[0]), F.when(capitals, F.concat(F.lit("s:"), F.lower(letters)))))
+    short = m.where(F.size("p.core") == 1).select("wp_id", "tipo", F.col("nombre").alias("texto"), F.explode(tries).alias("k"))
+    n = short.join(full, ["wp_id", "tipo", "k"]).groupBy("wp_id", "tipo", "texto").agg(F.count_distinct("canonico").alias("k"), F.min("canonico").alias("canonico"))
     return n.where("k = 1").drop("k")
 
 

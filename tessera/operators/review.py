@@ -127,3 +127,28 @@ def best_batch(progress_rows: DataFrame) -> DataFrame:
 
 def rank_within(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return df.withColumn("puesto", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def decide(decisions: DataFrame, new: DataFrame) -> DataFrame:
+    """Decisions (clave, decision, confianza, texto) after new ones of the same columns: the new one of a key stands."""
+    return new.unionByName(decisions.join(new.select("clave"), "clave", "left_anti"))
+
+
+def undo(decisions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Decisions with those of the keys put off, at confidence 0; the text says what stood there."""
+    hit = F.col("_h").isNotNull()
+    j = decisions.join(keys.select("clave").distinct().withColumn("_h", F.lit(1)), "clave", "left")
+    said = F.concat(F.lit("deshecha: "), "decision")
+    return j.select("clave", F.when(hit, "posponer").otherwise(F.col("decision")).alias("decision"), F.when(hit, 0.0).otherwise(F.col("confianza")).alias("confianza"), F.when(hit, said).otherwise(F.col("texto")).alias("texto"))
+
+
+def merged_config(defaults: DataFrame, file: DataFrame, pruned: DataFrame, never: float = 1.01) -> DataFrame:
+    """Cut-offs (clave, corte): a file's values over the defaults, and a cut that nothing reaches for pruned keys."""
+    layers = defaults.select("clave", "corte", F.lit(0).alias("_o")).union(file.select("clave", "corte", F.lit(1))).union(pruned.select("clave", F.lit(never), F.lit(2)))
+    return layers.groupBy("clave").agg(F.max_by("corte", "_o").alias("corte"))
+
+
+def looked_up(keys: DataFrame, values: DataFrame, key: str, value: str, default) -> DataFrame:
+    """Each key with its value, or the default where it has none."""
+    return keys.select(key).join(values.select(key, value), key, "left").select(key, F.coalesce(value, F.lit(default)).alias(value))
+

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.profile import year
+from tessera.scratch import materialize
 
 NO_SECTION = "sin sección"
 
@@ -13,18 +14,30 @@ NO_SECTION = "sin sección"
 def closure(terms: DataFrame, most_depth: int = 64) -> DataFrame:
     """(ancestor, term_id) for every term and each of its ancestors, itself included; cycles end where they close.
 
-    A taxonomy is small and bounded by its depth: each round joins one level, until none is new.
+    Each round joins one level and is written to a scratch table, until none is new. Deeper taxonomies than `most_depth` are an error.
     """
-    edges = terms.select("term_id", "parent")
-    found = terms.select(F.col("term_id").alias("ancestor"), "term_id").distinct()
+    edges = materialize(terms.select("term_id", "parent").distinct())
+    found = materialize(edges.select(F.col("term_id").alias("ancestor"), "term_id").distinct())
     front = found
+    down = edges.select(F.col("parent").alias("term_id"), F.col("term_id").alias("child"))
     for _ in range(most_depth):
-        front = front.join(edges.select(F.col("parent").alias("term_id"), F.col("term_id").alias("child")), "term_id").select("ancestor", F.col("child").alias("term_id")).distinct()
-        front = front.join(found, ["ancestor", "term_id"], "left_anti")
+        below = front.join(down, "term_id").select("ancestor", F.col("child").alias("term_id")).distinct()
+        front = materialize(below.join(found, ["ancestor", "term_id"], "left_anti"))
         if front.isEmpty():
-            break
+            return found
         found = found.union(front)
-    return found
+    raise ValueError(f"the taxonomy is deeper than {most_depth} levels")
+
+
+def levels(terms: DataFrame) -> DataFrame:
+    """The tree of terms: (term_id, parent, nivel, hijos) from the roots (parent 0) down; orphans and cycles are not in it."""
+    up = closure(terms)
+    known = terms.select("term_id", "parent").distinct()
+    roots = known.where("parent = 0").select(F.col("term_id").alias("ancestor"))
+    inside = up.join(roots, "ancestor", "left_semi").select("term_id").distinct()
+    depth = up.join(inside, "term_id", "left_semi").groupBy("term_id").agg((F.count("*") - 1).alias("nivel"))
+    children = known.groupBy(F.col("parent").alias("term_id")).agg(F.count("*").alias("hijos"))
+    return depth.join(known, "term_id").join(children, "term_id", "left").select("term_id", "parent", "nivel", F.coalesce("hijos", F.lit(0)).alias("hijos"))
 
 
 def subtree(terms: DataFrame, roots: list[int]) -> DataFrame:

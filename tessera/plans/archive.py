@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, predicates
+from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, TYPES, predicates
 from tessera.operators import alignment, calibrate, evaluate, graph, marking, profile, relations, resolve, review, sampling, scope, sinks, spans
 from tessera.plans.stand_ins import load, with_views
 from tessera.sources import windows
@@ -30,6 +30,41 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Bodies --------------------------------------------------------------------------------------------------------------
+
+_MARKS = "regexp_extract_all(html, '\\[[^\\]]{0,199}\\]')"
+_NAME = "regexp_extract({0}, '^\\[/*([A-Za-z0-9_-]+)', 1)"
+_SURE = ", ".join(f"'{n}'" for n in T.SHORTCODES)
+_CODES = f"list_sort(list_distinct(list_filter(list_transform(list_filter({_MARKS}, lambda m: NOT starts_with(m, '[/') AND (contains(m, '=') OR list_contains(list_transform(list_filter({_MARKS}, lambda c: starts_with(c, '[/')), lambda c: {_NAME.format('c')}), {_NAME.format('m')}) OR lower({_NAME.format('m')}) IN ({_SURE}))), lambda m: {_NAME.format('m')}), lambda n: n <> '')))"
+_CLEAN = "html"
+for _n in ("script", "style"):
+    _CLEAN = f"regexp_replace({_CLEAN}, '<{_n}.*?(</{_n}>|\\z)', ' ', 'gs')"
+_CLEAN = f"CASE WHEN len(codes) > 0 THEN regexp_replace({_CLEAN}, concat('\\[/*(?:', array_to_string(codes, '|'), ')(?:[^\\]A-Za-z0-9_-][^\\]]{{0,197}})?\\]'), ' ', 'g') ELSE {_CLEAN} END"
+_CLEAN = f"regexp_replace({_CLEAN}, '<!--.*?(-->|\\z)', ' ', 'gs')"
+_BARE = "html"
+for _n in ("script", "style"):
+    _BARE = f"regexp_replace({_BARE}, '<{_n}.*?(</{_n}>|\\z)', ' ', 'gs')"
+_BARE = f"contains(regexp_replace(regexp_replace({_BARE}, '<!--.*?(-->|\\z)', ' ', 'gs'), '<[^<>]*>', '', 'g'), '<') OR len(codes) > 0"
+for _x in T.BREAKS:
+    _CLEAN = f"replace({_CLEAN}, '{_x}', chr(10))"
+for _x in T.BLOCK_ENDS:
+    _CLEAN = f"replace({_CLEAN}, '{_x}', chr(10) || chr(10))"
+_CLEAN = f"regexp_replace({_CLEAN}, '<[^>]*(>|\\z)', '', 'gs')"
+for _a, _b in T.BODY_ENTITIES:
+    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+_PAGES = (
+    f"coded AS (SELECT page_id, html, {_CODES} AS codes FROM pages), "
+    f"lined AS (SELECT page_id, html, codes, {_BARE} AS broken, array_to_string(list_transform(string_split({_CLEAN}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10)) AS x FROM coded), "
+    "cleaned AS (SELECT page_id AS wp_id, html, codes, broken, contains(html, 'wp-block-') OR contains(html, '<!-- wp:') AS blocks, array_to_string(list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS texto FROM lined), "
+    "probe AS (SELECT wp_id, CAST(len(regexp_extract_all(texto, '\\S+')) AS BIGINT) AS words, blocks, broken FROM cleaned)"
+)
+
+
+def _probe(t):
+    h = F.col("html")
+    return t("pages").select(F.col("page_id").alias("wp_id"), T.word_count(T.clean_html(h)).alias("words"), T.has_blocks(h).alias("blocks"), T.broken(h).alias("broken"))
+
+
 # Profile ---------------------------------------------------------------------------------------------------------
 
 
@@ -59,19 +94,19 @@ def _(s, t):
     return profile.count_by(t("events"), "event_type", "tipo")
 
 
-@query("census_completion", "SELECT CAST((max(CAST(substr(date, 1, 4) AS INTEGER)) - min(CAST(substr(date, 1, 4) AS INTEGER)) + 1) * 12 + 1 AS BIGINT) AS ventanas, (SELECT count(DISTINCT substr(date, 1, 7)) FROM census WHERE date_valid AND wp_id % 5 = 0) AS hechas FROM census WHERE date_valid")
+@query("census_completion", "SELECT CAST((max(CAST(substr(date, 1, 4) AS INTEGER)) - min(CAST(substr(date, 1, 4) AS INTEGER)) + 1) * 12 + 1 AS BIGINT) AS ventanas, (SELECT count(DISTINCT substr(date, 1, 7)) FROM census WHERE date_valid AND CAST(substr(date, 6, 2) AS INTEGER) % 2 = 0) AS hechas FROM census WHERE date_valid")
 def _(s, t):
     c = t("census")
-    return profile.completion(c, c.where("date_valid AND wp_id % 5 = 0").select(F.substring("date", 1, 7).alias("label")))
+    return profile.completion(c, c.where("date_valid AND CAST(substr(date, 6, 2) AS INT) % 2 = 0").select(F.substring("date", 1, 7).alias("label")))
 
 
 @query(
     "content_probe",
-    "SELECT (SELECT count(*) FROM probe) AS n, (SELECT round(100 * avg(CAST(blocks AS DOUBLE)), 4) FROM probe) AS pct_bloques, (SELECT round(100 * avg(CAST(words < 120 AS DOUBLE)), 4) FROM probe) AS pct_cortas, (SELECT round(100 * avg(CAST(broken AS DOUBLE)), 4) FROM probe) AS pct_rotas, "
+    f"WITH {_PAGES} SELECT (SELECT count(*) FROM probe) AS n, (SELECT round(100 * avg(CAST(blocks AS DOUBLE)), 4) FROM probe) AS pct_bloques, (SELECT round(100 * avg(CAST(words < 120 AS DOUBLE)), 4) FROM probe) AS pct_cortas, (SELECT round(100 * avg(CAST(broken AS DOUBLE)), 4) FROM probe) AS pct_rotas, "
     "(SELECT words FROM probe ORDER BY words LIMIT 1 OFFSET (SELECT CAST(round((count(*) - 1) * 0.5) AS BIGINT) FROM probe)) AS p50, (SELECT words FROM probe ORDER BY words LIMIT 1 OFFSET (SELECT CAST(round((count(*) - 1) * 0.9) AS BIGINT) FROM probe)) AS p90",
 )
 def _(s, t):
-    return profile.probe(t("probe"))
+    return profile.probe(_probe(t))
 
 
 @query("top_shortcodes", "SELECT valor, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS valor FROM part) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
@@ -79,9 +114,9 @@ def _(s, t):
     return profile.top_values(t("part").select(F.split("p_name", " ").alias("x")), "x")
 
 
-@query("excess_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excedente, count(*) AS grupos FROM (SELECT split_part(text, chr(10), 1) AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 AND split_part(text, chr(10), 1) <> '') AS g")
+@query("excess_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excedente, count(*) AS grupos FROM (SELECT title_key, count(*) AS n FROM census GROUP BY 1 HAVING count(*) > 1) AS g")
 def _(s, t):
-    return profile.excess_duplicates(t("documents").select(F.split("text", "\n")[0].alias("k")), "k")
+    return profile.excess_duplicates(t("census"), "title_key")
 
 
 _EX = "(SELECT coalesce(string_agg(CAST(wp_id AS STRING), ',' ORDER BY wp_id), '') FROM (SELECT wp_id FROM {} ORDER BY wp_id LIMIT 3))"
@@ -89,7 +124,8 @@ _EX = "(SELECT coalesce(string_agg(CAST(wp_id AS STRING), ',' ORDER BY wp_id), '
 
 @query(
     "quality_findings",
-    "WITH k AS (SELECT title_key, count(*) AS n, min(wp_id) AS wp_id FROM census GROUP BY 1 HAVING count(*) > 1), u AS (SELECT wp_id FROM census WHERE NOT date_valid), "
+    f"WITH {_PAGES}, "
+    "k AS (SELECT title_key, count(*) AS n, min(wp_id) AS wp_id FROM census GROUP BY 1 HAVING count(*) > 1), u AS (SELECT wp_id FROM census WHERE NOT date_valid), "
     "s AS (SELECT wp_id FROM census WHERE wp_id NOT IN (SELECT wp_id FROM bridge)), r AS (SELECT wp_id FROM probe WHERE broken), c AS (SELECT wp_id FROM probe WHERE words < 120) "
     f"SELECT 'fecha_invalida' AS hallazgo, true AS bloquea, (SELECT count(*) FROM u) AS n, false AS estimado, {_EX.format('u')} AS ejemplos "
     f"UNION ALL SELECT 'duplicados', false, (SELECT CAST(sum(n - 1) AS BIGINT) FROM k), false, {_EX.format('k')} "
@@ -98,7 +134,7 @@ _EX = "(SELECT coalesce(string_agg(CAST(wp_id AS STRING), ',' ORDER BY wp_id), '
     f"UNION ALL SELECT 'notas_cortas', false, CAST(round((SELECT count(*) FROM census) * (SELECT count(*) FROM c) / (SELECT count(*) FROM probe)) AS BIGINT), (SELECT count(*) FROM probe) < (SELECT count(*) FROM census), {_EX.format('c')}",
 )
 def _(s, t):
-    return profile.findings(t("census"), t("bridge"), t("probe"))
+    return profile.findings(t("census"), t("bridge"), _probe(t))
 
 
 @query("section_share", "SELECT section AS seccion, count(*) AS n, round(count(*) / (SELECT count(*) FROM census), 6) AS cuota, count(*) / (SELECT count(*) FROM census) > 0.35 AS aviso, count(*) <= 1 AS suelta FROM census GROUP BY 1")
@@ -193,9 +229,9 @@ def _(s, t):
     return windows.monthly(s, 1995, 2001)
 
 
-@query("remaining_windows", f"SELECT * FROM ({_MONTHS}) AS w WHERE label NOT IN (SELECT substr(date, 1, 7) FROM census WHERE wp_id % 50 = 0)")
+@query("remaining_windows", f"SELECT * FROM ({_MONTHS}) AS w WHERE label NOT IN (SELECT substr(date, 1, 7) FROM census WHERE CAST(substr(date, 6, 2) AS INTEGER) % 2 = 0)")
 def _(s, t):
-    return windows.remaining(windows.monthly(s, 1995, 2001), t("census").where("wp_id % 50 = 0").select(F.substring("date", 1, 7).alias("label")))
+    return windows.remaining(windows.monthly(s, 1995, 2001), t("census").where("CAST(substr(date, 6, 2) AS INT) % 2 = 0").select(F.substring("date", 1, 7).alias("label")))
 
 
 @query("real_date_range", "SELECT greatest(min(CAST(substr(date, 1, 4) AS INTEGER)), 1990) AS desde, least(max(CAST(substr(date, 1, 4) AS INTEGER)), 2026) AS hasta FROM census")
@@ -255,33 +291,16 @@ def _(s, t):
     return t("pages").select("page_id", F.md5(T.decode_entities(F.col("html"))).alias("decodificado"))
 
 
-_CLEAN = "html"
-for _n in ("script", "style"):
-    _CLEAN = f"regexp_replace({_CLEAN}, '<{_n}.*?(</{_n}>|\\z)', ' ', 'gs')"
-_CLEAN = f"regexp_replace({_CLEAN}, '<!--.*?(-->|\\z)', ' ', 'gs')"
-for _x in T.BREAKS:
-    _CLEAN = f"replace({_CLEAN}, '{_x}', chr(10))"
-for _x in T.BLOCK_ENDS:
-    _CLEAN = f"replace({_CLEAN}, '{_x}', chr(10) || chr(10))"
-_CLEAN = f"regexp_replace({_CLEAN}, '<[^>]*(>|\\z)', '', 'gs')"
-for _a, _b in T.BODY_ENTITIES:
-    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
-
-
-@query(
-    "clean_html",
-    f"WITH c AS (SELECT page_id, array_to_string(list_transform(string_split({_CLEAN}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10)) AS x FROM pages), "
-    "d AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS texto FROM c) "
-    "SELECT page_id, md5(texto) AS texto, CAST(len(regexp_extract_all(texto, '\\S+')) AS BIGINT) AS palabras FROM d",
-)
+@query("clean_html", f"WITH {_PAGES} SELECT wp_id AS page_id, md5(texto) AS texto, CAST(len(regexp_extract_all(texto, '\\S+')) AS BIGINT) AS palabras FROM cleaned")
 def _(s, t):
     texto = T.clean_html(F.col("html"))
     return t("pages").select("page_id", texto.alias("x")).select("page_id", F.md5("x").alias("texto"), T.word_count(F.col("x")).alias("palabras"))
 
 
-@query("html_flags", "SELECT page_id, contains(html, 'wp-block-') OR contains(html, '<!-- wp:') AS bloques FROM pages")
+@query("html_flags", f"WITH {_PAGES} SELECT wp_id AS page_id, blocks AS bloques, broken AS roto, array_to_string(codes, ',') AS codigos FROM cleaned")
 def _(s, t):
-    return t("pages").select("page_id", T.has_blocks(F.col("html")).alias("bloques"))
+    h = F.col("html")
+    return t("pages").select("page_id", T.has_blocks(h).alias("bloques"), T.broken(h).alias("roto"), F.array_join(T.shortcodes(h), ",").alias("codigos"))
 
 
 @query("labels_of_values", "SELECT o_orderkey AS id, CASE WHEN o_totalprice < 90 THEN concat(CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING), ' s') WHEN o_totalprice < 5400 THEN concat(CAST(CAST(round(o_totalprice / 60) AS BIGINT) AS STRING), ' min') WHEN o_totalprice < 172800 THEN concat(CAST(CAST(round(o_totalprice / 3600) AS BIGINT) AS STRING), ' h') ELSE concat(CAST(CAST(round(o_totalprice / 86400) AS BIGINT) AS STRING), ' días') END AS duracion, concat('v', substr(sha256(o_orderpriority), 1, 12)) AS sello FROM orders")
@@ -305,26 +324,32 @@ def _(s, t):
     return p.groupBy("doc_id").agg((F.avg((T.word_count(F.col("parrafo")) < 12).cast("double")) > 0.6).alias("transcripcion"))
 
 
-@query("speaker_labels", "SELECT conv_id, role, count(*) AS turnos FROM conversations GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(
+    "speaker_labels",
+    "WITH p AS (SELECT conv_id AS wp_id, CAST(turn AS INTEGER) AS pi, concat(upper(substr(role, 1, 1)), substr(role, 2), ': ', text) AS parrafo FROM conversations), v AS (SELECT *, nullif(regexp_extract(parrafo, '^(\\p{Lu}[\\p{L}. ]{1,40}):\\s+', 1), '') AS voz FROM p), "
+    "n AS (SELECT wp_id, voz FROM v WHERE voz IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2) SELECT v.wp_id, v.pi, n.voz, md5(CASE WHEN n.voz IS NOT NULL THEN regexp_replace(parrafo, '^\\p{Lu}[\\p{L}. ]{1,40}:\\s+', '') ELSE parrafo END) AS texto FROM v LEFT JOIN n ON n.wp_id = v.wp_id AND n.voz = v.voz",
+)
 def _(s, t):
-    return t("conversations").groupBy("conv_id", "role").agg(F.count("*").alias("turnos")).where("turnos >= 2")
+    said = F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100), F.lit(": "), F.col("text"))
+    p = t("conversations").select(F.col("conv_id").alias("wp_id"), F.col("turn").cast("int").alias("pi"), said.alias("parrafo"))
+    return marking.speakers(p).select("wp_id", "pi", "voz", F.md5("parrafo").alias("texto"))
 
 
 # Sinks -----------------------------------------------------------------------------------------------------------
 
 
-@query("upsert_newest", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'n' ELSE 'v' END AS dato FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("upsert_newest", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'n' ELSE 'v' END AS dato FROM customer")
 def _(s, t):
     c = t("customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("v").alias("dato"))
-    return sinks.upsert(old, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("n").alias("dato")), ["id"])
+    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.lit("v").alias("dato"))
+    return sinks.upsert(old, c.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("n").alias("dato")), ["id"])
 
 
-@query("guarded_upsert", "SELECT c_custkey AS clave, CASE WHEN c_custkey % 3 = 0 AND NOT (c_custkey % 2 = 0 AND c_custkey % 5 = 0) THEN 'juez' WHEN c_custkey % 5 = 0 THEN 'persona' ELSE 'regla' END AS fuente FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("guarded_upsert", "SELECT c_custkey AS clave, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 3 <> 0 THEN 'persona' WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'juez' ELSE 'regla' END AS fuente FROM customer")
 def _(s, t):
     c = t("customer").withColumnRenamed("c_custkey", "clave")
-    old = c.where("clave % 2 = 0").select("clave", F.when(F.col("clave") % 5 == 0, "persona").otherwise("regla").alias("fuente"))
-    return sinks.guarded_upsert(old, c.where("clave % 3 = 0").select("clave", F.lit("juez").alias("fuente")), ["clave"])
+    old = c.where("clave % 3 <> 0").select("clave", F.when(F.col("clave") % 5 == 0, "persona").otherwise("regla").alias("fuente"))
+    return sinks.guarded_upsert(old, c.where("clave % 2 = 0 OR clave % 3 = 0").select("clave", F.lit("juez").alias("fuente")), ["clave"])
 
 
 @query("replace_partition", "SELECT wp_id, mid FROM marks WHERE wp_id NOT IN (SELECT wp_id FROM marks WHERE tipo = 'cargo') UNION ALL SELECT wp_id, mid FROM marks WHERE tipo = 'cargo'")
@@ -338,11 +363,11 @@ def _(s, t):
     return sinks.keep_highest(t("relations"), ["wp_id", "a", "b", "predicado"])
 
 
-@query("merge_timing", "SELECT c_custkey AS wp_id, CASE WHEN c_custkey % 3 = 0 THEN 7.0 ELSE 5.0 END AS segundos, greatest(CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 9 = 0 THEN 1 ELSE 0 END) AS cerrado, CASE WHEN c_custkey % 4 = 0 THEN 1 WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS orden FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("merge_timing", "SELECT c_custkey AS wp_id, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 7.0 ELSE 5.0 END AS segundos, greatest(CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END) AS cerrado, CASE WHEN c_custkey % 3 <> 0 AND (c_custkey % 2 <> 0 OR c_custkey % 4 = 0) THEN 1 ELSE 2 END AS orden FROM customer")
 def _(s, t):
     c = t("customer").withColumnRenamed("c_custkey", "wp_id")
-    old = c.where("wp_id % 2 = 0").select("wp_id", F.lit(5.0).alias("segundos"), (F.col("wp_id") % 4 == 0).cast("int").alias("cerrado"), F.lit(1).alias("orden"))
-    new = c.where("wp_id % 3 = 0").select("wp_id", F.lit(7.0).alias("segundos"), (F.col("wp_id") % 9 == 0).cast("int").alias("cerrado"), F.lit(2).alias("orden"))
+    old = c.where("wp_id % 3 <> 0").select("wp_id", F.lit(5.0).alias("segundos"), (F.col("wp_id") % 4 == 0).cast("int").alias("cerrado"), F.lit(1).alias("orden"))
+    new = c.where("wp_id % 2 = 0 OR wp_id % 3 = 0").select("wp_id", F.lit(7.0).alias("segundos"), (F.col("wp_id") % 9 == 0).cast("int").alias("cerrado"), F.lit(2).alias("orden"))
     return sinks.merge_timing(old, new, ["wp_id"])
 
 
@@ -546,11 +571,11 @@ def _(s, t):
     return evaluate.one_to_one(t("proposals"), t("marks"))
 
 
-_TWO = "x AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks WHERE mid % 5 <> 0), y AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks WHERE mid % 3 <> 0)"
+_TWO = "x AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks WHERE mid % 5 <> 0), y AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks WHERE mid % 3 <> 0 OR mid % 5 = 0)"
 
 
 def _two(t):
-    return t("marks").where("mid % 5 <> 0"), t("marks").where("mid % 3 <> 0")
+    return t("marks").where("mid % 5 <> 0"), t("marks").where("mid % 3 <> 0 OR mid % 5 = 0")
 
 
 @query("annotator_agreement", f"WITH {_TWO}, j AS (SELECT coalesce(x.tipo, y.tipo) AS tipo, x.tipo IS NOT NULL AS a, y.tipo IS NOT NULL AS b FROM x FULL JOIN y ON x.wp_id = y.wp_id AND x.pi = y.pi AND x.ini = y.ini AND x.fin = y.fin AND x.tipo = y.tipo), n AS (SELECT * FROM j UNION ALL SELECT '*', a, b FROM j) SELECT tipo, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS ambas, round(2 * count(*) FILTER (a AND b) / (count(*) FILTER (a) + count(*) FILTER (b)), 6) AS acuerdo FROM n GROUP BY 1")
@@ -570,11 +595,11 @@ def _(s, t):
 
 @query(
     "compare_runs",
-    "WITH x AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks), y AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM proposals WHERE wp_id % 3 = 0), m AS (SELECT x.*, EXISTS (SELECT 1 FROM y WHERE x.wp_id = y.wp_id AND x.pi = y.pi AND x.tipo = y.tipo AND x.ini < y.fin AND y.ini < x.fin) AS hit FROM x), o AS (SELECT y.tipo FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.wp_id = y.wp_id AND x.pi = y.pi AND x.tipo = y.tipo AND x.ini < y.fin AND y.ini < x.fin)), "
+    "WITH x AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks), y AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM proposals), m AS (SELECT x.*, EXISTS (SELECT 1 FROM y WHERE x.wp_id = y.wp_id AND x.pi = y.pi AND x.tipo = y.tipo AND x.ini < y.fin AND y.ini < x.fin) AS hit FROM x), o AS (SELECT y.tipo FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.wp_id = y.wp_id AND x.pi = y.pi AND x.tipo = y.tipo AND x.ini < y.fin AND y.ini < x.fin)), "
     "n AS (SELECT tipo, count(*) FILTER (hit) AS emparejadas, count(*) FILTER (NOT hit) AS solo_a, (SELECT count(*) FROM o WHERE o.tipo = m.tipo) AS solo_b FROM m GROUP BY 1) SELECT *, round(emparejadas / (emparejadas + solo_a + solo_b), 6) AS acuerdo FROM n",
 )
 def _(s, t):
-    return evaluate.compare_runs(t("marks"), t("proposals").where("wp_id % 3 = 0"))
+    return evaluate.compare_runs(t("marks"), t("proposals"))
 
 
 @query("generic_rate", "SELECT count(*) AS n, round(avg(CAST(texto = lower(texto) AS DOUBLE)), 6) AS tasa, count(*) FILTER (texto = lower(texto) AND score >= 0.9) AS seguras FROM (SELECT tipo, score, CASE WHEN wp_id % 4 = 0 THEN lower(texto) ELSE texto END AS texto FROM proposals) AS p WHERE tipo NOT IN ('monto', 'cargo')")
@@ -591,29 +616,35 @@ def _(s, t):
 # Resolution and graph --------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(string_split(lower({0}), ' '), lambda x: length(x) > 1)"
+_INI = "list_transform(string_split(lower({0}), ' '), lambda x: substr(x, 1, 1))"
+_WITHIN = "regexp_matches(concat(' ', array_to_string({1}, ' '), ' '), concat(' ', array_to_string({0}, ' (.* )?'), ' '))"
+_ABBR = "(octet_length(encode({0}[-1])) >= 3 AND list_contains({1}, {0}[-1]) AND regexp_matches(array_to_string({3}, ''), array_to_string({2}, '.*')))"
+_CASES = (
+    f"p AS (SELECT nombre, tipo, menciones, lower(nombre) AS f, {_TOK.format('nombre')} AS c, {_INI.format('nombre')} AS i FROM names), "
+    "j AS (SELECT a.tipo, a.nombre AS a, b.nombre AS b, a.menciones + b.menciones AS menciones, a.f = b.f AS same, a.c AS ca, b.c AS cb, a.i AS ia, b.i AS ib, CASE WHEN len(a.c) <= len(b.c) THEN a.c ELSE b.c END AS cs, CASE WHEN len(a.c) <= len(b.c) THEN b.c ELSE a.c END AS cl, len(list_intersect(a.c, b.c)) AS k, least(len(a.c), len(b.c)) AS lo, greatest(len(a.c), len(b.c)) AS hi, "
+    "len(list_distinct(a.c)) + len(list_distinct(b.c)) - len(list_intersect(a.c, b.c)) AS un FROM p AS a JOIN p AS b ON a.tipo = b.tipo AND a.nombre < b.nombre AND list_has_any(a.c, b.c)), "
+    f"s AS (SELECT *, CASE WHEN same THEN 1.0 WHEN tipo = 'persona' THEN CASE WHEN {_WITHIN.format('cs', 'cl')} THEN CASE WHEN lo = 1 THEN 0.45 ELSE 0.6 + 0.3 * (lo / hi) END WHEN {_ABBR.format('ca', 'cb', 'ia', 'ib')} OR {_ABBR.format('cb', 'ca', 'ib', 'ia')} THEN 0.55 ELSE 0 END "
+    "WHEN k = lo THEN 0.55 + 0.3 * (lo / hi) WHEN substr(ca[1], 1, 1) = substr(cb[1], 1, 1) AND substr(ca[2], 1, 1) = substr(cb[2], 1, 1) THEN 0.45 + 0.05 * k WHEN k / un >= 0.5 THEN k / un * 0.8 ELSE 0 END AS x FROM j), "
+    "cases AS (SELECT tipo, a, b, round(x, 2) AS confianza, CAST(menciones AS BIGINT) AS menciones FROM s WHERE round(x, 2) >= 0.4) "
+)
 
 
-@query(
-    "resolution_cases",
-    f"WITH p AS (SELECT nombre, tipo, menciones, {_TOK.format('nombre')} AS c FROM names), j AS (SELECT a.tipo, a.nombre AS a, b.nombre AS b, a.menciones + b.menciones AS menciones, a.c AS ca, b.c AS cb, len(list_intersect(a.c, b.c)) AS k, least(len(a.c), len(b.c)) AS lo, greatest(len(a.c), len(b.c)) AS hi, len(list_distinct(a.c)) + len(list_distinct(b.c)) - len(list_intersect(a.c, b.c)) AS un FROM p AS a JOIN p AS b ON a.tipo = b.tipo AND a.nombre < b.nombre WHERE a.tipo = 'organizacion'), "
-    "s AS (SELECT *, CASE WHEN k = 0 THEN 0 WHEN k = lo THEN 0.55 + 0.3 * (lo / hi) WHEN substr(ca[1], 1, 1) = substr(cb[1], 1, 1) AND substr(ca[2], 1, 1) = substr(cb[2], 1, 1) THEN 0.45 + 0.05 * (k + 0) WHEN k / un >= 0.5 THEN k / un * 0.8 ELSE 0 END AS f FROM j) "
-    "SELECT tipo, a, b, round(f, 2) AS confianza, CAST(menciones AS BIGINT) AS menciones FROM s WHERE round(f, 2) >= 0.4",
-)
+@query("resolution_cases", f"WITH {_CASES} SELECT * FROM cases")
 def _(s, t):
-    return resolve.cases(t("names").where("tipo = 'organizacion'")).select("tipo", "a", "b", "confianza", "menciones")
+    return resolve.cases(t("names")).select("tipo", "a", "b", "confianza", "menciones")
 
 
-@query("person_cases")
+@query("person_cases", f"WITH {_CASES} SELECT * FROM cases ORDER BY confianza, menciones DESC, a, b, tipo LIMIT 50")
 def _(s, t):
-    return resolve.queue(resolve.cases(t("names")), 50)
+    return resolve.queue(resolve.cases(t("names")), 50).select("tipo", "a", "b", "confianza", "menciones")
 
 
-_SAME = "(SELECT n_name AS a, concat('NATION_', CAST(n_nationkey % 7 AS STRING)) AS b FROM nation WHERE n_nationkey >= 7)"
+_SAME = "(SELECT n_name AS a, concat('NATION_', CAST(n_nationkey % 7 AS STRING)) AS b FROM nation)"
 
 
 @query("canonical_names", f"WITH e AS (SELECT * FROM {_SAME} AS x), n AS (SELECT a AS nombre, b AS raiz FROM e UNION SELECT b, b FROM e) SELECT nombre, (SELECT m.nombre FROM n AS m WHERE m.raiz = n.raiz ORDER BY length(m.nombre) DESC, m.nombre LIMIT 1) AS canonico FROM n")
 def _(s, t):
-    n = t("nation").where("n_nationkey >= 7")
+    n = t("nation")
     return resolve.canonical_names(n.select(F.col("n_name").alias("a"), F.concat(F.lit("NATION_"), (F.col("n_nationkey") % 7).cast("string")).alias("b")))
 
 
@@ -622,10 +653,15 @@ def _(s, t):
     return resolve.declared_aliases(t("marks"))
 
 
-@query("in_article_canon")
+_FORMS = "CASE CAST(ini % 4 AS INT) WHEN 0 THEN 'Ana' WHEN 1 THEN concat('Ana ', CASE WHEN wp_id % 3 = 0 THEN 'Luz' ELSE 'Mar' END, ' Bo') WHEN 2 THEN 'ALB' ELSE 'Ana de Ruiz' END"
+
+
+@query(
+    "in_article_canon",
+    f"WITH m AS (SELECT DISTINCT wp_id, tipo, {_FORMS} AS texto FROM proposals WHERE tipo IN ('persona', 'organizacion')) SELECT s.wp_id, s.tipo, s.texto, min(f.texto) AS canonico FROM m AS s JOIN m AS f ON s.wp_id = f.wp_id AND s.tipo = f.tipo AND contains(f.texto, ' ') WHERE s.texto = 'Ana' OR s.texto = 'ALB' AND f.texto = 'Ana Luz Bo' GROUP BY 1, 2, 3 HAVING count(*) = 1",
+)
 def _(s, t):
-    m = t("proposals").select("wp_id", "tipo", F.when(F.col("ini") % 2 == 0, "Ana").otherwise(F.concat(F.lit("Ana "), "texto")).alias("texto"))
-    return resolve.in_article(m)
+    return resolve.in_article(t("proposals").select("wp_id", "tipo", F.expr(_FORMS).alias("texto")))
 
 
 def _canon(s):
@@ -640,7 +676,7 @@ def _(s, t):
     return graph.nodes(t("marks"), t("proposals"), *_cuts(s), _canon(s))
 
 
-_REL2 = "h AS (SELECT * FROM relations WHERE wp_id % 3 = 0), r AS (SELECT wp_id, a, b, predicado, cuando, true AS rev FROM h UNION ALL SELECT wp_id, a, b, predicado, 'vigente', false FROM relations WHERE wp_id % 3 = 1 OR wp_id % 6 = 0 AND wp_id NOT IN (SELECT wp_id FROM h)), q AS (SELECT wp_id, CASE a WHEN 'N1' THEN 'N11' ELSE a END AS a, CASE b WHEN 'N1' THEN 'N11' ELSE b END AS b, predicado, cuando, rev FROM r), d AS (SELECT a, b, predicado, cuando, wp_id, bool_or(rev) AS rev FROM q WHERE a <> b GROUP BY 1, 2, 3, 4, 5), y AS (SELECT d.*, CAST(substr(c.date, 1, 4) AS INTEGER) AS anio FROM d LEFT JOIN census AS c ON c.wp_id = d.wp_id AND c.date_valid)"
+_REL2 = "h AS (SELECT * FROM relations WHERE wp_id % 3 = 0), r AS (SELECT wp_id, a, b, predicado, cuando, true AS rev FROM h UNION ALL SELECT wp_id, a, b, predicado, 'vigente', false FROM relations WHERE wp_id % 3 <> 0 OR wp_id % 6 = 0 AND wp_id NOT IN (SELECT wp_id FROM h)), q AS (SELECT wp_id, CASE a WHEN 'N1' THEN 'N11' ELSE a END AS a, CASE b WHEN 'N1' THEN 'N11' ELSE b END AS b, predicado, cuando, rev FROM r), d AS (SELECT a, b, predicado, cuando, wp_id, bool_or(rev) AS rev FROM q WHERE a <> b GROUP BY 1, 2, 3, 4, 5), y AS (SELECT d.*, CAST(substr(c.date, 1, 4) AS INTEGER) AS anio FROM d LEFT JOIN census AS c ON c.wp_id = d.wp_id AND c.date_valid)"
 
 
 @query(
@@ -650,23 +686,23 @@ _REL2 = "h AS (SELECT * FROM relations WHERE wp_id % 3 = 0), r AS (SELECT wp_id,
 def _(s, t):
     r = t("relations")
     canon = s.createDataFrame([("N1", "N11")], "nombre string, canonico string")
-    return graph.edges(r.where("wp_id % 3 = 0"), r.where("wp_id % 3 = 1 OR wp_id % 6 = 0"), t("census"), canon)
+    return graph.edges(r.where("wp_id % 3 = 0"), r.where("wp_id % 3 <> 0 OR wp_id % 6 = 0"), t("census"), canon)
 
 
 @query("top_edges", f"WITH {_REL2} SELECT a, b, predicado, cuando, count(*) AS articulos FROM y GROUP BY 1, 2, 3, 4 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 25")
 def _(s, t):
     r = t("relations")
     canon = s.createDataFrame([("N1", "N11")], "nombre string, canonico string")
-    e = graph.edges(r.where("wp_id % 3 = 0"), r.where("wp_id % 3 = 1 OR wp_id % 6 = 0"), t("census"), canon)
+    e = graph.edges(r.where("wp_id % 3 = 0"), r.where("wp_id % 3 <> 0 OR wp_id % 6 = 0"), t("census"), canon)
     return graph.top_edges(e, 25).select("a", "b", "predicado", "cuando", "articulos")
 
 
-@query("nearest_occupants", "SELECT wp_id, post, CAST(puesto AS INTEGER) AS puesto, nombre, anio_titular FROM (SELECT d.wp_id, d.post, h.nombre, h.anio AS anio_titular, row_number() OVER (PARTITION BY d.wp_id, d.post ORDER BY abs(d.anio - h.anio) IS NULL, abs(d.anio - h.anio), h.nombre, h.anio) AS puesto FROM (SELECT wp_id, lower(section) AS post, CAST(substr(date, 1, 4) AS INTEGER) AS anio FROM census WHERE wp_id % 40 = 0) AS d JOIN (SELECT DISTINCT lower(o_orderpriority) AS post, concat('C', CAST(o_custkey % 12 AS STRING)) AS nombre, CAST(substr(CAST(o_orderdate AS STRING), 1, 4) AS INTEGER) AS anio FROM orders WHERE o_orderkey % 9 = 0) AS h ON h.post = d.post) AS x WHERE puesto <= 5")
+@query("nearest_occupants", "SELECT wp_id, post, CAST(puesto AS INTEGER) AS puesto, nombre, anio_titular FROM (SELECT d.wp_id, d.post, h.nombre, h.anio AS anio_titular, row_number() OVER (PARTITION BY d.wp_id, d.post ORDER BY abs(d.anio - h.anio) IS NULL, abs(d.anio - h.anio), h.nombre, h.anio) AS puesto FROM (SELECT wp_id, lower(concat(section, ' ', title)) AS post, CAST(substr(date, 1, 4) AS INTEGER) AS anio FROM census) AS d JOIN (SELECT DISTINCT lower(concat(o_orderpriority, ' Título ', CAST(o_custkey % 500 AS STRING))) AS post, concat('C', CAST(o_custkey % 12 AS STRING)) AS nombre, CAST(substr(CAST(o_orderdate AS STRING), 1, 4) AS INTEGER) AS anio FROM orders) AS h ON h.post = d.post) AS x")
 def _(s, t):
-    year = F.substring("date", 1, 4).cast("int")
-    d = t("census").where("wp_id % 40 = 0").select("wp_id", F.col("section").alias("cargo"), year.alias("anio"))
-    h = t("orders").where("o_orderkey % 9 = 0").select(F.col("o_orderpriority").alias("cargo"), F.concat(F.lit("C"), (F.col("o_custkey") % 12).cast("string")).alias("nombre"), F.year("o_orderdate").alias("anio"))
-    return graph.occupants(d, h, 5)
+    d = t("census").select("wp_id", F.concat_ws(" ", "section", "title").alias("cargo"), F.substring("date", 1, 4).cast("int").alias("anio"))
+    post = F.concat("o_orderpriority", F.lit(" Título "), (F.col("o_custkey") % 500).cast("string"))
+    h = t("orders").select(post.alias("cargo"), F.concat(F.lit("C"), (F.col("o_custkey") % 12).cast("string")).alias("nombre"), F.year("o_orderdate").alias("anio"))
+    return graph.occupants(d, h)
 
 
 @query(
@@ -684,10 +720,11 @@ def _(s, t):
     return graph.type_counts(n)
 
 
-@query("edge_evidence", "SELECT r.wp_id, r.pi, c.date, c.title AS texto FROM (SELECT DISTINCT wp_id, -1 AS pi FROM relations WHERE a = 'N1' AND b = 'N2' AND predicado = 'apoya a') AS r JOIN census AS c ON c.wp_id = r.wp_id ORDER BY c.date DESC, r.wp_id LIMIT 20")
+@query("edge_evidence", "SELECT r.wp_id, r.pi, c.date, CASE WHEN r.pi = -1 THEN c.title ELSE concat('Párrafo ', CAST(r.pi AS STRING), ' de ', c.section) END AS texto FROM (SELECT DISTINCT wp_id, CAST(orden % 3 AS INTEGER) - 1 AS pi FROM relations WHERE a = 'N1' AND b = 'N2' AND predicado = 'apoya a') AS r JOIN census AS c ON c.wp_id = r.wp_id ORDER BY c.date DESC, r.wp_id, r.pi LIMIT 20")
 def _(s, t):
-    none = s.createDataFrame([], "wp_id long, pi int, parrafo string")
-    return graph.evidence(t("relations").withColumn("pi", F.lit(-1)), t("census"), none, "N1", "N2", "apoya a")
+    c = t("census")
+    parts = c.select("wp_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pi"), "section").select("wp_id", "pi", F.concat(F.lit("Párrafo "), F.col("pi").cast("string"), F.lit(" de "), "section").alias("parrafo"))
+    return graph.evidence(t("relations").withColumn("pi", (F.col("orden") % 3).cast("int") - 1), c, parts, "N1", "N2", "apoya a")
 
 
 # Samples and sessions --------------------------------------------------------------------------------------------
@@ -729,7 +766,7 @@ def _(s, t):
     return sessions.leases(t("events").withColumn("item", F.col("event_id") % 97), 3600)
 
 
-@query("session_windows")
+@query("session_windows", f"SELECT user_id, min(ts) AS desde, max(ts) + INTERVAL 6 HOUR AS hasta, count(*) AS n FROM ({_GAP.replace('> 21600', '>= 21600')}) AS x GROUP BY user_id, s")
 def _(s, t):
     return sessions.session_stream(t("events"), "6 hours")
 
@@ -768,7 +805,7 @@ def _(s, t):
 
 @query("gate_open", "SELECT (SELECT count(*) FROM census WHERE NOT date_valid) = 0 AS abierta")
 def _(s, t):
-    f = profile.findings(t("census"), t("bridge"), t("probe"))
+    f = profile.findings(t("census"), t("bridge"), _probe(t))
     return review.gate_open(f, s.createDataFrame([("duplicados",)], "hallazgo string"))
 
 
@@ -874,3 +911,106 @@ def _(s, t):
 def _(s, t):
     r = t("relations").withColumn("pi", F.lit(0))
     return alignment.hint_recall(r, r.where("score >= 0.5").select("wp_id", "pi", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+# Smaller operators -----------------------------------------------------------------------------------------------
+
+
+@query("identifiers", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g') AS clave, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^.*@', ''), ':[0-9]+$', ''), '^www\\.', '') AS anfitrion FROM pages")
+def _(s, t):
+    u = F.col("url")
+    return t("pages").select("page_id", T.identifier(u).alias("clave"), T.host(u).alias("anfitrion"))
+
+
+@query("length_filter", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\\S+')) BETWEEN 300 AND 1200")
+def _(s, t):
+    return t("documents").where(T.length_between(F.col("text"))).select("doc_id")
+
+
+@query("tree_levels", _CLOSURE + ", x AS (SELECT DISTINCT ancestor, term_id FROM up) SELECT t.term_id, t.parent, (SELECT count(*) - 1 FROM x WHERE x.term_id = t.term_id) AS nivel, (SELECT count(*) FROM terms AS c WHERE c.parent = t.term_id) AS hijos FROM terms AS t")
+def _(s, t):
+    return scope.levels(t("terms"))
+
+
+@query("clamped_moves", "SELECT o_orderkey AS id, CAST(greatest(0, least(1000, o_orderkey % 1200 + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END)) AS BIGINT) AS destino FROM orders")
+def _(s, t):
+    step = F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1)
+    return t("orders").select(F.col("o_orderkey").alias("id"), T.clamped(F.col("o_orderkey") % 1200, step, F.lit(1000)).cast("long").alias("destino"))
+
+
+@query("label_keys", "SELECT tipo, etiqueta, coalesce(CASE etiqueta WHEN 'persona con nombre propio' THEN 'persona' WHEN 'nombre propio de lugar' THEN 'lugar' END, etiqueta) AS clave FROM (SELECT DISTINCT tipo, CASE tipo WHEN 'persona' THEN 'persona con nombre propio' WHEN 'lugar' THEN 'nombre propio de lugar' ELSE tipo END AS etiqueta FROM marks) AS m")
+def _(s, t):
+    said = F.when(F.col("tipo") == "persona", "persona con nombre propio").when(F.col("tipo") == "lugar", "nombre propio de lugar").otherwise(F.col("tipo"))
+    return t("marks").select("tipo", said.alias("etiqueta")).distinct().withColumn("clave", T.label_key(F.upper("etiqueta"), TYPES))
+
+
+@query("config_merge", "SELECT p_brand AS clave, CASE WHEN max(p_size) >= 45 THEN 1.01 WHEN min(p_size) <= 5 THEN 0.7 ELSE 0.5 END AS corte FROM part GROUP BY 1")
+def _(s, t):
+    n = t("part").groupBy(F.col("p_brand").alias("clave")).agg(F.max("p_size").alias("hi"), F.min("p_size").alias("lo"))
+    return review.merged_config(n.withColumn("corte", F.lit(0.5)), n.where("lo <= 5").withColumn("corte", F.lit(0.7)), n.where("hi >= 45"))
+
+
+@query("point_lookups", "SELECT c_custkey, coalesce(CAST(n AS BIGINT), 0) AS segundos FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) AS o ON o_custkey = c_custkey")
+def _(s, t):
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("segundos"))
+    return review.looked_up(t("customer"), o, "c_custkey", "segundos", 0)
+
+
+@query("decisions_undone", "SELECT c_custkey AS clave, CASE WHEN c_custkey % 4 = 0 THEN 'posponer' ELSE 'misma' END AS decision, CASE WHEN c_custkey % 4 = 0 THEN 0.0 WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 0.5 END AS confianza, CASE WHEN c_custkey % 4 = 0 THEN 'deshecha: misma' ELSE '' END AS texto FROM customer")
+def _(s, t):
+    said = lambda df, c: df.select(F.col("c_custkey").alias("clave"), F.lit("misma").alias("decision"), F.lit(c).alias("confianza"), F.lit("").alias("texto"))
+    c = t("customer")
+    return review.undo(review.decide(said(c, 0.5), said(c.where("c_custkey % 3 = 0"), 0.9)), c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("clave")))
+
+
+_SPAN = "m.wp_id = {0}.wp_id AND m.pi = {0}.pi AND m.tipo = {0}.tipo AND {0}.ini < m.fin AND m.ini < {0}.fin"
+
+
+@query(
+    "runs_against_decisions",
+    "WITH g AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks), q AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM proposals WHERE wp_id IN (SELECT wp_id FROM g)), f AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM proposals WHERE score >= 0.5 AND wp_id IN (SELECT wp_id FROM g)), "
+    f"d AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM g AS m WHERE {_SPAN.format('q')})), "
+    f"x AS (SELECT wp_id, count(*) FILTER (hit) AS halladas, count(*) AS conservadas FROM (SELECT wp_id, EXISTS (SELECT 1 FROM f AS m WHERE {_SPAN.format('g')}) AS hit FROM g) AS a GROUP BY 1), "
+    f"y AS (SELECT wp_id, count(*) FILTER (hit) AS repetidas, count(*) AS borradas FROM (SELECT wp_id, EXISTS (SELECT 1 FROM f AS m WHERE {_SPAN.format('d')}) AS hit FROM d) AS a GROUP BY 1), "
+    "z AS (SELECT wp_id, count(*) AS propuestas FROM f GROUP BY 1) "
+    "SELECT x.wp_id, halladas, conservadas, coalesce(repetidas, 0) AS repetidas, coalesce(borradas, 0) AS borradas, coalesce(propuestas, 0) AS propuestas FROM x LEFT JOIN y ON y.wp_id = x.wp_id LEFT JOIN z ON z.wp_id = x.wp_id",
+)
+def _(s, t):
+    return evaluate.runs_against_decisions(t("proposals"), t("marks"), t("proposals"), 0.5)
+
+
+@query("verdict_tally", "SELECT event_type AS tipo, v AS veredicto, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY event_type), 6) AS cuota FROM (SELECT event_type, CAST(event_id % 4 AS STRING) AS v FROM events) AS e GROUP BY 1, 2")
+def _(s, t):
+    return evaluate.verdict_tally(t("events").select(F.col("event_type").alias("tipo"), (F.col("event_id") % 4).cast("string").alias("veredicto")))
+
+
+@query("inverse_predicates", f"SELECT a.tipo AS tipo_a, b.tipo AS tipo_b, p.predicado, p.familia, CAST(p.orden AS INTEGER) AS orden FROM {_TYPES} AS a, {_TYPES} AS b, {_PRED} WHERE p.predicado <> 'vínculo sin tipo' AND (desde = '' OR contains(desde, b.sigla)) AND (hasta = '' OR contains(hasta, a.sigla))")
+def _(s, t):
+    kinds = s.createDataFrame([(a, b) for a in _SIX for b in _SIX], "tipo_a string, tipo_b string")
+    return relations.applicable(kinds, predicates(s), inverse=True)
+
+
+_SIX = ("persona", "organizacion", "lugar", "cargo", "ley", "monto")
+
+
+@query("token_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S')) AS BIGINT) AS fichas FROM documents")
+def _(s, t):
+    return t("documents").select("doc_id", F.size(marking.tokens(F.col("text"))).cast("long").alias("fichas"))
+
+
+@query("name_variants", "SELECT nombre, tipo, array_to_string(list_filter(CASE WHEN length(x[-1]) >= 4 AND x[-1] <> lower(nombre) THEN [lower(nombre), x[-1]] ELSE [lower(nombre)] END, lambda v: v <> ''), '|') AS variantes FROM (SELECT nombre, tipo, list_filter(string_split(lower(nombre), ' '), lambda w: length(w) > 1) AS x FROM names) AS n")
+def _(s, t):
+    return t("names").select("nombre", "tipo", F.array_join(T.name_variants(F.col("nombre")), "|").alias("variantes"))
+
+
+_NEEDLE = "CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN substr(text, 11, 12) WHEN 1 THEN lower(substr(text, 11, 12)) ELSE translate(lower(substr(text, 11, 12)), 'áéíóúäöü', 'aeiouaou') END"
+_PLAIN = f"translate(lower({{0}}), '{T.UI_FROM}', '{T.UI_TO}')"
+
+
+@query(
+    "located_wordings",
+    f"SELECT doc_id, CAST(CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE c END - 1 AS INTEGER) AS ini, CASE WHEN a > 0 THEN 0 WHEN b > 0 THEN 1 ELSE 2 END AS intento FROM (SELECT doc_id, strpos(text, n) AS a, strpos(lower(text), lower(n)) AS b, strpos({_PLAIN.format('text')}, {_PLAIN.format('n')}) AS c FROM (SELECT doc_id, text, {_NEEDLE} AS n FROM documents) AS d WHERE n <> '') AS x WHERE greatest(a, b, c) > 0",
+)
+def _(s, t):
+    at = T.located(F.col("text"), F.expr(_NEEDLE)).alias("x")
+    return t("documents").select("doc_id", at).where("x is not null").select("doc_id", "x.ini", "x.intento")

@@ -15,13 +15,13 @@ VIEWS = {
     "UNION ALL SELECT 'place' AS taxonomy, CAST(n_nationkey + 101 AS BIGINT) AS term_id, n_name AS name, CAST(n_regionkey + 1 AS BIGINT) AS parent FROM nation",
     "bridge": "SELECT o_orderkey AS wp_id, 'place' AS taxonomy, CAST(c_nationkey + 101 AS BIGINT) AS term_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 23 <> 0 "
     "UNION ALL SELECT o_orderkey AS wp_id, 'place' AS taxonomy, CAST(n_regionkey + 1 AS BIGINT) AS term_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 2 = 0 AND o_orderkey % 23 <> 0",
-    "probe": "SELECT doc_id AS wp_id, CAST(floor(n_chars / 7) AS BIGINT) AS words, doc_id % 5 = 0 AS blocks, doc_id % 11 = 0 AS broken FROM documents",
-    "batch": "SELECT o_orderkey AS wp_id, o_orderkey % 3 = 0 AS extraido, o_orderkey % 7 = 0 AS calibra FROM orders WHERE o_orderkey % 2 = 0",
+    "batch": "SELECT o_orderkey AS wp_id, o_orderkey % 3 = 0 AS extraido, o_orderkey % 7 = 0 AS calibra FROM orders",
+    # Every line is a mark (of a reviewed article), a proposal, or both.
     "marks": f"SELECT DISTINCT l_orderkey AS wp_id, CAST(l_linenumber * 100000 + l_suppkey AS BIGINT) AS mid, CAST(l_partkey % 3 AS INT) AS pi, CAST(l_suppkey % 40 AS INT) AS ini, "
     f"CAST(l_suppkey % 40 + 4 + l_partkey % 8 AS INT) AS fin, concat('Nombre ', CAST(l_partkey % 150 AS STRING)) AS texto, {_KIND} AS tipo, "
-    "CASE WHEN l_partkey % 4 = 0 THEN concat('g', CAST(l_partkey % 5 AS STRING)) END AS grupo FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey % 3 = 0",
+    "CASE WHEN l_partkey % 4 = 0 THEN concat('g', CAST(l_partkey % 5 AS STRING)) END AS grupo FROM lineitem WHERE l_orderkey % 3 = 0",
     "proposals": f"SELECT DISTINCT l_orderkey AS wp_id, CAST(l_partkey % 3 AS INT) AS pi, CAST(l_suppkey % 40 + l_linenumber % 3 AS INT) AS ini, CAST(l_suppkey % 40 + 5 + l_partkey % 6 AS INT) AS fin, "
-    f"concat('Nombre ', CAST(l_partkey % 150 AS STRING)) AS texto, {_KIND} AS tipo, round(l_discount * 10, 2) AS score FROM lineitem WHERE l_linenumber >= 2",
+    f"concat('Nombre ', CAST(l_partkey % 150 AS STRING)) AS texto, {_KIND} AS tipo, round(l_discount * 10, 2) AS score FROM lineitem WHERE l_linenumber >= 2 OR l_orderkey % 3 <> 0",
     "relations": "SELECT l_orderkey AS wp_id, concat('N', CAST(s_nationkey AS STRING)) AS a, concat('N', CAST(c_nationkey AS STRING)) AS b, "
     "CASE l_returnflag WHEN 'A' THEN 'apoya a' WHEN 'N' THEN 'socio de' ELSE 'familiar de' END AS predicado, CASE l_linestatus WHEN 'O' THEN 'vigente' ELSE 'pasada' END AS cuando, "
     "round(l_discount * 10, 2) AS score, l_linenumber AS orden FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",

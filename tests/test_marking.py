@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions.vocabulary import TYPES, predicates
 from tessera.operators import marking, relations, resolve
 from tessera.sources.rest import PAGE, ArchiveSource, Busy, Window, fetch_all
@@ -36,7 +37,7 @@ def test_tokens_and_shortcodes(spark):
     row = spark.createDataFrame([("El ex-ministro, 3.",)], "x string").select(marking.tokens(F.col("x"))).first()[0]
     assert [(t.tok, t.ini, t.fin) for t in row] == [("El", 0, 2), ("ex-ministro", 3, 14), (",", 14, 15), ("3", 16, 17), (".", 17, 18)]
     html = "[su_quote]texto[/su_quote] [gallery ids=\"1\"] [sic] [nota]"
-    assert spark.createDataFrame([(html,)], "x string").select(marking.shortcodes(F.col("x"))).first()[0] == ["gallery", "su_quote"]
+    assert spark.createDataFrame([(html,)], "x string").select(T.shortcodes(F.col("x"))).first()[0] == ["gallery", "su_quote"]
 
 
 def test_pages_are_read_until_one_is_short():
