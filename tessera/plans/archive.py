@@ -877,7 +877,7 @@ def _(s, t):
     return t("documents").select("doc_id", F.posexplode(marking.chunks(F.col("text"), 1200)).alias("n", "trozo"))
 
 
-@query("token_offsets")
+@query("token_offsets", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S')) AS BIGINT) AS fichas FROM documents")
 def _(s, t):
     return t("documents").select("doc_id", F.size(marking.tokens(F.col("text"))).cast("long").alias("fichas"))
 
@@ -993,11 +993,6 @@ def _(s, t):
 _SIX = ("persona", "organizacion", "lugar", "cargo", "ley", "monto")
 
 
-@query("token_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S')) AS BIGINT) AS fichas FROM documents")
-def _(s, t):
-    return t("documents").select("doc_id", F.size(marking.tokens(F.col("text"))).cast("long").alias("fichas"))
-
-
 @query("name_variants", "SELECT nombre, tipo, array_to_string(list_filter(CASE WHEN length(x[-1]) >= 4 AND x[-1] <> lower(nombre) THEN [lower(nombre), x[-1]] ELSE [lower(nombre)] END, lambda v: v <> ''), '|') AS variantes FROM (SELECT nombre, tipo, list_filter(string_split(lower(nombre), ' '), lambda w: length(w) > 1) AS x FROM names) AS n")
 def _(s, t):
     return t("names").select("nombre", "tipo", F.array_join(T.name_variants(F.col("nombre")), "|").alias("variantes"))
