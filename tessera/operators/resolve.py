@@ -172,3 +172,28 @@ def judged(verdicts: DataFrame) -> DataFrame:
     sure = (F.col("confianza") >= 0.99) | F.col("mismo_cargo")
     d = F.when(sure, "misma").when(F.col("veredicto") < 0.75, "posponer").otherwise(F.col("decision"))
     return verdicts.withColumns({"decision": d, "fuente": F.when(sure, "regla").otherwise("juez")})
+
+
+def imported_aliases(found: DataFrame, curated: DataFrame, profiles: DataFrame, mentions: DataFrame, least: int = 2) -> DataFrame:
+    """Decisions on cases of persons (tipo, a, b, clave) that outside lists settle: clave, a, b, decision, confianza.
+
+    Two names of one curated group are the same (0.95); two that only ever resolved to the same profile, `least` times or
+    more each, too (0.9); two full names with different profiles, neither within the other, are distinct (0.9).
+    curated: (grupo, nombre); profiles: (nombre, perfil); mentions: (nombre, perfil), one row a mention.
+    """
+    f = lambda df: df.withColumn("f", fold(F.col("nombre")))
+    own = f(profiles).where("f <> ''").groupBy("f").agg(F.min("perfil").alias("ficha"))
+    seen = f(mentions).where("f <> ''").groupBy("f", "perfil").agg(F.count("*").alias("n")).groupBy("f").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("perfil").alias("u"))
+    seen = seen.select("f", F.when((F.col("k") == 1) & (F.col("n") >= least), F.col("u")).alias("u"))
+    groups = f(curated).where("f <> ''").groupBy("f").agg(F.collect_set("grupo").alias("g"))
+    known = own.join(seen, "f", "full").join(groups, "f", "full")
+    side = lambda s: known.select(F.col("f").alias(f"f{s}"), F.struct("ficha", "u", "g").alias(f"k{s}"))
+    c = found.where("tipo = 'persona'").withColumns({"fa": fold(F.col("a")), "fb": fold(F.col("b"))})
+    c = c.join(side("a"), "fa", "left").join(side("b"), "fb", "left").withColumns({"wa": F.split("fa", " "), "wb": F.split("fb", " ")})
+    nested = F.when(F.size("wa") <= F.size("wb"), subsequence(F.col("wa"), F.col("wb"))).otherwise(subsequence(F.col("wb"), F.col("wa")))
+    profile = lambda s: F.coalesce(f"k{s}.ficha", f"k{s}.u")
+    full = (F.size("wa") >= 2) & (F.size("wb") >= 2) & ~nested
+    group = F.coalesce(F.arrays_overlap("ka.g", "kb.g"), F.lit(False))
+    said = lambda d, k: F.struct(F.lit(d).alias("decision"), F.lit(k).alias("confianza"))
+    verdict = F.when(group, said("misma", 0.95)).when(F.col("ka.u") == F.col("kb.u"), said("misma", 0.9)).when(full & (profile("a") != profile("b")), said("distinta", 0.9))
+    return c.withColumn("v", verdict).where("v is not null").select("clave", "a", "b", "v.decision", "v.confianza")

@@ -152,3 +152,29 @@ def looked_up(keys: DataFrame, values: DataFrame, key: str, value: str, default)
     """Each key with its value, or the default where it has none."""
     return keys.select(key).join(values.select(key, value), key, "left").select(key, F.coalesce(value, F.lit(default)).alias(value))
 
+
+
+def batch_taxonomy(batches: DataFrame, default: str = "categories") -> DataFrame:
+    """Batches with their taxonomy, which older ones do not say."""
+    return batches.withColumn("taxonomia", F.coalesce(F.nullif("taxonomia", F.lit("")), F.lit(default)))
+
+
+def examples(findings: DataFrame, census: DataFrame, n: int) -> DataFrame:
+    """Up to n articles for each finding (hallazgo, wp_id, nota), smallest keys first, with a title to show."""
+    w = Window.partitionBy("hallazgo").orderBy("wp_id", "nota")
+    best = findings.withColumn("orden", F.row_number().over(w)).where(F.col("orden") <= n)
+    titled = best.join(census.select("wp_id", "title"), "wp_id", "left")
+    return titled.select("hallazgo", "wp_id", F.coalesce("title", F.lit("(sin título)")).alias("titulo"), F.coalesce("nota", F.lit("")).alias("nota"), "orden")
+
+
+def predicate_menu(options: DataFrame, most: int = 9) -> DataFrame:
+    """Per pair of types whether its predicates fit one menu, else the families to choose from, by the order of their first predicate."""
+    fam = options.groupBy("tipo_a", "tipo_b", "familia").agg(F.count("*").alias("n"), F.min("orden").alias("o"))
+    g = fam.groupBy("tipo_a", "tipo_b").agg(F.sum("n").alias("opciones"), F.array_sort(F.collect_list(F.struct("o", "familia"))).alias("x"))
+    return g.select("tipo_a", "tipo_b", "opciones", (F.col("opciones") <= most).alias("directo"), F.array_join("x.familia", ",").alias("familias"))
+
+
+def kin_by_paragraph(aligned: DataFrame) -> DataFrame:
+    """Aligned relations with a predicate, gathered by paragraph: wp_id, pi, relaciones ("a|predicado|b", sorted)."""
+    r = aligned.where(F.col("predicado").isNotNull() & F.col("wp_id").isNotNull())
+    return r.groupBy("wp_id", "pi").agg(F.array_sort(F.collect_list(F.concat_ws("|", "a", "predicado", "b"))).alias("relaciones"))

@@ -735,7 +735,12 @@ def _(s, t):
     return sampling.per_year(t("census").select("wp_id", F.substring("date", 1, 4).cast("int").alias("anio")), 50)
 
 
-@query("sample_quotas")
+@query(
+    "sample_quotas",
+    "WITH q AS (SELECT * FROM (VALUES ('F', 20, 0), ('1-URGENT', 15, 1), ('5-LOW', 10, 2)) AS v(estrato, cuota, prioridad)), m AS (SELECT wp_id, section AS estrato FROM census UNION ALL SELECT wp_id, 'F' FROM census WHERE wp_id % 10 = 0), "
+    "f AS (SELECT wp_id, min(prioridad) AS prioridad FROM m JOIN q USING (estrato) GROUP BY 1), x AS (SELECT wp_id, estrato, cuota, row_number() OVER (PARTITION BY estrato ORDER BY md5(concat('0|', wp_id)), wp_id) AS o FROM f JOIN q USING (prioridad)) "
+    "SELECT wp_id, estrato, CASE WHEN CAST(concat('0x', substr(md5(concat('1|', wp_id)), 1, 8)) AS BIGINT) % 10000 < 2000 THEN 'val' ELSE 'train' END AS parte FROM x WHERE o <= cuota",
+)
 def _(s, t):
     c = t("census")
     m = c.select("wp_id", F.col("section").alias("estrato")).union(c.where("wp_id % 10 = 0").select("wp_id", F.lit("F")))
@@ -761,9 +766,15 @@ def _(s, t):
     return sessions.work_seconds(t("events"), 3600).withColumn("segundos", F.round("segundos", 3))
 
 
-@query("article_leases")
+@query(
+    "article_leases",
+    "WITH RECURSIVE r AS (SELECT user_id AS item, event_id, event_id % 3 AS w, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id % 3, event_id) AS k FROM events WHERE ts IS NOT NULL), "
+    "z AS (SELECT item, event_id, k, w AS holder, t AS seen, true AS concedido FROM r WHERE k = 1 UNION ALL SELECT item, event_id, k, CASE WHEN ok THEN w ELSE holder END, CASE WHEN ok THEN t ELSE seen END, ok "
+    "FROM (SELECT r.*, z.holder, z.seen, r.w = z.holder OR r.t - z.seen > 43200 AS ok FROM z JOIN r ON r.item = z.item AND r.k = z.k + 1) AS y) SELECT item, event_id, concedido FROM z",
+)
 def _(s, t):
-    return sessions.leases(t("events").withColumn("item", F.col("event_id") % 97), 3600)
+    e = t("events").select(F.col("user_id").alias("item"), "event_id", (F.col("event_id") % 3).alias("user_id"), "ts")
+    return sessions.leases(e, 43200)
 
 
 @query("session_windows", f"SELECT user_id, min(ts) AS desde, max(ts) + INTERVAL 6 HOUR AS hasta, count(*) AS n FROM ({_GAP.replace('> 21600', '>= 21600')}) AS x GROUP BY user_id, s")

@@ -27,6 +27,16 @@ VIEWS = {
     "round(l_discount * 10, 2) AS score, l_linenumber AS orden FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
     "names": "SELECT nombre, tipo, CAST(count(*) AS BIGINT) AS menciones FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' ', p_type) ELSE p_name END AS nombre, "
     "CASE CAST(p_partkey % 3 AS INT) WHEN 1 THEN 'persona' ELSE 'organizacion' END AS tipo FROM part) AS x GROUP BY nombre, tipo",
+    "phrases": "SELECT o_orderkey AS wp_id, CAST(o_custkey % 3 AS INT) AS pi, concat(CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'El fiscal investigó a su hermana y a los primos' WHEN 1 THEN 'Recibió 300 millones que donó el socio' "
+    "WHEN 2 THEN 'La Ley 100 y el artículo 5' WHEN 3 THEN 'Renunció la candidata' WHEN 4 THEN 'Hubo TUTELA en la tarde' WHEN 5 THEN 'Nadie vino con su papá' ELSE 'Hijo del senador' END, "
+    "CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN '. Pagó 5 pesos' WHEN 1 THEN '. Aspira al Senado' ELSE '. Fin' END) AS parrafo FROM orders",
+    "written": "SELECT DISTINCT wp_id, pi, ini, CAST(ini + length(texto) AS INT) AS fin, tipo, texto FROM (SELECT l_orderkey AS wp_id, CAST(l_partkey % 3 AS INT) AS pi, CAST(l_suppkey % 40 AS INT) AS ini, "
+    "CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'persona' WHEN 1 THEN 'organizacion' WHEN 2 THEN 'lugar' WHEN 3 THEN 'monto' ELSE 'cargo' END AS tipo, "
+    "concat(CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'el ' WHEN 1 THEN 'La ' WHEN 2 THEN 'senador ' WHEN 3 THEN 'la exministra ' WHEN 4 THEN 'el ex presidente liberal ' WHEN 5 THEN 'bandas ' WHEN 6 THEN 'empresa: ' "
+    "WHEN 7 THEN 'una de las muchas cosas que dijo ayer la señora ' WHEN 8 THEN '@' WHEN 9 THEN 'Senadora verde ' ELSE '' END, CASE CAST(l_orderkey % 9 AS INT) WHEN 0 THEN 'usted' WHEN 1 THEN '300 millones' WHEN 2 THEN 'papá' "
+    "WHEN 3 THEN 'mil' WHEN 4 THEN 'Nadie' ELSE concat('Nombre ', CAST(l_partkey % 150 AS STRING)) END) AS texto FROM lineitem) AS x",
+    "alias_cases": "SELECT c_custkey AS clave, 'persona' AS tipo, concat('ana ruiz ', CAST(c_custkey % 40 AS STRING)) AS a, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN concat('ruiz ', CAST(c_custkey % 40 AS STRING)) "
+    "WHEN 1 THEN concat('eva mora ', CAST(c_custkey % 30 AS STRING)) ELSE concat('luz ', CAST(c_custkey % 20 AS STRING)) END AS b FROM customer",
 }
 
 

@@ -7,10 +7,12 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Rows of a page, and of a window at most; waits between tries, in seconds.
-PAGE, MOST_ROWS = 100, 5000
+#: Rows of a page, identifiers of a request for bodies; waits between tries, in seconds.
+PAGE, BODIES = 100, 40
 FIRST_WAIT, MOST_WAIT, TRIES = 0.5, 120.0, 5
 
 
@@ -29,8 +31,8 @@ class Busy(Exception):
 
 def fetch_all(fetch: Callable, window: Window, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """Items of a window, page after page; a busy site is asked again, after longer and longer waits."""
-    rows, page = 0, 1
-    while rows < MOST_ROWS:
+    page = 1
+    while True:
         wait = FIRST_WAIT
         for attempt in range(TRIES):
             try:
@@ -41,9 +43,7 @@ def fetch_all(fetch: Callable, window: Window, sleep: Callable[[float], None] =
                     raise
                 sleep(min(e.after or wait, MOST_WAIT))
                 wait *= 2
-        for item in items or ():
-            rows += 1
-            yield item
+        yield from items or ()
         if not items or len(items) < PAGE:
             return
         page += 1
@@ -79,3 +79,21 @@ class ArchiveReader(DataSourceReader):
         fetch = getattr(importlib.import_module(module), function)
         for item in fetch_all(fetch, partition):
             yield partition.label, json.dumps(item)
+
+
+def bodies(wanted: DataFrame, have: DataFrame, fetch: Callable[[list[int]], list[dict]], schema: str, key: str = "wp_id", size: int = BODIES) -> DataFrame:
+    """Fetches what is wanted and not yet there, `size` keys a request; each task asks for its own keys.
+
+    `fetch` takes a list of keys and gives a dict of the schema's columns for each one found. Null and repeated keys are
+    asked for once or not at all.
+    """
+    todo = wanted.select(key).where(f"{key} is not null").distinct().join(have.select(key), key, "left_anti")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = b[key].tolist()
+            for i in range(0, len(ids), size):
+                yield pd.DataFrame(fetch(ids[i : i + size]), columns=names)
+
+    return todo.mapInPandas(ask, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +34,30 @@ def work_seconds(touches: DataFrame, idle_seconds: float, key: str = "user_id",
 def leases(requests: DataFrame, ttl_seconds: float, item: str = "item", who: str = "user_id", ts: str = "ts") -> DataFrame:
     """Outcome of each request for an item: granted if free, one's own, or the last holder has been silent for longer than the limit.
 
-    A state machine over an item's requests in order of time.
+    A request that comes more than the limit after the one before it is granted whatever went before, so an item's history
+    falls into stretches that do not depend on each other. Stretches are dealt over the tasks, and their rows pass in order
+    of time through a state machine that holds the last item, holder and time only. Requests without a time are left out.
     """
-    order = F.struct(_seconds(ts).alias("t"), F.col(who).alias("w"), F.col("event_id").alias("e"))
-    grouped = requests.groupBy(item).agg(F.array_sort(F.collect_list(order)).alias("x"))
-    start = F.struct(F.lit(None).cast("long").alias("holder"), F.lit(0.0).alias("seen"), F.slice(F.transform("x", lambda r: F.struct(r["e"].alias("event_id"), F.lit(True).alias("concedido"))), 1, 0).alias("out"))
-
-    def step(s, r):
-        ok = s["holder"].isNull() | (s["holder"] == r["w"]) | (r["t"] - s["seen"] > ttl_seconds)
-        return F.struct(
-            F.when(ok, r["w"].cast("long")).otherwise(s["holder"]).alias("holder"),
-            F.when(ok, r["t"]).otherwise(s["seen"]).alias("seen"),
-            F.concat(s["out"], F.array(F.struct(r["e"].alias("event_id"), ok.alias("concedido")))).alias("out"),
-        )
-
-    return grouped.select(item, F.explode(F.aggregate("x", start, step, lambda s: s["out"])).alias("o")).select(item, "o.*")
+    order = [F.col(item), F.col("_t"), F.col(who), F.col("event_id")]
+    rows = requests.where(F.col(ts).isNotNull()).select(item, who, "event_id", _seconds(ts).alias("_t"))
+    w = Window.partitionBy(item).orderBy("_t", who, "event_id")
+    far = F.col("_t") - F.lag("_t").over(w) > ttl_seconds
+    cut = rows.withColumn("_s", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, holder, seen = None, None, 0.0
+        for b in batches:
+            out = []
+            for i, n, u, t in zip(b[item], b["_s"], b[who], b["_t"]):
+                ok = (i, n) != now or u == holder or t - seen > ttl_seconds
+                if ok:
+                    now, holder, seen = (i, n), u, t
+                out.append(ok)
+            yield pd.DataFrame({item: b[item], "event_id": b["event_id"], "concedido": out})
+
+    kind = requests.schema[item].dataType.simpleString()
+    dealt = cut.repartition(item, "_s").sortWithinPartitions(item, "_s", *order[1:])
+    return dealt.mapInPandas(run, f"{item} {kind}, event_id long, concedido boolean")
 
 
 def session_stream(beats: DataFrame, gap: str = "60 seconds", late: str = "5 minutes", key: str = "user_id", ts: str = "ts") -> DataFrame:
