@@ -70,18 +70,37 @@ def prepared(names: DataFrame) -> DataFrame:
     return names.withColumn("p", F.struct(fold(n).alias("fold"), core(n).alias("core"), initials(n).alias("ini"), post_core(n).alias("post")))
 
 
-def cases(names: DataFrame, decided: DataFrame | None = None, aliases: DataFrame | None = None, least: float = LEAST) -> DataFrame:
-    """Pairs of names of a type with confidence `least` or more, without decided pairs and declared aliases.
+def _pairs(p: DataFrame) -> DataFrame:
+    """Pairs (tipo, a, b) of prepared names that some rule may accept.
 
-    Every accepting rule needs a shared word, an equal fold or an equal reduced post, so pairs meet on those keys and no
-    others; each pair is scored once.
+    Equal folds and posts meet on those. Of two names that share two thirds of the shorter one's words (as those do that hold
+    each other's words, or have a Jaccard index of a half) the shorter offers its rarest words, as many as cannot all be
+    missing, and the longer all of its. Names that share one word only meet on it together with their initials.
     """
+    w = p.select("tipo", "nombre", F.explode(F.array_distinct("p.core")).alias("w"))
+    often = w.groupBy("tipo", "w").agg(F.count("*").alias("n"))
+    rare = w.join(often, ["tipo", "w"]).groupBy("tipo", "nombre").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("x"))
+    p = p.join(rare.select("tipo", "nombre", F.col("x.w").alias("x")), ["tipo", "nombre"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<string>")))
+    ini, words = F.col("p.ini"), F.col("x")
+    tag = lambda t, c: F.transform(c, lambda v: F.concat(F.lit(t), v))
+    only = lambda cond, c: F.when(cond, c).otherwise(F.array().cast("array<string>"))
+    post = F.array_join("p.post", " ")
+    equal = F.concat(tag("f:", F.array("p.fold")), only(post != "", tag("p:", F.array(post))))
+    person, worded = F.col("tipo") == "persona", ~F.col("tipo").isin("cargo", "ley", "monto")
+    heads = only(worded & ~person & (F.size(ini) >= 2), F.transform(words, lambda v: F.concat_ws(":", F.lit("h"), v, ini[0], ini[1])))
+    enough = (F.size(words) - F.ceil(F.size(words) * 2 / 3) + 1).cast("int")
+    offered = F.concat(equal, heads, only(worded, tag("c:", F.slice(words, 1, enough))), only(person & (F.size(ini) >= 2), F.array(F.concat_ws(":", F.lit("l"), F.try_element_at("p.core", F.lit(-1)), ini[0]))))
+    each = F.flatten(F.transform(words, lambda v: F.transform(F.array_distinct(ini), lambda i: F.concat_ws(":", F.lit("l"), v, i))))
+    asked = F.concat(equal, heads, only(worded, tag("c:", words)), only(person & (F.size(ini) >= 2), each))
+    side = lambda keys, c: p.select("tipo", F.col("nombre").alias(c), F.explode(F.array_distinct(keys)).alias("k"))
+    j = side(offered, "x").join(side(asked, "y"), ["tipo", "k"]).where("x <> y")
+    return j.select("tipo", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def cases(names: DataFrame, decided: DataFrame | None = None, aliases: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+    """Pairs of names of a type with confidence `least` or more, without decided pairs and declared aliases; each is scored once."""
     p = prepared(names.select("nombre", "tipo", "menciones"))
-    keys = F.array_distinct(F.concat(F.transform("p.core", lambda t: F.concat(F.lit("c:"), t)), F.array(F.concat(F.lit("f:"), F.col("p.fold"))), F.array(F.concat(F.lit("p:"), F.array_join("p.post", " ")))))
-    k = p.select("nombre", "tipo", F.explode(keys).alias("k")).where("k <> 'p:'")
-    a, b = k.alias("a"), k.alias("b")
-    pairs = a.join(b, (F.col("a.tipo") == F.col("b.tipo")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.nombre") < F.col("b.nombre")))
-    pairs = pairs.select(F.col("a.tipo").alias("tipo"), F.col("a.nombre").alias("a"), F.col("b.nombre").alias("b")).distinct()
+    pairs = _pairs(p)
     side = lambda s: p.select(F.col("tipo"), F.col("nombre").alias(s), F.col("p").alias(f"p{s}"), F.col("menciones").alias(f"m{s}"))
     scored = pairs.join(side("a"), ["tipo", "a"]).join(side("b"), ["tipo", "b"])
     # Rounded before it is compared and sorted.

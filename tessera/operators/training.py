@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.checks import GLUED_TITLE, gate
+from tessera.functions.checks import GLUED_TITLE, gate, teachable
 from tessera.functions.text import generic
+from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, TYPES
+from tessera.operators.marking import tokens
+from tessera.operators.relations import admissible
+from tessera.operators.spans import greedy
 
 PLACE = ["wp_id", "pi"]
 
@@ -129,3 +136,113 @@ def model_table(articles: DataFrame, entities: DataFrame, relations: DataFrame,
     e = entities.where(F.col("score") >= least).groupBy("modelo").agg(F.count("*").alias("entidades"), F.round(F.count_if(named & generic(F.col("texto"))) / F.greatest(F.count_if(named), F.lit(1)), 6).alias("genericas"))
     r = relations.groupBy("modelo").agg(F.count("*").alias("relaciones"))
     return a.join(e, "modelo", "left").join(r, "modelo", "left").fillna(0, ["entidades", "genericas", "relaciones"])
+
+
+def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Training examples of paragraphs (wp_id, pi, parrafo, entidades, relaciones as of `gold_rows`): wp_id, pi, fichas, ner, relaciones.
+
+    Marks become spans of tokens, widened to whole ones, the longest first; one that overlaps a span of its type is an alias
+    of it, so relations to either survive. Pronouns, amounts without a figure and unknown types go. Relations between spans
+    keep their first place if their predicate admits the types; those that hold both ways are doubled. Null texts have no tokens.
+    """
+    e = rows.select(*PLACE, "entidades", "relaciones", tokens(F.col("parrafo")).alias("t"))
+
+    def span(m: Column) -> Column:
+        touched = F.transform("t", lambda t, k: F.when((t["fin"] > m["ini"]) & (t["ini"] < m["fin"]), k))
+        return F.struct((m["ini"] - m["fin"]).alias("l"), m["i"].alias("i"), F.array_min(touched).alias("p"), F.array_max(touched).alias("u"), m["tipo"].alias("tipo"), m["texto"].alias("texto"))
+
+    def fit(m: Column) -> Column:
+        return m["p"].isNotNull() & m["tipo"].isin(*TYPES) & F.coalesce(teachable(m["texto"], m["tipo"]), F.lit(False))
+
+    def place(ner: Column, m: Column) -> Column:
+        hit = F.array_position(F.transform(ner, lambda n: (n["tipo"] == m["tipo"]) & (n["p"] <= m["u"]) & (m["p"] <= n["u"])), True)
+        new = F.array(F.struct(m["p"].alias("p"), m["u"].alias("u"), m["tipo"].alias("tipo"), F.array(m["i"]).alias("de")))
+        alias = lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo"), F.concat(n["de"], F.array(m["i"])).alias("de"))
+        return F.when(hit == 0, F.concat(ner, new)).otherwise(F.transform(ner, lambda n, k: F.when(k == hit - 1, alias(n)).otherwise(n)))
+
+    ordered = F.array_sort(F.filter(F.transform("entidades", span), fit))
+    none = F.array().cast("array<struct<p:int,u:int,tipo:string,de:array<int>>>")
+    e = e.withColumn("ner", F.aggregate(ordered, none, place))
+    kept = F.transform("ner", lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo")))
+    at = e.select(*PLACE, F.posexplode("ner").alias("k", "n")).select(*PLACE, "k", "n.tipo", F.explode("n.de").alias("i"))
+    ties = e.select(*PLACE, F.posexplode("relaciones").alias("orden", "r")).select(*PLACE, "orden", "r.predicado", F.col("r.a").alias("ia"), F.col("r.b").alias("ib"))
+    end = lambda s: at.select(*PLACE, F.col("i").alias(f"i{s}"), F.col("k").alias(s), F.col("tipo").alias(f"tipo_{s}"))
+    r = admissible(ties.join(end("a"), [*PLACE, "ia"]).join(end("b"), [*PLACE, "ib"]).where("a <> b"), predicates)
+    both = r.select(*PLACE, "orden", F.lit(0).alias("v"), "a", "b", "predicado").union(r.where(F.col("predicado").isin(*SYMMETRIC)).select(*PLACE, "orden", F.lit(1), "b", "a", "predicado"))
+    once = both.groupBy(*PLACE, "a", "b", "predicado").agg(F.min(F.struct("orden", "v")).alias("o"))
+    listed = once.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("o", "a", "b", "predicado"))).alias("x"))
+    listed = listed.select(*PLACE, F.transform("x", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"), y["predicado"].alias("predicado"))).alias("relaciones"))
+    return e.select(*PLACE, F.col("t.tok").alias("fichas"), kept.alias("ner")).join(listed, PLACE, "left")
+
+
+def gold_sheet(paragraphs: DataFrame, sheet: DataFrame, said: DataFrame, predicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A hand-written sheet applied to its articles, each wholly or not at all: (marks, relations, problems).
+
+    paragraphs: (wp_id, pi, parrafo); sheet: (wp_id, pi, texto, tipo), a type with a star designates without naming; said:
+    (wp_id, pi, a, predicado, b, cuando) between texts. Longer texts are placed first, at every place between word bounds, else
+    at every place, amounts at their first; of equals the earlier wins. Problems: tipo, texto, predicado, extremo, admite, misma.
+    """
+    s = sheet.select(*PLACE, "texto", F.rtrim("tipo", F.lit("*")).alias("tipo"), F.col("tipo").endswith("*").alias("designa")).distinct()
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+        found = []
+        for t, n in zip(texts, needles):
+            at = [m.start() for m in re.finditer(rf"(?<!\w){re.escape(n)}(?!\w)", t)] if t and n else []
+            found.append(at or ([m.start() for m in re.finditer(re.escape(n), t)] if t and n else []))
+        return pd.Series(found)
+
+    w = s.join(paragraphs.select(*PLACE, "parrafo"), PLACE, "left").withColumn("en", places("parrafo", "texto"))
+    w = w.withColumn("mal", F.when(~F.coalesce(F.col("tipo").isin(*TYPES), F.lit(False)), "tipo").when(F.size("en") < 1, "texto"))
+    spots = w.where("mal is null").select(*PLACE, "texto", "tipo", F.explode(F.when(F.col("tipo") == "monto", F.slice("en", 1, 1)).otherwise(F.col("en"))).alias("ini"))
+    spots = spots.withColumns({"fin": F.col("ini") + F.length("texto"), "score": F.length("texto").cast("double")})
+    marks = greedy(spots, PLACE).drop("score").join(s, [*PLACE, "texto", "tipo"]).groupBy(*PLACE, "ini", "fin", "texto", "tipo").agg(F.max("designa").alias("designa"))
+    first = marks.groupBy(*PLACE, "texto").agg(F.min_by(F.struct("ini", "fin", "tipo"), F.struct("ini", "fin")).alias("m"))
+    end = lambda c: first.select(*PLACE, F.col("texto").alias(c), F.col("m").alias(f"m{c}"), F.col("m.tipo").alias(f"tipo_{c}"))
+    r = said.withColumn("cuando", F.when(F.col("cuando").isin("vigente", "pasada", "futura"), F.col("cuando")).otherwise("vigente"))
+    r = r.join(end("a"), [*PLACE, "a"], "left").join(end("b"), [*PLACE, "b"], "left").select(*PLACE, "a", "predicado", "b", "cuando", "ma", "mb", "tipo_a", "tipo_b")
+    fits = admissible(r.select("predicado", "tipo_a", "tipo_b").distinct(), predicates).withColumn("cabe", F.lit(True))
+    r = r.join(fits, ["predicado", "tipo_a", "tipo_b"], "left")
+    known = F.coalesce(F.col("predicado").isin(*(p[0] for p in PREDICATES)), F.lit(False))
+    wrong = F.when(~known, "predicado").when(F.col("ma").isNull() | F.col("mb").isNull(), "extremo").when(F.col("cabe").isNull(), "admite").when(F.col("ma") == F.col("mb"), "misma")
+    r = r.withColumn("mal", wrong)
+    problems = w.where("mal is not null").select(*PLACE, F.col("mal").alias("problema"), "texto").union(r.where("mal is not null").select(*PLACE, "mal", F.concat_ws(" ", "a", "predicado", "b"))).distinct()
+    bad = problems.select("wp_id").distinct()
+    turn = F.col("predicado").isin(*SYMMETRIC) & (F.col("ma") > F.col("mb"))
+    ties = r.where("mal is null").select(*PLACE, F.when(turn, F.col("mb")).otherwise(F.col("ma")).alias("x"), F.when(turn, F.col("ma")).otherwise(F.col("mb")).alias("y"), "predicado", "cuando")
+    ties = ties.select(*PLACE, F.col("x.ini").alias("a"), F.col("y.ini").alias("b"), "predicado", "cuando").distinct()
+    return marks.join(bad, "wp_id", "left_anti"), ties.join(bad, "wp_id", "left_anti"), problems
+
+
+def held_out(candidates: DataFrame, sections: dict[str, int], regions: tuple[str, ...], eras: tuple[str, ...], from_regions: int = 3, per_era: int = 10, total: int = 30, seed: int = 2026) -> DataFrame:
+    """Keys to hold out (wp_id, seccion, tramo), by a hash: minimums of sections and of the regions, then eras filled up, cut to `per_era`, and any up to `total`.
+
+    candidates: one row a key. Each step needs no more of its rows than all steps take together, so that many of each go to one task.
+    """
+    steps = [(F.col("seccion") == s, n) for s, n in sections.items()] + [(F.col("seccion").isin(*regions), from_regions)]
+    steps += [(F.col("tramo") == e, per_era) for e in eras] + [(F.lit(True), total)]
+    most = sum(n for _, n in steps)
+    c = candidates.select("wp_id", "seccion", "tramo", F.md5(F.concat_ws("|", F.lit(str(seed)), "wp_id")).alias("d"))
+    pool = None
+    for cond, _ in steps:
+        part = c.where(cond).orderBy("d", "wp_id").limit(most)
+        pool = part if pool is None else pool.union(part)
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows.sort_values(["d", "wp_id"])
+        chosen = left.iloc[:0]
+
+        def take(of: pd.DataFrame, n: int) -> None:
+            nonlocal chosen
+            chosen = pd.concat([chosen, of[~of.wp_id.isin(chosen.wp_id)].head(max(n, 0))])
+
+        for name, n in sections.items():
+            take(left[left.seccion == name], n)
+        take(left[left.seccion.isin(regions)], from_regions)
+        for era in eras:
+            take(left[left.tramo == era], per_era - int((chosen.tramo == era).sum()))
+        kept = chosen.sort_values(["d", "wp_id"]).groupby("tramo", dropna=False).head(per_era)
+        spare = left[~left.wp_id.isin(chosen.wp_id)].head(max(total - len(kept), 0))
+        return pd.concat([kept, spare])[["wp_id", "seccion", "tramo"]]
+
+    return pool.distinct().withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(pick, "wp_id long, seccion string, tramo string")

@@ -401,7 +401,11 @@ def _(s, t):
     return spans.overlap_join(t("proposals"), t("marks")).select("wp_id", "pi", "ini", "fin", "tipo", F.col("h_mid").alias("mid"))
 
 
-@query("greedy_spans")
+@query(
+    "greedy_spans",
+    "SELECT wp_id, pi, e.ini AS ini, e.fin AS fin, e.tipo AS tipo, e.texto AS texto, -e.s AS score FROM (SELECT wp_id, pi, unnest(list_reduce(list(e ORDER BY e), lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.ini < x[1].fin AND a.fin > x[1].ini)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS e "
+    "FROM (SELECT wp_id, pi, [{'s': -score, 'l': ini - fin, 'ini': ini, 'fin': fin, 'tipo': tipo, 'texto': texto}] AS e FROM proposals) AS p GROUP BY 1, 2) AS g",
+)
 def _(s, t):
     return spans.greedy(t("proposals"), ["wp_id", "pi"])
 
@@ -856,7 +860,7 @@ def _(s, t):
     return t("events").select("event_id", review.relative_age(F.col("event_id") * 37).alias("edad"), review.reconnect_delay(F.col("event_id") % 8).alias("espera"))
 
 
-@query("export_digest")
+@query("export_digest", "SELECT count(*) AS filas, CAST(sum(CAST(CAST(concat('0x', substr(md5(concat_ws('|', wp_id, mid, texto, tipo)), 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS huella FROM marks")
 def _(s, t):
     return review.export_digest(t("marks"), ["wp_id", "mid", "texto", "tipo"])
 
@@ -883,7 +887,11 @@ def _(s, t):
     return marking.annotate(_lines(t), marking.capitalised_names)
 
 
-@query("sentence_chunks")
+@query(
+    "sentence_chunks",
+    "SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, c[i] AS trozo FROM (SELECT doc_id, list_reduce(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda s: [s]), "
+    "lambda acc, x: CASE WHEN length(acc[-1]) + length(x[1]) + 1 <= 1200 THEN list_concat(acc[:-2], [concat(acc[-1], ' ', x[1])]) ELSE list_concat(acc, x) END) AS c FROM documents WHERE text IS NOT NULL) AS d, unnest(generate_series(1, len(c))) AS g(i)",
+)
 def _(s, t):
     return t("documents").select("doc_id", F.posexplode(marking.chunks(F.col("text"), 1200)).alias("n", "trozo"))
 

@@ -235,3 +235,34 @@ def _(s, t):
     e = F.col("event_id")
     spaces = F.when(e % 2 == 0, F.array(F.lit("wc/v3"), F.lit("newspack-ads/v1"))).otherwise(F.array(F.lit("wp/v2"), F.lit("a-jetpack")))
     return t("events").select("event_id", checks.error_class(F.expr(_MESSAGE)).alias("clase"), checks.platform(spaces, F.when(e % 3 == 0, "wpcom").otherwise("rest")).alias("plataforma"))
+
+
+# No twins: tokens, places by regular expression and choices in turn; tests hold them against plain versions.
+
+
+@query("training_examples")
+def _(s, t):
+    w = t("written").withColumns({"mid": F.concat_ws("-", "ini", "tipo", "texto"), "ini": F.col("ini") % 30}).withColumn("fin", F.col("ini") + 9)
+    ends = w.groupBy("wp_id", "pi").agg(F.min("mid").alias("a_mid"), F.max("mid").alias("b_mid")).select("wp_id", "a_mid", "b_mid", F.lit("vínculo sin tipo").alias("predicado"), F.lit("vigente").alias("cuando"))
+    rows = training.gold_rows(w, ends).join(t("phrases"), ["wp_id", "pi"])
+    x = training.examples(rows, predicates(s))
+    return x.select("wp_id", "pi", F.size("fichas").alias("fichas"), F.array_join(F.transform("ner", lambda n: F.concat_ws(":", n["p"], n["u"], n["tipo"])), ",").alias("ner"), F.array_join(F.transform("relaciones", lambda r: F.concat_ws(":", r["a"], r["b"])), ",").alias("relaciones"))
+
+
+def _sheet(s, t):
+    p = t("phrases")
+    sheet = p.select("wp_id", "pi", F.explode(F.array(*(F.struct(F.lit(a).alias("texto"), F.lit(b).alias("tipo")) for a, b in (("Senado", "organizacion"), ("5", "monto"), ("senador", "cargo*"))))).alias("x")).select("wp_id", "pi", "x.*")
+    said = p.select("wp_id", "pi", F.lit("senador").alias("a"), F.lit("vínculo sin tipo").alias("predicado"), F.lit("Senado").alias("b"), F.lit("vigente").alias("cuando"))
+    there = lambda df, c: df.join(p, ["wp_id", "pi"]).where(F.contains("parrafo", c))
+    return training.gold_sheet(p, there(sheet, F.col("texto")).drop("parrafo"), there(there(said, F.col("a")).drop("parrafo"), F.col("b")).drop("parrafo"), predicates(s))
+
+
+@query("gold_sheet_marks")
+def _(s, t):
+    return _sheet(s, t)[0]
+
+
+@query("held_out_choice")
+def _(s, t):
+    c = t("census").select("wp_id", F.col("section").alias("seccion"), F.expr("CASE WHEN date < '1994' THEN 'a' WHEN date < '1996' THEN 'b' ELSE 'c' END").alias("tramo"))
+    return training.held_out(c, {"1-URGENT": 6, "2-HIGH": 3}, ("5-LOW",), ("a", "b", "c"))

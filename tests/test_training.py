@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import checks
+from tessera.functions.vocabulary import predicates
 from tessera.operators import resolve, review, training
 from tessera.sources import rest
 from tessera.streaming import sessions
@@ -109,3 +110,41 @@ def test_menu_and_examples_of_nothing(spark):
     c = spark.createDataFrame([(1, None)], "wp_id long, title string")
     f = spark.createDataFrame([("h", i, None) for i in range(5)], "hallazgo string, wp_id long, nota string")
     assert [tuple(r)[1:4] for r in review.examples(f, c, 2).orderBy("wp_id").collect()] == [(0, "(sin título)", ""), (1, "(sin título)", "")]
+
+
+def test_training_examples(spark):
+    text = "Alejandro Lyons Muskus, gobernador, y Ana. Usted"
+    ents = [(0, 0, 22, "persona", "Alejandro Lyons Muskus"), (1, 0, 15, "persona", "Alejandro Lyons"), (2, 25, 31, "cargo", "gobern"), (3, 38, 41, "persona", "Ana"), (4, 43, 48, "persona", "Usted"), (5, 24, 34, "raro", "gobernador")]
+    ties = [(1, 3, "familiar de"), (0, 3, "familiar de"), (1, 2, "ocupa el cargo"), (3, 2, "dirige"), (3, 4, "familiar de"), (0, 1, "familiar de")]
+    e, r = "array<struct<i:int,ini:int,fin:int,tipo:string,texto:string>>", "array<struct<a:int,b:int,predicado:string>>"
+    rows = spark.createDataFrame([(1, 0, text, ents, ties), (1, 1, None, ents, ties), (1, 2, "", [], None)], f"wp_id long, pi int, parrafo string, entidades {e}, relaciones {r}")
+    got = {x.pi: x for x in training.examples(rows, predicates(spark)).collect()}
+    assert got[0].fichas == ["Alejandro", "Lyons", "Muskus", ",", "gobernador", ",", "y", "Ana", ".", "Usted"]
+    assert [tuple(n) for n in got[0].ner] == [(0, 2, "persona"), (4, 4, "cargo"), (7, 7, "persona")]
+    assert [tuple(x) for x in got[0].relaciones] == [(0, 2, "familiar de"), (2, 0, "familiar de"), (0, 1, "ocupa el cargo")]
+    assert got[1].ner == [] and got[1].relaciones is None and got[2].fichas == []
+
+
+def test_gold_sheet_is_applied_wholly_or_not(spark):
+    p = spark.createDataFrame([(1, 0, "Marta Ramírez y Ramírez: 5 y 5, dirige Ecopetrol"), (2, 0, "Ana")], "wp_id long, pi int, parrafo string")
+    sheet = [(1, 0, "Ramírez", "persona"), (1, 0, "Marta Ramírez", "persona"), (1, 0, "5", "monto"), (1, 0, "Ecopetrol", "organizacion*"), (2, 0, "Ana", "persona"), (2, 0, "Luz", "persona"), (2, 0, "Ana", "cosa")]
+    said = [(1, 0, "Marta Ramírez", "dirige", "Ecopetrol", None), (1, 0, "Ramírez", "hermano de", "Marta Ramírez", "pasada"), (2, 0, "Ana", "dirige", "Ana", ""), (2, 0, "Ana", "no hay", "Ana", ""), (2, 0, "Ana", "dirige", "Eva", "")]
+    marks, ties, problems = training.gold_sheet(
+        p,
+        spark.createDataFrame(sheet, "wp_id long, pi int, texto string, tipo string"),
+        spark.createDataFrame(said, "wp_id long, pi int, a string, predicado string, b string, cuando string"),
+        predicates(spark),
+    )
+    assert {(m.ini, m.fin, m.tipo, m.designa) for m in marks.collect()} == {(0, 13, "persona", False), (16, 23, "persona", False), (25, 26, "monto", False), (39, 48, "organizacion", True)}
+    assert {(r.a, r.b, r.predicado, r.cuando) for r in ties.collect()} == {(0, 39, "dirige", "vigente"), (0, 16, "hermano de", "pasada")}
+    assert {(x.wp_id, x.problema) for x in problems.collect()} == {(2, k) for k in ("texto", "tipo", "admite", "predicado", "extremo")}
+
+
+def test_held_out(spark):
+    rows = [(i, ("a", "b", "r1", "z")[i % 4], ("t1", "t2", "t3")[i % 3]) for i in range(300)]
+    c = spark.createDataFrame(rows, "wp_id long, seccion string, tramo string")
+    got = training.held_out(c, {"a": 6, "b": 3}, ("r1",), ("t1", "t2", "t3")).collect()
+    assert len(got) == len({r.wp_id for r in got}) == 30 and {e: sum(r.tramo == e for r in got) for e in ("t1", "t2", "t3")} == {"t1": 10, "t2": 10, "t3": 10}
+    assert sum(r.seccion == "a" for r in got) >= 6 and sum(r.seccion == "r1" for r in got) >= 3
+    assert [r.wp_id for r in training.held_out(c, {"a": 6, "b": 3}, ("r1",), ("t1", "t2", "t3")).collect()] == [r.wp_id for r in got]
+    assert training.held_out(c.where("wp_id < 4"), {"a": 6}, ("r1",), ("t1",)).count() == 4
