@@ -40,16 +40,16 @@ def completion(census: DataFrame, ledger: DataFrame) -> DataFrame:
     return census.where("date_valid").agg(((F.max(y) - F.min(y) + 1) * 12 + 1).cast("long").alias("ventanas")).crossJoin(ledger.agg(F.count_distinct("label").alias("hechas")))
 
 
-def rank_percentiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 1000) -> DataFrame:
+def rank_percentiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 200) -> DataFrame:
     """Elements at zero-based rank round((n - 1) * share) of the sorted values, one column per share.
 
-    Values are counted first, so what is ranked are the distinct values, spread over ranges: their cumulative counts are
-    sums within a range plus the totals of earlier ranges.
+    Values are counted first, so what is ranked are the distinct values, spread over ranges that hold about as many of them
+    each, outliers or not: their cumulative counts are sums within a range plus the totals of earlier ranges.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    low, high = F.min("v").alias("lo"), F.max("v").alias("hi")
-    bounds = counts.agg(low, high, F.sum("c").alias("n"))
-    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.least(F.floor((F.col("v") - F.col("lo")) * buckets / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))), F.lit(buckets - 1)))
+    edges = F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("edges")
+    bounds = counts.agg(edges, F.sum("c").alias("n"))
+    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
     per = placed.groupBy("bucket").agg(F.sum("c").alias("bc"))
     before = per.select("bucket", F.coalesce(F.sum("bc").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     w = Window.partitionBy("bucket").orderBy("v")
