@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, decontaminate, licenses, linededup, packing, quality, simhash, substrings, toxicity
+from tessera.llm import ann, chat, decontaminate, licenses, linededup, packing, quality, runs, simhash, substrings, tokencount, toxicity, vectorcodes
 from tessera.llm.base import table
 
 
@@ -64,6 +64,20 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.planted(table(spark, sf_dir, "documents"))
+    return runs.digests(runs.periodic_runs(docs, least=6, exponent=4))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectorcodes.with_label_error(vectorcodes.encode(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4))
+    return coded.select("vec_id", "codes.code", "codes.error", "label_error", "codes.codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -75,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_linededup": op10_linededup,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -104,13 +121,68 @@ def _licences() -> str:
     )
 
 
-#: SQL twins, where SQL can express the operator: op3 by trying every window, op7 by the source turns, op10 by pairs of neighbouring lines.
+def _runs() -> str:
+    word = "'[^\x20\x09-\x0D]+'"
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda a, b: {})"
+    step = "xor(a, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda z: xor(z >> 1, (z & 1) * 3988292384::UBIGINT))[1]"
+    h = f"xor({crc.format(step)}, 4294967295::UBIGINT)"
+    return (
+        f"WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {word}) AS ws, CAST(coalesce({h}, 1) AS BIGINT) AS h FROM documents), "
+        "g AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g FROM s), "
+        "a AS (SELECT *, g % greatest(n, 1) AS a FROM g), "
+        "p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a), "
+        "d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws FROM p), "
+        "w AS MATERIALIZED (SELECT doc_id, n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d), "
+        # Words q apart that are the same, as maximal stretches of places.
+        "e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w AS x JOIN w AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n), "
+        "k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e), "
+        "m AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM k GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)), "
+        "r AS MATERIALIZED (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.doc_id = m.doc_id AND o.q < m.q AND o.s <= m.s AND o.s + o.l >= m.s + m.l)), "
+        "t AS (SELECT doc_id, count(*) AS n_runs, max({'l': l, 's': -s, 'q': -q}) AS top, sha256(string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q)) AS runs_sha256 FROM r GROUP BY doc_id), "
+        "gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r), "
+        "c AS (SELECT w.doc_id, sha256(string_agg(word, ' ' ORDER BY w.i)) AS collapsed FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id) "
+        "SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -top.s AS start, top.l AS length, -top.q AS period, 1000 * top.l // -top.q AS exponent_milli, "
+        "coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed, sha256('')) AS collapsed_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN c ON d.doc_id = c.doc_id"
+    )
+
+
+def _codes() -> str:
+    # Distances through inner products of doubles: whole numbers far below 2**53, so they are exact.
+    width = "len(v) // 4"
+    ctes = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"part AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, p * {width} + 1, (p + 1) * {width}) AS x FROM kept, range(4) AS r(p))",
+        "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))",
+    ]
+    for i in range(5):
+        ctes.append(
+            f"a{i} AS MATERIALIZED (SELECT vec_id, label, part.p, x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS m FROM part JOIN b{i} AS b ON b.p = part.p GROUP BY vec_id, label, part.p, x)"
+        )
+        if i < 4:
+            ctes += [
+                f"u{i} AS (SELECT p, m.e AS e, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM a{i})",
+                f"n{i} AS (SELECT p, e, list(f ORDER BY k) AS c FROM (SELECT p, e, k, floor(sum(v) / count(*)) AS f FROM u{i} GROUP BY p, e, k) GROUP BY p, e)",
+                f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{i} AS b LEFT JOIN n{i} AS n ON n.p = b.p AND n.e = b.e)",
+            ]
+    ctes += [
+        "coded AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY vec_id, label)",
+        "books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books"
+
+
+#: SQL twins, where SQL can express the operator: op3 by trying every window, op7 by the source turns, op10 by pairs of neighbouring lines,
+#: op12 by all pairs of equal words, op13 by all entries.
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": _licences(),
     "op7_chat": f"WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}')) AS v) "
     "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(r, chr(10), t, chr(10)), '' ORDER BY turn)) AS turns_sha256, CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars, "
     "sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t END, '' ORDER BY turn), '')) AS loss_sha256, "
     f"CAST(sum({len(chat.START) + len(chat.END) + 1} + length({_ROLE}) + {_ESCAPES.format(_ROLE)} + length(t) + {_ESCAPES.format('t')}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id",
+    "op12_periodic_runs": _runs(),
+    "op13_vector_codes": _codes(),
     "op10_linededup": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), "
     f"s AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l WHERE regexp_matches(line, {_SOLID})), "
     "k AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND length(regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]+', '', 'g')) >= 12 AS alone, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS two FROM s), "
