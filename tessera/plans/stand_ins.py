@@ -16,12 +16,19 @@ VIEWS = {
     "bridge": "SELECT o_orderkey AS wp_id, 'place' AS taxonomy, CAST(c_nationkey + 101 AS BIGINT) AS term_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 23 <> 0 "
     "UNION ALL SELECT o_orderkey AS wp_id, 'place' AS taxonomy, CAST(n_regionkey + 1 AS BIGINT) AS term_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 2 = 0 AND o_orderkey % 23 <> 0",
     "batch": "SELECT o_orderkey AS wp_id, o_orderkey % 3 = 0 AS extraido, o_orderkey % 7 = 0 AS calibra FROM orders",
-    # Every line is a mark (of a reviewed article), a proposal, or both.
+    # Every line is a mark, and most are proposals too.
     "marks": f"SELECT DISTINCT l_orderkey AS wp_id, CAST(l_linenumber * 100000 + l_suppkey AS BIGINT) AS mid, CAST(l_partkey % 3 AS INT) AS pi, CAST(l_suppkey % 40 AS INT) AS ini, "
     f"CAST(l_suppkey % 40 + 4 + l_partkey % 8 AS INT) AS fin, concat('Nombre ', CAST(l_partkey % 150 AS STRING)) AS texto, {_KIND} AS tipo, "
-    "CASE WHEN l_partkey % 4 = 0 THEN concat('g', CAST(l_partkey % 5 AS STRING)) END AS grupo FROM lineitem WHERE l_orderkey % 3 = 0",
+    "CASE WHEN l_partkey % 4 = 0 THEN concat('g', CAST(l_partkey % 5 AS STRING)) END AS grupo FROM lineitem",
     "proposals": f"SELECT DISTINCT l_orderkey AS wp_id, CAST(l_partkey % 3 AS INT) AS pi, CAST(l_suppkey % 40 + l_linenumber % 3 AS INT) AS ini, CAST(l_suppkey % 40 + 5 + l_partkey % 6 AS INT) AS fin, "
     f"concat('Nombre ', CAST(l_partkey % 150 AS STRING)) AS texto, {_KIND} AS tipo, round(l_discount * 10, 2) AS score FROM lineitem WHERE l_linenumber >= 2 OR l_orderkey % 3 <> 0",
+    # Marks and proposals by their number in the paragraph, and relations between neighbours.
+    "gold_ents": "SELECT wp_id, pi, CAST(row_number() OVER (PARTITION BY wp_id, pi ORDER BY ini, fin, mid) - 1 AS INT) AS i, ini, fin, tipo, mid FROM marks",
+    "model_ents": "SELECT wp_id, pi, CAST(row_number() OVER (PARTITION BY wp_id, pi ORDER BY ini, fin, tipo, texto, score) - 1 AS INT) AS i, ini, fin, tipo, score FROM proposals",
+    "gold_ties": "SELECT x.wp_id, x.pi, x.i AS a, y.i AS b, CASE CAST(x.mid % 3 AS INT) WHEN 0 THEN 'apoya a' WHEN 1 THEN 'socio de' ELSE 'dirige' END AS predicado "
+    "FROM gold_ents AS x JOIN gold_ents AS y ON x.wp_id = y.wp_id AND x.pi = y.pi AND y.i = x.i + 1",
+    "model_ties": "SELECT x.wp_id, x.pi, CASE WHEN x.fin % 4 = 0 THEN y.i ELSE x.i END AS a, CASE WHEN x.fin % 4 = 0 THEN x.i ELSE y.i END AS b, "
+    "CASE CAST(x.ini % 3 AS INT) WHEN 0 THEN 'apoya a' WHEN 1 THEN 'socio de' ELSE 'dirige' END AS predicado, x.score, x.i AS orden FROM model_ents AS x JOIN model_ents AS y ON x.wp_id = y.wp_id AND x.pi = y.pi AND y.i = x.i + 1",
     "relations": "SELECT l_orderkey AS wp_id, concat('N', CAST(s_nationkey AS STRING)) AS a, concat('N', CAST(c_nationkey AS STRING)) AS b, "
     "CASE l_returnflag WHEN 'A' THEN 'apoya a' WHEN 'N' THEN 'socio de' ELSE 'familiar de' END AS predicado, CASE l_linestatus WHEN 'O' THEN 'vigente' ELSE 'pasada' END AS cuando, "
     "round(l_discount * 10, 2) AS score, l_linenumber AS orden FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
@@ -64,6 +71,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    used = [t for t in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)) if t in TABLES]
-    text = re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in TABLES else m[0], sql)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    used = [t for t in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)) if t in TABLES or t in VIEWS]
+    text = re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
+    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
