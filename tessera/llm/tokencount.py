@@ -105,10 +105,7 @@ class TokenCounter:
         return left
 
     def _words(self, text: str) -> Iterator[list[str]]:
-        """The pre-tokenizer's words, a stretch of text at a time: a word never spans a single blank between two solids' end and start."""
-        if self.newer and not text.isascii() and self.newer.search(text):
-            yield [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
-            return
+        """The pre-tokenizer's words, a stretch of text at a time: a blank between two solids always begins a word."""
         at = 0
         while at < len(text):
             gap = _GAP.search(text, at + STRETCH) if len(text) - at > STRETCH else None
@@ -122,6 +119,9 @@ class TokenCounter:
             for word, times in Counter(words).items():
                 n = known.get(word)
                 if n is None:
+                    if self.newer and not word.isascii() and self.newer.search(word):
+                        # Never remembered, so no text with such a letter goes past this line.
+                        return sum(self.word(text[a:b]) for _, (a, b) in self.library.pre_tokenize_str(text))
                     n = self.word(word)
                     if len(word) <= CACHED_CHARS:
                         if len(known) >= CACHED_WORDS:
