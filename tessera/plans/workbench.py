@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate, matching
-from tessera.plans.archive import ORACLE_SQL, QUERIES, query
+from tessera.functions import text as T
+from tessera.operators import matching, view
+from tessera.plans.archive import _cuts, _fold_sql, ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -165,3 +166,31 @@ _POLICIES = {"global 0.5": (None, 0.5), "global 0.7": (None, 0.7), "por predicad
 def _(s, t):
     scored, gold = _scored(t)
     return matching.measured(scored, gold, matching.chosen_cuts(scored, gold), _POLICIES)
+
+
+# Review view --------------------------------------------------------------------------------------------------------------
+
+_SEEN = (
+    "g AS (SELECT *, coalesce(canon, texto) AS forma, count(*) OVER (PARTITION BY wp_id, tipo, coalesce(canon, texto)) AS k FROM canon_proposals), "
+    f"seen AS MATERIALIZED (SELECT wp_id, concat('m', pi, '-', ini, '-', fin) AS mid, pi, ini, fin, texto, tipo, CASE WHEN k >= 2 THEN concat('c:', tipo, ':', {_fold_sql('forma', T.FOLD_FROM, T.FOLD_TO)}) END AS grupo "
+    "FROM g WHERE score >= CASE tipo WHEN 'persona' THEN 0.7 WHEN 'lugar' THEN 0.3 ELSE 0.5 END AND NOT (tipo = 'cargo' AND lower(texto) IN ('nombre 3', 'nombre 7')))"
+)
+
+
+def _seen(s, t):
+    return view.proposed_mentions(t("canon_proposals"), *_cuts(s))
+
+
+@query("review_mentions", f"WITH {_SEEN} SELECT wp_id, mid, pi, ini, fin, texto, tipo, true AS auto, grupo, false AS designa FROM seen")
+def _(s, t):
+    return _seen(s, t)
+
+
+@query(
+    "review_relations",
+    f"WITH {_SEEN}, f AS (SELECT wp_id, pi, texto, arg_min(mid, {{'i': ini, 'f': fin}}) AS mid FROM seen GROUP BY 1, 2, 3), "
+    "e AS (SELECT s.wp_id, s.pi, orden, predicado, x.mid AS a_mid, y.mid AS b_mid FROM said_ties AS s JOIN f AS x ON x.wp_id = s.wp_id AND x.pi = s.pi AND x.texto = s.a JOIN f AS y ON y.wp_id = s.wp_id AND y.pi = s.pi AND y.texto = s.b) "
+    "SELECT wp_id, concat('r', pi, '-', a_mid, '-', b_mid) AS rid, a_mid, b_mid, arg_min(predicado, orden) AS predicado, 'vigente' AS cuando FROM e WHERE a_mid <> b_mid GROUP BY wp_id, pi, a_mid, b_mid",
+)
+def _(s, t):
+    return view.proposed_relations(_seen(s, t), t("said_ties"))

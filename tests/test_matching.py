@@ -11,17 +11,17 @@ SYM = ("socio de",)
 PRED = ("socio de", "apoya a", "dirige")
 
 
-def made(seed, paragraphs=240):
+def made(seed, paragraphs=60):
     r = random.Random(seed)
     ents, rels, gold, grels = [], [], [], []
     for w in range(paragraphs):
-        for n, rows, ties, scored in ((r.randint(0, 7), ents, rels, True), (r.randint(0, 6), gold, grels, False)):
-            for i in range(n):
-                a = r.randint(0, 12)
-                rows.append((w, w % 2, i, a, a + r.randint(0, 3), r.choice(("persona", "lugar", M.DECOY)), *([round(r.choice((0.1, 0.3, 0.5, 0.7, 0.9)), 2)] if scored else [])))
-            for k in range(r.randint(0, 6) if n > 1 else 0):
-                a, b = r.sample(range(n), 2)
-                ties.append((w, w % 2, a, b, r.choice(PRED), *([round(r.choice((0.1, 0.2, 0.6, 0.9)), 2), k] if scored else [])))
+        theirs = [(r.randint(0, 12), r.choice(("persona", "lugar", M.DECOY))) for _ in range(r.randint(0, 6))]
+        mine = [(a + r.randint(-1, 1), t) for a, t in theirs if r.random() < 0.9] + [(r.randint(0, 12), r.choice(("persona", "lugar"))) for _ in range(r.randint(0, 2))]
+        for rows, spans, scored in ((gold, theirs, False), (ents, mine, True)):
+            rows += [(w, w % 2, i, a, a + r.randint(0, 3), t, *([r.choice((0.1, 0.3, 0.5, 0.7, 0.9))] if scored else [])) for i, (a, t) in enumerate(spans)]
+        for ties, n, scored in ((grels, len(theirs), False), (rels, len(mine), True)):
+            for k in range(r.randint(0, 9) if n > 1 else 0):
+                ties.append((w, w % 2, *r.sample(range(min(n, 4)), 2), r.choice(PRED), *([r.choice((0.1, 0.2, 0.6, 0.9)), k] if scored else [])))
     return ents, rels, gold, grels
 
 
