@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import materialize
-
 
 @dataclass
 class Settings:
@@ -21,11 +19,11 @@ class Settings:
     #: Half width of the first window in standard deviations of the projections; each round of virtual rehashing widens it.
     width: float = 0.9
     widen: float = 1.2
-    #: Rounds end when this share of a block has been verified (and four times k vectors).
+    #: Rounds end when this share of a block and `spare` times k vectors more have been verified.
     verified: float = 0.25
-    #: Rows that are indexed together, and bytes of query vectors that are broadcast together, at most.
-    block_rows: int = 16384
-    query_bytes: int = 32_000_000
+    spare: int = 8
+    #: Rows that are indexed together, about: vectors are dealt to blocks by a hash.
+    block_rows: int = 8192
     seed: int = 11
 
 
@@ -65,7 +63,7 @@ class Block:
         ends, so over all rounds a row counts once for each array. When the windows hold all, every row collides.
         """
         s, n = self.s, len(self.ids)
-        wanted = min(n, max(4 * k, int(s.verified * n)))
+        wanted = min(n, int(s.verified * n) + s.spare * k)
         at = self.directions[:, :-1] @ (q * (self.norm / np.linalg.norm(q))) + self.apart
         last = self.first + n
         low = high = np.clip(np.searchsorted(self.values, at), self.first, last)
@@ -106,9 +104,10 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def nearest(base: DataFrame, queries: DataFrame, k: int = 20, settings: Settings | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query its k nearest base rows by inner product: query_id, rank, vec_id, score; a row is never its own neighbour.
 
-    Base rows are dealt out evenly and written once; each task indexes `block_rows` of its rows at a time, so memory is
-    bounded whatever their number. Queries go out in broadcasts of at most `query_bytes`, as many as it takes, and meet every
-    block: no base vector is copied or shuffled for them. In a block, rows are sorted by each of many random projections. A query
+    Base rows are dealt by a hash to blocks of about `block_rows`, so results depend on neither the cluster nor the order of
+    the table. Every query goes to every block: a task sorts its block's rows first, indexes them, and then lets its queries
+    pass in batches. Memory is a block and a batch; no vector goes through the driver, and the work is queries times rows. In
+    a block, rows are sorted by each of many random projections. A query
     opens a window around itself in every sorted array and widens them all together; vectors that enter enough
     windows are verified by their exact inner product, without any cap. The blocks' top k of a query then meet in one
     ranking. Score is in double precision on the original vectors; equal scores go to the smaller vec_id. Rows with a null
@@ -117,46 +116,36 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
     An empty table on either side gives no rows; other columns are ignored.
     """
     s = settings or Settings()
-    spark = base.sparkSession
-    base = usable(base, vector).select(F.col("row")[key].cast("long").alias("id"), "v", F.size("v").alias("d")).where("id is not null").distinct()
-    queries = usable(queries, vector).select(F.col("row")[key].cast("long").alias("id"), "v", F.size("v").alias("d")).where("id is not null").distinct()
+    side = lambda df: usable(df, vector).select(F.col("row")[key].cast("long").alias("id"), "v", F.size("v").alias("d")).where("id is not null").distinct()
+    base, queries = side(base), side(queries)
     norms = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    kinds = {r["d"]: r for r in base.groupBy("d").agg(F.count("*").alias("n"), norms.alias("norm")).collect()}
-    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for d, q in sorted((r["d"], r["n"]) for r in queries.groupBy("d").agg(F.count("*").alias("n")).collect() if r["d"] in kinds):
-        n, norm = kinds[d]["n"], kinds[d]["norm"]
-        spread = max(-(-n // s.block_rows), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
-        rows = materialize(base.where(F.col("d") == d).select("id", "v").repartition(spread))
-        groups = max(1, -(-q * d * 8 // s.query_bytes))
-        for g in range(groups):
-            some = queries.where((F.col("d") == d) & (F.pmod(F.xxhash64("id"), F.lit(groups)) == g)).select("id", "v").toPandas().sort_values("id", kind="stable")
-            if len(some):
-                held = spark.sparkContext.broadcast((some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(float)))
-                out = out.union(_search(rows, held, norm, k, s))
+    out = base.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for d, n, norm in sorted(base.groupBy("d").agg(F.count("*").alias("n"), norms.alias("norm")).collect()):
+        out = out.union(_search(base.where(F.col("d") == d), queries.where(F.col("d") == d), -(-n // s.block_rows), norm, k, s))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(rows: DataFrame, held, norm: float, k: int, s: Settings) -> DataFrame:
-    def answers(ids: list, vectors: list) -> pd.DataFrame:
-        block = Block(np.concatenate(ids), np.concatenate(vectors), norm, s)
-        found = [(qid, *block.search(qid, q, k)) for qid, q in zip(*held.value)]
-        return pd.DataFrame(
-            {"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}
-        )
+def _search(base: DataFrame, queries: DataFrame, blocks: int, norm: float, k: int, s: Settings) -> DataFrame:
+    """Each block's k nearest of each query: query_id, vec_id, score."""
+    rows = base.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
+    rows = rows.union(queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.lit(True), "id", "v"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, have = [], [], 0
+        now, ids, vectors, block = None, [], [], None
         for batch in batches:
-            for at in range(0, len(batch), s.block_rows):
-                part = batch.iloc[at : at + s.block_rows]
-                if have and have + len(part) > s.block_rows:
-                    yield answers(ids, vectors)
-                    ids, vectors, have = [], [], 0
-                ids.append(part["id"].to_numpy())
-                vectors.append(np.stack(part["v"].to_numpy()).astype(float))
-                have += len(part)
-        if have:
-            yield answers(ids, vectors)
-
-    return rows.mapInPandas(search, "query_id long, vec_id long, score double")
+            for (at, asks), part in batch.groupby(["block", "asks"], sort=True):
+                if at != now:
+                    now, ids, vectors, block = at, [], [], None
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                if not asks:
+                    ids.append(part["id"].to_numpy())
+                    vectors.append(x)
+                elif ids:
+                    block = block or Block(np.concatenate(ids), np.concatenate(vectors), norm, s)
+                    found = [(qid, *block.search(qid, q, k)) for qid, q in zip(part["id"], x)]
+                    lengths = [len(f[1]) for f in found]
+                    yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], lengths), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+
+    dealt = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks", "id")
+    return dealt.mapInPandas(search, "query_id long, vec_id long, score double")

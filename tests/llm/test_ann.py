@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from tessera.llm.ann import Settings, nearest
 
@@ -27,7 +30,7 @@ def test_recall_and_scores(spark):
     x = r.normal(size=(1500, 32)) * r.uniform(0.5, 2, size=(1500, 1))
     ids = np.arange(1500)
     want = brute(ids, x, 20)
-    got = run(spark, ids, x, 20, Settings(block_rows=600, query_bytes=50 * 32 * 8))
+    got = run(spark, ids, x, 20, Settings(block_rows=600))
     assert got.keys() == want.keys()
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
     for q, rows in got.items():
@@ -58,7 +61,7 @@ def test_recall_by_verified_share():
         near = set(np.argsort(-(x @ x[i]), kind="stable")[:20].tolist())
         found.append(len(near & set(rows.tolist())) / 20)
         share.append(len(rows) / 4000)
-    assert np.mean(found) >= 0.9 and np.mean(share) <= 0.3
+    assert np.mean(found) >= 0.9 and np.mean(share) <= 0.35
 
 
 def test_counts_grow_with_the_windows(spark):
@@ -68,3 +71,27 @@ def test_counts_grow_with_the_windows(spark):
     block = Block(np.arange(300), x, float(np.linalg.norm(x, axis=1).max()), Settings(verified=1.0))
     # All windows end up holding everything, and each row has then been counted once for each array.
     assert len(block.candidates(x[0], 1000)) == 300
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    from tessera.llm.queries import op4_ann
+
+    at = f"/root/testdata/{sf}"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{at}/embeddings.parquet").collect() if r.embedding and all(c is not None and np.isfinite(c) for c in r.embedding) and any(r.embedding)]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    want, got = brute(ids, x, 20), {}
+    for r in op4_ann(spark, at).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert np.mean([len(got[q] & {v for v, _ in want[q]}) / len(want[q]) for q in want]) >= 0.93
+
+
+def test_results_depend_on_settings_alone(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    once = lambda d: sorted(tuple(r) for r in nearest(d, d.where("vec_id % 20 = 0"), 5, Settings(block_rows=200)).collect())
+    assert once(df.repartition(3)) == once(df.orderBy("vec_id", ascending=False).coalesce(1))
