@@ -185,7 +185,7 @@ ORACLE_SQL: dict[str, str] = {
     "op13_vector_codes": _codes(),
     "op10_linededup": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), "
     f"s AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l WHERE regexp_matches(line, {_SOLID})), "
-    "k AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND length(regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]+', '', 'g')) >= 12 AS alone, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS two FROM s), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS alone, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS two FROM s), "
     "g AS (SELECT doc_id, i, alone OR two OR coalesce(lag(two) OVER w, false) AS gone FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)), "
     "r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM g), "
     "n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_runs FROM r GROUP BY 1), "
