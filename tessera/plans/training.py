@@ -212,15 +212,25 @@ def _(s, t):
     return rows.select("wp_id", "pi", F.size("entidades").cast("long").alias("entidades"), F.greatest(n, F.lit(0)).cast("long").alias("relaciones"), total.alias("suma"))
 
 
-_OURS = "CASE " + " ".join(f"WHEN x IN {_LIST(v.split('|'))} THEN '{k}'" for k, v in checks.OUTSIDE_TYPES.items()) + " END"
-_KIN = "CASE " + " ".join(f"WHEN x IN {_LIST(v.split('|'))} THEN '{k}'" for k, v in checks.OUTSIDE_KIN.items()) + " END"
-_SAID = "CASE CAST(event_id % 6 AS INTEGER) WHEN 0 THEN 'País' WHEN 1 THEN 'pais ' WHEN 2 THEN 'Hijo' WHEN 3 THEN 'ex-esposa' WHEN 4 THEN 'SINDICATO' ELSE 'ley' END"
+def _case(pairs) -> str:
+    return "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs) + " END"
 
 
-@query("outside_vocabulary", f"SELECT event_id, {_OURS} AS tipo, {_KIN} AS predicado, CASE WHEN {_KIN} IS NOT NULL THEN {_KIN} IN {_LIST(checks.MUTUAL_KIN)} END AS simetrico FROM (SELECT event_id, upper(trim({_SAID})) AS x FROM events) AS e")
+_OURS = _case(checks.OUTSIDE_TYPES.items())
+_KIN = _case((k, p) for k, (p, _) in checks.OUTSIDE_KIN.items())
+_MUTUAL = _case((k, both) for k, (_, both) in checks.OUTSIDE_KIN.items())
+_FATE = f"CASE WHEN {_KIN} IS NOT NULL THEN 'parentesco' WHEN x IN {_LIST(checks.GENERIC_KIN)} THEN 'familiar' WHEN x IN {_LIST(checks.TO_TELL_APART)} THEN 'reclasificar' END"
+# Every kind of the outside list comes up, in small letters for odd events.
+_ALL_SAID = [*checks.OUTSIDE_TYPES, *checks.OUTSIDE_KIN, *checks.GENERIC_KIN, *checks.TO_TELL_APART, "X"]
+_SAID_AT = "CASE CAST(event_id % {n} AS INT) {cases} END".format(n=len(_ALL_SAID), cases=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ALL_SAID)))
+_SAID = f"CASE WHEN event_id % 2 = 0 THEN {_SAID_AT} ELSE concat(' ', lower({_SAID_AT})) END"
+
+
+@query("outside_vocabulary", f"SELECT event_id, {_OURS} AS tipo, {_KIN} AS predicado, CAST({_MUTUAL} AS BOOLEAN) AS simetrico, {_FATE} AS destino FROM (SELECT event_id, upper(trim({_SAID})) AS x FROM events) AS e")
 def _(s, t):
     e = t("events").select("event_id", F.expr(_SAID).alias("x"))
-    return e.select("event_id", checks.outside_type(F.col("x")).alias("tipo"), checks.outside_kin(F.col("x")).alias("k")).select("event_id", "tipo", "k.predicado", "k.simetrico")
+    kin = checks.outside_kin(F.col("x"))
+    return e.select("event_id", checks.outside_type(F.col("x")).alias("tipo"), kin["predicado"].alias("predicado"), kin["simetrico"].alias("simetrico"), checks.outside_relation(F.col("x")).alias("destino"))
 
 
 _MESSAGE = "concat(event_type, CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN ': No encontre una REST API' WHEN 1 THEN ' TLS roto' WHEN 2 THEN '; escribe la direccion' ELSE '' END)"
