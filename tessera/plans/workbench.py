@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import matching, view
-from tessera.plans.archive import _cuts, _fold_sql, ORACLE_SQL, QUERIES, query
+from tessera.plans.archive import ORACLE_SQL, QUERIES, _cuts, _fold_sql, query
+from tessera.streaming import registry
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -194,3 +195,15 @@ def _(s, t):
 )
 def _(s, t):
     return view.proposed_relations(_seen(s, t), t("said_ties"))
+
+
+# No twin: a state machine; tests hold it against the plain rules.
+
+
+@query("presence_register")
+def _(s, t):
+    e = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ("conectar", "latido", "tomar", "soltar", "forzar", "tomar", "latido", "desconectar"))), (e % 8 + 1).cast("int"))
+    who = F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string"))
+    rooms = t("events").select(F.floor(F.col("user_id") / 10).cast("string").alias("sala"), F.col("ts").cast("timestamp").alias("ts"), e.cast("long").alias("orden"), who.alias("sesion"), F.col("event_type").alias("cliente"), action.alias("accion"), (e % 4).cast("long").alias("articulo"))
+    return registry.replayed(rooms, 86_400.0)
