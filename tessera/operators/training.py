@@ -138,21 +138,18 @@ def model_table(articles: DataFrame, entities: DataFrame, relations: DataFrame,
     return a.join(e, "modelo", "left").join(r, "modelo", "left").fillna(0, ["entidades", "genericas", "relaciones"])
 
 
-def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
-    """Training examples of paragraphs (wp_id, pi, parrafo, entidades, relaciones as of `gold_rows`): wp_id, pi, fichas, ner, relaciones.
+def _fit(m: Column) -> Column:
+    return m["p"].isNotNull() & m["tipo"].isin(*TYPES) & F.coalesce(teachable(m["texto"], m["tipo"]), F.lit(False))
 
-    Marks become spans of tokens, widened to whole ones, the longest first; one that overlaps a span of its type is an alias
-    of it, so relations to either survive. Pronouns, amounts without a figure and unknown types go. Relations between spans
-    keep their first place if their predicate admits the types; those that hold both ways are doubled. Null texts have no tokens.
-    """
-    e = rows.select(*PLACE, "entidades", "relaciones", tokens(F.col("parrafo")).alias("t"))
 
-    def span(m: Column) -> Column:
-        touched = F.transform("t", lambda t, k: F.when((t["fin"] > m["ini"]) & (t["ini"] < m["fin"]), k))
-        return F.struct((m["ini"] - m["fin"]).alias("l"), m["i"].alias("i"), F.array_min(touched).alias("p"), F.array_max(touched).alias("u"), m["tipo"].alias("tipo"), m["texto"].alias("texto"))
+def _span(m: Column) -> Column:
+    """A mark's first and last token; the struct sorts the longest mark first."""
+    touched = F.transform("t", lambda t, k: F.when((t["fin"] > m["ini"]) & (t["ini"] < m["fin"]), k))
+    return F.struct((m["ini"] - m["fin"]).alias("l"), m["i"].alias("i"), F.array_min(touched).alias("p"), F.array_max(touched).alias("u"), m["tipo"].alias("tipo"), m["texto"].alias("texto"))
 
-    def fit(m: Column) -> Column:
-        return m["p"].isNotNull() & m["tipo"].isin(*TYPES) & F.coalesce(teachable(m["texto"], m["tipo"]), F.lit(False))
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with tokens `t`, all marks as spans `todas`, and `ner`: spans that stay, `de` being the marks that each stands for."""
 
     def place(ner: Column, m: Column) -> Column:
         hit = F.array_position(F.transform(ner, lambda n: (n["tipo"] == m["tipo"]) & (n["p"] <= m["u"]) & (m["p"] <= n["u"])), True)
@@ -160,14 +157,30 @@ def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
         alias = lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo"), F.concat(n["de"], F.array(m["i"])).alias("de"))
         return F.when(hit == 0, F.concat(ner, new)).otherwise(F.transform(ner, lambda n, k: F.when(k == hit - 1, alias(n)).otherwise(n)))
 
-    ordered = F.array_sort(F.filter(F.transform("entidades", span), fit))
+    e = rows.select(*PLACE, "entidades", "relaciones", tokens(F.col("parrafo")).alias("t"))
+    e = e.withColumn("todas", F.array_sort(F.transform("entidades", _span)))
     none = F.array().cast("array<struct<p:int,u:int,tipo:string,de:array<int>>>")
-    e = e.withColumn("ner", F.aggregate(ordered, none, place))
-    kept = F.transform("ner", lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo")))
+    return e.withColumn("ner", F.aggregate(F.filter("todas", _fit), none, place))
+
+
+def _between(e: DataFrame, how: str = "inner") -> DataFrame:
+    """Relations with the spans (a, b) that their marks (ia, ib) stand for, and their types."""
     at = e.select(*PLACE, F.posexplode("ner").alias("k", "n")).select(*PLACE, "k", "n.tipo", F.explode("n.de").alias("i"))
     ties = e.select(*PLACE, F.posexplode("relaciones").alias("orden", "r")).select(*PLACE, "orden", "r.predicado", F.col("r.a").alias("ia"), F.col("r.b").alias("ib"))
     end = lambda s: at.select(*PLACE, F.col("i").alias(f"i{s}"), F.col("k").alias(s), F.col("tipo").alias(f"tipo_{s}"))
-    r = admissible(ties.join(end("a"), [*PLACE, "ia"]).join(end("b"), [*PLACE, "ib"]).where("a <> b"), predicates)
+    return ties.join(end("a"), [*PLACE, "ia"], how).join(end("b"), [*PLACE, "ib"], how)
+
+
+def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Training examples of paragraphs (wp_id, pi, parrafo, entidades, relaciones as of `gold_rows`): wp_id, pi, fichas, ner, relaciones.
+
+    Marks become spans of tokens, widened to whole ones, the longest first; one that overlaps a span of its type is an alias
+    of it, so relations to either survive. Pronouns, amounts without a figure and unknown types go. Relations between spans
+    keep their first place if their predicate admits the types; those that hold both ways are doubled. Null texts have no tokens.
+    """
+    e = _placed(rows)
+    kept = F.transform("ner", lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo")))
+    r = admissible(_between(e).where("a <> b"), predicates)
     both = r.select(*PLACE, "orden", F.lit(0).alias("v"), "a", "b", "predicado").union(r.where(F.col("predicado").isin(*SYMMETRIC)).select(*PLACE, "orden", F.lit(1), "b", "a", "predicado"))
     once = both.groupBy(*PLACE, "a", "b", "predicado").agg(F.min(F.struct("orden", "v")).alias("o"))
     listed = once.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("o", "a", "b", "predicado"))).alias("x"))
@@ -175,6 +188,65 @@ def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
     return e.select(*PLACE, F.col("t.tok").alias("fichas"), kept.alias("ner")).join(listed, PLACE, "left")
 
 
+def discards(rows: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Why marks and relations of paragraphs did not become part of `examples`: wp_id, pi, motivo, n.
+
+    Marks: tipo_fuera, pronombre, monto_sin_cifra, fuera_de_rango, solape_mismo_tipo (kept as an alias). Relations:
+    rel_sin_extremo, rel_predicado_fuera, rel_tipos_no_admitidos. Paragraphs left without spans: sin_entidades.
+    """
+    e = _placed(rows)
+    m = F.col("m")
+    known, teaches = F.coalesce(m["tipo"].isin(*TYPES), F.lit(False)), F.coalesce(teachable(m["texto"], m["tipo"]), F.lit(False))
+    why = F.when(~known, "tipo_fuera").when(~teaches & (m["tipo"] == "monto"), "monto_sin_cifra").when(~teaches, "pronombre").when(m["p"].isNull(), "fuera_de_rango")
+    marks = e.select(*PLACE, F.explode("todas").alias("m")).select(*PLACE, why.alias("motivo"), F.lit(1).alias("n"))
+    same = e.select(*PLACE, F.lit("solape_mismo_tipo"), F.size(F.filter("todas", _fit)) - F.size("ner"))
+    empty = e.select(*PLACE, F.lit("sin_entidades"), F.when(F.size("ner") < 1, 1).otherwise(0))
+    known = F.col("predicado").isin(*(p[0] for p in PREDICATES))
+    lost = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b")), "rel_sin_extremo").when(~F.coalesce(known, F.lit(False)), "rel_predicado_fuera")
+    fits = _between(e).where("a <> b")
+    good = admissible(fits, predicates).select(*PLACE, "orden").withColumn("_ok", F.lit(True))
+    r = _between(e, "left").join(good, [*PLACE, "orden"], "left")
+    ties = r.select(*PLACE, lost.when(F.col("_ok").isNull(), "rel_tipos_no_admitidos").alias("motivo"), F.lit(1).alias("n"))
+    every = marks.union(same).union(empty).union(ties)
+    return every.where("motivo is not null and n > 0").groupBy(*PLACE, "motivo").agg(F.sum("n").alias("n"))
+
+
+def training_set(rows: DataFrame, predicates: DataFrame, apart: DataFrame, test: DataFrame, one_in: int = 5, seed: int = 1) -> DataFrame:
+    """Rows for the export (see sources.export): examples with their set, and counts of what was left out and why.
+
+    rows: (wp_id, pi, parrafo, entidades, relaciones, fuente, conjunto, estrato), fuente being oro, plata or sintetico. Gold takes
+    the place of other rows of its paragraph. Articles of `apart` (wp_id) go to the set apartado, and the job fails if one has
+    other rows than gold; of articles of `test` gold goes to the set prueba and the rest is left out. Silver relations of
+    persons with organisations are memberships. Of paragraphs without spans one in `one_in` stays, by a hash.
+    Null sets are `train`; beside gold a paragraph occurs once.
+    """
+    gold = F.col("fuente") == "oro"
+    by = rows.where(gold).select(*PLACE).distinct().withColumn("_oro", F.lit(True))
+    flag = lambda df, name: df.select("wp_id").distinct().withColumn(name, F.lit(True))
+    r = rows.join(by, PLACE, "left").join(flag(apart, "_a"), "wp_id", "left").join(flag(test, "_p"), "wp_id", "left")
+    over, held, tried = F.col("_oro").isNotNull() & ~gold, F.col("_a").isNotNull(), F.col("_p").isNotNull()
+    leak = F.raise_error(F.concat(F.lit("held-out paragraph "), F.concat_ws("/", *PLACE), F.lit(" in "), F.col("fuente")))
+    kept = F.when(held & gold, F.lit("apartado")).when(held, leak.cast("string")).when(tried & gold, F.lit("prueba")).otherwise(F.coalesce("conjunto", F.lit("train")))
+    out = F.when(over, "plata_pisada_por_oro").when(~held & tried & ~gold, "plata_en_prueba_fuera")
+    r = r.withColumn("_fuera", out).withColumn("conjunto", F.when(F.col("_fuera").isNull(), kept))
+    none = F.map_from_arrays(F.array(F.coalesce("_fuera", F.lit(""))), F.array(F.lit(1).cast("long")))
+    left_out = r.where("_fuera is not null").select(*PLACE, "conjunto", "fuente", "estrato", F.lit(None).cast("string").alias("parrafo"), none.alias("descartes"))
+    r = r.where("_fuera is null")
+    kind = lambda i: F.get(F.filter("entidades", lambda m: m["i"] == i), F.lit(0))["tipo"]
+    wrong = lambda x: (F.col("fuente") == "plata") & (x["predicado"] == "parte de") & (kind(x["a"]) == "persona") & (kind(x["b"]) == "organizacion")
+    turned = F.transform("relaciones", lambda x: x.withField("predicado", F.when(wrong(x), "miembro de").otherwise(x["predicado"])))
+    r = r.withColumns({"relaciones": turned, "_turned": F.size(F.filter("relaciones", wrong))})
+    x = examples(r, predicates).withColumnsRenamed({"relaciones": "pares"})
+    why = discards(r, predicates).groupBy(*PLACE).agg(F.map_from_entries(F.collect_list(F.struct("motivo", "n"))).alias("descartes"))
+    j = r.select(*PLACE, "conjunto", "fuente", "estrato", "parrafo", "_turned", F.transform("relaciones", lambda y: y["cuando"]).alias("cuando")).join(x, PLACE).join(why, PLACE, "left")
+    counts = F.coalesce("descartes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+    members = F.when(F.col("_turned") > 0, F.map_concat(counts, F.create_map(F.lit("parte_de_a_miembro_de"), F.col("_turned").cast("long")))).otherwise(counts)
+    few = (F.size("ner") > 0) | (F.pmod(F.xxhash64(F.lit(seed), *PLACE), F.lit(one_in)) == 0)
+    columns = [*PLACE, "conjunto", "fuente", "estrato", "parrafo", "descartes", "fichas", "ner", "pares", "cuando"]
+    j = j.withColumn("descartes", members).withColumn("conjunto", F.when(few, F.col("conjunto")))
+    return j.select(*columns).unionByName(left_out, allowMissingColumns=True)
+
+
 def gold_sheet(paragraphs: DataFrame, sheet: DataFrame, said: DataFrame, predicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A hand-written sheet applied to its articles, each wholly or not at all: (marks, relations, problems).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import matching, view
+from tessera.functions.vocabulary import predicates
+from tessera.operators import matching, training, view
 from tessera.plans.archive import ORACLE_SQL, QUERIES, _cuts, _fold_sql, query
 from tessera.streaming import registry
 
@@ -207,3 +208,26 @@ def _(s, t):
     who = F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string"))
     rooms = t("events").select(F.floor(F.col("user_id") / 10).cast("string").alias("sala"), F.col("ts").cast("timestamp").alias("ts"), e.cast("long").alias("orden"), who.alias("sesion"), F.col("event_type").alias("cliente"), action.alias("accion"), (e % 4).cast("long").alias("articulo"))
     return registry.replayed(rooms, 86_400.0)
+
+
+# No twins: tokens by regular expression; tests hold both against plain versions.
+
+
+def _paragraph_rows(s, t):
+    w = t("written").withColumns({"mid": F.concat_ws("-", "ini", "tipo", "texto"), "ini": F.col("ini") % 30}).withColumn("fin", F.col("ini") + 9)
+    ends = w.groupBy("wp_id", "pi").agg(F.min("mid").alias("a_mid"), F.max("mid").alias("b_mid")).select("wp_id", "a_mid", "b_mid", F.lit("parte de").alias("predicado"), F.lit("vigente").alias("cuando"))
+    rows = training.gold_rows(w, ends).join(t("phrases"), ["wp_id", "pi"])
+    source = F.when(F.col("wp_id") % 7 == 0, "oro").otherwise("plata")
+    return rows.select("wp_id", "pi", "parrafo", "entidades", "relaciones", source.alias("fuente"), F.when(F.col("wp_id") % 10 == 3, "val").otherwise("train").alias("conjunto"), F.lit("R").alias("estrato"))
+
+
+@query("training_discards")
+def _(s, t):
+    return training.discards(_paragraph_rows(s, t), predicates(s)).groupBy("motivo").agg(F.sum("n").alias("n"), F.count("*").alias("parrafos"))
+
+
+@query("training_set")
+def _(s, t):
+    gold = t("phrases").where("wp_id % 7 = 0").select("wp_id")
+    x = training.training_set(_paragraph_rows(s, t), predicates(s), gold.where("wp_id % 2 = 0"), gold.where("wp_id % 2 = 1"))
+    return x.select("wp_id", "pi", "conjunto", "fuente", F.size("fichas").alias("fichas"), F.to_json("ner").alias("ner"), F.to_json("pares").alias("pares"), F.to_json(F.array_sort(F.map_entries("descartes"))).alias("descartes"))
