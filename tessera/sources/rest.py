@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 #: Rows of a page, identifiers of a request for bodies; waits between tries, in seconds.
 PAGE, BODIES = 100, 40
@@ -49,11 +50,22 @@ def fetch_all(fetch: Callable, window: Window, sleep: Callable[[float], None] =
         page += 1
 
 
+#: Columns that a window or a whole item fills; any other column of the schema is a field asked of the site.
+OWN = ("label", "value")
+
+
 class ArchiveSource(DataSource):
     """spark.read.format("archive").option("fetch", "module:function").option("windows", json of [label, since, until])
 
     The function takes (since, until, page, per_page) and returns a list of items as dicts, or none past the end.
     A window that fails fails its task alone, which Spark tries again; the ledger of windows read says what is left to do.
+
+    With a schema of other columns (spark.read.schema("label string, id long, date string, title string")) the function is
+    also given fields=[...], the columns that it is asked for, and items become rows: whole numbers and texts as they are,
+    what the site renders as an object by its `rendered`, anything else as JSON, null where an item lacks the field or it
+    does not fit. With option("pushdown", "true"), which needs spark.sql.python.filterPushdown.enabled, filters on `label` and
+    `date` reach the source: windows that cannot match are not read, and the others are asked for the part between their
+    bounds and the filter's.
     """
 
     @classmethod
@@ -64,21 +76,56 @@ class ArchiveSource(DataSource):
         return "label string, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return ArchiveReader(self.options)
+        return (NarrowingReader if self.options.get("pushdown") == "true" else ArchiveReader)(self.options, schema)
+
+
+def _fitting(value, kind) -> object:
+    if isinstance(value, dict) and "rendered" in value:
+        value = value["rendered"]
+    if isinstance(kind, (IntegerType, LongType)):
+        return value if isinstance(value, int) and not isinstance(value, bool) else None
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, options):
-        self.fetch, self.windows = options["fetch"], json.loads(options["windows"])
+    def __init__(self, options, schema: StructType):
+        self.fetch, self.windows, self.columns = options["fetch"], json.loads(options["windows"]), schema
+        self.fields = [f.name for f in schema if f.name not in OWN]
 
     def partitions(self) -> list[InputPartition]:
-        return [Window(*w) for w in self.windows]
+        # A source without any partition would be read once with none, so one that reads nothing stands for it.
+        return [Window(*w) for w in self.windows] or [Window("", "", "")]
 
     def read(self, partition: Window) -> Iterator[tuple]:
+        if (partition.label, partition.since, partition.until) == ("", "", ""):
+            return
         module, _, function = self.fetch.partition(":")
         fetch = getattr(importlib.import_module(module), function)
+        if self.fields:
+            whole, fields = fetch, self.fields
+            fetch = lambda since, until, page, size: whole(since, until, page, size, fields=fields)
         for item in fetch_all(fetch, partition):
-            yield partition.label, json.dumps(item)
+            own = {"label": partition.label, "value": json.dumps(item) if "value" in self.columns.names else None}
+            yield tuple(own[c.name] if c.name in OWN else _fitting(item.get(c.name), c.dataType) for c in self.columns)
+
+
+class NarrowingReader(ArchiveReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on label are settled here; those on date narrow the windows, and Spark applies them again."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("label",) and isinstance(f, (EqualTo, In)):
+                wanted = f.value if isinstance(f, In) else (f.value,)
+                self.windows = [w for w in self.windows if w[0] in wanted]
+                continue
+            if getattr(f, "attribute", None) == ("date",) and isinstance(getattr(f, "value", None), str):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.windows = [[k, max(a or "", f.value), b] for k, a, b in self.windows if b is None or b > f.value]
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    # The upper bound is exclusive, so only a strict filter can take its place.
+                    most = (lambda b, v=f.value: v if b is None else min(b, v)) if isinstance(f, LessThan) else (lambda b: b)
+                    beyond = (lambda a, v=f.value: a is not None and a >= v) if isinstance(f, LessThan) else (lambda a, v=f.value: a is not None and a > v)
+                    self.windows = [[k, a, most(b)] for k, a, b in self.windows if not beyond(a)]
+            yield f
 
 
 def bodies(wanted: DataFrame, have: DataFrame, fetch: Callable[[list[int]], list[dict]], schema: str, key: str = "wp_id", size: int = BODIES) -> DataFrame:
