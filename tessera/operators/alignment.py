@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import url_key
+from tessera.functions.unicode_folds import alignment_fold
 
 #: A shorter quote proves nothing; of a long one its first and last words are tried as well.
 LEAST_CHARS, EDGE_WORDS = 20, 12
@@ -17,16 +18,34 @@ def by_url(rows: DataFrame, census: DataFrame) -> DataFrame:
     return rows.withColumn("_u", url_key(F.col("url"))).join(c, "_u", "left").drop("_u")
 
 
+def fragments(quotes: DataFrame) -> DataFrame:
+    """(id, wp_id, intento, trozo): the folded quote (0), and of one of over 12 words its first (1) and last (2) twelve."""
+    q = quotes.select("id", "wp_id", alignment_fold(F.col("cita")).alias("c")).where(F.length("c") >= LEAST_CHARS).withColumn("w", F.split("c", " "))
+    edges = F.array(F.col("c"), F.array_join(F.slice("w", 1, EDGE_WORDS), " "), F.array_join(F.slice("w", -EDGE_WORDS, EDGE_WORDS), " "))
+    tries = F.when(F.size("w") > EDGE_WORDS, edges).otherwise(F.array("c"))
+    return q.select("id", "wp_id", F.posexplode(tries).alias("intento", "trozo"))
+
+
 def locate_quotes(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """The paragraph that holds each quote: the whole of it, else its first, else its last words; the earliest of equals.
+    """The paragraph that holds each quote, and where in its folded text: id, pi, intento, en.
 
-    quotes: (id, wp_id, cita). Paragraphs meet the quotes of their article only.
+    quotes: (id, wp_id, cita); paragraphs: (wp_id, pi, parrafo). The whole quote is looked for first, then its first words, then
+    its last; of several paragraphs the earliest counts. Texts are compared folded; a match may begin and end inside a word.
+    The second and third word of a fragment of four words or more are whole in any match, so such fragments meet only the
+    paragraphs of their article that have these two in a row; shorter ones meet all of its paragraphs. Quotes under 20
+    characters prove nothing and are left out.
     """
-    words = F.split(F.trim("cita"), r"\s+")
-    tries = F.array(F.trim("cita"), F.array_join(F.slice(words, 1, EDGE_WORDS), " "), F.array_join(F.slice(words, F.greatest(F.size(words) - EDGE_WORDS + 1, F.lit(1)), EDGE_WORDS), " "))
-    q = quotes.select("id", "wp_id", F.posexplode(tries).alias("intento", "trozo")).where(F.length("trozo") >= LEAST_CHARS)
-    hit = q.join(paragraphs, "wp_id").where(F.contains("parrafo", "trozo"))
-    return hit.groupBy("id").agg(F.min(F.struct("intento", "pi")).alias("x")).select("id", F.col("x.pi").alias("pi"), F.col("x.intento").alias("intento"))
+    f = fragments(quotes).withColumn("w", F.split("trozo", " "))
+    pair = F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)))
+    f = f.select("id", "wp_id", "intento", "trozo", F.when(F.size("w") >= 4, F.xxhash64(pair)).alias("g"))
+    p = paragraphs.select("wp_id", "pi", alignment_fold(F.col("parrafo")).alias("x"))
+    words = F.split("x", " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
+    index = p.withColumn("w", words).where(F.size("w") > 1).select("wp_id", "pi", F.explode(F.array_distinct(pairs)).alias("g"))
+    met = f.where("g is not null").join(index, ["wp_id", "g"]).join(p, ["wp_id", "pi"])
+    near = met.select("id", "intento", "trozo", "pi", "x").union(f.where("g is null").join(p, "wp_id").select("id", "intento", "trozo", "pi", "x"))
+    hit = near.withColumn("en", F.position("trozo", "x") - 1).where("en >= 0")
+    return hit.groupBy("id").agg(F.min(F.struct("intento", "pi", "en")).alias("m")).select("id", "m.pi", "m.intento", "m.en")
 
 
 def outcomes(rows: DataFrame, census: DataFrame, paragraphs: DataFrame) -> DataFrame:

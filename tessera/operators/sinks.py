@@ -90,11 +90,6 @@ def append_once(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti").dropDuplicates(keys))
 
 
-def drop_connection(tables: dict[str, DataFrame], connection: int) -> dict[str, DataFrame]:
-    """All tables without the rows of one site."""
-    return {name: df.where(F.col("connection_id") != connection) for name, df in tables.items()}
-
-
 def checked_import(proposals: DataFrame, paragraphs: DataFrame, score: float) -> DataFrame:
     """Validated proposals with a constant score; the job fails if a span's text is not what its paragraph has there."""
     there = F.expr("substring(parrafo, ini + 1, fin - ini)")

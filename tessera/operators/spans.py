@@ -64,6 +64,12 @@ def alias_groups(marks: DataFrame) -> DataFrame:
     return n.agg(F.max_by("texto", F.struct(rank, -F.col("mid"))).alias("canonico"), F.count_distinct("texto").alias("formas"), F.count("*").alias("menciones"))
 
 
+def leave_group(marks: DataFrame, leaving: DataFrame) -> DataFrame:
+    """marks with those of `leaving` (wp_id, mid) out of their group; the others of the group stay together."""
+    out = leaving.select("wp_id", "mid").distinct().withColumn("_out", F.lit(True))
+    return marks.join(out, ["wp_id", "mid"], "left").withColumn("grupo", F.when(F.col("_out").isNull(), F.col("grupo"))).select(marks.columns)
+
+
 def panel_rows(marks: DataFrame) -> DataFrame:
     """Rows of the panel: a group, else a text, else (types that stand alone) each mark by itself."""
     key = (

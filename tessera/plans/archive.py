@@ -909,14 +909,24 @@ def _(s, t):
 
 # Alignment -------------------------------------------------------------------------------------------------------
 
-_QUOTE = "SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE substr(x, 1, 60) END AS cita, page_id AS wp_id, x FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS x FROM pages) AS p"
+# Quotes of each document's longest line: the inside of it, its start and its end beside other words, none, one of nothing.
+_CITA = "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN NULL WHEN 1 THEN substr(x, 3, 120) WHEN 2 THEN concat(substr(x, 1, 150), ' qqq qqq qqq') WHEN 3 THEN concat('qqq qqq qqq ', substr(x, greatest(1, CAST(length(x) AS INT) - 150))) ELSE 'nothing of the kind is said in here by anyone' END"
+_SEEN_AS = "trim(regexp_replace(translate(strip_accents(lower({})), '“”«»‘’', concat(repeat(chr(34), 4), chr(39), chr(39))), '\\s+', ' ', 'g'))"
+_LINED = "SELECT doc_id AS wp_id, CAST(i - 1 AS INTEGER) AS pi, p[i] AS parrafo FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda z: trim(z) <> '') AS p FROM documents) AS d, unnest(generate_series(1, len(p))) AS g(i)"
 
 
-@query("locate_quotes", f"SELECT id, CAST(0 AS INTEGER) AS pi FROM ({_QUOTE}) AS q WHERE length(trim(cita)) >= 20 AND contains(x, trim(cita))")
+@query(
+    "locate_quotes",
+    f"WITH p AS MATERIALIZED (SELECT wp_id, pi, parrafo, {_SEEN_AS.format('parrafo')} AS y FROM ({_LINED}) AS l), "
+    "b AS (SELECT wp_id AS doc_id, arg_max(parrafo, {'n': length(parrafo), 'p': -pi}) AS x FROM p GROUP BY 1), "
+    f"q AS (SELECT doc_id AS id, {_SEEN_AS.format(_CITA)} AS c FROM b), w AS (SELECT id, c, string_split(c, ' ') AS w FROM q WHERE length(c) >= 20), "
+    "f AS (SELECT id, 0 AS intento, c AS t FROM w UNION ALL SELECT id, 1, array_to_string(w[1:12], ' ') FROM w WHERE len(w) > 12 UNION ALL SELECT id, 2, array_to_string(w[-12:], ' ') FROM w WHERE len(w) > 12), "
+    "h AS (SELECT id, min({'i': intento, 'p': pi, 'k': strpos(y, t) - 1}) AS m FROM f JOIN p ON p.wp_id = f.id WHERE contains(y, t) GROUP BY 1) SELECT id, m.p AS pi, m.i AS intento, CAST(m.k AS INTEGER) AS en FROM h",
+)
 def _(s, t):
-    x = t("pages").select(F.col("page_id").alias("wp_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("parrafo"))
-    quotes = x.select(F.col("wp_id").alias("id"), "wp_id", F.when(F.col("wp_id") % 5 != 0, F.substring("parrafo", 1, 60)).alias("cita"))
-    return alignment.locate_quotes(quotes, x.withColumn("pi", F.lit(0))).select("id", "pi")
+    lines = _lines(t)
+    longest = lines.groupBy(F.col("wp_id").alias("doc_id")).agg(F.max_by("parrafo", F.struct(F.length("parrafo"), -F.col("pi"))).alias("x"))
+    return alignment.locate_quotes(longest.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("wp_id"), F.expr(_CITA).alias("cita")), lines)
 
 
 @query("align_by_url", "SELECT p.page_id AS id, q.page_id AS wp_id FROM pages AS p JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1) AS q ON p.url = q.url")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.vocabulary import predicates
-from tessera.operators import matching, training, view
+from tessera.operators import matching, offsets, spans, training, view
 from tessera.plans.archive import ORACLE_SQL, QUERIES, _cuts, _fold_sql, query
 from tessera.streaming import registry
 
@@ -231,3 +231,24 @@ def _(s, t):
     gold = t("phrases").where("wp_id % 7 = 0").select("wp_id")
     x = training.training_set(_paragraph_rows(s, t), predicates(s), gold.where("wp_id % 2 = 0"), gold.where("wp_id % 2 = 1"))
     return x.select("wp_id", "pi", "conjunto", "fuente", F.size("fichas").alias("fichas"), F.to_json("ner").alias("ner"), F.to_json("pares").alias("pares"), F.to_json(F.array_sort(F.map_entries("descartes"))).alias("descartes"))
+
+
+# Places after cuts: proposals in texts whose marked places are taken out.
+
+_CUTS_OF = "SELECT wp_id, pi, ini, fin FROM marks WHERE tipo = 'lugar'"
+_GONE = f"c AS (SELECT DISTINCT wp_id, pi, unnest(range(ini, fin)) AS k FROM ({_CUTS_OF}) AS m), p AS (SELECT wp_id, pi, ini, fin, texto, tipo, score FROM proposals)"
+
+
+@query(
+    "spans_after_cuts",
+    f"WITH {_GONE}, n AS (SELECT p.*, count(c.k) FILTER (c.k < p.ini) AS a, count(c.k) FILTER (c.k < p.fin) AS b FROM p LEFT JOIN c ON c.wp_id = p.wp_id AND c.pi = p.pi GROUP BY ALL) "
+    "SELECT wp_id, pi, CAST(ini - a AS INTEGER) AS ini, CAST(fin - b AS INTEGER) AS fin, texto, tipo, score FROM n WHERE fin - b > ini - a",
+)
+def _(s, t):
+    cuts = t("marks").where("tipo = 'lugar'").select("wp_id", "pi", "ini", "fin")
+    return offsets.after_cuts(t("proposals").select("wp_id", "pi", "ini", "fin", "texto", "tipo", "score"), cuts, ["wp_id", "pi"])
+
+
+@query("left_group", "SELECT wp_id, mid, texto, CASE WHEN mid % 6 <> 0 THEN grupo END AS grupo FROM marks")
+def _(s, t):
+    return spans.leave_group(t("marks"), t("marks").where("mid % 6 = 0")).select("wp_id", "mid", "texto", "grupo")
