@@ -78,13 +78,17 @@ def consensus(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per type: spans of run a that overlap one of run b, spans of either without a partner, and the share that agrees."""
-    x, y = a.select(*SPAN).distinct(), b.select(*SPAN).distinct()
-    count = lambda df, name: df.groupBy("tipo").agg(F.count("*").alias(name))
-    both = count(overlap_join(x, y, "left_semi"), "emparejadas")
-    only_a, only_b = count(overlap_join(x, y, "left_anti"), "solo_a"), count(overlap_join(y, x, "left_anti"), "solo_b")
-    j = both.join(only_a, "tipo", "full").join(only_b, "tipo", "full")
-    j = j.select("tipo", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("emparejadas", "solo_a", "solo_b")))
+    """Per type: spans of run a that overlap one of run b, spans of either without a partner, and the share that agrees.
+
+    Both runs' spans of a paragraph and type meet as two lists, so either side is shuffled once and no pair becomes a row.
+    """
+    place = ["wp_id", "pi", "tipo"]
+    side = lambda df, name: df.groupBy(*place).agg(F.collect_set(F.struct("ini", "fin")).alias(name))
+    lists = side(a, "x").join(side(b, "y"), place, "full")
+    meets = lambda mine, theirs: F.coalesce(F.size(F.filter(mine, lambda m: F.exists(theirs, lambda t: (m["ini"] < t["fin"]) & (t["ini"] < m["fin"])))), F.lit(0))
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    hit, back = F.when(F.col("y").isNull() | F.col("x").isNull(), 0).otherwise(meets("x", "y")), F.when(F.col("y").isNull() | F.col("x").isNull(), 0).otherwise(meets("y", "x"))
+    j = lists.groupBy("tipo").agg(F.sum(hit).alias("emparejadas"), F.sum(n("x") - hit).alias("solo_a"), F.sum(n("y") - back).alias("solo_b"))
     return j.withColumn("acuerdo", F.round(F.col("emparejadas") / (F.col("emparejadas") + F.col("solo_a") + F.col("solo_b")), 6))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import materialize
+
 SHORT_WORDS = 120
 
 
@@ -40,13 +42,13 @@ def completion(census: DataFrame, ledger: DataFrame) -> DataFrame:
     return census.where("date_valid").agg(((F.max(y) - F.min(y) + 1) * 12 + 1).cast("long").alias("ventanas")).crossJoin(ledger.agg(F.count_distinct("label").alias("hechas")))
 
 
-def rank_percentiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 200) -> DataFrame:
-    """Elements at zero-based rank round((n - 1) * share) of the sorted values, one column per share.
+def rank_percentiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 200, times: str | None = None) -> DataFrame:
+    """Elements at zero-based rank round((n - 1) * share) of the sorted values, one column per share; `times` says how often a row counts.
 
     Values are counted first, so what is ranked are the distinct values, spread over ranges that hold about as many of them
     each, outliers or not: their cumulative counts are sums within a range plus the totals of earlier ranges.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg((F.sum(times) if times else F.count("*")).alias("c"))
     edges = F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("edges")
     bounds = counts.agg(edges, F.sum("c").alias("n"))
     placed = counts.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
@@ -59,12 +61,17 @@ def rank_percentiles(df: DataFrame, value: str, shares: dict[str, float], bucket
 
 
 def probe(df: DataFrame) -> DataFrame:
-    """Content probe of (words, blocks, broken): size, word percentiles by rank, shares in percent."""
-    share = lambda c: F.round(100 * F.avg(c.cast("double")), 4)
-    flags = df.agg(
-        F.count("*").alias("n"), share(F.col("blocks")).alias("pct_bloques"), share(F.col("words") < SHORT_WORDS).alias("pct_cortas"), share(F.col("broken")).alias("pct_rotas")
-    )
-    return flags.crossJoin(rank_percentiles(df, "words", {"p50": 0.5, "p90": 0.9}))
+    """Content probe of (words, blocks, broken): size, word percentiles by rank, shares in percent.
+
+    What has the same three values is counted first and written down, so bodies are cleaned once whatever is asked of them.
+    """
+    c = materialize(df.groupBy("words", "blocks", "broken").agg(F.count("*").alias("c")))
+
+    def share(flag: Column) -> Column:
+        return F.round(100 * F.sum(F.when(flag, F.col("c")).otherwise(0)) / F.sum(F.when(flag.isNotNull(), F.col("c"))), 4)
+
+    flags = c.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), share(F.col("blocks")).alias("pct_bloques"), share(F.col("words") < SHORT_WORDS).alias("pct_cortas"), share(F.col("broken")).alias("pct_rotas"))
+    return flags.crossJoin(rank_percentiles(c, "words", {"p50": 0.5, "p90": 0.9}, times="c"))
 
 
 def top_values(df: DataFrame, array: str, k: int = 6) -> DataFrame:
@@ -81,8 +88,10 @@ def excess_duplicates(df: DataFrame, key: str) -> DataFrame:
 def findings(census: DataFrame, bridge: DataFrame, probed: DataFrame, examples: int = 3) -> DataFrame:
     """Quality findings: kind, blocking, n, estimated, and up to `examples` smallest ids as a comma-separated text.
 
-    Counts from the probe are extrapolated to the census and marked as estimated where the probe is smaller.
+    Counts from the probe are extrapolated to the census and marked as estimated where the probe is smaller. What the probe
+    says of each article is written down first, so bodies are cleaned once.
     """
+    probed = materialize(probed.select("wp_id", "words", "broken"))
     total = census.agg(F.count("*").alias("t"))
     size = probed.agg(F.count("*").alias("p"))
 

@@ -109,9 +109,16 @@ def _(s, t):
     return profile.probe(_probe(t))
 
 
-@query("top_shortcodes", "SELECT valor, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS valor FROM part) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
+# Bodies with a mark that pages lack: one in brackets for each page, at its end.
+
+@query(
+    "top_shortcodes",
+    "SELECT valor, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(list_transform(regexp_extract_all(html, '\\[[A-Za-z0-9_-]+[^\\]]{0,190}=[^\\]]{0,190}\\]'), lambda m: regexp_extract(m, '^\\[([A-Za-z0-9_-]+)', 1)), lambda v: v <> ''))) AS valor "
+    "FROM (SELECT concat(html, ' [', ['gallery', 'caption', 'embed', 'audio', 'su_box', 'vc_row', 'video'][page_id % 7 + 1], ' id=', page_id, ']') AS html FROM pages) AS p) AS x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
+)
 def _(s, t):
-    return profile.top_values(t("part").select(F.split("p_name", " ").alias("x")), "x")
+    marked = F.concat("html", F.lit(" ["), F.element_at(F.array(*map(F.lit, ("gallery", "caption", "embed", "audio", "su_box", "vc_row", "video"))), (F.col("page_id") % 7 + 1).cast("int")), F.lit(" id="), "page_id", F.lit("]"))
+    return profile.top_values(t("pages").select(T.shortcodes(marked).alias("x")), "x")
 
 
 @query("excess_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excedente, count(*) AS grupos FROM (SELECT title_key, count(*) AS n FROM census GROUP BY 1 HAVING count(*) > 1) AS g")
@@ -224,9 +231,16 @@ def _(s, t):
 _MONTHS = "SELECT strftime(m, '%Y-%m') AS label, strftime(m, '%Y-%m-%d') AS desde, strftime(m + INTERVAL 1 MONTH, '%Y-%m-%d') AS hasta FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS m) UNION ALL SELECT 'anterior a 1995', NULL, '1995-01-01'"
 
 
-@query("monthly_windows", _MONTHS)
+_YEARS = "(SELECT greatest(min(y), 1990) AS a, least(max(y), 2026) AS b FROM (SELECT CAST(substr(date, 1, 4) AS INTEGER) AS y FROM census) AS d WHERE y > 1990)"
+
+
+@query(
+    "monthly_windows",
+    f"SELECT concat('anterior a ', a) AS label, NULL AS desde, concat(a, '-01-01') AS hasta FROM {_YEARS} AS y UNION ALL "
+    f"SELECT strftime(m, '%Y-%m'), strftime(m, '%Y-%m-%d'), strftime(m + INTERVAL 1 MONTH, '%Y-%m-%d') FROM (SELECT unnest(generate_series(make_date(a, 1, 1)::TIMESTAMP, make_date(b, 12, 1)::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM {_YEARS} AS y) AS x",
+)
 def _(s, t):
-    return windows.monthly(s, 1995, 2001)
+    return windows.monthly_of(windows.real_range(t("census")))
 
 
 @query("remaining_windows", f"SELECT * FROM ({_MONTHS}) AS w WHERE label NOT IN (SELECT substr(date, 1, 7) FROM census WHERE CAST(substr(date, 6, 2) AS INTEGER) % 2 = 0)")
@@ -475,10 +489,12 @@ _PRED = "(VALUES " + ", ".join(f"('{p}', '{f}', '{a}', '{b}', {i})" for i, (p, f
 _TYPES = "(SELECT * FROM (VALUES ('persona', 'p'), ('organizacion', 'o'), ('lugar', 'l'), ('cargo', 'c'), ('ley', 'n'), ('monto', 'm')) AS x(tipo, sigla))"
 
 
-@query("applicable_predicates", f"SELECT a.tipo AS tipo_a, b.tipo AS tipo_b, p.predicado, p.familia, CAST(p.orden AS INTEGER) AS orden FROM {_TYPES} AS a, {_TYPES} AS b, {_PRED} WHERE (desde = '' OR contains(desde, a.sigla)) AND (hasta = '' OR contains(hasta, b.sigla))")
+_PAIRS = f"type_pairs AS k JOIN {_TYPES} AS a ON a.tipo = k.tipo_a JOIN {_TYPES} AS b ON b.tipo = k.tipo_b CROSS JOIN {_PRED}"
+
+
+@query("applicable_predicates", f"SELECT tipo_a, tipo_b, p.predicado, p.familia, CAST(p.orden AS INTEGER) AS orden FROM {_PAIRS} WHERE (desde = '' OR contains(desde, a.sigla)) AND (hasta = '' OR contains(hasta, b.sigla))")
 def _(s, t):
-    kinds = s.createDataFrame([(x,) for x in ("persona", "organizacion", "lugar", "cargo", "ley", "monto")], "tipo_a string")
-    return relations.applicable(kinds.crossJoin(kinds.withColumnRenamed("tipo_a", "tipo_b")), predicates(s))
+    return relations.applicable(t("type_pairs"), predicates(s))
 
 
 _TYPED = "(SELECT *, CASE CAST(wp_id % 3 AS INT) WHEN 0 THEN 'persona' WHEN 1 THEN 'organizacion' END AS tipo_a, CASE CAST(orden % 2 AS INT) WHEN 0 THEN 'persona' ELSE 'organizacion' END AS tipo_b FROM relations)"
@@ -896,9 +912,20 @@ def _(s, t):
     return t("documents").select("doc_id", F.posexplode(marking.chunks(F.col("text"), 1200)).alias("n", "trozo"))
 
 
-@query("token_offsets", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S')) AS BIGINT) AS fichas FROM documents")
+_TOKEN = "'[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|\\S'"
+
+
+@query(
+    "token_offsets",
+    # What lies before a token are the tokens and gaps before it.
+    f"WITH x AS (SELECT doc_id, regexp_extract_all(text, {_TOKEN}) AS f, string_split_regex(text, {_TOKEN}) AS g FROM documents), "
+    "u AS (SELECT doc_id, unnest(f) AS w, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM x), "
+    "p AS (SELECT doc_id, i, w, sum(length(gap)) OVER v + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ini FROM u WINDOW v AS (PARTITION BY doc_id ORDER BY i)), "
+    "l AS (SELECT doc_id, count(*) AS k, md5(string_agg(concat(ini, ':', w), ' ' ORDER BY i)) AS h FROM p GROUP BY 1) SELECT x.doc_id, coalesce(k, 0) AS fichas, coalesce(h, md5('')) AS lugares FROM x LEFT JOIN l ON l.doc_id = x.doc_id",
+)
 def _(s, t):
-    return t("documents").select("doc_id", F.size(marking.tokens(F.col("text"))).cast("long").alias("fichas"))
+    places = F.transform(marking.tokens(F.col("text")), lambda x: F.concat_ws(":", x["ini"], x["tok"]))
+    return t("documents").select("doc_id", F.size(places).cast("long").alias("fichas"), F.md5(F.array_join(places, " ")).alias("lugares"))
 
 
 @query("usable_paragraphs", "SELECT doc_id, CAST(sum(CASE WHEN n BETWEEN 40 AND 200 THEN 1 ELSE 0 END) AS BIGINT) AS utiles FROM (SELECT doc_id, p, len(regexp_extract_all(p, '\\S+')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) AS x WHERE trim(p) <> '') AS y GROUP BY 1")
@@ -1013,13 +1040,9 @@ def _(s, t):
     return evaluate.verdict_tally(t("events").select(F.col("event_type").alias("tipo"), (F.col("event_id") % 4).cast("string").alias("veredicto")))
 
 
-@query("inverse_predicates", f"SELECT a.tipo AS tipo_a, b.tipo AS tipo_b, p.predicado, p.familia, CAST(p.orden AS INTEGER) AS orden FROM {_TYPES} AS a, {_TYPES} AS b, {_PRED} WHERE p.predicado <> 'vínculo sin tipo' AND (desde = '' OR contains(desde, b.sigla)) AND (hasta = '' OR contains(hasta, a.sigla))")
+@query("inverse_predicates", f"SELECT tipo_a, tipo_b, p.predicado, p.familia, CAST(p.orden AS INTEGER) AS orden FROM {_PAIRS} WHERE p.predicado <> 'vínculo sin tipo' AND (desde = '' OR contains(desde, b.sigla)) AND (hasta = '' OR contains(hasta, a.sigla))")
 def _(s, t):
-    kinds = s.createDataFrame([(a, b) for a in _SIX for b in _SIX], "tipo_a string, tipo_b string")
-    return relations.applicable(kinds, predicates(s), inverse=True)
-
-
-_SIX = ("persona", "organizacion", "lugar", "cargo", "ley", "monto")
+    return relations.applicable(t("type_pairs"), predicates(s), inverse=True)
 
 
 @query("name_variants", "SELECT nombre, tipo, array_to_string(list_filter(CASE WHEN length(x[-1]) >= 4 AND x[-1] <> lower(nombre) THEN [lower(nombre), x[-1]] ELSE [lower(nombre)] END, lambda v: v <> ''), '|') AS variantes FROM (SELECT nombre, tipo, list_filter(string_split(lower(nombre), ' '), lambda w: length(w) > 1) AS x FROM names) AS n")

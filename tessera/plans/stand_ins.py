@@ -29,6 +29,7 @@ VIEWS = {
     "FROM gold_ents AS x JOIN gold_ents AS y ON x.wp_id = y.wp_id AND x.pi = y.pi AND y.i = x.i + 1",
     "model_ties": "SELECT x.wp_id, x.pi, CASE WHEN x.fin % 4 = 0 THEN y.i ELSE x.i END AS a, CASE WHEN x.fin % 4 = 0 THEN x.i ELSE y.i END AS b, "
     "CASE CAST(x.ini % 3 AS INT) WHEN 0 THEN 'apoya a' WHEN 1 THEN 'socio de' ELSE 'dirige' END AS predicado, x.score, x.i AS orden FROM model_ents AS x JOIN model_ents AS y ON x.wp_id = y.wp_id AND x.pi = y.pi AND y.i = x.i + 1",
+    "type_pairs": "SELECT DISTINCT x.tipo AS tipo_a, y.tipo AS tipo_b FROM written AS x JOIN written AS y ON x.wp_id = y.wp_id AND x.pi = y.pi",
     "canon_proposals": "SELECT *, CASE WHEN ini % 3 = 0 THEN concat('Nombre ', CAST(fin % 9 AS STRING)) END AS canon FROM proposals",
     "said_ties": "SELECT wp_id, pi, orden, a, b, predicado FROM (SELECT wp_id, pi, CAST(row_number() OVER w AS INT) AS orden, texto AS a, lead(texto) OVER w AS b, CASE CAST(ini % 2 AS INT) WHEN 0 THEN 'apoya a' ELSE 'dirige' END AS predicado "
     "FROM proposals WINDOW w AS (PARTITION BY wp_id, pi ORDER BY fin, ini, tipo, texto, score)) AS x WHERE b IS NOT NULL",

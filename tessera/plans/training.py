@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import checks
 from tessera.functions.vocabulary import predicates
 from tessera.operators import relations, resolve, review, training
-from tessera.plans.archive import _PRED, _SIX, _TYPES, ORACLE_SQL, QUERIES, query
+from tessera.plans.archive import _PAIRS, ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -160,11 +160,10 @@ def _(s, t):
 
 @query(
     "predicate_menu",
-    f"SELECT tipo_a, tipo_b, CAST(sum(n) AS BIGINT) AS opciones, sum(n) <= 9 AS directo, string_agg(familia, ',' ORDER BY o) AS familias FROM (SELECT a.tipo AS tipo_a, b.tipo AS tipo_b, p.familia, count(*) AS n, min(orden) AS o FROM {_TYPES} AS a, {_TYPES} AS b, {_PRED} WHERE (desde = '' OR contains(desde, a.sigla)) AND (hasta = '' OR contains(hasta, b.sigla)) GROUP BY 1, 2, 3) AS x GROUP BY 1, 2",
+    f"SELECT tipo_a, tipo_b, CAST(sum(n) AS BIGINT) AS opciones, sum(n) <= 9 AS directo, string_agg(familia, ',' ORDER BY o) AS familias FROM (SELECT tipo_a, tipo_b, p.familia, count(*) AS n, min(orden) AS o FROM {_PAIRS} WHERE (desde = '' OR contains(desde, a.sigla)) AND (hasta = '' OR contains(hasta, b.sigla)) GROUP BY 1, 2, 3) AS x GROUP BY 1, 2",
 )
 def _(s, t):
-    kinds = s.createDataFrame([(a, b) for a in _SIX for b in _SIX], "tipo_a string, tipo_b string")
-    return review.predicate_menu(relations.applicable(kinds, predicates(s)))
+    return review.predicate_menu(relations.applicable(t("type_pairs"), predicates(s)))
 
 
 @query("kin_by_paragraph", "SELECT wp_id, CAST(orden % 3 AS INTEGER) AS pi, string_agg(concat(a, '|', predicado, '|', b), ';' ORDER BY concat(a, '|', predicado, '|', b)) AS relaciones FROM relations WHERE predicado <> 'apoya a' GROUP BY 1, 2")

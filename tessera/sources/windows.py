@@ -15,6 +15,15 @@ def monthly(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     return tail.union(rows)
 
 
+def monthly_of(years: DataFrame) -> DataFrame:
+    """(label, desde, hasta) of the years of a one-row table (desde, hasta), as real_range gives it."""
+    first = F.make_date("desde", F.lit(1), F.lit(1))
+    months = years.select(F.explode(F.sequence(first, F.make_date("hasta", F.lit(12), F.lit(1)), F.expr("interval 1 month"))).alias("m"))
+    rows = months.select(F.date_format("m", "yyyy-MM").alias("label"), F.col("m").cast("string").alias("desde"), F.add_months("m", 1).cast("string").alias("hasta"))
+    tail = years.select(F.concat(F.lit("anterior a "), F.col("desde").cast("string")).alias("label"), F.lit(None).cast("string").alias("desde"), first.cast("string").alias("hasta"))
+    return tail.union(rows)
+
+
 def remaining(windows: DataFrame, ledger: DataFrame) -> DataFrame:
     return windows.join(ledger.select("label"), "label", "left_anti")
 
