@@ -94,5 +94,30 @@ def seeded(current: DataFrame, defaults: DataFrame) -> DataFrame:
     return defaults.join(current, "tipo", "full").select("tipo", F.coalesce("vigente", "defecto").alias("corte"))
 
 
+def asking_floor(cuts: DataFrame, floor: float = 0.30) -> DataFrame:
+    """The score from which a model is asked once: the lowest cut-off, `floor` at most. Cut-offs then apply to what is stored (`piso`)."""
+    return cuts.agg(F.least(F.lit(floor), F.coalesce(F.min("corte"), F.lit(floor))).alias("piso"))
+
+
+def saved(batches: DataFrame, cuts: DataFrame, blocked: DataFrame) -> DataFrame:
+    """batches (lote_id, ...) with their calibration as JSON in `calibracion`: cut-offs by type and blocked (type, text); null without any.
+
+    A batch bounds its lists; a calibration that was there before gives way to the new one.
+    """
+    c = cuts.groupBy("lote_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tipo", "corte")))).alias("umbrales"))
+    b = blocked.groupBy("lote_id").agg(F.array_sort(F.collect_set(F.struct("tipo", "texto"))).alias("bloqueadas"))
+    both = c.join(b, "lote_id", "full").select("lote_id", F.to_json(F.struct("umbrales", "bloqueadas")).alias("_c"))
+    rest = [x for x in batches.columns if x != "calibracion"]
+    old = F.col("calibracion") if "calibracion" in batches.columns else F.lit(None).cast("string")
+    return batches.join(both, "lote_id", "left").select(*rest, F.coalesce("_c", old).alias("calibracion"))
+
+
+def restored(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cuts, blocked) of saved() batches; what is no calibration counts as none."""
+    c = F.from_json("calibracion", "umbrales map<string,double>, bloqueadas array<struct<tipo:string,texto:string>>")
+    rows = batches.select("lote_id", c.alias("c"))
+    return rows.select("lote_id", F.explode("c.umbrales").alias("tipo", "corte")), rows.select("lote_id", F.explode("c.bloqueadas").alias("b")).select("lote_id", "b.*")
+
+
 def top_rejected(judged: DataFrame, k: int = 20) -> DataFrame:
     return blocklist(judged, 1).orderBy(F.desc("rechazos"), "tipo", "texto").limit(k)

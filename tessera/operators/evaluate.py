@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vocabulary import SYMMETRIC
 from tessera.operators.calibrate import f1
 from tessera.operators.marking import proper_nouns
 from tessera.operators.spans import overlap_join
@@ -77,6 +78,46 @@ def consensus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*SPAN).intersect(b.select(*SPAN))
 
 
+def consensus_relations(ents_a: DataFrame, rels_a: DataFrame, ents_b: DataFrame, rels_b: DataFrame, symmetric: tuple[str, ...] = SYMMETRIC) -> tuple[DataFrame, DataFrame]:
+    """What two annotators agree on in the paragraphs that both have: (entities, relations) of b, renumbered.
+
+    Entities (wp_id, pi, i, ini, fin, tipo) agree by exact span and type; relations (wp_id, pi, a, b, predicado, cuando) if both
+    ends agree and a has that predicate between the same spans, either way round where it holds both ways. Of entities of one
+    span with several types relations point at the last.
+    """
+    place = ["wp_id", "pi"]
+    agreed = ents_b.join(ents_a.select(*SPAN).distinct(), SPAN, "left_semi")
+    ents = agreed.withColumn("n", F.row_number().over(Window.partitionBy(*place).orderBy("i")) - 1)
+
+    def spans_of(rels: DataFrame, ents: DataFrame) -> DataFrame:
+        end = lambda c, s: ents.select(*place, F.col("i").alias(c), F.struct("ini", "fin").alias(s))
+        r = rels.join(end("a", "x"), [*place, "a"]).join(end("b", "y"), [*place, "b"])
+        turn = F.col("predicado").isin(*symmetric) & (F.col("x") > F.col("y"))
+        return r.withColumns({"kx": F.when(turn, F.col("y")).otherwise(F.col("x")), "ky": F.when(turn, F.col("x")).otherwise(F.col("y"))})
+
+    said = spans_of(rels_a, ents_a).select(*place, "kx", "ky", "predicado").distinct()
+    number = ents.groupBy(*place, F.struct("ini", "fin").alias("s")).agg(F.max("n").alias("n"))
+    at = lambda s, n: number.select(*place, F.col("s").alias(s), F.col("n").alias(n))
+    both = spans_of(rels_b, ents_b).join(said, [*place, "kx", "ky", "predicado"], "left_semi").join(at("x", "na"), [*place, "x"]).join(at("y", "nb"), [*place, "y"])
+    return ents.select(*place, F.col("n").alias("i"), "ini", "fin", "tipo"), both.select(*place, F.col("na").alias("a"), F.col("nb").alias("b"), "predicado", "cuando")
+
+
+def model_agreement(reference: DataFrame, candidates: DataFrame, least: float = 0.5) -> DataFrame:
+    """Per model of candidates (modelo, wp_id, pi, ini, fin, tipo, score) how far it agrees with a reference run: modelo, comunes, acuerdo.
+
+    Over the articles that both have: twice the model's sure entities that overlap one of the reference, over both runs' entities.
+    """
+    sure = lambda df, *k: df.where(F.col("score") >= least).select(*k, *SPAN).distinct()
+    common = candidates.select("modelo", "wp_id").distinct().join(reference.select("wp_id").distinct(), "wp_id", "left_semi")
+    b = sure(candidates, "modelo").join(common, ["modelo", "wp_id"], "left_semi").groupBy("modelo", "wp_id", "pi", "tipo").agg(F.collect_list(F.struct("ini", "fin")).alias("y"))
+    a = sure(reference).groupBy("wp_id", "pi", "tipo").agg(F.collect_list(F.struct("ini", "fin")).alias("x"))
+    hit = F.filter("y", lambda m: F.exists("x", lambda t: (m["ini"] < t["fin"]) & (t["ini"] < m["fin"])))
+    theirs = b.join(a, ["wp_id", "pi", "tipo"], "left").groupBy("modelo").agg(F.sum(F.when(F.col("x").isNull(), 0).otherwise(F.size(hit))).alias("casadas"), F.sum(F.size("y")).alias("n_b"))
+    ours = common.join(a, "wp_id").groupBy("modelo").agg(F.sum(F.size("x")).alias("n_a"))
+    n = common.groupBy("modelo").agg(F.count("*").alias("comunes")).join(theirs, "modelo", "left").join(ours, "modelo", "left").fillna(0)
+    return n.select("modelo", "comunes", F.round(2 * F.col("casadas") / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1)), 6).alias("acuerdo"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per type: spans of run a that overlap one of run b, spans of either without a partner, and the share that agrees.
 

@@ -15,6 +15,12 @@ def canonical_ends(df: DataFrame, symmetric: tuple[str, ...] = SYMMETRIC) -> Dat
     return df.withColumns({"a": F.when(turn, F.col("b")).otherwise(F.col("a")), "b": F.when(turn, F.col("a")).otherwise(F.col("b"))})
 
 
+def with_mentions(relations: DataFrame, mentions: DataFrame) -> DataFrame:
+    """relations (wp_id, a_mid, b_mid, ...) with text, type and paragraph of both ends; those that lack an end go."""
+    end = lambda s: mentions.select("wp_id", F.col("mid").alias(f"{s}_mid"), F.col("pi").alias(f"pi_{s}"), F.col("texto").alias(f"texto_{s}"), F.col("tipo").alias(f"tipo_{s}"))
+    return relations.join(end("a"), ["wp_id", "a_mid"]).join(end("b"), ["wp_id", "b_mid"])
+
+
 def without_mirrors(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """Of a relation and its mirror the one of higher score stays, the earlier one on ties."""
     keyed = df.withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")})

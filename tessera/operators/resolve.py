@@ -144,6 +144,13 @@ def in_article(mentions: DataFrame) -> DataFrame:
     return n.where("k = 1").drop("k")
 
 
+def recanonised(proposals: DataFrame) -> DataFrame:
+    """A batch's proposals with `canon` resolved anew within each article: the full form of a short one, null for all else."""
+    plain = proposals.drop("canon")
+    forms = in_article(plain).withColumnRenamed("canonico", "canon")
+    return plain.join(forms, ["wp_id", "tipo", "texto"], "left").select(*plain.columns, "canon")
+
+
 def declared_aliases(marks: DataFrame) -> DataFrame:
     """Pairs of different texts that people put into one group."""
     g = marks.where(F.col("grupo").isNotNull()).select("wp_id", "grupo", "texto").distinct()

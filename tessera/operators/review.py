@@ -78,6 +78,19 @@ def article_status(batch: DataFrame, marks: DataFrame, closed: DataFrame) -> Dat
     return j.select("wp_id", F.coalesce("menciones", F.lit(0)).alias("menciones"), F.coalesce("parrafos", F.lit(0)).alias("parrafos"), F.coalesce("_c", F.lit(False)).alias("cerrado"))
 
 
+def annotation(marks: DataFrame, relations: DataFrame) -> DataFrame:
+    """Per article its mentions in reading order and its relations by key: wp_id, menciones, relaciones. An article bounds its lists."""
+    m = marks.groupBy("wp_id").agg(F.array_sort(F.collect_list(F.struct("pi", "ini", "fin", "mid", "texto", "tipo", "grupo"))).alias("menciones"))
+    r = relations.groupBy("wp_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "predicado", "cuando"))).alias("relaciones"))
+    return m.join(r, "wp_id", "full")
+
+
+def paragraph_counts(marks: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Per paragraph its gold marks and its proposals: wp_id, pi, oro, propuestas."""
+    n = lambda df, name: df.groupBy("wp_id", "pi").agg(F.count("*").alias(name))
+    return n(marks, "oro").join(n(proposals, "propuestas"), ["wp_id", "pi"], "full").fillna(0, ["oro", "propuestas"])
+
+
 def bench_summary(runs: DataFrame) -> DataFrame:
     """Total seconds, and the middle element (rank round((n - 1) / 2)) of seconds per thousand words, of (segundos, palabras)."""
     r = runs.withColumn("por_mil", F.round(F.col("segundos") * 1000 / F.nullif(F.col("palabras"), F.lit(0)), 4))

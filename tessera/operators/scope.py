@@ -116,6 +116,20 @@ def pending(batch: DataFrame, done: DataFrame, only_calibration: bool = False) -
     return rows.join(done.select("wp_id"), "wp_id", "left_anti")
 
 
+def selection_label(selected: DataFrame, terms: DataFrame, order: str = "term_id", none: str = "Selección") -> DataFrame:
+    """One row: the names of the topmost selected terms, both of two, or the first and how many more (`etiqueta`)."""
+    top = top_selected(selected, terms).join(terms.select("term_id", "name", F.col(order).alias("_o")), "term_id")
+    first = top.agg(F.count("*").alias("n"), F.min(F.struct("_o", "name")).alias("a"), F.max(F.struct("_o", "name")).alias("b"))
+    more = F.concat(F.col("a.name"), F.lit(" y "), F.when(F.col("n") == 2, F.col("b.name")).otherwise(F.concat((F.col("n") - 1).cast("string"), F.lit(" más"))))
+    return first.select(F.when(F.col("n") == 0, none).when(F.col("n") == 1, F.col("a.name")).otherwise(more).alias("etiqueta"))
+
+
+def annotable(batch: DataFrame, census: DataFrame, articles: DataFrame) -> DataFrame:
+    """The calibrating articles of a batch with title, date and section, and text and number of words if their body is there, by date and id."""
+    rows = batch.where("calibra").join(census.select("wp_id", "title", "date", F.col("section").alias("seccion")), "wp_id")
+    return rows.join(articles.select("wp_id", "texto", "palabras"), "wp_id", "left").orderBy("date", "wp_id").select("wp_id", "seccion", "title", "date", "texto", "palabras")
+
+
 def top_selected(selected: DataFrame, terms: DataFrame) -> DataFrame:
     """Of the selected terms those without a selected ancestor."""
     up = closure(terms).where("ancestor <> term_id")

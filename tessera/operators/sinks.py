@@ -90,6 +90,17 @@ def append_once(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti").dropDuplicates(keys))
 
 
+def connect(connections: DataFrame, new: DataFrame) -> DataFrame:
+    """connections with the site of `new` put in or over by its origin; the job fails if a site of another origin is there.
+
+    One archive at a time: two would share batches and graph, and which of them is meant could not be told.
+    """
+    others = connections.join(new.select("resolved_origin").distinct(), "resolved_origin", "left_anti").agg(F.min("resolved_origin").alias("_other"))
+    fine = F.when(F.col("_other").isNull(), F.col("resolved_origin")).otherwise(F.raise_error(F.concat(F.lit("another site is connected: "), F.regexp_replace("_other", "^https?://", ""))))
+    guarded = new.crossJoin(F.broadcast(others)).withColumn("resolved_origin", fine).drop("_other")
+    return upsert(connections, guarded.select(connections.columns), ["resolved_origin"])
+
+
 def checked_import(proposals: DataFrame, paragraphs: DataFrame, score: float) -> DataFrame:
     """Validated proposals with a constant score; the job fails if a span's text is not what its paragraph has there."""
     there = F.expr("substring(parrafo, ini + 1, fin - ini)")

@@ -126,6 +126,26 @@ def pilot_report(rows: DataFrame) -> DataFrame:
     return total.join(p90, "modelo", "left")
 
 
+def family_report(paragraphs: DataFrame, relations: DataFrame, family: DataFrame) -> DataFrame:
+    """Per model what it found again of an outside list of kinship and of hints: modelo, pistas, recuperadas, familia, predicado, direccion.
+
+    paragraphs: (modelo, wp_id, pi, invalido, pistas, recuperadas); relations: (modelo, wp_id, pi, orden, ea, eb, predicado) between
+    texts; family: (wp_id, pi, cabeza, cola, predicado, simetrico). A kinship counts as found by the paragraph's first relation of
+    its predicate whose texts are the same or hold one another, either way round; it has the right direction if it holds both ways or the
+    first texts match. Invalid paragraphs count for nothing.
+    """
+    fine = paragraphs.where(~F.col("invalido"))
+    holds = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    ask = fine.select("modelo", *PLACE).join(family.withColumn("q", F.monotonically_increasing_id()), PLACE)
+    low = ask.select("modelo", *PLACE, "q", "predicado", "simetrico", F.lower("cabeza").alias("h"), F.lower("cola").alias("t"))
+    j = low.join(relations.select("modelo", *PLACE, "orden", "predicado", F.lower("ea").alias("x"), F.lower("eb").alias("y")), ["modelo", *PLACE, "predicado"], "left")
+    pair = (holds(F.col("x"), F.col("h")) & holds(F.col("y"), F.col("t"))) | (holds(F.col("x"), F.col("t")) & holds(F.col("y"), F.col("h")))
+    j = j.withColumn("dir", F.when(F.coalesce(pair, F.lit(False)), F.struct("orden", (F.col("simetrico") | holds(F.col("x"), F.col("h"))).alias("d"))))
+    each = j.groupBy("modelo", "q").agg(F.min("dir").alias("m")).groupBy("modelo").agg(F.count("*").alias("familia"), F.count("m").alias("predicado"), F.count_if("m.d").alias("direccion"))
+    hints = fine.groupBy("modelo").agg(F.coalesce(F.sum("pistas"), F.lit(0)).alias("pistas"), F.coalesce(F.sum("recuperadas"), F.lit(0)).alias("recuperadas"))
+    return hints.join(each, "modelo", "left").fillna(0, ["familia", "predicado", "direccion"])
+
+
 def model_table(articles: DataFrame, entities: DataFrame, relations: DataFrame, least: float = 0.5) -> DataFrame:
     """Per model: articles, seconds for 1,000 words, sure entities, share of them written generically (posts and amounts aside), relations.
 

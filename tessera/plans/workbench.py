@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.vocabulary import predicates
-from tessera.operators import matching, offsets, spans, training, view
-from tessera.plans.archive import ORACLE_SQL, QUERIES, _cuts, _fold_sql, query
+from tessera.operators import calibrate, evaluate, matching, offsets, relations, resolve, review, scope, sinks, spans, training, view
+from tessera.plans.archive import _FORMS, ORACLE_SQL, QUERIES, _cuts, _fold_sql, query
 from tessera.streaming import registry
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -252,3 +252,178 @@ def _(s, t):
 @query("left_group", "SELECT wp_id, mid, texto, CASE WHEN mid % 6 <> 0 THEN grupo END AS grupo FROM marks")
 def _(s, t):
     return spans.leave_group(t("marks"), t("marks").where("mid % 6 = 0")).select("wp_id", "mid", "texto", "grupo")
+
+
+# Agreement of annotators and models ------------------------------------------------------------------------------------
+
+_AB = (
+    "a AS (SELECT * FROM gold_ents WHERE mid % 5 <> 0), b AS (SELECT * FROM gold_ents WHERE mid % 3 <> 0 OR mid % 5 = 0), "
+    "ra AS (SELECT t.* FROM gold_ties AS t SEMI JOIN a ON a.wp_id = t.wp_id AND a.pi = t.pi AND a.i = t.a SEMI JOIN a AS a2 ON a2.wp_id = t.wp_id AND a2.pi = t.pi AND a2.i = t.b), "
+    "rb AS (SELECT t.wp_id, t.pi, t.b AS a, t.a AS b, t.predicado FROM gold_ties AS t SEMI JOIN b ON b.wp_id = t.wp_id AND b.pi = t.pi AND b.i = t.a SEMI JOIN b AS b2 ON b2.wp_id = t.wp_id AND b2.pi = t.pi AND b2.i = t.b)"
+)
+
+
+def _annotators(t):
+    g, r = t("gold_ents"), t("gold_ties").withColumn("cuando", F.lit("vigente"))
+    a, b = g.where("mid % 5 <> 0"), g.where("mid % 3 <> 0 OR mid % 5 = 0")
+
+    def inside(e):
+        end = lambda c: e.select("wp_id", "pi", F.col("i").alias(c))
+        return r.join(end("a"), ["wp_id", "pi", "a"], "left_semi").join(end("b"), ["wp_id", "pi", "b"], "left_semi")
+
+    # The second annotator says every relation the other way round, so only those that hold both ways can agree.
+    return a, inside(a), b, inside(b).select("wp_id", "pi", F.col("b").alias("a"), F.col("a").alias("b"), "predicado", "cuando")
+
+
+@query(
+    "consensus_relations",
+    f"WITH {_AB}, e AS (SELECT wp_id, pi, ini, fin, row_number() OVER (PARTITION BY wp_id, pi ORDER BY i) - 1 AS n FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.wp_id = b.wp_id AND a.pi = b.pi AND a.ini = b.ini AND a.fin = b.fin AND a.tipo = b.tipo)), "
+    "m AS (SELECT wp_id, pi, ini, fin, max(n) AS n FROM e GROUP BY ALL), "
+    "ka AS (SELECT DISTINCT r.wp_id, r.pi, predicado, {'i': x.ini, 'f': x.fin} AS p, {'i': y.ini, 'f': y.fin} AS q FROM ra AS r JOIN a AS x ON x.wp_id = r.wp_id AND x.pi = r.pi AND x.i = r.a JOIN a AS y ON y.wp_id = r.wp_id AND y.pi = r.pi AND y.i = r.b), "
+    "kb AS (SELECT r.wp_id, r.pi, predicado, {'i': x.ini, 'f': x.fin} AS p, {'i': y.ini, 'f': y.fin} AS q FROM rb AS r JOIN b AS x ON x.wp_id = r.wp_id AND x.pi = r.pi AND x.i = r.a JOIN b AS y ON y.wp_id = r.wp_id AND y.pi = r.pi AND y.i = r.b) "
+    "SELECT kb.wp_id, kb.pi, CAST(x.n AS INTEGER) AS a, CAST(y.n AS INTEGER) AS b, kb.predicado, 'vigente' AS cuando FROM kb JOIN m AS x ON x.wp_id = kb.wp_id AND x.pi = kb.pi AND x.ini = kb.p.i AND x.fin = kb.p.f JOIN m AS y ON y.wp_id = kb.wp_id AND y.pi = kb.pi AND y.ini = kb.q.i AND y.fin = kb.q.f "
+    "WHERE EXISTS (SELECT 1 FROM ka WHERE ka.wp_id = kb.wp_id AND ka.pi = kb.pi AND ka.predicado = kb.predicado AND (ka.p = kb.p AND ka.q = kb.q OR ka.predicado = 'socio de' AND ka.p = kb.q AND ka.q = kb.p))",
+)
+def _(s, t):
+    return evaluate.consensus_relations(*_annotators(t), ("socio de",))[1]
+
+
+_RUNS = "SELECT CASE CAST(wp_id % 3 AS INT) WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' ELSE 'm3' END AS modelo, wp_id, pi, ini, fin, tipo, score FROM proposals"
+
+
+@query(
+    "model_agreement",
+    f"WITH c AS (SELECT DISTINCT * FROM ({_RUNS}) AS r), co AS (SELECT DISTINCT modelo, wp_id FROM c WHERE wp_id IN (SELECT wp_id FROM marks)), "
+    "b AS (SELECT DISTINCT modelo, wp_id, pi, ini, fin, tipo FROM c WHERE score >= 0.5 AND wp_id IN (SELECT wp_id FROM marks)), a AS (SELECT DISTINCT wp_id, pi, ini, fin, tipo FROM marks), "
+    "v AS (SELECT modelo, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.wp_id = b.wp_id AND a.pi = b.pi AND a.tipo = b.tipo AND a.ini < b.fin AND b.ini < a.fin)) AS h FROM b GROUP BY 1), "
+    "o AS (SELECT modelo, count(*) AS n FROM co JOIN a ON a.wp_id = co.wp_id GROUP BY 1) "
+    "SELECT k.modelo, k.comunes, round(2 * v.h / greatest(v.n + o.n, 1), 6) AS acuerdo FROM (SELECT modelo, count(*) AS comunes FROM co GROUP BY 1) AS k JOIN v ON v.modelo = k.modelo JOIN o ON o.modelo = k.modelo",
+)
+def _(s, t):
+    model = F.element_at(F.array(F.lit("m1"), F.lit("m2"), F.lit("m3")), (F.col("wp_id") % 3 + 1).cast("int"))
+    return evaluate.model_agreement(t("marks").withColumn("score", F.lit(1.0)), t("proposals").withColumn("modelo", model))
+
+
+_SAID = "SELECT wp_id, CAST(orden % 3 AS INTEGER) AS pi, a AS cabeza, b AS cola, predicado, predicado <> 'apoya a' AS simetrico FROM relations"
+_MODELS = "SELECT CASE WHEN wp_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS modelo, wp_id, CAST(orden % 3 AS INTEGER) AS pi, orden, CASE WHEN orden % 2 = 0 THEN b ELSE a END AS ea, CASE WHEN orden % 2 = 0 THEN a ELSE b END AS eb, predicado FROM relations WHERE score >= 0.3"
+
+
+@query(
+    "family_report",
+    f"WITH f AS (SELECT row_number() OVER () AS q, * FROM ({_SAID}) AS s), r AS ({_MODELS}), p AS (SELECT CASE WHEN wp_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS modelo, wp_id, pi, wp_id % 11 = 0 AS invalido, CAST(length(parrafo) AS BIGINT) AS pistas, CAST(length(parrafo) // 2 AS BIGINT) AS recuperadas FROM phrases), "
+    "k AS (SELECT p.modelo, f.*, lower(cabeza) AS h, lower(cola) AS t FROM p JOIN f ON f.wp_id = p.wp_id AND f.pi = p.pi WHERE NOT invalido), "
+    "j AS (SELECT k.modelo, k.q, min({'o': r.orden, 'd': k.simetrico OR contains(lower(r.ea), k.h) OR contains(k.h, lower(r.ea))}) AS m FROM k JOIN r ON r.modelo = k.modelo AND r.wp_id = k.wp_id AND r.pi = k.pi AND r.predicado = k.predicado WHERE "
+    "(contains(lower(r.ea), k.h) OR contains(k.h, lower(r.ea))) AND (contains(lower(r.eb), k.t) OR contains(k.t, lower(r.eb))) OR (contains(lower(r.ea), k.t) OR contains(k.t, lower(r.ea))) AND (contains(lower(r.eb), k.h) OR contains(k.h, lower(r.eb))) GROUP BY 1, 2), "
+    "n AS (SELECT k.modelo, count(*) AS familia, count(m) AS predicado, count(*) FILTER (m.d) AS direccion FROM k LEFT JOIN j ON j.modelo = k.modelo AND j.q = k.q GROUP BY 1) "
+    "SELECT x.modelo, x.pistas, x.recuperadas, coalesce(familia, 0) AS familia, coalesce(predicado, 0) AS predicado, coalesce(direccion, 0) AS direccion FROM (SELECT modelo, CAST(sum(pistas) AS BIGINT) AS pistas, CAST(sum(recuperadas) AS BIGINT) AS recuperadas FROM p WHERE NOT invalido GROUP BY 1) AS x LEFT JOIN n ON n.modelo = x.modelo",
+)
+def _(s, t):
+    r = t("relations").withColumn("pi", (F.col("orden") % 3).cast("int"))
+    model = F.when(F.col("wp_id") % 2 == 0, "m1").otherwise("m2").alias("modelo")
+    even = F.col("orden") % 2 == 0
+    said = r.where("score >= 0.3").select(model, "wp_id", "pi", "orden", F.when(even, F.col("b")).otherwise(F.col("a")).alias("ea"), F.when(even, F.col("a")).otherwise(F.col("b")).alias("eb"), "predicado")
+    n = F.length("parrafo").cast("long")
+    p = t("phrases").select(model, "wp_id", "pi", (F.col("wp_id") % 11 == 0).alias("invalido"), n.alias("pistas"), F.floor(n / 2).alias("recuperadas"))
+    return training.family_report(p, said, r.select("wp_id", "pi", F.col("a").alias("cabeza"), F.col("b").alias("cola"), "predicado", (F.col("predicado") != "apoya a").alias("simetrico")))
+
+
+# Listings, labels, what is kept of a batch -------------------------------------------------------------------------------
+
+
+@query(
+    "article_annotation",
+    "SELECT coalesce(m.wp_id, r.wp_id) AS wp_id, m.menciones, r.relaciones FROM (SELECT wp_id, string_agg(concat_ws('-', pi, ini, fin, mid, texto), ';' ORDER BY pi, ini, fin, mid, texto, tipo, grupo) AS menciones FROM marks GROUP BY 1) AS m "
+    "FULL JOIN (SELECT wp_id, string_agg(concat_ws('-', a, b, predicado), ';' ORDER BY a, b, predicado, cuando) AS relaciones FROM relations GROUP BY 1) AS r ON r.wp_id = m.wp_id",
+)
+def _(s, t):
+    x = review.annotation(t("marks"), t("relations"))
+    line = lambda c, *k: F.array_join(F.transform(c, lambda m: F.concat_ws("-", *(m[i] for i in k))), ";").alias(c)
+    return x.select("wp_id", line("menciones", "pi", "ini", "fin", "mid", "texto"), line("relaciones", "a", "b", "predicado"))
+
+
+@query("paragraph_counts", "SELECT coalesce(m.wp_id, p.wp_id) AS wp_id, coalesce(m.pi, p.pi) AS pi, coalesce(oro, 0) AS oro, coalesce(propuestas, 0) AS propuestas FROM (SELECT wp_id, pi, count(*) AS oro FROM marks GROUP BY 1, 2) AS m FULL JOIN (SELECT wp_id, pi, count(*) AS propuestas FROM proposals GROUP BY 1, 2) AS p ON p.wp_id = m.wp_id AND p.pi = m.pi")
+def _(s, t):
+    return review.paragraph_counts(t("marks"), t("proposals"))
+
+
+@query(
+    "annotable_articles",
+    "SELECT b.wp_id, section AS seccion, title, date, parrafo AS texto, CAST(len(regexp_extract_all(parrafo, '\\S+')) AS BIGINT) AS palabras FROM batch AS b JOIN census AS c ON c.wp_id = b.wp_id LEFT JOIN (SELECT wp_id, parrafo FROM phrases WHERE wp_id % 5 <> 0) AS a ON a.wp_id = b.wp_id WHERE calibra",
+)
+def _(s, t):
+    bodies = t("phrases").where("wp_id % 5 <> 0").select("wp_id", F.col("parrafo").alias("texto"), T.word_count(F.col("parrafo")).cast("long").alias("palabras"))
+    return scope.annotable(t("batch"), t("census"), bodies)
+
+
+_PICKED = "SELECT term_id FROM bridge GROUP BY 1 HAVING count(*) > (SELECT 1.1 * avg(n) FROM (SELECT count(*) AS n FROM bridge GROUP BY term_id) AS x)"
+
+
+@query(
+    "selection_label",
+    f"WITH p AS ({_PICKED}), t AS (SELECT term_id, name FROM terms WHERE term_id IN (SELECT term_id FROM p) AND parent NOT IN (SELECT term_id FROM p)), l AS (SELECT list(name ORDER BY term_id) AS n FROM t) "
+    "SELECT CASE len(n) WHEN 0 THEN 'Selección' WHEN 1 THEN n[1] WHEN 2 THEN concat(n[1], ' y ', n[2]) ELSE concat(n[1], ' y ', len(n) - 1, ' más') END AS etiqueta FROM l",
+)
+def _(s, t):
+    n = t("bridge").groupBy("term_id").agg(F.count("*").alias("n"))
+    picked = n.crossJoin(F.broadcast(n.agg((F.avg("n") * 1.1).alias("m")))).where("n > m").select("term_id")
+    return scope.selection_label(picked, t("terms"))
+
+
+_CAL = "SELECT section AS lote_id, tipo, round(avg(score), 3) AS corte FROM proposals AS p JOIN census AS c ON c.wp_id = p.wp_id GROUP BY 1, 2"
+
+
+def _calibration(t):
+    rows = t("proposals").join(t("census").select("wp_id", F.col("section").alias("lote_id")), "wp_id")
+    return rows.groupBy("lote_id", "tipo").agg(F.round(F.avg("score"), 3).alias("corte")), rows.where("score < 0.1").select("lote_id", "tipo", F.lower("texto").alias("texto"))
+
+
+def _restored(t):
+    lots = t("census").select(F.col("section").alias("lote_id")).distinct()
+    return calibrate.restored(calibrate.saved(lots, *_calibration(t)))
+
+
+@query("restored_cuts", _CAL)
+def _(s, t):
+    return _restored(t)[0]
+
+
+@query("restored_blocklist", "SELECT DISTINCT section AS lote_id, tipo, lower(texto) AS texto FROM proposals AS p JOIN census AS c ON c.wp_id = p.wp_id WHERE score < 0.1")
+def _(s, t):
+    return _restored(t)[1]
+
+
+@query("asking_floor", f"SELECT least(0.3, min(corte)) AS piso FROM (SELECT tipo, round(min(score), 3) + 0.05 AS corte FROM proposals WHERE tipo <> 'lugar' GROUP BY 1) AS x")
+def _(s, t):
+    return calibrate.asking_floor(t("proposals").where("tipo <> 'lugar'").groupBy("tipo").agg((F.round(F.min("score"), 3) + 0.05).alias("corte")))
+
+
+@query(
+    "relation_mentions",
+    "WITH e AS (SELECT wp_id, min(mid) AS a_mid, max(mid) AS b_mid FROM marks GROUP BY 1), m AS (SELECT DISTINCT wp_id, mid, pi, texto, tipo FROM marks) "
+    "SELECT e.wp_id, a_mid, b_mid, x.pi AS pi_a, x.texto AS texto_a, x.tipo AS tipo_a, y.pi AS pi_b, y.texto AS texto_b, y.tipo AS tipo_b FROM e JOIN m AS x ON x.wp_id = e.wp_id AND x.mid = a_mid JOIN m AS y ON y.wp_id = e.wp_id AND y.mid = b_mid",
+)
+def _(s, t):
+    ends = t("marks").groupBy("wp_id").agg(F.min("mid").alias("a_mid"), F.max("mid").alias("b_mid"))
+    return relations.with_mentions(ends, t("marks").select("wp_id", "mid", "pi", "texto", "tipo").distinct())
+
+
+# A batch's proposals are resolved anew, and those of a third of the articles take the place of the old ones.
+_SHORT = f"SELECT DISTINCT wp_id, pi, ini, fin, tipo, {_FORMS} AS texto, score FROM proposals"
+_CANON = (
+    f"n AS ({_SHORT}), m AS (SELECT DISTINCT wp_id, tipo, texto FROM n WHERE tipo IN ('persona', 'organizacion')), "
+    "f AS (SELECT s.wp_id, s.tipo, s.texto, min(f.texto) AS canon FROM m AS s JOIN m AS f ON s.wp_id = f.wp_id AND s.tipo = f.tipo AND contains(f.texto, ' ') WHERE s.texto = 'Ana' OR s.texto = 'ALB' AND f.texto = 'Ana Luz Bo' GROUP BY 1, 2, 3 HAVING count(*) = 1)"
+)
+
+
+@query("recanonised", f"WITH {_CANON} SELECT n.*, canon FROM n LEFT JOIN f ON f.wp_id = n.wp_id AND f.tipo = n.tipo AND f.texto = n.texto")
+def _(s, t):
+    return resolve.recanonised(t("proposals").select("wp_id", "pi", "ini", "fin", "tipo", F.expr(_FORMS).alias("texto"), "score").distinct())
+
+
+@query(
+    "replaced_after_canon",
+    f"WITH {_CANON} SELECT n.*, CASE WHEN n.wp_id % 3 = 0 THEN f.canon END AS canon FROM n LEFT JOIN f ON f.wp_id = n.wp_id AND f.tipo = n.tipo AND f.texto = n.texto",
+)
+def _(s, t):
+    p = t("proposals").select("wp_id", "pi", "ini", "fin", "tipo", F.expr(_FORMS).alias("texto"), "score").distinct()
+    return sinks.replace_partition(p.withColumn("canon", F.lit(None).cast("string")), resolve.recanonised(p.where("wp_id % 3 = 0")), ["wp_id"])
