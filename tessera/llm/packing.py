@@ -122,7 +122,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, tex
 def assemble(packed: DataFrame) -> DataFrame:
     """Training sequences of a pack(keep_ids=True) result: input_ids, and for each token its document's number in the sequence.
 
-    A sequence has at most `size` tokens, which bounds every group.
+    A sequence has at most `size` tokens, which bounds every group. Repeated documents stand as often as they were packed, a null
+    or empty text is its end id alone; an empty table gives no rows; other columns are ignored.
     """
     grouped = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("p"))
     return grouped.select(

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tessera.llm import ann, chat, decontaminate, licenses, linededup, minhash, packing, quality, simhash, substrings, toxicity
+from tessera.llm import ann, chat, decontaminate, licenses, linededup, minhash, packing, quality, runs, simhash, substrings, tokencount, toxicity, vectorcodes
 
 #: Names that the operators use inside.
 CLASHES = "_k1 _k2 uid row _c _at _n _lines line_dedup k y w h g x p n fp root node id key h1 h2 pos long shard b score _score _lang held_out v d r c depth a start length item_id".split()
@@ -57,6 +57,41 @@ def test_results_have_a_row_for_each_document(nasty, labels):
         assert size(f(nasty.limit(0))) == 0
 
 
+def test_values_of_empty_long_and_repeated_texts(nasty, labels):
+    """What has no words gets one and the same value, whether null, empty or blank; what repeats gets equal values."""
+    texts = {r.doc_id: r.text for r in nasty.where("doc_id < 10 and doc_id <> 6").collect()}
+    for f in (quality.classify, toxicity.classify):
+        rows = [r for r in f(nasty, labels).collect()]
+        scores = {r.doc_id: r.score for r in rows if r.doc_id is not None and r.doc_id not in (6, 10)}
+        assert scores.keys() == texts.keys() and len({scores[k] for k in (1, 2, 3)}) == 1
+        assert scores[4] == scores[5] and all(0 <= r.score <= 1 for r in rows)
+    near = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(nasty).collect() if r.doc_id is not None}
+    assert near[1] == near[2] == near[3] == ("0" * 16, 1) and near[4] == near[5] and near[4][1] == 4
+    held = {r.doc_id: r.labels for r in licenses.summary(licenses.scan(nasty)).where("labels = 'mit'").collect()}
+    assert held == {10: "mit"}
+    cut = {(r.doc_id, r.n_bytes): r.n_removed for r in substrings.remove_duplicates(nasty).collect()}
+    assert cut[4, len(LONG)] == cut[5, len(LONG)] == len(LONG) and cut[1, 0] == cut[2, 0] == 0
+
+
+def test_tokens_and_runs(nasty):
+    counts = [(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(nasty, public_tokenizers.path("byte_bpe_50k.json")).collect()]
+    assert len(counts) == nasty.count()
+    assert {c[1:] for c in counts if c[0] in (1, 2)} == {(0, 0, False)} and {c for c in counts if c[0] in (4, 5)} == {(k, len(LONG), 30001, True) for k in (4, 5)}
+    found = {(r.doc_id, r.n_words): ([tuple(x) for x in r.runs], r.collapsed) for r in runs.periodic_runs(nasty).collect()}
+    assert found[4, 30001] == found[5, 30001] == ([(0, 30000, 1)], "word end") and found[1, 0] == found[3, 0] == ([], "")
+    assert len(runs.digests(runs.periodic_runs(nasty)).collect()) == nasty.count()
+    assert runs.planted(nasty).columns == ["doc_id", "text"] and size(runs.planted(nasty)) == nasty.count()
+
+
+def test_codes(spark):
+    names = "row, v, codes, p, e, n, s, _l, _s, _d, _e, label_error".split(", ")
+    df = spark.createDataFrame([(1, [1.0] * 4, None, *names), (1, [1.0] * 4, None, *names), (2, None, 3, *names), (None, [2.0] * 4, 3, *names)], "vec_id long, embedding array<float>, label int, " + ", ".join(f"`{c}` string" for c in names))
+    out = vectorcodes.with_label_error(vectorcodes.encode(df), codes="_codes")
+    assert out.columns == [*df.columns, "_codes", "_label_error"]
+    # The one entry that starts moves to the mean of all three: floor(4096 / 3) for 1024, 1024 and 2048.
+    assert sorted((r.vec_id or 0, r._codes.code, r._codes.error, r._label_error) for r in out.collect()) == [(0, "00000000", 4 * 683**2, 4 * 683**2), (1, "00000000", 4 * 341**2, 8 * 341**2)] + [(1, "00000000", 4 * 341**2, 8 * 341**2)]
+
+
 def test_pairs_and_pieces(nasty, benchmark):
     found = decontaminate.contaminated(nasty, benchmark)
     assert sorted((r.doc_id, r.item_id, r.distance) for r in found.collect()) == [(8, 1, 0)] * 2 + [(9, 1, 0)] * 2
