@@ -198,7 +198,7 @@ def _(s, t):
 
 @query(
     "gold_rows",
-    "WITH m AS (SELECT *, row_number() OVER (PARTITION BY wp_id, pi ORDER BY ini, fin, mid) - 1 AS i FROM (SELECT DISTINCT wp_id, pi - 1 AS pi, mid, ini, fin FROM marks WHERE pi >= 1 AND tipo <> 'lugar') AS x), "
+    "WITH m AS (SELECT *, row_number() OVER (PARTITION BY wp_id, pi ORDER BY ini, fin, mid) - 1 AS i FROM (SELECT wp_id, pi - 1 AS pi, mid, ini, fin FROM marks WHERE pi >= 1 AND tipo <> 'lugar') AS x), "
     "r AS (SELECT a.wp_id, a.pi, count(*) AS n, sum(a.i * 100 + b.i) AS suma FROM (SELECT wp_id, min(mid) AS x, max(mid) AS y FROM marks GROUP BY 1) AS q JOIN m AS a ON a.wp_id = q.wp_id AND a.mid = q.x JOIN m AS b ON b.wp_id = q.wp_id AND b.mid = q.y WHERE a.pi = b.pi GROUP BY 1, 2) "
     "SELECT m.wp_id, CAST(m.pi AS INTEGER) AS pi, count(*) AS entidades, coalesce(max(r.n), 0) AS relaciones, CAST(coalesce(max(r.suma), 0) AS BIGINT) AS suma FROM m LEFT JOIN r ON r.wp_id = m.wp_id AND r.pi = m.pi GROUP BY 1, 2",
 )

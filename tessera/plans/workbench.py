@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.vocabulary import predicates
 from tessera.operators import calibrate, evaluate, matching, offsets, relations, resolve, review, scope, sinks, spans, training, view
-from tessera.plans.archive import _FORMS, ORACLE_SQL, QUERIES, _cuts, _fold_sql, query
+from tessera.plans.archive import _FORMS, _cuts, _fold_sql, query
+from tessera.plans.training import ORACLE_SQL, QUERIES
 from tessera.streaming import registry
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 def test_every_twin_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) >= 119
+    assert len(entry.queries()) >= 180
 
 
 @pytest.mark.skipif(not os.path.isdir(entry.SMOKE), reason="no test tables")

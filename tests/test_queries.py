@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.plans.training import ORACLE_SQL, QUERIES
+from tessera.plans.workbench import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
