@@ -18,8 +18,8 @@ from tessera.llm.base import one_of_a_kind
 
 #: How the byte-level pre-tokenizer cuts a text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words up to so many characters are remembered, and so many of them at most; forgetting changes no result.
-CACHED_CHARS, CACHED_WORDS = 64, 400_000
+#: Words up to so many characters are remembered, in two generations of so many words at most; forgetting changes no result.
+CACHED_CHARS, CACHED_WORDS = 64, 600_000
 #: Characters of a text that are cut into words at a time.
 STRETCH = 1 << 20
 _POSITION_BITS = 40
@@ -72,6 +72,7 @@ class TokenCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.cut, self.newer, self.library = regex.compile(PATTERN), _newer_letters(), Tokenizer.from_file(path).pre_tokenizer
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def word(self, word: str) -> int:
         """Symbols of one word after all merges: as many as it has bytes, less one for each merge.
@@ -79,29 +80,30 @@ class TokenCounter:
         The heap holds (rank, position) of adjacent pairs; a popped entry is stale if the pair that now starts there has
         another rank. Each merge unlinks one symbol and pushes at most two pairs, so a word of n bytes takes n log n steps.
         """
-        rank, merged = self.rank, self.merged
+        get, merged, push, pop = self.rank.get, self.merged, heapq.heappush, heapq.heappop
         symbol = [self.byte[b] for b in word.encode()]
         n = left = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << _POSITION_BITS | i for i in range(n - 1) if (r := rank.get(symbol[i] << 32 | symbol[i + 1])) is not None]
+        heap = [r << _POSITION_BITS | i for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (r := get(a << 32 | b)) is not None]
         heapq.heapify(heap)
         low = (1 << _POSITION_BITS) - 1
         while heap:
-            top = heapq.heappop(heap)
-            r, i = top >> _POSITION_BITS, top & low
-            j = after[i]
-            if symbol[i] < 0 or j >= n or rank.get(symbol[i] << 32 | symbol[j]) != r:
+            top = pop(heap)
+            i = top & low
+            j, a, r = after[i], symbol[i], top >> _POSITION_BITS
+            if a < 0 or j >= n or get(a << 32 | symbol[j]) != r:
                 continue
-            symbol[i], symbol[j] = merged[r], -1
+            symbol[i] = a = merged[r]
+            symbol[j] = -1
             left -= 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(symbol[i] << 32 | symbol[k])) is not None:
-                    heapq.heappush(heap, r << _POSITION_BITS | i)
+                if (r := get(a << 32 | symbol[k])) is not None:
+                    push(heap, r << _POSITION_BITS | i)
             h = before[i]
-            if h >= 0 and (r := rank.get(symbol[h] << 32 | symbol[i])) is not None:
-                heapq.heappush(heap, r << _POSITION_BITS | h)
+            if h >= 0 and (r := get(symbol[h] << 32 | a)) is not None:
+                push(heap, r << _POSITION_BITS | h)
         return left
 
     def _words(self, text: str) -> Iterator[list[str]]:
@@ -119,13 +121,17 @@ class TokenCounter:
             for word, times in Counter(words).items():
                 n = known.get(word)
                 if n is None:
-                    if self.newer and not word.isascii() and self.newer.search(word):
-                        # Never remembered, so no text with such a letter goes past this line.
-                        return sum(self.word(text[a:b]) for _, (a, b) in self.library.pre_tokenize_str(text))
-                    n = self.word(word)
+                    n = self.older.get(word)
+                    if n is None:
+                        if self.newer and not word.isascii() and self.newer.search(word):
+                            # Never remembered, so no text with such a letter goes past this line.
+                            return sum(self.word(text[a:b]) for _, (a, b) in self.library.pre_tokenize_str(text))
+                        n = self.word(word)
                     if len(word) <= CACHED_CHARS:
                         if len(known) >= CACHED_WORDS:
-                            known.clear()
+                            # What has not come up again since the last turn is forgotten.
+                            self.older, self.known = known, {}
+                            known = self.known
                         known[word] = n
                 total += n * times
         return total
