@@ -83,7 +83,9 @@ def usable(vectors: DataFrame, vector: str, parts: int) -> DataFrame:
 def first_books(rows: DataFrame, parts: int, entries: int, key: str) -> np.ndarray:
     """(part, entry, position): the parts of the vectors with the smallest keys. Of several vectors of one key the smallest counts."""
     named = rows.where(F.col("row")[key].isNotNull()).select(F.col("row")[key].alias("id"), "v")
-    start = named.groupBy("id").agg(F.min("v").alias("v")).orderBy("id").limit(entries)
+    # Keys alone are shuffled; the vectors of the few that start are then looked up.
+    first = named.select("id").distinct().orderBy("id").limit(entries)
+    start = named.join(F.broadcast(first), "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
     found = [r["v"] for r in start.orderBy("id").collect()]
     if not found:
         return np.zeros((parts, 0, 0), np.int64)
