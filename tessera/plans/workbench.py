@@ -9,6 +9,7 @@ from tessera.functions.vocabulary import predicates
 from tessera.operators import calibrate, evaluate, matching, offsets, relations, resolve, review, scope, sinks, spans, training, view
 from tessera.plans.archive import _FORMS, _cuts, _fold_sql, query
 from tessera.plans.training import ORACLE_SQL, QUERIES
+from tessera.plans.stand_ins import with_views
 from tessera.streaming import registry
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -66,6 +67,23 @@ def _(s, t):
     return matching.entity_report(t("model_ents"), t("gold_ents"))
 
 
+# The older report of the same matching, without the total.
+ORACLE_SQL["evaluate_one_to_one"] = with_views(
+    f"WITH {_match('model_ents', 'gold_ents', 'hits')}, {_ENTITY_COUNTS.format(mine='model_ents', gold='gold_ents')} SELECT tipo, vp, fp, fn, round(2 * vp / (2 * vp + fp + fn), 6) AS f1 FROM t WHERE tipo <> '*'"
+)
+# Minimums of two sections and of one region, eras filled up to ten and cut to it, any others up to thirty; all in the order of a hash.
+ORACLE_SQL["held_out_choice"] = with_views(
+    "WITH c AS (SELECT wp_id, section AS seccion, CASE WHEN date < '1994' THEN 'a' WHEN date < '1996' THEN 'b' ELSE 'c' END AS tramo, md5(concat('2026|', wp_id)) AS d FROM census), "
+    "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seccion ORDER BY d, wp_id) AS k FROM c) AS x WHERE k <= CASE seccion WHEN '1-URGENT' THEN 6 WHEN '2-HIGH' THEN 3 WHEN '5-LOW' THEN 3 ELSE 0 END), "
+    "n AS (SELECT tramo, count(*) AS n FROM s GROUP BY 1), "
+    "f AS (SELECT x.* FROM (SELECT *, row_number() OVER (PARTITION BY tramo ORDER BY d, wp_id) AS k FROM c WHERE wp_id NOT IN (SELECT wp_id FROM s)) AS x LEFT JOIN n ON n.tramo = x.tramo WHERE k <= 10 - coalesce(n, 0)), "
+    "chosen AS (SELECT wp_id, seccion, tramo, d FROM s UNION ALL SELECT wp_id, seccion, tramo, d FROM f), "
+    "kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tramo ORDER BY d, wp_id) AS k FROM chosen) AS x WHERE k <= 10), "
+    "spare AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY d, wp_id) AS k FROM c WHERE wp_id NOT IN (SELECT wp_id FROM chosen)) AS x WHERE k <= 30 - (SELECT count(*) FROM kept)) "
+    "SELECT wp_id, seccion, tramo FROM kept UNION ALL SELECT wp_id, seccion, tramo FROM spare"
+)
+
+
 def _relation_counts(once: bool) -> str:
     good = "CASE WHEN row_number() OVER (PARTITION BY wp_id, pi, predicado, x, y ORDER BY orden) = 1 THEN hit ELSE false END" if once else "hit"
     return (
