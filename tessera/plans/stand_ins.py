@@ -46,6 +46,12 @@ VIEWS = {
     "concat(CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'el ' WHEN 1 THEN 'La ' WHEN 2 THEN 'senador ' WHEN 3 THEN 'la exministra ' WHEN 4 THEN 'el ex presidente liberal ' WHEN 5 THEN 'bandas ' WHEN 6 THEN 'empresa: ' "
     "WHEN 7 THEN 'una de las muchas cosas que dijo ayer la señora ' WHEN 8 THEN '@' WHEN 9 THEN 'Senadora verde ' ELSE '' END, CASE CAST(l_orderkey % 9 AS INT) WHEN 0 THEN 'usted' WHEN 1 THEN '300 millones' WHEN 2 THEN 'papá' "
     "WHEN 3 THEN 'mil' WHEN 4 THEN 'Nadie' ELSE concat('Nombre ', CAST(l_partkey % 150 AS STRING)) END) AS texto FROM lineitem) AS x",
+    # A model's answers about paragraphs; < and > stand for braces, and some answers have English names, words around, or no JSON.
+    "answers": "SELECT wp_id, pi, parrafo, CASE CAST(k % 11 AS INT) WHEN 0 THEN 'no hay nada' WHEN 1 THEN '[1]' WHEN 2 THEN concat('Va: ', x, ' y ya') WHEN 3 THEN replace(replace(replace(replace(x, '\"texto\"', '\"text\"'), '\"tipo\"', '\"type\"'), '\"entidades\"', '\"entities\"'), '\"relaciones\"', '\"relations\"') ELSE x END AS salida "
+    "FROM (SELECT wp_id, pi, k, parrafo, translate(concat('<\"entidades\":[<\"texto\":\"', a, '\",\"tipo\":\"persona\">,<\"texto\":\" ', lower(a), '\",\"tipo\":\"Persona\">,7,<\"texto\":\"', b, '\",\"tipo\":\"', CASE CAST(k % 5 AS INT) WHEN 0 THEN 'Organización' WHEN 1 THEN 'lugar' WHEN 2 THEN 'grupo genérico' WHEN 3 THEN 'organizacion' ELSE 'raro' END, "
+    "'\">,<\"texto\":\"', CASE CAST(k % 4 AS INT) WHEN 0 THEN '300 pesos' WHEN 1 THEN 'suma' WHEN 2 THEN 'ausente' ELSE '' END, '\",\"tipo\":\"monto\">,<\"texto\":\"ella\",\"tipo\":\"persona\">],\"relaciones\":[<\"a\":\"', a, '\",\"b\":\"', b, '\",\"', CASE WHEN k % 2 = 0 THEN 'pred' ELSE 'predicado' END, '\":\"', CASE CAST(k % 6 AS INT) WHEN 0 THEN 'raro' WHEN 1 THEN 'FUNDO' WHEN 2 THEN 'hijo de' ELSE 'dirige' END, "
+    "'\",\"cuando\":\"', CASE CAST(k % 3 AS INT) WHEN 0 THEN 'Pasada' ELSE 'hoy' END, '\">,<\"a\":\"', a, '\",\"b\":\"', lower(a), '\",\"predicado\":\"socio de\">,<\"a\":\"', lower(a), '\",\"b\":\"', a, '\",\"predicado\":\"', CASE WHEN k % 7 < 3 THEN 'socio de' ELSE 'hijo de' END, '\">,<\"a\":\"', a, '\",\"b\":\"', CASE WHEN k % 2 = 0 THEN a ELSE 'Zz' END, '\",\"predicado\":\"dirige\">]>'), '<>', concat(chr(123), chr(125))) AS x "
+    "FROM (SELECT o_orderkey AS wp_id, CAST(o_custkey % 3 AS INT) AS pi, o_custkey AS k, c_name AS a, n_name AS b, concat(c_name, ' dirige ', n_name, ' por 300 pesos, una suma. Ella vio a ', CASE WHEN o_custkey % 9 = 0 THEN 'nadie' ELSE c_name END) AS parrafo FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS y) AS z",
     "alias_cases": "SELECT c_custkey AS clave, 'persona' AS tipo, concat('ana ruiz ', CAST(c_custkey % 40 AS STRING)) AS a, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN concat('ruiz ', CAST(c_custkey % 40 AS STRING)) "
     "WHEN 1 THEN concat('eva mora ', CAST(c_custkey % 30 AS STRING)) ELSE concat('luz ', CAST(c_custkey % 20 AS STRING)) END AS b FROM customer",
 }
