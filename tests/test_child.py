@@ -32,9 +32,10 @@ def check(found, n=40):
     return rows
 
 
+# The failures are counted over all children together, so one document may meet several in a row: tries are plenty.
 @pytest.mark.parametrize("crash, hang, junk", [(0, 0, 0), (7, 0, 0), (0, 13, 0), (5, 0, 4)])
 def test_no_document_is_lost_or_doubled(spark, tmp_path, crash, hang, junk):
-    found = extract(docs(spark).repartition(3, "wp_id"), model(tmp_path, crash, hang, junk, answer_seconds=3.0, tries=6)).cache()
+    found = extract(docs(spark).repartition(3, "wp_id"), model(tmp_path, crash, hang, junk, answer_seconds=3.0, tries=40)).cache()
     rows = check(found)
     starts = len([f for f in os.listdir(tmp_path) if f.startswith("start")])
     again = sum(r.intentos - 1 for r in rows)
