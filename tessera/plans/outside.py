@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import checks
 from tessera.functions import text as T
 from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, TYPES, predicates
-from tessera.operators import answers
+from tessera.operators import answers, evaluate, identities, resolve, review
 from tessera.plans.archive import _fold_sql, query
 from tessera.plans.training import ORACLE_SQL, QUERIES, _LIST, _re
 
@@ -77,3 +77,78 @@ def _(s, t):
 )
 def _(s, t):
     return _read(s, t).refused.groupBy("motivo").agg(F.sum("n").alias("n"))
+
+
+# Identities ---------------------------------------------------------------------------------------------------------------
+
+_FOLDED = lambda c: _fold_sql(c, T.FOLD_FROM, T.FOLD_TO)
+_BASE = (
+    f"dec AS (SELECT tipo, decision, fuente, a, b, {_FOLDED('a')} AS na, {_FOLDED('b')} AS nb FROM decided WHERE decision <> 'posponer' AND fuente <> 'identidades' AND tipo IN {_LIST(identities.ACTORS)}), "
+    "best AS MATERIALIZED (SELECT *, least(na, nb) AS u, greatest(na, nb) AS v FROM dec WHERE contains(na, ' ') AND contains(nb, ' ') QUALIFY row_number() OVER (PARTITION BY tipo, least(na, nb), greatest(na, nb) "
+    "ORDER BY CASE fuente WHEN 'persona' THEN 3 WHEN 'quien-ai' THEN 2 WHEN 'regla' THEN 2 ELSE 1 END DESC, decision, a, b, fuente) = 1), "
+    f"cur AS MATERIALIZED (SELECT grupo, nombre, {_FOLDED('nombre')} AS n FROM curated), "
+    "links AS MATERIALIZED (SELECT tipo, u, v, fuente FROM best WHERE decision = 'misma' AND u <> v UNION SELECT 'persona', x.n, y.n, 'quien-ai' FROM cur AS x JOIN cur AS y ON x.grupo = y.grupo AND x.n < y.n), "
+    "both_ways AS MATERIALIZED (SELECT tipo, u, v FROM links UNION SELECT tipo, v, u FROM links), "
+    "reach AS (SELECT DISTINCT tipo, u AS n, u AS m FROM both_ways UNION SELECT r.tipo, r.n, e.v FROM reach AS r JOIN both_ways AS e ON e.tipo = r.tipo AND e.u = r.m), "
+    "roots AS MATERIALIZED (SELECT tipo, n, min(m) AS root FROM reach GROUP BY 1, 2), "
+    "forms AS MATERIALIZED (SELECT f.tipo, f.n, f.forma, coalesce(r.root, f.n) AS root FROM (SELECT tipo, n, arg_min(nombre, {'l': -length(nombre), 'n': nombre}) AS forma FROM (SELECT tipo, a AS nombre, na AS n FROM best UNION SELECT tipo, b, nb FROM best UNION SELECT 'persona', nombre, n FROM cur) AS w GROUP BY 1, 2) AS f LEFT JOIN roots AS r ON r.tipo = f.tipo AND r.n = f.n), "
+    "grp AS (SELECT tipo, root, list(forma ORDER BY length(forma) DESC, forma) AS fs FROM forms GROUP BY 1, 2 HAVING count(*) > 1), "
+    "src AS (SELECT l.tipo, r.root, list_sort(list_distinct(list(fuente))) AS fuentes FROM links AS l JOIN roots AS r ON r.tipo = l.tipo AND r.n = l.u GROUP BY 1, 2), "
+    "entries AS MATERIALIZED (SELECT g.tipo, 'misma' AS clase, fs[1] AS canonico, fs[2:] AS formas, fuentes FROM grp AS g JOIN src AS s ON s.tipo = g.tipo AND s.root = g.root "
+    "UNION ALL SELECT b.tipo, CASE WHEN x.root = y.root THEN 'conflicto' ELSE 'distinta' END, NULL, [x.forma, y.forma], [b.fuente] FROM best AS b JOIN forms AS x ON x.tipo = b.tipo AND x.n = b.u JOIN forms AS y ON y.tipo = b.tipo AND y.n = b.v WHERE b.decision = 'distinta')"
+)
+
+
+@query("identity_base", f"WITH RECURSIVE {_BASE} SELECT tipo, clase, canonico, array_to_string(formas, '|') AS formas, array_to_string(fuentes, ',') AS fuentes FROM entries")
+def _(s, t):
+    found = identities.base(t("decided"), t("curated"))
+    return found.withColumns({"formas": F.array_join("formas", "|"), "fuentes": F.array_join("fuentes", ",")})
+
+
+_OPEN = "SELECT concat('q', CAST(k AS STRING), '-', CAST(z AS STRING)) AS clave, tipo, a, b FROM (SELECT k, 3 AS z, tipo, lower(a) AS a, concat('Casa norte ', CAST(k + 3 AS STRING)) AS b FROM {decided} UNION SELECT k, 2, tipo, a, concat('Casa norte ', CAST(k + 2 AS STRING)) FROM {decided}) AS x"
+
+
+@query(
+    "applied_identities",
+    f"WITH RECURSIVE {_BASE}, q AS (SELECT clave, tipo, {_FOLDED('a')} AS fa, {_FOLDED('b')} AS fb FROM ({_OPEN.format(decided='decided')}) AS o WHERE clave NOT IN (SELECT replace(clave, 'c', 'q') FROM decided)), "
+    "e AS MATERIALIZED (SELECT DISTINCT tipo, clase, id, " + _FOLDED("f") + " AS f FROM (SELECT tipo, clase, row_number() OVER () AS id, unnest(list_filter(list_prepend(canonico, formas), lambda z: z IS NOT NULL)) AS f FROM entries WHERE clase <> 'conflicto') AS u) "
+    "SELECT q.clave, min(x.clase) AS decision, 0.9::DOUBLE AS confianza, 'identidades' AS fuente FROM q JOIN e AS x ON x.tipo = q.tipo AND x.f = q.fa JOIN e AS y ON y.id = x.id AND y.f = q.fb WHERE q.fa <> q.fb GROUP BY 1 HAVING count(DISTINCT x.clase) = 1",
+)
+def _(s, t):
+    cases = s.sql(_OPEN, decided=t("decided"))
+    done = t("decided").select(F.translate("clave", "c", "q").alias("clave"))
+    return identities.applied(cases, identities.base(t("decided"), t("curated")), done)
+
+
+_CASES = "SELECT clave, tipo, CASE WHEN k % 10 = 0 THEN 1.0 ELSE 0.5 END AS confianza, CASE WHEN k % 4 = 0 THEN 'el mismo cargo' ELSE 'otro' END AS motivo FROM {decided}"
+_VERDICTS = "SELECT clave, CASE CAST(k % 6 AS INT) WHEN 0 THEN 'Misma' WHEN 1 THEN 'distinta' WHEN 2 THEN 'ambiguo' ELSE decision END AS veredicto, (k % 20) / 20.0 AS confianza, concat('por ', b) AS razon FROM {decided} WHERE k % 12 <> 5"
+
+
+@query(
+    "settled_cases",
+    f"WITH c AS ({_CASES.format(decided='decided')}), w AS ({_VERDICTS.format(decided='decided')}), x AS (SELECT c.clave, c.confianza >= 0.99 AS sure, tipo = 'cargo' AND starts_with(motivo, 'el mismo cargo') AS post, lower(veredicto) AS v, CAST(w.confianza AS DOUBLE) AS k, razon FROM c LEFT JOIN w ON w.clave = c.clave) "
+    "SELECT clave, CASE WHEN sure OR post THEN 'misma' WHEN v IN ('misma', 'distinta') AND k >= 0.75 THEN v ELSE 'posponer' END AS decision, CASE WHEN sure THEN 1.0 WHEN post THEN 0.85 ELSE k END AS confianza, CASE WHEN sure OR post THEN 'regla' ELSE 'juez' END AS fuente, "
+    "CASE WHEN sure THEN 'el mismo nombre con otra grafía' WHEN post THEN 'el mismo cargo con o sin «ex»' WHEN v IN ('misma', 'distinta') AND k >= 0.75 THEN razon WHEN v = 'ambiguo' THEN concat('ambiguo: ', razon) ELSE concat('duda: ', razon) END AS razon FROM x WHERE sure OR post OR v IS NOT NULL",
+)
+def _(s, t):
+    return identities.settled(s.sql(_CASES, decided=t("decided")), s.sql(_VERDICTS, decided=t("decided")))
+
+
+@query("resolution_progress", "SELECT count(*) FILTER (decision <> 'posponer') AS decididas, count(*) FILTER (decision = 'posponer') AS pospuestas FROM decided")
+def _(s, t):
+    return resolve.progress(t("decided"))
+
+
+@query("decided_keys", "SELECT DISTINCT clave FROM decided WHERE decision <> 'posponer'")
+def _(s, t):
+    return review.decided_keys(t("decided"))
+
+
+@query("newest_decisions", "SELECT clave, decision, k AS decidido_at FROM decided ORDER BY k DESC, clave LIMIT 200")
+def _(s, t):
+    return review.decisions_newest_first(t("decided").select("clave", "decision", F.col("k").alias("decidido_at")), 200)
+
+
+@query("decisions_agree", f"WITH w AS ({_VERDICTS.format(decided='decided')}) SELECT count(*) FILTER (decision = lower(veredicto)) AS coinciden, count(*) FILTER (decision <> lower(veredicto)) AS difieren FROM decided AS d JOIN w ON w.clave = d.clave")
+def _(s, t):
+    return evaluate.decisions_agree(t("decided"), s.sql(_VERDICTS, decided=t("decided")).select("clave", F.lower("veredicto").alias("decision")))

@@ -52,6 +52,12 @@ VIEWS = {
     "'\">,<\"texto\":\"', CASE CAST(k % 4 AS INT) WHEN 0 THEN '300 pesos' WHEN 1 THEN 'suma' WHEN 2 THEN 'ausente' ELSE '' END, '\",\"tipo\":\"monto\">,<\"texto\":\"ella\",\"tipo\":\"persona\">],\"relaciones\":[<\"a\":\"', a, '\",\"b\":\"', b, '\",\"', CASE WHEN k % 2 = 0 THEN 'pred' ELSE 'predicado' END, '\":\"', CASE CAST(k % 6 AS INT) WHEN 0 THEN 'raro' WHEN 1 THEN 'FUNDO' WHEN 2 THEN 'hijo de' ELSE 'dirige' END, "
     "'\",\"cuando\":\"', CASE CAST(k % 3 AS INT) WHEN 0 THEN 'Pasada' ELSE 'hoy' END, '\">,<\"a\":\"', a, '\",\"b\":\"', lower(a), '\",\"predicado\":\"socio de\">,<\"a\":\"', lower(a), '\",\"b\":\"', a, '\",\"predicado\":\"', CASE WHEN k % 7 < 3 THEN 'socio de' ELSE 'hijo de' END, '\">,<\"a\":\"', a, '\",\"b\":\"', CASE WHEN k % 2 = 0 THEN a ELSE 'Zz' END, '\",\"predicado\":\"dirige\">]>'), '<>', concat(chr(123), chr(125))) AS x "
     "FROM (SELECT o_orderkey AS wp_id, CAST(o_custkey % 3 AS INT) AS pi, o_custkey AS k, c_name AS a, n_name AS b, concat(c_name, ' dirige ', n_name, ' por 300 pesos, una suma. Ella vio a ', CASE WHEN o_custkey % 9 = 0 THEN 'nadie' ELSE c_name END) AS parrafo FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS y) AS z",
+    # Decisions on pairs of names in chains of seven, some twice with other sources or the other way round, some across a chain; and lists that join chains.
+    "decided": "SELECT concat(CASE WHEN k % 3 = 0 THEN 'CASA NORTE ' ELSE 'Casa Norte ' END, CAST(k AS STRING)) AS a, CASE WHEN k % 11 = 0 THEN 'Norte' ELSE concat(CASE WHEN k % 5 = 0 THEN 'Casa  Nórte, ' ELSE 'casa norte ' END, CAST(k + paso AS STRING)) END AS b, concat('c', CAST(k AS STRING), '-', CAST(vez AS STRING)) AS clave, tipo, decision, fuente, k "
+    "FROM (SELECT k, 1 AS paso, 0 AS vez, tipo, CASE WHEN k % 17 = 0 THEN 'posponer' WHEN k % 7 = 6 THEN 'distinta' ELSE 'misma' END AS decision, CASE CAST(k % 4 AS INT) WHEN 0 THEN 'persona' WHEN 1 THEN 'regla' WHEN 2 THEN 'juez' ELSE CASE WHEN k % 5 = 0 THEN 'identidades' ELSE 'quien-ai' END END AS fuente FROM chained "
+    "UNION ALL SELECT k, 2, 1, tipo, 'distinta', 'persona' FROM chained WHERE k % 9 = 0 UNION ALL SELECT k + 1, -1, 2, tipo, CASE WHEN k % 16 = 0 THEN 'distinta' ELSE 'misma' END, CASE WHEN k % 3 = 0 THEN 'regla' ELSE 'juez' END FROM chained WHERE k % 8 < 2) AS x",
+    "chained": "SELECT c_custkey AS k, CASE CAST(floor(c_custkey / 7) % 4 AS INT) WHEN 0 THEN 'persona' WHEN 1 THEN 'organizacion' WHEN 2 THEN 'persona' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'cargo' ELSE 'lugar' END END AS tipo FROM customer",
+    "curated": "SELECT CAST(floor(s_suppkey / 3) AS BIGINT) AS grupo, concat('Casa Norte ', CAST(s_suppkey * 7 AS STRING), CASE WHEN s_suppkey % 4 = 0 THEN '.' ELSE '' END) AS nombre FROM supplier",
     "alias_cases": "SELECT c_custkey AS clave, 'persona' AS tipo, concat('ana ruiz ', CAST(c_custkey % 40 AS STRING)) AS a, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN concat('ruiz ', CAST(c_custkey % 40 AS STRING)) "
     "WHEN 1 THEN concat('eva mora ', CAST(c_custkey % 30 AS STRING)) ELSE concat('luz ', CAST(c_custkey % 20 AS STRING)) END AS b FROM customer",
 }
