@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import url_key
+from tessera.functions.checks import outside_kin, outside_relation, outside_type
+from tessera.functions.text import name_variants, url_key
 from tessera.functions.unicode_folds import alignment_fold
+from tessera.operators.marking import _plain
 
 #: A shorter quote proves nothing; of a long one its first and last words are tried as well.
 LEAST_CHARS, EDGE_WORDS = 20, 12
@@ -78,3 +83,107 @@ def hint_recall(hints: DataFrame, annotated: DataFrame) -> DataFrame:
     h = hints.select("wp_id", "pi", pair("a", "b").alias("par")).distinct()
     r = annotated.select("wp_id", "pi", pair("a", "b").alias("par")).distinct().withColumn("_r", F.lit(1))
     return h.join(r, ["wp_id", "pi", "par"], "left").agg(F.count("*").alias("pistas"), F.count("_r").alias("confirmadas"))
+
+
+# Relations and posts of outside runs ------------------------------------------------------------------------------------
+
+# Trades that name no post.
+LOOSE_TRADES = (
+    "abogado", "abogada", "periodista", "empresario", "empresaria", "político", "politico", "política",
+    "economista", "escritor", "escritora", "académico", "académica", "investigador", "investigadora",
+    "analista", "activista", "líder", "lider", "dirigente", "funcionario", "funcionaria", "experto", "experta",
+)
+
+
+def nearest(parrafo: Column, variants: Column, near: Column) -> Column:
+    """Where the first of these wordings that is there stands: struct (ini, fin), of several places the one nearest to `near`.
+
+    Wordings are as of `name_variants`: folded words, which may stand with any signs between them, accents and case aside, as
+    whole words; ties go to the earlier place. Null if none is there.
+    """
+
+    @F.pandas_udf("struct<ini:int,fin:int>")
+    def of(texts: pd.Series, wordings: pd.Series, nears: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, ws, n in zip(texts, wordings, nears):
+            found, flat = None, _plain(t or "")
+            for w in ws if ws is not None else ():
+                spots = [m.span() for m in re.finditer(r"(?<!\w)" + r"[\W_]+".join(map(re.escape, w.split())) + r"(?!\w)", flat)] if w.strip() else []
+                if spots:
+                    found = min(spots, key=lambda s: abs(s[0] - (n if n == n and n is not None else 0)))
+                    break
+            rows.append(found or (None, None))
+        return pd.DataFrame(rows, columns=["ini", "fin"]).astype("Int32")
+
+    return of(parrafo, variants, near)
+
+
+def _spot(parrafo: str, name: str, near: Column) -> Column:
+    at = nearest(F.col(parrafo), name_variants(F.col(name)), near)
+    return F.when(at["ini"].isNotNull(), at)
+
+
+def relations_of_runs(rows: DataFrame, census: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aligned, outcomes) of relations that outside runs found in articles.
+
+    rows: (id, corrida, url, citas array, a, b, clase_a, clase_b, relacion), no id in two rows, null names being unknown entities; census: (wp_id, link);
+    paragraphs: (wp_id, pi, parrafo). The first quote that the article has gives the paragraph, and the ends are looked for near it
+    (see nearest). Outcomes (id, corrida, motivo), one a row, the first that holds: sin_cita, sin_noticia, sin_entidad,
+    cita_no_hallada, extremo_no_hallado, mismo_tramo, tipo_desconocido, duplicada, alineada. Aligned rows: wp_id, pi, a, b (ini, fin,
+    texto, tipo), predicado (null for relations that an annotator has to tell apart), simetrico, relacion, cita, and corridas, all
+    runs that found the same; of those the one of smallest run and id stays. Empty tables give no rows.
+    """
+    r = by_url(rows.withColumn("citas", F.filter("citas", lambda c: F.trim(c) != "")), census).withColumn("n", F.coalesce(F.size("citas"), F.lit(0)))
+    asked = r.where("wp_id is not null and n > 0 and a is not null and b is not null").select("id", "wp_id", F.posexplode("citas").alias("k", "cita"))
+    met = locate_quotes(asked.select(F.struct("id", "k").alias("id"), "wp_id", "cita"), paragraphs).select("id.id", F.struct("id.k", "pi", "en").alias("h"))
+    j = r.join(met.groupBy("id").agg(F.min("h").alias("h")), "id", "left").withColumn("pi", F.col("h.pi")).join(paragraphs.select("wp_id", "pi", "parrafo"), ["wp_id", "pi"], "left")
+    j = j.withColumns({"xa": _spot("parrafo", "a", F.col("h.en")), "xb": _spot("parrafo", "b", F.col("h.en")), "kin": outside_kin(F.col("relacion")), "fate": outside_relation(F.col("relacion"))})
+    why = (
+        F.when(F.col("n") < 1, "sin_cita")
+        .when(F.col("wp_id").isNull(), "sin_noticia")
+        .when(F.col("a").isNull() | F.col("b").isNull(), "sin_entidad")
+        .when(F.col("pi").isNull(), "cita_no_hallada")
+        .when(F.col("xa").isNull() | F.col("xb").isNull(), "extremo_no_hallado")
+        .when(F.col("xa") == F.col("xb"), "mismo_tramo")
+        .when(F.col("fate").isNull(), "tipo_desconocido")
+    )
+    j = j.withColumn("motivo", why)
+    said, distant = F.upper(F.trim("relacion")), F.col("fate") == "familiar"
+    j = j.withColumns({"predicado": F.when(distant, "familiar de").otherwise(F.col("kin.predicado")), "simetrico": distant | F.coalesce("kin.simetrico", F.lit(False))})
+    key = ["wp_id", "pi", "xa", "xb", "clave"]
+    fine = j.where("motivo is null").withColumn("clave", F.coalesce("predicado", said))
+    first = fine.groupBy(*key).agg(F.min(F.struct("corrida", "id")).alias("m"), F.array_sort(F.collect_set("corrida")).alias("corridas"))
+    kept = fine.join(first.select(*key, F.col("m.id").alias("id"), F.col("m.corrida").alias("corrida"), "corridas"), [*key, "id", "corrida"])
+    end = lambda x, c: F.struct(F.col(f"{x}.ini").alias("ini"), F.col(f"{x}.fin").alias("fin"), F.expr(f"substring(parrafo, {x}.ini + 1, {x}.fin - {x}.ini)").alias("texto"), outside_type(F.col(c)).alias("tipo"))
+    aligned = kept.select("id", "wp_id", "pi", end("xa", "clase_a").alias("a"), end("xb", "clase_b").alias("b"), "predicado", "simetrico", said.alias("relacion"), F.get("citas", F.col("h.k")).alias("cita"), "corridas")
+    stays = kept.select("id", "corrida", F.lit("alineada").alias("_m"))
+    outcomes = j.select("id", "corrida", "motivo").join(stays, ["id", "corrida"], "left").select("id", "corrida", F.coalesce("motivo", "_m", F.lit("duplicada")).alias("motivo"))
+    return aligned, outcomes
+
+
+def posts_of_runs(rows: DataFrame, census: DataFrame, paragraphs: DataFrame, loose: tuple[str, ...] = LOOSE_TRADES) -> tuple[DataFrame, DataFrame]:
+    """(aligned, outcomes) of posts that outside runs gave to entities.
+
+    rows: (id, corrida, url, persona, clase, cargo). A post is placed in the first paragraph that has it and, nearest to it,
+    the person. Outcomes (id, corrida, motivo): sin_persona_o_noticia, oficio_suelto (a loose trade, or one word in small letters),
+    no_hallado, duplicado, alineado; posts under four characters are no rows of it. Aligned: id, wp_id, pi, cargo and
+    persona (ini, fin, texto), corrida: of equal ones the smallest run and id.
+    """
+    r = by_url(rows.withColumn("cargo", F.trim("cargo")).where(F.length("cargo") >= 4), census)
+    small = (F.col("cargo") == F.lower("cargo")) & (F.col("cargo") != F.upper("cargo")) & ~F.contains("cargo", F.lit(" "))
+    why = F.when(F.col("persona").isNull() | F.col("wp_id").isNull() | ~F.coalesce(outside_type(F.col("clase")) == "persona", F.lit(False)), "sin_persona_o_noticia").when(F.lower("cargo").isin(*loose) | small, "oficio_suelto")
+    r = r.withColumn("motivo", why)
+    p = r.where("motivo is null").join(paragraphs.select("wp_id", "pi", "parrafo"), "wp_id").withColumn("xc", _spot("parrafo", "cargo", F.lit(0))).where("xc is not null")
+    p = p.withColumn("xp", _spot("parrafo", "persona", F.col("xc.ini"))).where("xp is not null")
+    text = lambda x: F.struct(F.col(f"{x}.ini").alias("ini"), F.col(f"{x}.fin").alias("fin"), F.expr(f"substring(parrafo, {x}.ini + 1, {x}.fin - {x}.ini)").alias("texto"))
+    spots = p.groupBy("id", "corrida", "wp_id").agg(F.min_by(F.struct("pi", text("xc").alias("cargo"), text("xp").alias("persona")), "pi").alias("h")).select("id", "corrida", "wp_id", "h.*")
+    key = ["wp_id", "pi", "cargo", "persona"]
+    first = spots.groupBy(*key).agg(F.min(F.struct("corrida", "id")).alias("m")).select(*key, "m.*")
+    end = spots.select("id", "corrida").join(first.select("id", "corrida", F.lit("alineado").alias("m")), ["id", "corrida"], "left").select("id", "corrida", F.coalesce("m", F.lit("duplicado")).alias("_m"))
+    outcomes = r.select("id", "corrida", "motivo").join(end, ["id", "corrida"], "left").select("id", "corrida", F.coalesce("motivo", "_m", F.lit("no_hallado")).alias("motivo"))
+    return first.select("id", "corrida", *key), outcomes
+
+
+def report_of_runs(outcomes: DataFrame) -> DataFrame:
+    """Rows of each run by outcome, and in all (total)."""
+    return outcomes.select("corrida", "motivo").union(outcomes.select("corrida", F.lit("total"))).groupBy("corrida", "motivo").agg(F.count("*").alias("n"))

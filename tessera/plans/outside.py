@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import checks
 from tessera.functions import text as T
 from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, TYPES, predicates
-from tessera.operators import answers, evaluate, identities, resolve, review
+from tessera.operators import alignment, answers, evaluate, identities, resolve, review
 from tessera.plans.archive import _fold_sql, query
 from tessera.plans.training import ORACLE_SQL, QUERIES, _LIST, _re
 
@@ -152,3 +152,62 @@ def _(s, t):
 @query("decisions_agree", f"WITH w AS ({_VERDICTS.format(decided='decided')}) SELECT count(*) FILTER (decision = lower(veredicto)) AS coinciden, count(*) FILTER (decision <> lower(veredicto)) AS difieren FROM decided AS d JOIN w ON w.clave = d.clave")
 def _(s, t):
     return evaluate.decisions_agree(t("decided"), s.sql(_VERDICTS, decided=t("decided")).select("clave", F.lower("veredicto").alias("decision")))
+
+
+# What outside runs found --------------------------------------------------------------------------------------------------
+
+_FLAT = f"translate({_UI('parrafo')}, '#', ' ')"
+
+
+def _near(name: str, near: str) -> str:
+    """The place nearest to another of a name or, where it is nowhere, of its last word."""
+    at = lambda n: f"(list_sort(list_transform(list_filter(range(CAST(length(parrafo) AS BIGINT)), lambda i: substr(flat, i + 1, length({n})) = {n} AND NOT regexp_matches(substr(flat, i, 1), '\\w') AND NOT regexp_matches(substr(flat, i + length({n}) + 1, 1), '\\w')), lambda i: {{'d': abs(i - {near}), 'i': i, 'n': length({n})}})))[1]"
+    return f"coalesce({at(name)}, CASE WHEN length(string_split({name}, ' ')[-1]) >= 4 THEN {at(f'string_split({name}, chr(32))[-1]')} END)"
+
+
+_QUOTE = "lower(strip_accents(trim(regexp_replace({0}, '\\s+', ' ', 'g'))))"
+_HELD = "CASE WHEN length({q}) >= 20 AND strpos({p}, {q}) > 0 THEN strpos({p}, {q}) - 1 END"
+_RUNS = (
+    f"r AS (SELECT s.*, CASE WHEN NOT contains(url, 'y.org') THEN CAST(regexp_extract(url, '[0-9]+$') AS BIGINT) END AS wp_id, {_FOLDED('a')} AS fa, {_FOLDED('b')} AS fb, upper(trim(relacion)) AS x FROM said_in_runs AS s), "
+    f"m AS (SELECT r.*, p.pi, parrafo, {_FLAT} AS flat, {_HELD.format(q=_QUOTE.format('cita1'), p=_QUOTE.format('parrafo'))} AS e1, {_HELD.format(q=_QUOTE.format('cita2'), p=_QUOTE.format('parrafo'))} AS e2 FROM r LEFT JOIN spoken AS p ON p.wp_id = r.wp_id AND p.pi = 1), "
+    f"n AS MATERIALIZED (SELECT *, coalesce(e1, e2) AS en FROM m), h AS MATERIALIZED (SELECT *, {_near('fa', 'en')} AS ha, {_near('fb', 'en')} AS hb FROM n), "
+    f"k AS (SELECT *, CASE x {' '.join(f"WHEN '{w}' THEN '{p}'" for w, (p, _) in checks.OUTSIDE_KIN.items())} ELSE CASE WHEN x IN {_LIST(checks.GENERIC_KIN)} THEN 'familiar de' END END AS pred FROM h), "
+    "w AS MATERIALIZED (SELECT *, CASE WHEN coalesce(trim(cita1), '') = '' AND coalesce(trim(cita2), '') = '' THEN 'sin_cita' WHEN wp_id IS NULL THEN 'sin_noticia' WHEN a IS NULL OR b IS NULL THEN 'sin_entidad' WHEN en IS NULL THEN 'cita_no_hallada' WHEN ha IS NULL OR hb IS NULL THEN 'extremo_no_hallado' "
+    f"WHEN ha.i = hb.i AND ha.n = hb.n THEN 'mismo_tramo' WHEN pred IS NULL AND NOT x IN {_LIST(checks.TO_TELL_APART)} THEN 'tipo_desconocido' END AS motivo FROM k), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY wp_id, ha.i, ha.n, hb.i, hb.n, coalesce(pred, x) ORDER BY corrida, id) AS turno, list(corrida) OVER (PARTITION BY wp_id, ha.i, ha.n, hb.i, hb.n, coalesce(pred, x)) AS cs FROM w WHERE motivo IS NULL)"
+)
+
+
+def _of_runs(t):
+    rows = t("said_in_runs").withColumn("citas", F.array("cita1", "cita2"))
+    census = t("customer").select(F.col("c_custkey").alias("wp_id"), F.concat(F.lit("https://www.x.org/n/"), F.col("c_custkey").cast("string"), F.lit("/")).alias("link"))
+    return alignment.relations_of_runs(rows, census, t("spoken"))
+
+
+@query(
+    "relations_of_runs",
+    f"WITH {_RUNS} SELECT id, wp_id, pi, CAST(ha.i AS INTEGER) AS a_ini, CAST(ha.i + ha.n AS INTEGER) AS a_fin, CAST(hb.i AS INTEGER) AS b_ini, CAST(hb.i + hb.n AS INTEGER) AS b_fin, substr(parrafo, hb.i + 1, hb.n) AS b_texto, CASE WHEN clase_b = 'raro' THEN NULL ELSE 'organizacion' END AS b_tipo, "
+    "pred AS predicado, x AS relacion, array_to_string(list_sort(list_distinct(cs)), ',') AS corridas FROM g WHERE turno = 1",
+)
+def _(s, t):
+    found = _of_runs(t)[0]
+    return found.select("id", "wp_id", "pi", *(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "ab" for c in ("ini", "fin")), F.col("b.texto").alias("b_texto"), F.col("b.tipo").alias("b_tipo"), "predicado", "relacion", F.array_join("corridas", ",").alias("corridas"))
+
+
+@query(
+    "outcomes_of_runs",
+    f"WITH {_RUNS}, o AS (SELECT corrida, motivo FROM w WHERE motivo IS NOT NULL UNION ALL SELECT corrida, CASE WHEN turno = 1 THEN 'alineada' ELSE 'duplicada' END FROM g) SELECT corrida, motivo, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT corrida, 'total' FROM o) AS u GROUP BY 1, 2",
+)
+def _(s, t):
+    return alignment.report_of_runs(_of_runs(t)[1])
+
+
+@query(
+    "posts_of_runs",
+    f"WITH c AS (SELECT *, CASE WHEN contains(url, 'y.org') THEN 'sin_persona_o_noticia' WHEN lower(cargo) IN {_LIST(alignment.LOOSE_TRADES)} OR cargo = lower(cargo) AND NOT contains(cargo, ' ') THEN 'oficio_suelto' WHEN cargo <> 'del norte' THEN 'no_hallado' END AS m FROM said_in_runs WHERE length(cargo) >= 4), "
+    "d AS (SELECT corrida, coalesce(m, CASE WHEN row_number() OVER (PARTITION BY a, m ORDER BY corrida, id) = 1 THEN 'alineado' ELSE 'duplicado' END) AS motivo FROM c) SELECT corrida, motivo, count(*) AS n FROM (SELECT * FROM d UNION ALL SELECT corrida, 'total' FROM d) AS u GROUP BY 1, 2",
+)
+def _(s, t):
+    rows = t("said_in_runs").select("id", "corrida", "url", F.col("a").alias("persona"), F.col("clase_a").alias("clase"), "cargo")
+    census = t("customer").select(F.col("c_custkey").alias("wp_id"), F.concat(F.lit("https://www.x.org/n/"), F.col("c_custkey").cast("string")).alias("link"))
+    return alignment.report_of_runs(alignment.posts_of_runs(rows, census, t("spoken"))[1])

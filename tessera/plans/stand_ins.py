@@ -58,6 +58,13 @@ VIEWS = {
     "UNION ALL SELECT k, 2, 1, tipo, 'distinta', 'persona' FROM chained WHERE k % 9 = 0 UNION ALL SELECT k + 1, -1, 2, tipo, CASE WHEN k % 16 = 0 THEN 'distinta' ELSE 'misma' END, CASE WHEN k % 3 = 0 THEN 'regla' ELSE 'juez' END FROM chained WHERE k % 8 < 2) AS x",
     "chained": "SELECT c_custkey AS k, CASE CAST(floor(c_custkey / 7) % 4 AS INT) WHEN 0 THEN 'persona' WHEN 1 THEN 'organizacion' WHEN 2 THEN 'persona' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'cargo' ELSE 'lugar' END END AS tipo FROM customer",
     "curated": "SELECT CAST(floor(s_suppkey / 3) AS BIGINT) AS grupo, concat('Casa Norte ', CAST(s_suppkey * 7 AS STRING), CASE WHEN s_suppkey % 4 = 0 THEN '.' ELSE '' END) AS nombre FROM supplier",
+    # Articles of two paragraphs, and what two outside runs say to have found in them.
+    "spoken": "SELECT c_custkey AS wp_id, z AS pi, CASE WHEN z = 0 THEN concat('Nota de ', c_mktsegment, ', sin más.') ELSE concat(c_name, ' vio que ', replace(n_name, '_', ' '), ' y ', c_name, ' son hermanos desde el año ', CAST(c_custkey % 100 AS STRING), ' en ', replace(n_name, '_', ' '), ' del norte') END AS parrafo "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (SELECT 0 AS z UNION ALL SELECT 1) AS zs",
+    "said_in_runs": "SELECT c_custkey * 2 + z AS id, CASE WHEN z = 0 THEN 'deep' ELSE 'gemi' END AS corrida, CASE WHEN c_custkey % 13 = 0 THEN 'http://y.org/' ELSE concat('http://x.org/n/', CAST(c_custkey AS STRING)) END AS url, CASE WHEN c_custkey % 5 = 0 THEN 'esto no se dijo en ninguna parte' WHEN c_custkey % 17 <> 0 THEN concat('y ', c_name, ' son hermanos  desde el AÑO ') END AS cita1, "
+    "CASE WHEN c_custkey % 10 = 0 THEN concat(replace(n_name, '_', ' '), ' y ', c_name, ' son') ELSE '' END AS cita2, c_name AS a, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 9 = 0 THEN lower(c_name) WHEN c_custkey % 8 = 0 THEN 'Nadie Nunca' WHEN c_custkey % 3 = 0 THEN concat('Juan ', substr(n_name, 1, 6)) ELSE replace(n_name, '_', '-') END AS b, 'Persona' AS clase_a, CASE WHEN c_custkey % 2 = 0 THEN 'ENTIDAD PRIVADA' ELSE 'raro' END AS clase_b, "
+    "CASE WHEN z = 0 AND c_custkey % 4 = 0 THEN 'PRIMA' ELSE CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'HERMANO' WHEN 1 THEN 'padre ' WHEN 2 THEN 'PRIMO' WHEN 3 THEN 'AMIGO' WHEN 4 THEN 'RARO' ELSE 'hermana' END END AS relacion, CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN 'abogado' WHEN 1 THEN 'Abogado' WHEN 2 THEN 'rey' WHEN 3 THEN 'alcalde' ELSE concat('del ', CASE WHEN c_custkey % 3 = 0 THEN 'sur' ELSE 'norte' END) END AS cargo "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (SELECT 0 AS z UNION ALL SELECT 1) AS zs WHERE z = 1 OR c_custkey % 7 <> 3",
     "alias_cases": "SELECT c_custkey AS clave, 'persona' AS tipo, concat('ana ruiz ', CAST(c_custkey % 40 AS STRING)) AS a, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN concat('ruiz ', CAST(c_custkey % 40 AS STRING)) "
     "WHEN 1 THEN concat('eva mora ', CAST(c_custkey % 30 AS STRING)) ELSE concat('luz ', CAST(c_custkey % 20 AS STRING)) END AS b FROM customer",
 }
