@@ -267,21 +267,50 @@ def training_set(rows: DataFrame, predicates: DataFrame, apart: DataFrame, test:
     return j.select(*columns).unionByName(left_out, allowMissingColumns=True)
 
 
-def gold_sheet(paragraphs: DataFrame, sheet: DataFrame, said: DataFrame, predicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Types whose names mean the same wherever they stand in a paragraph; amounts repeat by chance.
+REPEATABLE = ("persona", "organizacion", "lugar", "obra", "ley", "cargo")
+
+
+def _whole(t: str | None, n: str | None) -> list[int]:
+    return [m.start() for m in re.finditer(rf"(?<!\w){re.escape(n)}(?!\w)", t)] if t and n else []
+
+
+def repeated(paragraphs: DataFrame, marks: DataFrame, least: int = 3) -> DataFrame:
+    """Further places of marked texts in their own paragraph: wp_id, pi, ini, fin, tipo, texto.
+
+    A place is the same spelling as a whole word, overlaps no mark, and takes the type of the text's first mark; of places that
+    overlap one another the text that is marked earlier has it, then the longer one. Amounts and texts under `least` characters are not repeated.
+    """
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series, needles: pd.Series) -> pd.Series:
+        return pd.Series([_whole(t, n) for t, n in zip(texts, needles)])
+
+    first = marks.where(F.col("tipo").isin(*REPEATABLE) & (F.length("texto") >= least)).groupBy(*PLACE, "texto").agg(F.min(F.struct("ini", "fin", "tipo")).alias("m"))
+    taken = marks.groupBy(*PLACE).agg(F.collect_list(F.struct("ini", "fin")).alias("_taken"))
+    at = first.join(paragraphs.select(*PLACE, "parrafo"), PLACE).join(taken, PLACE).withColumn("en", places("parrafo", "texto"))
+    spots = at.select(*PLACE, "texto", "m.tipo", (-F.col("m.ini")).cast("double").alias("score"), "_taken", F.explode("en").alias("ini")).withColumn("fin", F.col("ini") + F.length("texto"))
+    free = spots.where(~F.exists("_taken", lambda k: (k["ini"] < F.col("fin")) & (k["fin"] > F.col("ini"))))
+    return greedy(free, PLACE).select(*PLACE, "ini", "fin", "tipo", "texto")
+
+
+def gold_sheet(paragraphs: DataFrame, sheet: DataFrame, said: DataFrame, predicates: DataFrame, proposed: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A hand-written sheet applied to its articles, each wholly or not at all: (marks, relations, problems).
 
     paragraphs: (wp_id, pi, parrafo); sheet: (wp_id, pi, texto, tipo), a type with a star designates without naming; said:
     (wp_id, pi, a, predicado, b, cuando) between texts. Longer texts are placed first, at every place between word bounds, else
-    at every place, amounts at their first; of equals the earlier wins. Problems: tipo, texto, predicado, extremo, admite, misma.
+    at every place, amounts at their first; of equals the earlier wins. Paragraphs of the same articles that neither sheet nor said
+    has take what was `proposed`: marks (wp_id, pi, ini, fin, texto, tipo), at their further places too (see repeated), and
+    relations as of said, under the same rules. Problems: tipo, texto, predicado, extremo, admite, misma.
     """
     s = sheet.select(*PLACE, "texto", F.rtrim("tipo", F.lit("*")).alias("tipo"), F.col("tipo").endswith("*").alias("designa")).distinct()
+    own = sheet.select(*PLACE).union(said.select(*PLACE)).distinct()
 
     @F.pandas_udf("array<int>")
     def places(texts: pd.Series, needles: pd.Series) -> pd.Series:
         found = []
         for t, n in zip(texts, needles):
-            at = [m.start() for m in re.finditer(rf"(?<!\w){re.escape(n)}(?!\w)", t)] if t and n else []
-            found.append(at or ([m.start() for m in re.finditer(re.escape(n), t)] if t and n else []))
+            found.append(_whole(t, n) or ([m.start() for m in re.finditer(re.escape(n), t)] if t and n else []))
         return pd.Series(found)
 
     w = s.join(paragraphs.select(*PLACE, "parrafo"), PLACE, "left").withColumn("en", places("parrafo", "texto"))
@@ -289,6 +318,11 @@ def gold_sheet(paragraphs: DataFrame, sheet: DataFrame, said: DataFrame, predica
     spots = w.where("mal is null").select(*PLACE, "texto", "tipo", F.explode(F.when(F.col("tipo") == "monto", F.slice("en", 1, 1)).otherwise(F.col("en"))).alias("ini"))
     spots = spots.withColumns({"fin": F.col("ini") + F.length("texto"), "score": F.length("texto").cast("double")})
     marks = greedy(spots, PLACE).drop("score").join(s, [*PLACE, "texto", "tipo"]).groupBy(*PLACE, "ini", "fin", "texto", "tipo").agg(F.max("designa").alias("designa"))
+    if proposed is not None:
+        left = lambda df: df.join(own, PLACE, "left_anti").join(own.select("wp_id").distinct(), "wp_id", "left_semi")
+        kept = left(proposed[0]).select(*PLACE, "ini", "fin", "texto", "tipo").distinct()
+        more = kept.unionByName(repeated(paragraphs, kept)).withColumn("designa", F.lit(False))
+        marks, said = marks.unionByName(more), said.unionByName(left(proposed[1]).select(said.columns))
     first = marks.groupBy(*PLACE, "texto").agg(F.min_by(F.struct("ini", "fin", "tipo"), F.struct("ini", "fin")).alias("m"))
     end = lambda c: first.select(*PLACE, F.col("texto").alias(c), F.col("m").alias(f"m{c}"), F.col("m.tipo").alias(f"tipo_{c}"))
     r = said.withColumn("cuando", F.when(F.col("cuando").isin("vigente", "pasada", "futura"), F.col("cuando")).otherwise("vigente"))

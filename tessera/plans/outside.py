@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import checks
 from tessera.functions import text as T
 from tessera.functions.vocabulary import PREDICATES, SYMMETRIC, TYPES, predicates
-from tessera.operators import alignment, answers, evaluate, identities, resolve, review
+from tessera.operators import alignment, answers, evaluate, identities, resolve, review, training
 from tessera.plans.archive import _fold_sql, query
 from tessera.plans.training import ORACLE_SQL, QUERIES, _LIST, _re
 
@@ -211,3 +211,18 @@ def _(s, t):
     rows = t("said_in_runs").select("id", "corrida", "url", F.col("a").alias("persona"), F.col("clase_a").alias("clase"), "cargo")
     census = t("customer").select(F.col("c_custkey").alias("wp_id"), F.concat(F.lit("https://www.x.org/n/"), F.col("c_custkey").cast("string")).alias("link"))
     return alignment.report_of_runs(alignment.posts_of_runs(rows, census, t("spoken"))[1])
+
+
+# A person and a country marked once, each said twice.
+_ONCE = (
+    "SELECT c_custkey AS wp_id, 1 AS pi, 0 AS ini, CAST(length(c_name) AS INT) AS fin, c_name AS texto, 'persona' AS tipo FROM {customer} UNION ALL "
+    "SELECT c_custkey, 1, CAST(length(c_name) + 9 AS INT), CAST(length(c_name) + 9 + length(n_name) AS INT), replace(n_name, '_', ' '), 'lugar' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0"
+)
+
+
+@query(
+    "repeated_mentions",
+    f"WITH m AS ({_ONCE.format(customer='customer', nation='nation')}) SELECT m.wp_id, m.pi, CAST(fin + strpos(substr(parrafo, fin + 1), texto) - 1 AS INTEGER) AS ini, CAST(fin + strpos(substr(parrafo, fin + 1), texto) - 1 + length(texto) AS INTEGER) AS fin, tipo, texto FROM m JOIN spoken AS s ON s.wp_id = m.wp_id AND s.pi = m.pi",
+)
+def _(s, t):
+    return training.repeated(t("spoken"), s.sql(_ONCE, customer=t("customer"), nation=t("nation")))

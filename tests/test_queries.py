@@ -5,8 +5,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.plans.workbench import ORACLE_SQL, QUERIES
+from tessera.plans import outside, workbench
 
+# One registry; both modules add to it.
+assert outside.QUERIES is workbench.QUERIES
+QUERIES, ORACLE_SQL = outside.QUERIES, outside.ORACLE_SQL
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

@@ -140,6 +140,24 @@ def test_gold_sheet_is_applied_wholly_or_not(spark):
     assert {(x.wp_id, x.problema) for x in problems.collect()} == {(2, k) for k in ("texto", "tipo", "admite", "predicado", "extremo")}
 
 
+def test_paragraphs_that_a_sheet_leaves_out_take_the_proposals(spark):
+    ps = [(1, 0, "Ana dirige Acme"), (1, 1, "Luz y Luz Mar en Acme; Luz, 5 y 5, y Mar"), (1, 2, "Luz"), (2, 0, "Luz y Luz")]
+    p = spark.createDataFrame(ps, "wp_id long, pi int, parrafo string")
+    sheet = spark.createDataFrame([(1, 0, "Ana", "persona")], "wp_id long, pi int, texto string, tipo string")
+    said = "wp_id long, pi int, a string, predicado string, b string, cuando string"
+    props = [(1, 0, 11, 15, "Acme", "organizacion"), (1, 1, 0, 3, "Luz", "persona"), (1, 1, 6, 13, "Luz Mar", "persona"), (1, 1, 17, 21, "Acme", "organizacion"), (1, 1, 28, 29, "5", "monto"), (2, 0, 0, 3, "Luz", "persona")]
+    marked = spark.createDataFrame(props, "wp_id long, pi int, ini int, fin int, texto string, tipo string")
+    ties = [(1, 0, "Ana", "dirige", "Acme", ""), (1, 1, "Luz", "dirige", "Acme", "pasada"), (2, 0, "Luz", "dirige", "Luz", "")]
+    marks, rels, problems = training.gold_sheet(p, sheet, spark.createDataFrame([(1, 2, "Luz", "no hay", "Luz", "")], said).limit(0), predicates(spark), (marked, spark.createDataFrame(ties, said)))
+    # The third Luz is a further place of the first, the second stands in Luz Mar; amounts are not repeated.
+    assert {(m.pi, m.ini, m.fin, m.tipo) for m in marks.collect()} == {(0, 0, 3, "persona"), (1, 0, 3, "persona"), (1, 6, 13, "persona"), (1, 17, 21, "organizacion"), (1, 23, 26, "persona"), (1, 28, 29, "monto")}
+    assert [(r.wp_id, r.pi, r.a, r.b, r.cuando) for r in rels.collect()] == [(1, 1, 0, 17, "pasada")] and problems.count() == 0
+    # A proposed relation that fails stops its article too.
+    bad = spark.createDataFrame([(1, 1, "Luz", "dirige", "Luz Mar", "")], said)
+    marks, rels, problems = training.gold_sheet(p, sheet, bad.limit(0), predicates(spark), (marked, bad))
+    assert marks.count() == rels.count() == 0 and [(x.pi, x.problema) for x in problems.collect()] == [(1, "admite")]
+
+
 def test_held_out(spark):
     rows = [(i, ("a", "b", "r1", "z")[i % 4], ("t1", "t2", "t3")[i % 3]) for i in range(300)]
     c = spark.createDataFrame(rows, "wp_id long, seccion string, tramo string")
