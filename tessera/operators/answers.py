@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.checks import teachable
 from tessera.functions.text import FOLD_FROM, FOLD_TO, located
 from tessera.functions.vocabulary import TYPES
-from tessera.operators.relations import admissible, without_mirrors
+from tessera.operators.relations import without_mirrors
 
 PLACE = ["wp_id", "pi"]
 WHEN = ("vigente", "pasada", "futura")
@@ -95,16 +95,21 @@ def read(answers: DataFrame, predicates: DataFrame, decoy: str | None = "grupo g
     r = r.join(F.broadcast(predicates.select(_plain(F.col("predicado")).alias("_p"), "predicado")), "_p", "left")
     end = lambda s: named.select(*PLACE, F.col("n").alias(f"n{s}"), F.col("m.i").alias(s), F.col("m.tipo").alias(f"tipo_{s}"))
     r = r.join(end("a"), [*PLACE, "na"], "left").join(end("b"), [*PLACE, "nb"], "left")
-    fits = admissible(r.select("predicado", "tipo_a", "tipo_b").distinct(), predicates).withColumn("_fits", F.lit(True))
+    # The vocabulary spelt out by types, so that no relation has to be looked at for it.
+    any_type = F.array(*(F.lit(k) for k in TYPES))
+    spelt = lambda c, to: F.explode(F.when(F.size(c) == 0, any_type).otherwise(F.col(c))).alias(to)
+    fits = predicates.select("predicado", spelt("desde", "tipo_a"), "hasta").select("predicado", "tipo_a", spelt("hasta", "tipo_b"), F.lit(True).alias("_fits"))
     r = r.join(F.broadcast(fits), ["predicado", "tipo_a", "tipo_b"], "left")
     formed = (F.col("na") != "") & (F.col("nb") != "") & (F.col("na") != F.col("nb"))
     lure = F.lit(False) if decoy is None else (F.col("tipo_a") == decoy) | (F.col("tipo_b") == decoy)
     lost = F.when(F.col("predicado").isNull(), "rel_predicado_desconocido").when(~formed, "rel_mal_formada").when(F.col("a").isNull() | F.col("b").isNull(), "rel_extremo_no_marcado")
     r = r.withColumn("motivo", lost.when(lure, "rel_con_senuelo").when(F.col("_fits").isNull(), "rel_tipos_no_admitidos"))
     kept = without_mirrors(r.where("motivo is null").withColumn("score", F.lit(1.0)), PLACE, "orden")
-    both = kept.where(F.col("predicado").isin(*parents)).groupBy(*PLACE, "a", "b").agg(F.count_distinct("predicado").alias("k")).where("k = 2").select(*PLACE, "a", "b", F.lit(True).alias("_clash"))
-    kept = kept.join(both, [*PLACE, "a", "b"], "left")
-    clash = F.col("_clash").isNotNull() & F.col("predicado").isin(*parents)
+    # The predicates between two entities of a paragraph are few.
+    kin = F.collect_set(F.when(F.col("predicado").isin(*parents), F.col("predicado"))).over(Window.partitionBy(*PLACE, "a", "b"))
+    kept = kept.withColumn("_kin", F.size(kin))
+    clash = (F.col("_kin") == 2) & F.col("predicado").isin(*parents)
+    both = kept.where(clash).select(*PLACE, "a", "b").distinct()
     ties = kept.where(~clash).select(*PLACE, "orden", "a", "b", "predicado", F.when(F.col("cuando").isin(*WHEN), F.col("cuando")).otherwise(WHEN[0]).alias("cuando"))
 
     hints = good.select(*PLACE, F.explode(_items(v, "pistas_rechazadas")).alias("y")).select(*PLACE, "y.orden", F.to_json(x).alias("pista"))
