@@ -35,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (5-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays, once.
 
+    Pairs are proposed by SimHash ball hashing, as in op2, and by MinHash bands where fingerprints differ in more than two bits.
     Null and empty texts are one component; null doc_ids come last; of repeated rows one stays; an empty table gives no rows.
     """
     return minhash.keep_one(docs)

@@ -1,4 +1,4 @@
-"""Near duplicates by MinHash bands, every candidate verified by the exact Jaccard similarity of its shingles."""
+"""Near duplicates by SimHash balls and MinHash bands, every candidate verified by the exact Jaccard similarity of its shingles."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.base import DOC, connected_components, drop_scratch, keep_rows, keyed, materialize, twins
 
 #: Two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8.
@@ -46,12 +47,12 @@ def bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def _signature(text: str, n: int):
-    @F.pandas_udf("node long, n int, bands array<long>, bits array<long>")
+    @F.pandas_udf("node long, n int, fp long, bands array<long>, bits array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         # One set at a time: those of a whole batch would add to an executor's memory.
-        rows = [(xxhash.xxh64_intdigest(h.tobytes(), 1), len(h), bands(h), bitmap(h)) for h in (shingles(t, n) for t in texts)]
+        rows = [(xxhash.xxh64_intdigest(h.tobytes(), 1), len(h), bands(h), bitmap(h), simhash.majority(h)) for h in (shingles(t, n) for t in texts)]
         node = np.array([x[0] for x in rows], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": node, "n": np.array([x[1] for x in rows], np.int32), "bands": [x[2] for x in rows], "bits": [x[3] for x in rows]})
+        return pd.DataFrame({"node": node, "n": np.array([x[1] for x in rows], np.int32), "fp": np.array([x[4] for x in rows], np.int64), "bands": [x[2] for x in rows], "bits": [x[3] for x in rows]})
 
     return of(F.col(text))
 
@@ -74,17 +75,30 @@ def _possible(threshold: float):
     return near & (F.col("n") - lacks >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6)
 
 
+def _members(prints: DataFrame) -> DataFrame:
+    """(band, node, n, bits) of the nodes that are to be compared: nodes that share a SimHash ball or a MinHash band.
+
+    A ball is a fingerprint or a variant of several (see simhash.balls): nodes whose fingerprints differ in two bits at most are
+    in one. Sets at 0.8 mostly differ in more, and those meet in bands.
+    """
+    nodes = prints.dropDuplicates(["node"]).select("node", "n", "bits", "fp", "bands")
+    banded = nodes.select("node", "n", "bits", F.explode("bands").alias("band"))
+    near = simhash.balls(nodes.select("fp").distinct()).select(F.xxhash64(F.lit(2), "members").alias("band"), F.explode("members").alias("fp"))
+    balls = nodes.join(near, "fp").select("node", "n", "bits", "band").union(nodes.select("node", "n", "bits", F.xxhash64(F.lit(1), "fp")))
+    every = banded.union(balls)
+    shared = every.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    return materialize(every.join(shared, "band").select("band", "node", "n", "bits"))
+
+
 def _components(docs: DataFrame, prints: DataFrame, threshold: float, n: int) -> DataFrame:
     """(node, root) of every node that is linked: nodes are distinct shingle sets, linked at `threshold` or more.
 
-    A band's members are compared with one of them first, which links large groups in a step for each member. While many
+    Balls are treated like bands. A band's members are compared with one of them first, which links large groups in a step for each member. While many
     members are outside a band's largest component, they are compared with another member of it. Then every pair of a band in
     different components is compared: one end of it is outside the band's largest component, so the work is members times
     outsiders. Bitmaps tell most pairs under the threshold apart before sets are fetched. No pair is left out.
     """
-    banded = prints.dropDuplicates(["node"]).select("node", "n", "bits", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
-    members = materialize(banded.join(shared, "band"))
+    members = _members(prints)
     rows = members.count()
     of = prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*DOC)).alias("d")).select("node", "d.*")
     sets = materialize(docs.join(of, DOC).select("node", _set("text", n).alias("x")).dropDuplicates(["node"]))
@@ -145,8 +159,8 @@ def _components(docs: DataFrame, prints: DataFrame, threshold: float, n: int) ->
 def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs, all columns, with one document of each component of near duplicates: the one of smallest key.
 
-    Documents link if the Jaccard similarity of their sets of `shingle` words is `threshold` or more. Bands only propose pairs
-    (see BANDS for how surely), so no pair under the threshold links. Texts without words (null, empty) have equal sets. Null keys
+    Documents link if the Jaccard similarity of their sets of `shingle` words is `threshold` or more. Balls of SimHash
+    fingerprints and bands only propose pairs (see BANDS for how surely), so no pair under the threshold links. Texts without words (null, empty) have equal sets. Null keys
     come last; of rows with that key the one of smallest text hash stays, and of rows that agree in key and text one. An empty
     table gives no rows; columns of any other name pass through.
     """

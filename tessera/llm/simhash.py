@@ -25,11 +25,15 @@ def simhash64(text: str | None, shingle: int) -> int:
         grams, n = [b" ".join(words)], 1
     else:
         grams, n = map(b" ".join, zip(*(words[i:] for i in range(shingle)))), len(words) - shingle + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 4096):
+    for i in range(0, len(h), 4096):
         ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: str = "text", shingle: int = 3):
@@ -46,14 +50,12 @@ def ball_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that connect all pairs at `radius` or fewer differing bits.
+def balls(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
+    """Arrays `members` of distinct fingerprints (column fp) that share a variant: any two within the radius are together in one.
 
     Every fingerprint emits all its variants within half the radius (65 of them at radius 2); two fingerprints within an
     even radius share a variant. Variants are shuffled and their members gathered; each variant can have only as many
     members as the ball has points, since fingerprints are distinct, so no group is large whatever the data hold.
-    Members of a variant are linked to its smallest one: any two are within the radius, as the distance check confirms,
-    and the links between the others follow from theirs.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -69,13 +71,21 @@ def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
         v = v.repartition("variant").groupBy("variant").agg(
             F.expr("bit_or(case when i < 0 then 0L else shiftleft(1L, i) end)").alias("mask"), F.max(F.col("i") < 0).alias("own")
         )
-        v = v.where("bit_count(mask) + int(own) > 1").select(
+        return v.where("bit_count(mask) + int(own) > 1").select(
             F.expr("concat(if(own, array(variant), array()), transform(filter(sequence(0, 63), i -> (shiftrightunsigned(mask, i) & 1) = 1), i -> variant ^ shiftleft(1L, i)))").alias("members")
         )
-    else:
-        ball = F.array(*[F.lit(m) for m in masks])
-        v = fingerprints.select("fp", F.explode(ball).alias("mask")).select("fp", F.expr("fp ^ mask").alias("variant"))
-        v = v.groupBy("variant").agg(F.collect_list("fp").alias("members")).where("size(members) > 1")
+    ball = F.array(*[F.lit(m) for m in masks])
+    v = fingerprints.select("fp", F.explode(ball).alias("mask")).select("fp", F.expr("fp ^ mask").alias("variant"))
+    return v.groupBy("variant").agg(F.collect_list("fp").alias("members")).where("size(members) > 1").select("members")
+
+
+def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp) that connect all pairs at `radius` or fewer differing bits.
+
+    Members of a variant (see balls) are linked to its smallest one: any two are within the radius, as the distance check
+    confirms, and the links between the others follow from theirs.
+    """
+    v = balls(fingerprints, radius)
     pairs = v.select(F.array_min("members").alias("v"), F.explode("members").alias("u")).where("u != v").distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 

@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import minhash
+from tessera.llm.base import DOC, keyed, materialize
 from tests.llm.test_simhash import components
 
 
@@ -51,3 +54,15 @@ def test_stage_finds_near_copies_over_two_bits_apart(spark):
     copy = [*w[:50], "x", *w[51:150], "y", *w[151:]]
     docs = spark.createDataFrame([(1, " ".join(w), "en", "s", 1), (2, " ".join(copy), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [x.doc_id for x in corpus_pipeline.simhash_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_simhash_balls_propose_pairs_that_no_band_shares(spark):
+    w = [f"w{i}" for i in range(3000)]
+    docs = [(1, " ".join(w)), (2, " ".join([*w[:1500], "x", *w[1501:]])), (3, " ".join(w[::-1]))]
+    source = keyed(spark.createDataFrame(docs, "doc_id long, text string"), "text", "doc_id")
+    prints = source.select(F.col("key").alias("id"), *DOC, minhash._signature("text", 5).alias("s")).select("id", *DOC, "s.*")
+    alone = prints.withColumn("bands", F.array(F.xxhash64("id")))
+    fps = {r.id: r.fp for r in prints.collect()}
+    assert ((fps[1] ^ fps[2]) & (1 << 64) - 1).bit_count() <= 2 < ((fps[1] ^ fps[3]) & (1 << 64) - 1).bit_count()
+    roots = minhash._components(source, materialize(alone), 0.8, 5)
+    assert {r.id for r in alone.join(roots, "node").collect()} == {1, 2}
