@@ -39,49 +39,62 @@ class Block:
     """Base vectors of one block with one sorted array of projections for each random direction."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float, s: Settings):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.s, self.norm = ids[order], x[order], s, norm
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.x, self.s, self.norm = ids[by_id], x[by_id], s, norm
         d = x.shape[1]
         # Largest inner product as nearest point: one more coordinate lifts all vectors onto a sphere of the largest norm.
         lift = np.sqrt(np.maximum(norm**2 - (self.x**2).sum(axis=1), 0))
         self.directions = np.random.default_rng(s.seed).normal(size=(s.projections, d + 1)) / np.sqrt(d + 1)
         p = (self.x @ self.directions[:, :d].T + lift[:, None] * self.directions[:, d]).T
-        self.order = np.argsort(p, axis=1, kind="stable")
-        values = np.take_along_axis(p, self.order, axis=1)
-        self.order = self.order.ravel()
+        order = np.argsort(p, axis=1, kind="stable")
+        values = np.take_along_axis(p, order, axis=1)
         self.scale = p.std(axis=1).mean() or 1.0
         self.reach = 2 * float(np.abs(values).max()) + 4 * norm
         # All arrays in one, far enough apart that a single binary search finds its place in each of them.
         self.apart = np.arange(s.projections) * (2 * self.reach + 1)
         self.values = (values + self.apart[:, None]).ravel()
         self.first = np.arange(s.projections) * len(ids)
+        # Each row's place in each sorted array, in the narrowest type: unsigned, so that places under a window wrap around.
+        self.place = np.empty(order.shape, np.min_scalar_type(len(ids)))
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
+        self.inside, self.hits = np.empty_like(self.place), np.empty(order.shape, bool)
+        self.counts = np.min_scalar_type(s.projections)
+        self.round = 0
+
+    def _collisions(self, at: np.ndarray, half: float) -> np.ndarray:
+        """How many of the windows of this half width each row is in: a window is a stretch of places in a sorted array."""
+        n = len(self.ids)
+        a = np.zeros(len(at), np.int64) if half > self.reach else np.clip(np.searchsorted(self.values, at - half) - self.first, 0, n)
+        b = np.full(len(at), n) if half > self.reach else np.clip(np.searchsorted(self.values, at + half, side="right") - self.first, a, n)
+        np.subtract(self.place, a[:, None].astype(self.place.dtype), out=self.inside)
+        np.less(self.inside, (b - a)[:, None].astype(self.place.dtype), out=self.hits)
+        return self.hits.view(np.uint8).sum(axis=0, dtype=self.counts)
 
     def candidates(self, q: np.ndarray, k: int) -> np.ndarray:
         """Rows that collide with the query often enough, after widening the windows around it until they are enough.
 
-        A window is a stretch of a sorted array. Each round counts only the rows that its wider windows take in at their two
-        ends, so over all rounds a row counts once for each array. When the windows hold all, every row collides.
+        Virtual rehashing: the same arrays serve for every wider window, and counts only grow with the windows. The first
+        round with enough rows is looked for from the last query's, up or down. When the windows hold all, every row collides.
         """
         s, n = self.s, len(self.ids)
         wanted = min(n, int(s.verified * n) + s.spare * k)
         at = self.directions[:, :-1] @ (q * (self.norm / np.linalg.norm(q))) + self.apart
-        last = self.first + n
-        low = high = np.clip(np.searchsorted(self.values, at), self.first, last)
-        count, half = np.zeros(n, np.int64), s.width * self.scale
-        while True:
-            if half > self.reach:
-                a, b = self.first, last
-            else:
-                a = np.clip(np.searchsorted(self.values, at - half), self.first, low)
-                b = np.clip(np.searchsorted(self.values, at + half, side="right"), high, last)
-            new = [self.order[i:j] for i, j in zip(a.tolist(), low.tolist()) if i < j] + [self.order[i:j] for i, j in zip(high.tolist(), b.tolist()) if i < j]
-            if new:
-                count += np.bincount(np.concatenate(new), minlength=n)
-            if np.count_nonzero(count >= s.collisions) >= wanted or half > self.reach:
-                # The last round may take in many rows at once: the threshold rises as long as enough of them exceed it.
-                return np.flatnonzero(count >= max(s.collisions, np.partition(count, n - wanted)[n - wanted]))
-            # Virtual rehashing: the same arrays serve for every wider window.
-            low, high, half = a, b, half * s.widen
+        halves = [s.width * self.scale]
+        while halves[-1] <= self.reach:
+            halves.append(halves[-1] * s.widen)
+        enough = lambda c: np.count_nonzero(c >= s.collisions) >= wanted
+        r = min(self.round, len(halves) - 1)
+        count = self._collisions(at, halves[r])
+        if enough(count):
+            while r and enough(fewer := self._collisions(at, halves[r - 1])):
+                r, count = r - 1, fewer
+        else:
+            while r < len(halves) - 1 and not enough(count):
+                r += 1
+                count = self._collisions(at, halves[r])
+        self.round = r
+        # The last round may take in many rows at once: the threshold rises as long as enough of them exceed it.
+        return np.flatnonzero(count >= max(s.collisions, np.partition(count, n - wanted)[n - wanted]))
 
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.candidates(q, k + 1)

@@ -95,3 +95,23 @@ def test_results_depend_on_settings_alone(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     once = lambda d: sorted(tuple(r) for r in nearest(d, d.where("vec_id % 20 = 0"), 5, Settings(block_rows=200)).collect())
     assert once(df.repartition(3)) == once(df.orderBy("vec_id", ascending=False).coalesce(1))
+
+
+def test_few_passes_find_the_rows_of_round_after_round(monkeypatch):
+    """Candidates are those of widening from the first window on, in about two passes over a block for each query."""
+    from tessera.llm.ann import Block
+
+    r, s, passes = np.random.default_rng(5), Settings(), []
+    x = r.normal(size=(700, 24)) + 2 * r.normal(size=(9, 24))[r.integers(0, 9, 700)]
+    block, once = Block(np.arange(700), x, float(np.linalg.norm(x, axis=1).max()), s), Block._collisions
+    monkeypatch.setattr(Block, "_collisions", lambda *a: passes.append(1) or once(*a))
+    lift = np.sqrt(np.maximum(block.norm**2 - (x**2).sum(axis=1), 0))
+    p = x @ block.directions[:, :-1].T + lift[:, None] * block.directions[:, -1]
+    wanted = int(s.verified * 700) + s.spare * 20
+    for i in range(0, 700, 7):
+        away, half = np.abs(p - block.directions[:, :-1] @ (x[i] * block.norm / np.linalg.norm(x[i]))), s.width * block.scale
+        while np.count_nonzero((away <= half).sum(axis=1) >= s.collisions) < wanted:
+            half *= s.widen
+        count = (away <= half).sum(axis=1)
+        assert block.candidates(x[i], 20).tolist() == np.flatnonzero(count >= max(s.collisions, np.sort(count)[-wanted])).tolist()
+    assert len(passes) <= 3 * 100
