@@ -24,3 +24,10 @@ def test_pending_articles(spark):
     pending = QUERIES["pending_articles"](spark, DATA).count()
     asked = load(spark, DATA, "batch").where("calibra").count()
     assert asked / 2 < pending < asked
+
+
+def test_graph_nodes_count_visible_proposals_of_unreviewed_articles(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert load(spark, DATA, "suggested").count() > 0.99 * lines
+    mentions = QUERIES["graph_nodes"](spark, DATA).agg(F.sum("menciones")).first()[0]
+    assert load(spark, DATA, "reviewed").count() * 1.1 < mentions < 2 * lines
