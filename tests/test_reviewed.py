@@ -31,3 +31,8 @@ def test_graph_nodes_count_visible_proposals_of_unreviewed_articles(spark):
     assert load(spark, DATA, "suggested").count() > 0.99 * lines
     mentions = QUERIES["graph_nodes"](spark, DATA).agg(F.sum("menciones")).first()[0]
     assert load(spark, DATA, "reviewed").count() * 1.1 < mentions < 2 * lines
+
+
+def test_gold_over_silver_has_both(spark):
+    rows = {r.fuente: r["count"] for r in QUERIES["gold_over_silver"](spark, DATA).groupBy("fuente").count().collect()}
+    assert rows["plata"] > rows["oro"] > 0
