@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import passages
 from tessera.llm.base import DOC, drop_scratch, keyed, materialize
 
 #: Bytes that choose the anchors, and how many bytes of a text are looked at in one go.
@@ -154,18 +155,22 @@ def repeated_windows(texts: list[bytes], counts: np.ndarray, size: int) -> np.nd
     return np.sort(sa[hit])
 
 
-def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
+def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id", words: int = 51) -> DataFrame:
     """Byte stretches of documents that are covered by strings of `size` bytes which also start elsewhere.
 
-    One row per document that has any: _k1, _k2 (see keyed), p and n (arrays of starts and lengths, in no order).
+    One row per document that has any, or that shares `words` words in a row with another one: _k1, _k2 (see keyed), p and n
+    (arrays of starts and lengths, in no order), shares (true for the latter, else null).
 
     1. Texts are cut into runs of windows by content-defined anchors, about one for 190 bytes.
     2. Runs are counted by their bytes: equal runs repeat as a whole, and one of each goes on. Anchors with a single text are done.
     3. The rest are dealt by anchor to shards of bounded size; a suffix array and its common prefixes find repeated windows
        in each. A shard holds all texts around an anchor, unless those are very many: they are merged by binary search instead
        (see merged).
+
+    Shared words are found from runs of word windows (see passages); the few that need it are cut from the texts along with 3.
     """
     docs = keyed(docs, text, key)
+    settled, open_runs = passages.candidates(docs, words)
     all_runs = materialize(runs(docs, size))
     place = F.struct(*DOC, "p")
     contents = materialize(all_runs.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.min(place).alias("at"), F.min("n").alias("n"), F.min("o").alias("o")))
@@ -175,7 +180,11 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
     total = left.agg(F.sum(F.col("n") + (size - 1)).alias("b")).first()["b"] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     left = left.withColumn("many", F.col("g") > MOST_TOGETHER).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    wanted = left.groupBy(*DOC).agg(F.collect_list(F.struct("p", "n", "o", "h", "once", "many", "shard")).alias("w"))
+    parts = ["p", "n", "o", "h", "once", "many", "shard"]
+    none = {"o": F.lit(None).cast("long"), "once": F.lit(None).cast("boolean"), "many": F.lit(None).cast("boolean"), "shard": F.lit(None).cast("long")}
+    by_word = open_runs.withColumns({"n": F.col("len") - (size - 1), "word": F.lit(True)} | none)
+    left = left.withColumn("word", F.lit(False)).unionByName(by_word.drop("len"), allowMissingColumns=True)
+    wanted = left.groupBy(*DOC).agg(F.collect_list(F.struct(*parts, "word")).alias("w"))
 
     @F.pandas_udf("array<binary>")
     def slices(texts: pd.Series, w: pd.Series) -> pd.Series:
@@ -185,7 +194,7 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
     one = docs.join(wanted, DOC).dropDuplicates(DOC)
     cut = one.select(*DOC, "w", slices("text", "w").alias("raw"))
     cut = materialize(cut.select(*DOC, F.explode(F.arrays_zip("w", "raw")).alias("x")).select(*DOC, "x.w.*", "x.raw"))
-    many = cut.where("many")
+    many, of_bytes = cut.where("many").drop("word"), cut.where("not word").drop("word")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "_k1", "_k2", "p"]).reset_index(drop=True)
@@ -203,9 +212,11 @@ def duplicate_spans(docs: DataFrame, size: int = 400, text: str = "text", key: s
         f = frame.iloc[o[first]]
         return pd.DataFrame({"_k1": f["_k1"].to_numpy(), "_k2": f["_k2"].to_numpy(), "p": f["p"].to_numpy() + r[first], "len": count - 1 + size}).astype("int64")
 
-    found = cut.where("not many").groupBy("shard").applyInPandas(search, "_k1 long, _k2 long, p long, len long")
-    spans = materialize(whole.union(found).union(merged(many, size)).groupBy(*DOC).agg(F.collect_list("p").alias("p"), F.collect_list("len").alias("n")))
-    for t in (all_runs, contents, cut):
+    found = of_bytes.where("not many").groupBy("shard").applyInPandas(search, "_k1 long, _k2 long, p long, len long")
+    shares = settled.union(passages.sharing(cut.where("word"), words)).withColumn("shares", F.lit(True))
+    spans = whole.union(found).union(merged(many, size)).unionByName(shares, allowMissingColumns=True)
+    spans = materialize(spans.groupBy(*DOC).agg(F.collect_list("p").alias("p"), F.collect_list("len").alias("n"), F.max("shares").alias("shares")))
+    for t in (all_runs, contents, cut, settled, open_runs):
         drop_scratch(t)
     return spans
 
@@ -252,15 +263,16 @@ def merged(many: DataFrame, size: int) -> DataFrame:
     return found
 
 
-def remove_duplicates(docs: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_duplicates(docs: DataFrame, size: int = 400, text: str = "text", key: str = "doc_id", words: int = 51) -> DataFrame:
     """Every document without the bytes covered by a `size`-byte string that also starts anywhere else.
 
     All copies go, the first one too; matches never cross documents, overlaps within one count, and strings are judged on
-    the input. Returns one row per input row: key, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary, the remaining
-    bytes; a cut may fall inside a character). A null text counts as empty; repeated rows are copies of each other; other
+    the input. Returns one row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, the remaining
+    bytes; a cut may fall inside a character) and shares_passage (1 if `words` words in a row, whatever blanks or line ends are
+    between them, also stand in another document, else 0; these may be shorter than `size` bytes and stay then). A null text counts as empty; repeated rows are copies of each other; other
     columns are ignored; an empty table gives no rows.
     """
-    spans = duplicate_spans(docs, size, text, key)
+    spans = duplicate_spans(docs, size, text, key, words)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def keep(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
@@ -282,4 +294,5 @@ def remove_duplicates(docs: DataFrame, size: int = 400, text: str = "text", key:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = keyed(docs, text, key).join(spans, DOC, "left")
-    return joined.select("key", keep("text", "p", "n").alias("x")).select(F.col("key").alias(key), "x.*")
+    shares = F.coalesce("shares", F.lit(False)).cast("int").alias("shares_passage")
+    return joined.select("key", keep("text", "p", "n").alias("x"), shares).select(F.col("key").alias(key), "x.*", "shares_passage")
