@@ -26,7 +26,8 @@ def occurrences(paragraphs: DataFrame, words: DataFrame, least: int = 2, key: st
     """Whole-word places of texts in paragraphs, accents and case aside, none inside another of the same text.
 
     words: (texto, tipo), met on their first word: paragraphs send each distinct word once, so no pair of a paragraph and a
-    text that cannot be in it is made.
+    text that cannot be in it is made. Each of those words takes its paragraph along, so few words should come marked with
+    F.broadcast: then words are met where paragraphs are read, and no text is shuffled.
     """
     first = lambda c: F.regexp_extract(F.translate(F.lower(c), UI_FROM, UI_TO), r"([\p{L}\p{N}]+)", 1)
     w = words.where(F.length("texto") >= least).select("texto", "tipo", first(F.col("texto")).alias("_w")).where("_w <> ''")
@@ -45,7 +46,10 @@ def occurrences(paragraphs: DataFrame, words: DataFrame, least: int = 2, key: st
 
 
 def apply_lexicon(paragraphs: DataFrame, lexicon: DataFrame, least: int = 3, key: str = "wp_id") -> DataFrame:
-    """Marks virgin paragraphs with known texts, longest first; ambiguous and short texts and amounts are left out."""
+    """Marks virgin paragraphs with known texts, longest first; ambiguous and short texts and amounts are left out.
+
+    A small lexicon should come marked with F.broadcast (see occurrences).
+    """
     words = lexicon.where((~F.col("ambiguo")) & (F.col("tipo") != "monto"))
     found = occurrences(paragraphs, words, least, key)
     return greedy(found.withColumn("score", (F.col("fin") - F.col("ini")).cast("double")), [key, "pi"]).drop("score")
