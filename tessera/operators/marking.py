@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tessera.operators.spans import greedy
 
 _FOLD = str.maketrans(UI_FROM + UI_FROM.upper(), UI_TO + UI_TO)
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
+#: Characters after which tokens found so far leave a Python worker.
+PIECE = 1 << 18
 
 
 def _plain(s: str) -> str:
@@ -87,14 +90,34 @@ def chunks(paragraph: Column, most: int = 1200) -> Column:
     )
 
 
-def tokens(text: Column) -> Column:
-    """Tokens with their places: words (with inner hyphens) and single signs."""
+def _tokenized(texts: list[str]) -> pa.Array:
+    words, ini, fin, ends = [], [], [], [0]
+    for t in texts:
+        for m in TOKEN.finditer(t):
+            words.append(m[0])
+            ini.append(m.start())
+            fin.append(m.end())
+        ends.append(len(words))
+    parts = pa.array(words, pa.string()), pa.array(ini, pa.int32()), pa.array(fin, pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["tok", "ini", "fin"]))
+
 
-    @F.pandas_udf("array<struct<tok:string,ini:int,fin:int>>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"tok": m[0], "ini": m.start(), "fin": m.end()} for m in TOKEN.finditer(t or "")] for t in texts])
+def token_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The tokens of each text in batches of texts, in pieces of a batch: tokens take many times the room of their texts."""
+    for batch in batches:
+        piece, size = [], 0
+        for t in batch.to_pylist():
+            piece.append(t or "")
+            size += len(piece[-1])
+            if size >= PIECE:
+                yield _tokenized(piece)
+                piece, size = [], 0
+        yield _tokenized(piece)
 
-    return of(text)
+
+def tokens(text: Column) -> Column:
+    """Tokens with their places: words (with inner hyphens) and single signs. Null texts have none."""
+    return F.arrow_udf(token_pieces, "array<struct<tok:string,ini:int,fin:int>>")(text)
 
 
 def proper_nouns(text: Column) -> Column:
