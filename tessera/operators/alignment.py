@@ -18,9 +18,15 @@ LEAST_CHARS, EDGE_WORDS = 20, 12
 
 
 def by_url(rows: DataFrame, census: DataFrame) -> DataFrame:
-    """Rows with the article of the same address, whatever its scheme, www or closing slash; null without one."""
-    c = census.groupBy(url_key(F.col("link")).alias("_u")).agg(F.min("wp_id").alias("wp_id"))
-    return rows.withColumn("_u", url_key(F.col("url"))).join(c, "_u", "left").drop("_u")
+    """Rows with the article of the same address, whatever its scheme, www or closing slash; null without one.
+
+    Articles whose addresses differ in that alone are different ones: an address written just like the row's comes first, and of
+    several the smallest wp_id. The spellings of an address are few.
+    """
+    spelt = census.where("link is not null").groupBy(url_key(F.col("link")).alias("_u"), "link").agg(F.min("wp_id").alias("wp_id"))
+    c = spelt.groupBy("_u").agg(F.min("wp_id").alias("_any"), F.map_from_entries(F.collect_list(F.struct("link", "wp_id"))).alias("_by"))
+    j = rows.withColumn("_u", url_key(F.col("url"))).join(c, "_u", "left")
+    return j.withColumn("wp_id", F.coalesce(F.try_element_at("_by", F.col("url")), F.col("_any"))).drop("_u", "_any", "_by")
 
 
 def fragments(quotes: DataFrame) -> DataFrame:
