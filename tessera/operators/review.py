@@ -33,9 +33,13 @@ def with_body_unextracted(batch: DataFrame, bodies: DataFrame, proposals: DataFr
     return batch.join(body, "wp_id", "left_semi").join(proposals.select("wp_id"), "wp_id", "left_anti")
 
 
-def without_body(wanted: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Requested ids without a body, in the order asked for."""
-    return wanted.join(bodies.where("texto is not null and trim(texto) <> ''").select("wp_id"), "wp_id", "left_anti").orderBy("orden")
+def without_body(wanted: DataFrame, bodies: DataFrame, blank: bool = True) -> DataFrame:
+    """Requested ids without a body, in the order asked for (ties by id).
+
+    With `blank` a null or blank text is no body; else an article that has a row at all is taken for downloaded.
+    """
+    there = bodies.where("texto is not null and trim(texto) <> ''") if blank else bodies
+    return wanted.join(there.select("wp_id"), "wp_id", "left_anti").orderBy("orden", "wp_id")
 
 
 def doubtful_times(times: DataFrame, census: DataFrame, least: float = 20, most: float = 1800) -> DataFrame:
