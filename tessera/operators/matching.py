@@ -29,17 +29,21 @@ def matched(entities: DataFrame, gold: DataFrame, best_first: bool = False) -> D
     mine = entities.where(F.col("tipo") != DECOY).groupBy(*PARAGRAPH).agg(F.array_sort(F.collect_list(F.struct(*order, "ini", "fin", "tipo"))).alias("p"))
     theirs = gold.where(F.col("tipo") != DECOY).groupBy(*PARAGRAPH).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("g"), "ini", "fin", "tipo"))).alias("y"))
 
+    kinds = dict(entities.dtypes)["i"], dict(gold.dtypes)["i"]
+    return mine.join(theirs, PARAGRAPH).select(*PARAGRAPH, F.explode(_hits("p", "y", *kinds)).alias("h")).select(*PARAGRAPH, "h.i", "h.g")
+
+
+def _hits(mine: str, theirs: str, i: str = "bigint", g: str = "bigint") -> Column:
+    """Array of (i, g): entities of a list, in its order, with the first free ones of the other list."""
+
     def choose(state: Column, p: Column) -> Column:
         fits = F.filter(state["free"], lambda y: (y["tipo"] == p["tipo"]) & (y["ini"] <= p["fin"]) & (p["ini"] <= y["fin"]))
         taken = F.get(fits, F.lit(0))["g"]
         hit = F.struct(F.filter(state["free"], lambda y: y["g"] != taken).alias("free"), F.concat(state["hits"], F.array(F.struct(p["i"].alias("i"), taken.alias("g")))).alias("hits"))
         return F.when(F.size(fits) > 0, hit).otherwise(state)
 
-    kinds = dict(entities.dtypes)["i"], dict(gold.dtypes)["i"]
-    none = F.array().cast(f"array<struct<i:{kinds[0]},g:{kinds[1]}>>")
-    both = mine.join(theirs, PARAGRAPH)
-    state = F.aggregate("p", F.struct(F.col("y").alias("free"), none.alias("hits")), choose)
-    return both.select(*PARAGRAPH, F.explode(state["hits"]).alias("h")).select(*PARAGRAPH, "h.i", "h.g")
+    none = F.array().cast(f"array<struct<i:{i},g:{g}>>")
+    return F.aggregate(mine, F.struct(F.col(theirs).alias("free"), none.alias("hits")), choose)["hits"]
 
 
 def _ratios(n: DataFrame) -> DataFrame:
@@ -124,14 +128,42 @@ def ceiling(silver: DataFrame, silver_relations: DataFrame, gold: DataFrame, gol
     What learns from the annotator will hardly be better. Relations count once on either side; predicates with fewer than
     `least` relations in all are only part of the total (`*`).
     """
-    common = gold.select(*PARAGRAPH).distinct().intersect(silver.select(*PARAGRAPH).distinct())
-    here = lambda df: df.join(common, PARAGRAPH, "left_semi")
-    ours = _gold_keys(silver, here(silver_relations), symmetric).select(*PARAGRAPH, F.col("x").alias("a"), F.col("y").alias("b"), "predicado")
-    columns = ["vp", "fp", "fn", "p", "r", "f1", "oro"]
-    ents = entity_report(here(silver), here(gold)).select(F.lit("tipo").alias("nivel"), F.col("tipo").alias("clase"), *columns)
-    rels = relation_report(here(silver), ours, here(gold), here(gold_relations), symmetric, once=True)
-    rels = rels.where((F.col("predicado") == "*") | (F.col("vp") + F.col("fp") + F.col("fn") >= least))
-    return ents.union(rels.select(F.lit("predicado"), F.col("predicado"), *columns))
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    ents = lambda df, k: df.select(*PARAGRAPH, F.lit(k).alias("k"), long("i", "u"), long("ini", "v"), long("fin", "w"), F.col("tipo").alias("c"))
+    ties = lambda df, k: df.select(*PARAGRAPH, F.lit(k), long("a", "u"), long("b", "v"), F.lit(None).cast("long"), "predicado")
+    rows = ents(silver, 0).union(ties(silver_relations, 1)).union(ents(gold, 2)).union(ties(gold_relations, 3))
+    # All that is said of a paragraph meets once, as four lists.
+    fields = lambda *names: F.struct(*(F.col(c).alias(n) for c, n in zip("uvwc", names)))
+    tie = F.struct(F.col("u").alias("a"), F.col("v").alias("b"), F.col("c").alias("predicado"))
+    parts = {"s": fields("i", "ini", "fin", "tipo"), "r": tie, "y": fields("g", "ini", "fin", "tipo"), "q": tie}
+    lists = rows.where("wp_id is not null and pi is not null").groupBy(*PARAGRAPH).agg(*(F.collect_list(F.when(F.col("k") == k, x)).alias(n) for k, (n, x) in enumerate(parts.items())))
+    real = lambda c: F.array_sort(F.filter(c, lambda e: e["tipo"] != DECOY)).alias(c)
+    p = lists.where((F.size("s") > 0) & (F.size("y") > 0)).select(real("s"), "r", real("y"), "q")
+
+    def key(a: Column, b: Column, predicate: Column) -> Column:
+        turn = predicate.isin(*symmetric) & (a > b)
+        return F.struct(F.when(turn, b).otherwise(a).alias("x"), F.when(turn, a).otherwise(b).alias("y"), predicate.alias("predicado"))
+
+    def keys(said: str, ends: str, i: str) -> Column:
+        there = lambda n: F.exists(ends, lambda e: e[i] == n)
+        return F.array_distinct(F.transform(F.filter(said, lambda t: there(t["a"]) & there(t["b"])), lambda t: key(t["a"], t["b"], t["predicado"])))
+
+    p = p.select("s", "y", _hits("s", "y").alias("h"), keys("r", "s", "i").alias("ours"), keys("q", "y", "g").alias("gold"))
+    at = lambda i: F.get(F.filter("h", lambda h: h["i"] == i), F.lit(0))["g"]
+    p = p.select("s", "y", "h", "gold", F.transform("ours", lambda t: key(at(t["x"]), at(t["y"]), t["predicado"])).alias("found"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    count = lambda level, of, vp, every, fn: F.struct(F.lit(level).alias("nivel"), of.alias("clase"), vp.alias("vp"), every.alias("n"), fn.alias("fn"))
+    each = F.concat(
+        F.transform("s", lambda e: count("tipo", e["tipo"], F.exists("h", lambda h: h["i"] == e["i"]).cast("long"), one, zero)),
+        F.transform(F.filter("y", lambda e: ~F.exists("h", lambda h: h["g"] == e["g"])), lambda e: count("tipo", e["tipo"], zero, zero, one)),
+        F.transform("found", lambda t: count("predicado", t["predicado"], zero, one, zero)),
+        F.transform(F.array_intersect("gold", "found"), lambda t: count("predicado", t["predicado"], one, zero, zero)),
+        F.transform(F.array_except("gold", "found"), lambda t: count("predicado", t["predicado"], zero, zero, one)),
+    )
+    n = p.select(F.explode(each).alias("e")).groupBy("e.nivel", "e.clase").agg(*(F.sum(f"e.{c}").alias(c) for c in ("vp", "n", "fn")))
+    n = n.withColumn("clase", F.explode(F.array("clase", F.lit("*")))).groupBy("nivel", "clase").agg(F.sum("vp").alias("vp"), (F.sum("n") - F.sum("vp")).alias("fp"), F.sum("fn").alias("fn"))
+    enough = (F.col("nivel") == "tipo") | (F.col("clase") == "*") | (F.col("vp") + F.col("fp") + F.col("fn") >= least)
+    return _ratios(n.where(enough)).select("nivel", "clase", "vp", "fp", "fn", "p", "r", "f1", "oro")
 
 
 # Scores for the choice of cut-offs --------------------------------------------------------------------------------------
