@@ -11,6 +11,7 @@ from tessera.functions.checks import teachable
 from tessera.functions.text import FOLD_FROM, FOLD_TO, located
 from tessera.functions.vocabulary import TYPES
 from tessera.operators.relations import without_mirrors
+from tessera.scratch import materialize
 
 PLACE = ["wp_id", "pi"]
 WHEN = ("vigente", "pasada", "futura")
@@ -42,16 +43,19 @@ def _items(v: Column, *names: str) -> Column:
     return F.filter(numbered, lambda y: F.schema_of_variant(y["x"]).startswith("OBJECT"))
 
 
-def _in_turn(place: Column, wordings: Column) -> Column:
-    """Where wordings that differ in case alone stand, each behind the one before: array of (orden, ini, fin)."""
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<struct<orden:int,ini:int,fin:int>>").alias("hits"))
+def _in_turn(place: Column, said: Column) -> Column:
+    """Said entities (orden, dicho, tipo) with their places, wordings that differ in case alone each behind the one before: array of (orden, dicho, tipo, ini, fin)."""
+    none = F.array().cast("array<struct<orden:int,dicho:string,tipo:string,ini:int,fin:int>>")
 
     def step(acc: Column, w: Column) -> Column:
-        at = located(F.substr(place, acc["cur"] + 1), w["texto"])
-        hit = F.struct(w["orden"].alias("orden"), (at["ini"] + acc["cur"]).alias("ini"), (at["fin"] + acc["cur"]).alias("fin"))
-        return F.when(at.isNull(), acc).otherwise(F.struct(hit["fin"].alias("cur"), F.concat(acc["hits"], F.array(hit)).alias("hits")))
+        same = F.filter(acc, lambda h: h["fin"].isNotNull() & (F.lower(h["dicho"]) == F.lower(w["dicho"])))
+        cur = F.coalesce(F.try_element_at(same, F.lit(-1))["fin"], F.lit(0))
+        known = (w["dicho"] != "") & w["tipo"].isNotNull()
+        # Lists of one, so that a place is looked for once.
+        spot = lambda c: F.transform(F.array(F.when(known, located(F.substr(place, c + 1), w["dicho"]))), lambda z: F.struct(w["orden"].alias("orden"), w["dicho"].alias("dicho"), w["tipo"].alias("tipo"), (z["ini"] + c).alias("ini"), (z["fin"] + c).alias("fin")))
+        return F.concat(acc, F.flatten(F.transform(F.array(cur), spot)))
 
-    return F.aggregate(wordings, start, step, lambda acc: acc["hits"])
+    return F.aggregate(said, none, step)
 
 
 def read(answers: DataFrame, predicates: DataFrame, decoy: str | None = "grupo generico", parents: tuple[str, str] = ("padre de", "hijo de")) -> Answers:
@@ -68,33 +72,36 @@ def read(answers: DataFrame, predicates: DataFrame, decoy: str | None = "grupo g
     whole = F.try_parse_json("salida")
     inner = F.try_parse_json(F.regexp_extract("salida", r"(?s)\{.*\}", 0))
     parsed = answers.select(*PLACE, "parrafo", F.coalesce(whole, inner).alias("v")).withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    good = parsed.where("ok")
-    v, x = F.col("v"), F.col("y.x")
+    v = F.col("v")
 
     keys = {**{k: k for k in TYPES}, **({decoy: decoy} if decoy else {})}
     kinds = F.create_map(*(F.lit(c) for kv in keys.items() for c in kv))
-    e = good.select(*PLACE, "parrafo", F.explode(_items(v, "entidades", "entities")).alias("y"))
-    e = e.select(*PLACE, "parrafo", "y.orden", F.trim(F.coalesce(_said(x, "texto", "text"), F.lit(""))).alias("dicho"), kinds[_plain(_said(x, "tipo", "type"))].alias("tipo"))
-    known = (F.col("dicho") != "") & F.col("tipo").isNotNull()
-    same = e.where(known).groupBy(*PLACE, F.lower("dicho").alias("_l")).agg(F.first("parrafo").alias("p"), F.array_sort(F.collect_list(F.struct("orden", F.col("dicho").alias("texto")))).alias("w"))
-    spots = same.select(*PLACE, F.explode(_in_turn(F.coalesce("p", F.lit("")), F.col("w"))).alias("h")).select(*PLACE, "h.*")
-    e = e.join(spots, [*PLACE, "orden"], "left").withColumn("texto", F.expr("substring(parrafo, ini + 1, fin - ini)"))
-    teaches = teachable(F.col("texto"), F.col("tipo"))
-    why = F.when(~known, "tipo_desconocido").when(F.col("ini").isNull(), "no_localizada").when(~teaches, F.when(F.col("tipo") == "monto", "monto_sin_cifra").otherwise("pronombre"))
-    e = e.withColumn("motivo", why)
+    field = lambda y, *names: _said(y["x"], *names)
+    wording = lambda y, *names: F.trim(F.coalesce(field(y, *names), F.lit("")))
+    entity = lambda y: F.struct(y["orden"].alias("orden"), wording(y, "texto", "text").alias("dicho"), kinds[_plain(field(y, "tipo", "type"))].alias("tipo"))
+    tie = lambda y: F.struct(y["orden"].alias("orden"), wording(y, "a").alias("na"), wording(y, "b").alias("nb"), _plain(field(y, "predicado", "pred", "predicate", "relation")).alias("_p"), F.lower(field(y, "cuando", "when")).alias("cuando"))
+    hint = lambda y: F.struct(y["orden"].alias("orden"), F.to_json(y["x"]).alias("pista"))
+    lists = {"ents": F.transform(_items(v, "entidades", "entities"), entity), "ties": F.transform(_items(v, "relaciones", "relations"), tie), "hints": F.transform(_items(v, "pistas_rechazadas"), hint)}
+    p = parsed.select(*PLACE, "ok", F.coalesce("parrafo", F.lit("")).alias("parrafo"), *(F.when(F.col("ok"), x).alias(c) for c, x in lists.items()))
+    p = p.withColumn("ents", _in_turn(F.col("parrafo"), F.col("ents")))
+
+    def judged(h: Column) -> Column:
+        text = F.substr("parrafo", h["ini"] + 1, h["fin"] - h["ini"])
+        unknown = (h["dicho"] == "") | h["tipo"].isNull()
+        why = F.when(unknown, "tipo_desconocido").when(h["ini"].isNull(), "no_localizada").when(~teachable(text, h["tipo"]), F.when(h["tipo"] == "monto", "monto_sin_cifra").otherwise("pronombre"))
+        return F.struct(*(h[c].alias(c) for c in ("orden", "dicho", "tipo", "ini", "fin")), text.alias("texto"), why.alias("motivo"))
+
+    p = p.withColumn("ents", F.transform("ents", judged))
     # A paragraph's entities are one list, numbered as they were said.
-    taken = F.array_sort(F.collect_list(F.struct("orden", "ini", "fin", "tipo", "texto", "dicho")))
-    listed = e.where("motivo is null").groupBy(*PLACE).agg(taken.alias("l"))
-    marks = listed.select(*PLACE, F.posexplode("l").alias("i", "m")).select(*PLACE, "i", "m.ini", "m.fin", "m.tipo", "m.texto", "m.dicho")
-    named = marks.select(*PLACE, "i", "tipo", F.explode(F.array_distinct(F.array("texto", "dicho"))).alias("n")).groupBy(*PLACE, "n").agg(F.min(F.struct("i", "tipo")).alias("m"))
-
-    r = good.select(*PLACE, F.explode(_items(v, "relaciones", "relations")).alias("y"))
-    r = r.select(
-        *PLACE, "y.orden", F.trim(F.coalesce(_said(x, "a"), F.lit(""))).alias("na"), F.trim(F.coalesce(_said(x, "b"), F.lit(""))).alias("nb"), _plain(_said(x, "predicado", "pred", "predicate", "relation")).alias("_p"), F.lower(_said(x, "cuando", "when")).alias("cuando")
-    )
+    p = p.withColumn("marks", F.transform(F.filter("ents", lambda h: h["motivo"].isNull()), lambda h, i: F.struct(i.alias("i"), *(h[c].alias(c) for c in ("ini", "fin", "tipo", "texto", "dicho")))))
+    named = lambda n: F.get(F.filter("marks", lambda m: (m["texto"] == n) | (m["dicho"] == n)), F.lit(0))
+    ends = lambda t: F.struct(*(t[c].alias(c) for c in ("orden", "na", "nb", "_p", "cuando")), named(t["na"]).alias("ma"), named(t["nb"]).alias("mb"))
+    p = p.withColumn("ties", F.transform("ties", ends))
+    # An answer is read once; all that follows reads what was made of it.
+    p = materialize(p.select(*PLACE, "ok", F.transform("ents", lambda h: h["motivo"]).alias("lost"), "marks", "ties", "hints"))
+    marks = p.select(*PLACE, F.explode("marks").alias("m")).select(*PLACE, "m.i", "m.ini", "m.fin", "m.tipo", "m.texto")
+    r = p.select(*PLACE, F.explode("ties").alias("t")).select(*PLACE, "t.orden", "t.na", "t.nb", "t._p", "t.cuando", *(F.col(f"t.m{s}.{c}").alias(n) for s in "ab" for c, n in (("i", s), ("tipo", f"tipo_{s}"))))
     r = r.join(F.broadcast(predicates.select(_plain(F.col("predicado")).alias("_p"), "predicado")), "_p", "left")
-    end = lambda s: named.select(*PLACE, F.col("n").alias(f"n{s}"), F.col("m.i").alias(s), F.col("m.tipo").alias(f"tipo_{s}"))
-    r = r.join(end("a"), [*PLACE, "na"], "left").join(end("b"), [*PLACE, "nb"], "left")
     # The vocabulary spelt out by types, so that no relation has to be looked at for it.
     any_type = F.array(*(F.lit(k) for k in TYPES))
     spelt = lambda c, to: F.explode(F.when(F.size(c) == 0, any_type).otherwise(F.col(c))).alias(to)
@@ -112,8 +119,8 @@ def read(answers: DataFrame, predicates: DataFrame, decoy: str | None = "grupo g
     both = kept.where(clash).select(*PLACE, "a", "b").distinct()
     ties = kept.where(~clash).select(*PLACE, "orden", "a", "b", "predicado", F.when(F.col("cuando").isin(*WHEN), F.col("cuando")).otherwise(WHEN[0]).alias("cuando"))
 
-    hints = good.select(*PLACE, F.explode(_items(v, "pistas_rechazadas")).alias("y")).select(*PLACE, "y.orden", F.to_json(x).alias("pista"))
+    hints = p.select(*PLACE, F.explode("hints").alias("h")).select(*PLACE, "h.orden", "h.pista")
     reason = lambda df, c: df.select(*PLACE, c.alias("motivo"))
-    every = reason(parsed.where("not ok"), F.lit("json_invalido")).union(reason(e, F.col("motivo"))).union(reason(r, F.col("motivo"))).union(reason(both, F.lit("rel_contradictoria")))
+    every = reason(p.where("not ok"), F.lit("json_invalido")).union(reason(p, F.explode("lost"))).union(reason(r, F.col("motivo"))).union(reason(both, F.lit("rel_contradictoria")))
     refused = every.where("motivo is not null").groupBy(*PLACE, "motivo").agg(F.count("*").alias("n"))
-    return Answers(marks.drop("dicho"), ties, hints, refused)
+    return Answers(marks, ties, hints, refused)
