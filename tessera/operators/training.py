@@ -177,18 +177,49 @@ def _placed(rows: DataFrame) -> DataFrame:
         alias = lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo"), F.concat(n["de"], F.array(m["i"])).alias("de"))
         return F.when(hit == 0, F.concat(ner, new)).otherwise(F.transform(ner, lambda n, k: F.when(k == hit - 1, alias(n)).otherwise(n)))
 
-    e = rows.select(*PLACE, "entidades", "relaciones", tokens(F.col("parrafo")).alias("t"))
+    e = rows.withColumn("t", tokens(F.col("parrafo")))
     e = e.withColumn("todas", F.array_sort(F.transform("entidades", _span)))
     none = F.array().cast("array<struct<p:int,u:int,tipo:string,de:array<int>>>")
     return e.withColumn("ner", F.aggregate(F.filter("todas", _fit), none, place))
 
 
-def _between(e: DataFrame, how: str = "inner") -> DataFrame:
-    """Relations with the spans (a, b) that their marks (ia, ib) stand for, and their types."""
-    at = e.select(*PLACE, F.posexplode("ner").alias("k", "n")).select(*PLACE, "k", "n.tipo", F.explode("n.de").alias("i"))
-    ties = e.select(*PLACE, F.posexplode("relaciones").alias("orden", "r")).select(*PLACE, "orden", "r.predicado", F.col("r.a").alias("ia"), F.col("r.b").alias("ib"))
-    end = lambda s: at.select(*PLACE, F.col("i").alias(f"i{s}"), F.col("k").alias(s), F.col("tipo").alias(f"tipo_{s}"))
-    return ties.join(end("a"), [*PLACE, "ia"], how).join(end("b"), [*PLACE, "ib"], how)
+def _examined(rows: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Rows with fichas, ner, pares (null without any) and `motivos`, why marks and relations did not become part of them, once for each.
+
+    All of it comes from the paragraph's own lists, so nothing is shuffled.
+    """
+    vocabulary = predicates.agg(F.collect_list(F.struct("predicado", "desde", "hasta")).alias("_v"))
+    e = _placed(rows).crossJoin(F.broadcast(vocabulary))
+    spot = lambda i: F.get(F.filter(F.transform("ner", lambda n, k: F.struct(k.alias("k"), n["tipo"].alias("tipo"), n["de"].alias("de"))), lambda n: F.array_contains(n["de"], i)), F.lit(0))
+    e = e.withColumn("_t", F.transform("relaciones", lambda r, k: F.struct(k.alias("orden"), r["predicado"].alias("predicado"), spot(r["a"]).alias("a"), spot(r["b"]).alias("b"))))
+    fits = lambda kinds, x: (F.size(kinds) == 0) | F.array_contains(kinds, x["tipo"])
+    admits = lambda t: F.exists("_v", lambda p: (p["predicado"] == t["predicado"]) & fits(p["desde"], t["a"]) & fits(p["hasta"], t["b"]))
+    apart = lambda t: F.coalesce(t["a"]["k"] != t["b"]["k"], F.lit(False))
+    tie = lambda t, ok: F.struct(*(t[c].alias(c) for c in ("orden", "predicado")), t["a"]["k"].alias("a"), t["b"]["k"].alias("b"), ok.alias("ok"))
+    e = e.withColumn("_t", F.transform("_t", lambda t: tie(t, F.when(apart(t), F.coalesce(admits(t), F.lit(False))))))
+
+    # A relation has its first place; the other way round comes behind it.
+    said = lambda t, v, a, b: F.struct(F.struct(t["orden"].alias("orden"), F.lit(v).alias("v")).alias("o"), t[a].alias("a"), t[b].alias("b"), t["predicado"].alias("predicado"))
+    good = F.filter("_t", lambda t: t["ok"])
+    both = F.concat(F.transform(good, lambda t: said(t, 0, "a", "b")), F.transform(F.filter(good, lambda t: t["predicado"].isin(*SYMMETRIC)), lambda t: said(t, 1, "b", "a")))
+    e = e.withColumn("_p", F.array_sort(both))
+    once = F.filter("_p", lambda x: ~F.exists("_p", lambda y: (y["o"] < x["o"]) & (y["a"] == x["a"]) & (y["b"] == x["b"]) & (y["predicado"] == x["predicado"])))
+    e = e.withColumn("_p", F.transform(once, lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"), y["predicado"].alias("predicado"))))
+
+    def unmarked(m: Column) -> Column:
+        known, teaches = F.coalesce(m["tipo"].isin(*TYPES), F.lit(False)), F.coalesce(teachable(m["texto"], m["tipo"]), F.lit(False))
+        return F.when(~known, "tipo_fuera").when(~teaches & (m["tipo"] == "monto"), "monto_sin_cifra").when(~teaches, "pronombre").when(m["p"].isNull(), "fuera_de_rango")
+
+    def unrelated(t: Column) -> Column:
+        known = F.coalesce(t["predicado"].isin(*(p[0] for p in PREDICATES)), F.lit(False))
+        return F.when(t["ok"].isNull(), "rel_sin_extremo").when(~known, "rel_predicado_fuera").when(~t["ok"], "rel_tipos_no_admitidos")
+
+    same = F.array_repeat(F.lit("solape_mismo_tipo"), F.size(F.filter("todas", _fit)) - F.size("ner"))
+    empty = F.when(F.size("ner") < 1, F.array(F.lit("sin_entidades")))
+    none = F.array().cast("array<string>")
+    why = F.concat(*(F.coalesce(x, none) for x in (F.array_compact(F.transform("todas", unmarked)), same, empty, F.array_compact(F.transform("_t", unrelated)))))
+    kept = F.transform("ner", lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo")))
+    return e.select(*rows.columns, F.col("t.tok").alias("fichas"), kept.alias("ner"), F.when(F.size("_p") > 0, F.col("_p")).alias("pares"), why.alias("motivos"))
 
 
 def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -198,14 +229,7 @@ def examples(rows: DataFrame, predicates: DataFrame) -> DataFrame:
     of it, so relations to either survive. Pronouns, amounts without a figure and unknown types go. Relations between spans
     keep their first place if their predicate admits the types; those that hold both ways are doubled. Null texts have no tokens.
     """
-    e = _placed(rows)
-    kept = F.transform("ner", lambda n: F.struct(n["p"].alias("p"), n["u"].alias("u"), n["tipo"].alias("tipo")))
-    r = admissible(_between(e).where("a <> b"), predicates)
-    both = r.select(*PLACE, "orden", F.lit(0).alias("v"), "a", "b", "predicado").union(r.where(F.col("predicado").isin(*SYMMETRIC)).select(*PLACE, "orden", F.lit(1), "b", "a", "predicado"))
-    once = both.groupBy(*PLACE, "a", "b", "predicado").agg(F.min(F.struct("orden", "v")).alias("o"))
-    listed = once.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("o", "a", "b", "predicado"))).alias("x"))
-    listed = listed.select(*PLACE, F.transform("x", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"), y["predicado"].alias("predicado"))).alias("relaciones"))
-    return e.select(*PLACE, F.col("t.tok").alias("fichas"), kept.alias("ner")).join(listed, PLACE, "left")
+    return _examined(rows, predicates).select(*PLACE, "fichas", "ner", F.col("pares").alias("relaciones"))
 
 
 def discards(rows: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -214,21 +238,7 @@ def discards(rows: DataFrame, predicates: DataFrame) -> DataFrame:
     Marks: tipo_fuera, pronombre, monto_sin_cifra, fuera_de_rango, solape_mismo_tipo (kept as an alias). Relations:
     rel_sin_extremo, rel_predicado_fuera, rel_tipos_no_admitidos. Paragraphs left without spans: sin_entidades.
     """
-    e = _placed(rows)
-    m = F.col("m")
-    known, teaches = F.coalesce(m["tipo"].isin(*TYPES), F.lit(False)), F.coalesce(teachable(m["texto"], m["tipo"]), F.lit(False))
-    why = F.when(~known, "tipo_fuera").when(~teaches & (m["tipo"] == "monto"), "monto_sin_cifra").when(~teaches, "pronombre").when(m["p"].isNull(), "fuera_de_rango")
-    marks = e.select(*PLACE, F.explode("todas").alias("m")).select(*PLACE, why.alias("motivo"), F.lit(1).alias("n"))
-    same = e.select(*PLACE, F.lit("solape_mismo_tipo"), F.size(F.filter("todas", _fit)) - F.size("ner"))
-    empty = e.select(*PLACE, F.lit("sin_entidades"), F.when(F.size("ner") < 1, 1).otherwise(0))
-    known = F.col("predicado").isin(*(p[0] for p in PREDICATES))
-    lost = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b")), "rel_sin_extremo").when(~F.coalesce(known, F.lit(False)), "rel_predicado_fuera")
-    fits = _between(e).where("a <> b")
-    good = admissible(fits, predicates).select(*PLACE, "orden").withColumn("_ok", F.lit(True))
-    r = _between(e, "left").join(good, [*PLACE, "orden"], "left")
-    ties = r.select(*PLACE, lost.when(F.col("_ok").isNull(), "rel_tipos_no_admitidos").alias("motivo"), F.lit(1).alias("n"))
-    every = marks.union(same).union(empty).union(ties)
-    return every.where("motivo is not null and n > 0").groupBy(*PLACE, "motivo").agg(F.sum("n").alias("n"))
+    return _examined(rows, predicates).select(*PLACE, F.explode("motivos").alias("motivo")).groupBy(*PLACE, "motivo").agg(F.count("*").alias("n"))
 
 
 def training_set(rows: DataFrame, predicates: DataFrame, apart: DataFrame, test: DataFrame, one_in: int = 5, seed: int = 1) -> DataFrame:
@@ -241,10 +251,12 @@ def training_set(rows: DataFrame, predicates: DataFrame, apart: DataFrame, test:
     Null sets are `train`; beside gold a paragraph occurs once.
     """
     gold = F.col("fuente") == "oro"
-    by = rows.where(gold).select(*PLACE).distinct().withColumn("_oro", F.lit(True))
-    flag = lambda df, name: df.select("wp_id").distinct().withColumn(name, F.lit(True))
-    r = rows.join(by, PLACE, "left").join(flag(apart, "_a"), "wp_id", "left").join(flag(test, "_p"), "wp_id", "left")
-    over, held, tried = F.col("_oro").isNotNull() & ~gold, F.col("_a").isNotNull(), F.col("_p").isNotNull()
+    no = F.lit(None).cast("boolean")
+    flags = apart.select("wp_id", F.lit(True).alias("_a"), no.alias("_p")).union(test.select("wp_id", no, F.lit(True))).groupBy("wp_id").agg(F.max("_a").alias("_a"), F.max("_p").alias("_p"))
+    # Rows are dealt by article once; a paragraph's few rows meet there.
+    trodden = F.when(F.col("wp_id").isNotNull() & F.col("pi").isNotNull(), F.max(gold).over(Window.partitionBy(*PLACE)))
+    r = rows.join(flags, "wp_id", "left").withColumn("_oro", F.coalesce(trodden, F.lit(False)))
+    over, held, tried = F.col("_oro") & ~gold, F.col("_a").isNotNull(), F.col("_p").isNotNull()
     leak = F.raise_error(F.concat(F.lit("held-out paragraph "), F.concat_ws("/", *PLACE), F.lit(" in "), F.col("fuente")))
     kept = F.when(held & gold, F.lit("apartado")).when(held, leak.cast("string")).when(tried & gold, F.lit("prueba")).otherwise(F.coalesce("conjunto", F.lit("train")))
     out = F.when(over, "plata_pisada_por_oro").when(~held & tried & ~gold, "plata_en_prueba_fuera")
@@ -256,10 +268,9 @@ def training_set(rows: DataFrame, predicates: DataFrame, apart: DataFrame, test:
     wrong = lambda x: (F.col("fuente") == "plata") & (x["predicado"] == "parte de") & (kind(x["a"]) == "persona") & (kind(x["b"]) == "organizacion")
     turned = F.transform("relaciones", lambda x: x.withField("predicado", F.when(wrong(x), "miembro de").otherwise(x["predicado"])))
     r = r.withColumns({"relaciones": turned, "_turned": F.size(F.filter("relaciones", wrong))})
-    x = examples(r, predicates).withColumnsRenamed({"relaciones": "pares"})
-    why = discards(r, predicates).groupBy(*PLACE).agg(F.map_from_entries(F.collect_list(F.struct("motivo", "n"))).alias("descartes"))
-    j = r.select(*PLACE, "conjunto", "fuente", "estrato", "parrafo", "_turned", F.transform("relaciones", lambda y: y["cuando"]).alias("cuando")).join(x, PLACE).join(why, PLACE, "left")
-    counts = F.coalesce("descartes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+    j = _examined(r, predicates).withColumn("cuando", F.transform("relaciones", lambda y: y["cuando"]))
+    kinds = F.array_distinct("motivos")
+    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("motivos", lambda m: m == k)).cast("long")))
     members = F.when(F.col("_turned") > 0, F.map_concat(counts, F.create_map(F.lit("parte_de_a_miembro_de"), F.col("_turned").cast("long")))).otherwise(counts)
     few = (F.size("ner") > 0) | (F.pmod(F.xxhash64(F.lit(seed), *PLACE), F.lit(one_in)) == 0)
     columns = [*PLACE, "conjunto", "fuente", "estrato", "parrafo", "descartes", "fichas", "ner", "pares", "cuando"]
